@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .near_dedup import op6_near_dedup
 from .packing import op5_best_fit_packing
 from .retrieval import OP4_SQL, op4_top_products
 from .token_counts import op1_token_counts
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_top_products": op4_top_products,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_near_dedup": op6_near_dedup,
     "op8_url_filters": op8_url_filters,
 }
 SQL: dict[str, str] = {"op4_top_products": OP4_SQL, "op8_url_filters": OP8_SQL}
