@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language_id import op9_language_id
 from .near_dedup import op6_near_dedup
 from .packing import op5_best_fit_packing
 from .retrieval import OP4_SQL, op4_top_products
@@ -18,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_near_dedup": op6_near_dedup,
     "op8_url_filters": op8_url_filters,
+    "op9_language_id": op9_language_id,
 }
 SQL: dict[str, str] = {"op4_top_products": OP4_SQL, "op8_url_filters": OP8_SQL}
