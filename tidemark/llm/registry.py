@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language_id import op9_language_id
+from .media import op2_media_columns
 from .near_dedup import op6_near_dedup
 from .packing import op5_best_fit_packing
 from .retrieval import OP4_SQL, op4_top_products
@@ -15,6 +16,7 @@ from .url_filters import OP8_SQL, op8_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_media_columns": op2_media_columns,
     "op4_top_products": op4_top_products,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_near_dedup": op6_near_dedup,
