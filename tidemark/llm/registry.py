@@ -10,6 +10,7 @@ from .language_id import op9_language_id
 from .media import op2_media_columns
 from .near_dedup import op6_near_dedup
 from .packing import op5_best_fit_packing
+from .pieces import op7_sentencepiece
 from .retrieval import OP4_SQL, op4_top_products
 from .token_counts import op1_token_counts
 from .url_filters import OP8_SQL, op8_url_filters
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_top_products": op4_top_products,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_near_dedup": op6_near_dedup,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_url_filters": op8_url_filters,
     "op9_language_id": op9_language_id,
 }
