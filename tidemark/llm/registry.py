@@ -11,6 +11,7 @@ from .media import op2_media_columns
 from .near_dedup import op6_near_dedup
 from .packing import op5_best_fit_packing
 from .pieces import op7_sentencepiece
+from .repeats import op10_suffix_array_dedup
 from .retrieval import OP4_SQL, op4_top_products
 from .token_counts import op1_token_counts
 from .url_filters import OP8_SQL, op8_url_filters
@@ -24,5 +25,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sentencepiece": op7_sentencepiece,
     "op8_url_filters": op8_url_filters,
     "op9_language_id": op9_language_id,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 SQL: dict[str, str] = {"op4_top_products": OP4_SQL, "op8_url_filters": OP8_SQL}
