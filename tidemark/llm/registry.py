@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_text import op3_html_extraction
 from .language_id import op9_language_id
 from .media import op2_media_columns
 from .near_dedup import op6_near_dedup
@@ -19,6 +20,7 @@ from .url_filters import OP8_SQL, op8_url_filters
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_media_columns": op2_media_columns,
+    "op3_html_extraction": op3_html_extraction,
     "op4_top_products": op4_top_products,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_near_dedup": op6_near_dedup,
