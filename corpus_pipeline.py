@@ -1,26 +1,53 @@
-"""The corpus pipeline: language ID, near-duplicates, repeated passages, packing."""
+"""The corpus pipeline: language ID, near-duplicates, repeated passages, packing.
+
+Each stage takes the documents that the one before it left and, but for the last, returns documents of the same
+columns; every stage is written as Parquet before the next one reads it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm.common import read_table
+from tidemark.llm.common import read_table, written
+from tidemark.llm.language_id import fit_on_corpus, identify
+from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import best_fit_packing
+from tidemark.llm.repeats import cut_documents, row_key
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the corpus teaches; those without letters (or without text) go."""
+    return identify(docs, fit_on_corpus(docs)).filter("lang_pred <> 'und'").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least id; documents without an id stay."""
+    gone = near_duplicates(docs.select("doc_id", "text")).filter("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing of all that is left."""
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the byte strings that documents with smaller ids hold; documents of which nothing is left go.
+
+    Where a cut goes through a character, the rest of that character goes too. ``n_chars`` follows the text.
+    """
+    cut = written(cut_documents(docs.select("doc_id", "text")).select("row", "kept_text"), "cut")
+    joined = docs.withColumn("row", row_key()).join(cut, "row", "left")
+    return joined.withColumn("text", F.coalesce("kept_text", "text")).filter("kept_text is null or kept_text <> ''").withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit-decreasing packing of all that is left."""
     return best_fit_packing(docs)
 
 
-STAGES = [("packing", pack)]
-#: Decoding, sketches and tokenisers can't be said in SQL.
+STAGES = [("language_id", language), ("near_dedup", near_dedup), ("suffix_array_dedup", repeats), ("packing", packing)]
+#: Tokenisers, sketches and models can't be said in SQL; tests/llm holds a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.common import written
-
     docs = read_table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -325,20 +325,21 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> F.Column:
 
 
 def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
-    """row, kept (the bytes that are left), n_removed (null: all), n_spans, for the documents that lose bytes."""
+    """row, kept (the bytes that are left), kept_text (of those, whole characters), n_removed (null: all), n_spans, for
+    the documents that lose bytes."""
     texts, copies = repeated_bytes(docs, id_col, text_col, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[], [], []]
+            rows: list[list] = [[], [], []]
             for text, starts in zip(batch.column(1), batch.column(2)):
                 got = cut_text(text.as_py().encode(), np.unique(starts.values.to_numpy()), length)
                 for column, x in zip(rows, got):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64())], names=["row", "kept", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.binary()), pa.array([x.decode(errors="ignore") for x in rows[0]], pa.string()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64())], names=["row", "kept", "kept_text", "n_removed", "n_spans"])
 
-    cut = texts.mapInArrow(run, "row long, kept binary, n_removed long, n_spans long").dropDuplicates(["row"])
-    whole = copies.select("row", F.lit(b"").alias("kept"), F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"))
+    cut = texts.mapInArrow(run, "row long, kept binary, kept_text string, n_removed long, n_spans long").dropDuplicates(["row"])
+    whole = copies.select("row", F.lit(b"").alias("kept"), F.lit("").alias("kept_text"), F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"))
     return cut.unionByName(whole)
 
 
