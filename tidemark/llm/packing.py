@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import read_table, written
 
-DICTIONARY_SIZE = 400_000
+#: Entries after which a worker's dictionary starts anew. It changes speed and memory only.
+DICTIONARY_SIZE = 600_000
 #: Characters that Python and the tokenizers' patterns may not both take for white space.
 _ODD = re.compile("[\x1c-\x1f\x85᠎​-‍⁠﻿]")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -98,19 +99,41 @@ def best_fit_plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[
 
 
 class _Ids(dict):
-    """chunk without white space -> its ids as little-endian unsigned 32-bit bytes."""
+    """chunk without white space -> its ids as little-endian unsigned 32-bit bytes, found on first sight.
+
+    Chunks of printable ASCII, which are nearly all, are cut into pre-tokens here, by the ASCII part of the
+    tokenizer's own pattern, and the ids of each distinct pre-token come once from its model. All others go to the
+    library whole.
+    """
+
+    WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def fill(self, chunks: list[str]) -> None:
-        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)):
-            self[chunk] = np.asarray(e.ids, "<u4").tobytes()
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isprintable() and "<|" not in chunk:
+            out, words = b"", self.words
+            for w in self.WORDS.findall(chunk.lower()):
+                if (x := words.get(w)) is None:
+                    x = words[w] = b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(w))
+                out += x
+        else:
+            out = self.ids(chunk)
+        self[chunk] = out
+        return out
+
+    def trim(self) -> None:
+        if len(self) > DICTIONARY_SIZE:
+            self.clear()
+        if len(self.words) > DICTIONARY_SIZE:
+            self.words.clear()
 
 
 _KEPT: dict[str, _Ids] = {}
@@ -132,10 +155,7 @@ def tokenised_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int,
                     data = ids.ids(text)
                 else:  # the patterns of the tokenizer never cross white space
                     chunks = text.split()
-                    if len(ids) > DICTIONARY_SIZE:
-                        ids.clear()
-                    if new := list(set(chunks).difference(ids)):
-                        ids.fill(new)
+                    ids.trim()
                     data = b"".join(map(ids.__getitem__, chunks))
                 data += end_id.to_bytes(4, "little")
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
