@@ -1,6 +1,18 @@
-"""All queries of the engine by name, with the SQL that gives the same rows."""
+"""All queries of the engine by name, with the SQL that gives the same rows where SQL can express them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import backtest, panel
+from ..sources.tables import table
+from . import kernels, relational
+
+QUERIES = relational.QUERIES | kernels.QUERIES
+SQL: dict[str, str] = dict(relational.SQL)
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """Weekly prices, fill, log returns, synchronous filter, and the monthly rebalanced equal-weight path."""
+    px = panel.price_panel(table(spark, folder, "lineitem"), "week")
+    return backtest.static_backtest(panel.synchronous(panel.log_returns(panel.ffill(px))))
