@@ -9,8 +9,10 @@ independent samples. With t = 128 in 32 bands of 4, a pair at similarity 0.85 sh
 
 Equal sets are one class from the start. Pairs are never listed within a bucket of a band: every member is checked
 against one hub of its bucket, the member that shares most buckets; then, in buckets that still hold several
-components, against another hub; and only members of different components that are left are checked with
-each other. A component is what verified links connect.
+components, against another hub. What is left are groups of members of such mixed buckets. They are dealt into
+blocks of a bounded number of shingles; each two blocks of a group meet in one row, whose task counts the common
+shingles of all their sets at once and returns only links that join components. A component is what verified
+links connect.
 """
 
 from __future__ import annotations
@@ -110,6 +112,73 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles array<long>")
 
 
+#: Shingles of a block of sets, about; a larger set is a block of its own.
+BLOCK_SHINGLES = 1 << 16
+
+
+def _block_links(ids: tuple, comps: tuple, sets: tuple, same: bool, percent: int) -> list[tuple[int, int]]:
+    """Links between two blocks (or within one, ``same``) that join components which these links had not joined yet."""
+    bounds = [np.r_[0, np.cumsum([len(s) for s in side])] for side in sets]
+    sizes = [np.diff(b) for b in bounds]
+    values = [np.concatenate([np.asarray(s, np.int64) for s in side]) for side in sets]
+    could = (100 * np.minimum(sizes[0][:, None], sizes[1]) >= percent * np.maximum(sizes[0][:, None], sizes[1])) & (comps[0][:, None] != comps[1])
+    if same:
+        could = np.triu(could, 1)
+    if not could.any():
+        return []
+    shared = np.intersect1d(values[0], values[1])
+    common = np.zeros(could.shape, np.float32)
+    at = [np.searchsorted(shared, v) for v in values]
+    hit = [(a < len(shared)) & (shared[np.minimum(a, len(shared) - 1)] == v) if len(shared) else np.zeros(len(v), bool) for a, v in zip(at, values)]
+    owner = [np.repeat(np.arange(len(z)), z)[h] for z, h in zip(sizes, hit)]
+    at = [a[h] for a, h in zip(at, hit)]
+    for lo in range(0, len(shared), 4096):
+        sides = []
+        for a, o, z in zip(at, owner, sizes):
+            mine = (a >= lo) & (a < lo + 4096)
+            m = np.zeros((len(z), min(4096, len(shared) - lo)), np.float32)
+            m[o[mine], a[mine] - lo] = 1
+            sides.append(m)
+        common += sides[0] @ sides[1].T
+    linked = could & (100 * common >= percent * (sizes[0][:, None] + sizes[1] - common))
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            c = parent[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(linked)):
+        a, b = root(int(comps[0][i])), root(int(comps[1][j]))
+        if a != b:
+            parent[a] = b
+            out.append((int(ids[0][i]), int(ids[1][j])))
+    return out
+
+
+def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members (id, group, component, n) of one group and different components, on their full sets."""
+    counts = members.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.count_distinct("component").alias("c")).filter("c > 1").drop("c")
+    dealt = members.join(counts, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    packed = dealt.join(sets, "id").groupBy("group", "blocks", "block").agg(F.collect_list(F.struct("id", "component", "shingles")).alias("held"))
+    packed = written(packed, "set-blocks")
+    first = packed.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1)))
+    other = packed.select("group", F.col("block").alias("other"), F.col("held").alias("held2"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[int, int]] = []
+            for i in range(batch.num_rows):
+                sides = [batch.column(c)[i].values for c in (2, 3)]
+                ids, comps = ([s.field(n).to_numpy() for s in sides] for n in ("id", "component"))
+                held = [[x.values.to_numpy() for x in s.field("shingles")] for s in sides]
+                rows += _block_links(tuple(ids), tuple(comps), tuple(held), batch.column(0)[i].as_py() == batch.column(1)[i].as_py(), percent)
+            yield pa.RecordBatch.from_arrays([pa.array([min(r) for r in rows], pa.int64()), pa.array([max(r) for r in rows], pa.int64())], names=["a", "b"])
+
+    return first.join(other, ["group", "other"]).select("block", "other", "held", "held2").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -141,25 +210,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     could = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
     pair = (F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
     links = tested = comps = None
-    for turn in range(3):
+    for turn in range(2):
         current = members.withColumn("component", F.col("id")) if comps is None else members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        if turn < 2:
-            order = F.struct("degree", -F.col("id")) if turn == 0 else F.struct(F.xxhash64("id", "component"), "id")
-            hubs = current.groupBy("key").agg(F.max_by(F.struct(F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2")), order).alias("hub"), F.min("component").alias("c1"), F.max("component").alias("c2"))
-            hubs = hubs.filter("c1 <> c2").select("key", "hub.*")
-        else:
-            mixed_up = current.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("key")
-            current = current.join(mixed_up, "key")
-            hubs = current.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-        pairs = current.join(hubs, "key").filter("component <> component2").filter(could)
-        pairs = (pairs if turn < 2 else pairs.filter("id < id2")).select(*pair).groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one")
+        order = F.struct("degree", -F.col("id")) if turn == 0 else F.struct(F.xxhash64("id", "component"), "id")
+        hubs = current.groupBy("key").agg(F.max_by(F.struct(F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2")), order).alias("hub"), F.min("component").alias("c1"), F.max("component").alias("c2"))
+        hubs = hubs.filter("c1 <> c2").select("key", "hub.*")
+        pairs = current.join(hubs, "key").filter("component <> component2").filter(could).select(*pair).groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         found = written(verified(pairs), "near-links")
-        tested = pairs if tested is None else tested.union(pairs)
+        tested = pairs
         links = found if links is None else links.union(found)
-        comps = components(links)
+        comps = written(components(links), "components")
+    current = members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed_up = current.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("id").alias("least")).filter("c1 <> c2").select("key", "least")
+    left = written(current.join(mixed_up, "key").select("id", "least", "component", "n"), "mixed-buckets")
+    groups = components(left.select(F.col("id").alias("a"), F.col("least").alias("b"))).withColumnRenamed("component", "group")
+    found = written(block_links(left.groupBy("id").agg(F.first("component").alias("component"), F.first("n").alias("n")).join(groups, "id"), sets, percent), "near-links")
+    comps = components(links.union(found))
     rep = classes.select("n_shingles", "d1", "d2", "rep")
     of_rep = rep.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = sig.drop("keys").join(of_rep, ["n_shingles", "d1", "d2"], "left")
