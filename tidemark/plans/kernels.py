@@ -1,5 +1,110 @@
-"""Queries on numeric kernels, which SQL cannot express."""
+"""Queries on numeric kernels, which SQL cannot express: mixtures, autoregressions, programmes, bootstraps, tails."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import backtest, bootstrap, forecast_eval, forecasting, inference, mixture, panel, portfolios, regimes, studies
+from .relational import path, returns, sample, states
+
+#: A specification for the lineitem panel, which has some 2,200 days.
+SMALL = replace(mixture.HEADLINE, config_id="small", k_candidates=(2, 3), window=750, step=250)
+GRID = (SMALL, replace(SMALL, config_id="grand_mean", target="grand_mean", ewma_decay=None), replace(SMALL, config_id="two_states", k_candidates=(2,)))
+
+
+def _days(s: SparkSession, d: str) -> DataFrame:
+    return panel.vectors(returns(s, d)).persist()
+
+
+def _fits(s: SparkSession, d: str, configs=(GRID[2],)) -> tuple[DataFrame, DataFrame]:
+    days = _days(s, d)
+    return days, mixture.fit_rolling(days, configs).persist()
+
+
+def _two(s: SparkSession, d: str) -> DataFrame:
+    return states(s, d).select("dt", F.posexplode(F.array(1 - F.col("p_1"), "p_1")).alias("k", "p"))
+
+
+def gmm_fit(s, d):
+    return mixture.diagnostics(_fits(s, d, GRID)[1])
+
+
+def bic_grid(s, d):
+    return _fits(s, d, (SMALL,))[1].select("config_id", "w", F.explode("bic_grid").alias("k", "bic"))
+
+
+def filtered_probabilities(s, d):
+    return mixture.filtered_probabilities(*_fits(s, d))
+
+
+def retrospective_probabilities(s, d):
+    days, fits = _fits(s, d, (SMALL,))
+    return regimes.retrospective(mixture.window_probabilities(days, fits))
+
+
+def covariance_diagnostics(s, d):
+    return mixture.covariance_diagnostics(_fits(s, d)[1])
+
+
+def mean_drift(s, d):
+    return mixture.mean_drift(_fits(s, d)[1])
+
+
+def config_summary(s, d):
+    return studies.config_summary(_fits(s, d, GRID)[1])
+
+
+def fitted_correlations(s, d):
+    from ..sources.tables import correlations_long
+
+    days, fits = _fits(s, d)
+    return correlations_long(fits, panel.assets_of(returns(s, d)))
+
+
+def one_sided_scorer(s, d):
+    """The flow form of the one-sided scoring, run over the days as one available batch."""
+    from ..streaming.scoring import score_days
+
+    days, fits = _fits(s, d)
+    last = fits.orderBy(F.col("w").desc()).limit(1)
+    return score_days(days.select("dt", "x"), mixture.state_of(last.toPandas().iloc[0]))
+
+
+QUERIES = {
+    "gmm_fit": gmm_fit,
+    "bic_grid": bic_grid,
+    "filtered_probabilities": filtered_probabilities,
+    "retrospective_probabilities": retrospective_probabilities,
+    "covariance_diagnostics": covariance_diagnostics,
+    "mean_drift": mean_drift,
+    "config_summary": config_summary,
+    "fitted_correlations": fitted_correlations,
+    "one_sided_scorer": one_sided_scorer,
+    "ar_multihorizon": lambda s, d: forecasting.multi_horizon(states(s, d)),
+    "ar_scores": lambda s, d: forecast_eval.scores(forecasting.multi_long(forecasting.multi_horizon(states(s, d))), ("horizon", "method")),
+    "snail_trail": lambda s, d: forecasting.snail_trail(states(s, d)),
+    "regime_aware_forecasts": lambda s, d: forecasting.regime_aware(states(s, d)),
+    "compare_methods": lambda s, d: forecasting.compare_methods(states(s, d)),
+    "backtest_signals": lambda s, d: forecasting.backtest_signals(states(s, d)),
+    "max_sharpe": lambda s, d: portfolios.unconditional_portfolio(returns(s, d), bounds=portfolios.LIVE),
+    "state_portfolios": lambda s, d: portfolios.state_portfolios(sample(s, d)),
+    "frontier": lambda s, d: portfolios.efficient_frontier(returns(s, d)),
+    "backtest_unconditional": lambda s, d: portfolios.backtest_unconditional(returns(s, d)),
+    "backtest_regimes": lambda s, d: portfolios.backtest_regimes(returns(s, d), _two(s, d), states(s, d).select("dt", "p_1")),
+    "backtest_out_of_sample": lambda s, d: portfolios.backtest_out_of_sample(returns(s, d), _two(s, d), 1250),
+    "bootstrap_quantiles": lambda s, d: bootstrap.quantile_equality(sample(s, d), b=1000),
+    "bootstrap_corr": lambda s, d: bootstrap.correlation_differences(sample(s, d), 0, 2, b=2000),
+    "bootstrap_sharpe": lambda s, d: bootstrap.path_difference(returns(s, d).select(F.col("asset").alias("strategy"), "dt", F.col("r").alias("net")), "A_F", "R_F", "sharpe", 2000),
+    "bootstrap_drawdown": lambda s, d: bootstrap.path_difference(returns(s, d).select(F.col("asset").alias("strategy"), "dt", F.col("r").alias("net")), "A_F", "R_F", "drawdown", 2000),
+    "bootstrap_cvar": lambda s, d: bootstrap.path_difference(returns(s, d).select(F.col("asset").alias("strategy"), "dt", F.col("r").alias("net")), "A_F", "R_F", "cvar", 2000),
+    "anderson_darling": lambda s, d: bootstrap.anderson_darling(sample(s, d)),
+    "anova_p": lambda s, d: inference.anova(sample(s, d)),
+    "welch_p": lambda s, d: inference.welch(sample(s, d)),
+    "pair_brown_forsythe_p": lambda s, d: inference.pair_brown_forsythe(sample(s, d)),
+    "kruskal_p": lambda s, d: inference.kruskal(sample(s, d)),
+    "ks_p": lambda s, d: inference.starred(inference.kolmogorov(sample(s, d))),
+    "performance_class": lambda s, d: backtest.performance(path(s, d), ann=backtest.ANN_CLASS),
+}
