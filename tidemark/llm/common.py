@@ -24,9 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return kept.get().rstrip("/")
 
 
+#: Spark then removes an execution's shuffle files when it ends, not when the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back: cuts lineage and survives lost executors."""
+    """``df`` as a Parquet table in the shared folder, read back: cuts lineage and survives lost executors.
+
+    The shuffle files of the plan go as soon as the table stands; nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    try:
+        if before is not None:
+            spark.conf.set(_CLEANUP, "true")
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -4,7 +4,9 @@ A document's windows are its byte strings of the threshold length. Every window
 fixed length inside it whose hash is least (the left-most of equals). Equal windows have equal anchors at equal
 places, so only occurrences of one anchor need to meet, and they can meet in different tasks for different anchors.
 
-1. Anchors that two documents share are found from hashes alone, packed by block of documents.
+1. A window holds, beside its anchor, half of the other bytes or more on one side of it. Anchors that two documents
+   share with such a side are found from hashes alone (32 bits for each side, within a bucket of anchors; an equal
+   pair by chance only costs work), packed by block of documents.
 2. Documents with such anchors give, for each, the stretch of text whose windows it anchors. Equal stretches
    become one with the least document id, by an aggregation with map-side partials.
 3. Per anchor, the stretches' suffixes from the anchor on are sorted, and the bytes before them form a (sparse)
@@ -39,12 +41,16 @@ HOT = 8192
 BATCH = 32_768
 
 
-def anchored(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, anchor hash, anchor place, first window, last window) of each maximal run of windows with one anchor."""
+def anchored(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(row, anchor hash, anchor place, first window, last window, sides) of each maximal run of windows with one anchor.
+
+    ``sides``: hashes of the anchor with half of a window's other bytes before it (upper 32 bits) and after it (lower),
+    as far as one of the run's windows holds them; else a value of its own.
+    """
     n, w = len(data), length - ANCHOR + 1
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none.astype(np.uint64), none, none, none
+        return none, none.astype(np.uint64), none, none, none, none.astype(np.uint64)
     powers, inverse = _powers(n + 1)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=prefix[1:])
@@ -65,40 +71,78 @@ def anchored(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndar
     end = valid.copy()
     end[:-1] &= ~valid[1:] | (at[1:] != at[:-1]) | (row[1:] != row[:-1])
     s0, s1 = np.flatnonzero(start), np.flatnonzero(end)
-    return row[s0], h[at[s0]], at[s0], s0, s1
+    place, half = at[s0], (length - ANCHOR) // 2
+    part = lambda a, b: mixed((prefix[b] - prefix[a]) * inverse[a])
+    before = place - s0 >= half
+    after = s1 + length - place - ANCHOR >= length - ANCHOR - half
+    lone = mixed(h[place] + mixed((s0 - bounds[row[s0]]).astype(np.uint64)))  # the same in whatever block a text stands
+    left = np.where(before, part(np.maximum(place - half, 0), place + ANCHOR), lone)
+    right = np.where(after, part(place, np.minimum(place + length - half, n)), mixed(lone + np.uint64(1)))
+    sides = left >> np.uint64(32) << np.uint64(32) | right >> np.uint64(32)
+    return row[s0], h[place], place, s0, s1, sides
+
+
+_LOW = np.uint64(0xFFFFFFFF)
+_AFTER = np.uint64(1 << 32)  # marks the key of the side after the anchor
+_MANY = np.uint64(1 << 33)  # marks a key that several documents of a block have
+
+
+def _keys(sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return sides >> np.uint64(32), sides & _LOW | _AFTER
+
+
+def _group_bounds(*sorted_: np.ndarray) -> np.ndarray:
+    new = np.zeros(len(sorted_[0]), bool)
+    if len(new):
+        new[0] = True
+        for x in sorted_:
+            new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+def _held_by_many(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each entry whether its key stands with two different ``doc``."""
+    order = np.lexsort((doc, key))
+    k, d = key[order], doc[order]
+    first = np.flatnonzero(_group_bounds(k))
+    last = np.r_[first[1:], len(k)] - 1
+    out = np.empty(len(k), bool)
+    out[order] = np.repeat(d[first] != d[last], last - first + 1)
+    return out
 
 
 def _anchor_rows(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """bucket, kind, ids, counts, hashes. Kind 0: hashes of single documents of a block, to be looked up and
-    answered; 1: hashes that several documents of the block share; 2: such hashes by document, an answer already."""
+    """bucket, kind, ids, counts, hashes, by block of documents.
+
+    Kind 0: sides by document, to be looked up and answered. 2: sides by document that another document of the block
+    has too, an answer already. 1: the keys of those, once for each block, so that a common line is a row per block.
+    """
     schema = "bucket int, kind int, ids array<long>, counts array<int>, hashes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            rows, hashes = [], []
+            parts = []
             for at, data, bounds in text_blocks(batch.column(1)):
-                row, h, *_ = anchored(data, bounds, length)
-                rows.append(row + at)
-                hashes.append(h)
-            if not rows:
+                row, h, _, _, _, sides = anchored(data, bounds, length)
+                parts.append((row + at, h % np.uint64(buckets), sides))
+            if not parts:
                 continue
-            row, h = np.concatenate(rows), np.concatenate(hashes)
+            row, bucket, sides = (np.concatenate(x) for x in zip(*parts))
             if not len(row):
                 continue
-            order = np.lexsort((row, h))
-            row, h = row[order], h[order]
-            new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]
-            row, h = row[new], h[new]
-            first = np.r_[True, h[1:] != h[:-1]]
-            count = np.diff(np.r_[np.flatnonzero(first), len(h)])
-            shared = np.repeat(count > 1, count)
-            out = []
-            one = ~shared
-            out += _packed(0, (h[one] % np.uint64(buckets)).astype(np.int64), ids[row[one]], h[one])
-            lone = np.flatnonzero(first & shared)
-            out += _packed(1, (h[lone] % np.uint64(buckets)).astype(np.int64), None, h[lone])
-            out += _packed(2, row[shared] % buckets, ids[row[shared]], h[shared])
+            order = np.lexsort((row, sides))
+            row, bucket, sides = row[order], bucket[order], sides[order]
+            new = _group_bounds(sides, row)
+            row, bucket, sides = row[new], bucket[new].astype(np.int64), sides[new]
+            left, right = _keys(sides)
+            many = _held_by_many(np.r_[left, right], np.r_[row, row])
+            many_left, many_right = many[: len(left)], many[len(left) :]
+            done = many_left | many_right
+            out = _packed(0, bucket[~done], ids[row[~done]], sides[~done])
+            known = np.unique(np.r_[left[done] | np.where(many_left[done], _MANY, np.uint64(0)), right[done] | np.where(many_right[done], _MANY, np.uint64(0))] + (np.r_[bucket[done], bucket[done]].astype(np.uint64) << np.uint64(34)))
+            out += _packed(1, (known >> np.uint64(34)).astype(np.int64), None, known & np.uint64((1 << 34) - 1))
+            out += _packed(2, row[done] % buckets, ids[row[done]], sides[done])
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()))], names=["bucket", "kind", "ids", "counts", "hashes"])
 
     return docs.mapInArrow(run, schema)
@@ -109,47 +153,47 @@ def _packed(kind: int, bucket: np.ndarray, ids: np.ndarray | None, h: np.ndarray
     order = np.lexsort((h, ids, bucket)) if ids is not None else np.lexsort((h, bucket))
     bucket, h = bucket[order], h[order]
     ids = ids[order] if ids is not None else None
-    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist() + [len(bucket)] if len(bucket) else []
+    edges = [*np.flatnonzero(_group_bounds(bucket)).tolist(), len(bucket)]
     for a, b in zip(edges, edges[1:]):
-        if ids is None:
-            names, counts = [], []
-        else:
+        names, counts = [], []
+        if ids is not None:
             mine = ids[a:b]
-            at = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+            at = np.flatnonzero(_group_bounds(mine))
             names, counts = mine[at], np.diff(np.r_[at, b - a]).astype(np.int32)
         out.append((int(bucket[a]), kind, names, counts, h[a:b].astype("<u8").tobytes()))
     return out
 
 
 def _answers(table: pa.Table) -> pa.Table:
-    """Of one bucket: (doc_id, hashes) that another document has too."""
+    """Of one bucket: (doc_id, hashes), the sides of which another document has one too."""
     kinds, ids, counts, packed = (table.column(c).to_pylist() for c in ("kind", "ids", "counts", "hashes"))
     hashes = [np.frombuffer(x, "<u8") for x in packed]
     names, out = [], []
-    looked = [i for i, k in enumerate(kinds) if k < 2]
-    if looked:
-        values = np.concatenate([hashes[i] for i in looked])
-        weight = np.concatenate([np.full(len(hashes[i]), 2 if kinds[i] == 1 else 1, np.int8) for i in looked])
-        order = np.argsort(values, kind="stable")
-        first = np.r_[True, values[order][1:] != values[order][:-1]]
-        total = np.add.reduceat(weight[order].astype(np.int64), np.flatnonzero(first))
-        hit = np.empty(len(values), bool)
-        hit[order] = np.repeat(total > 1, np.diff(np.r_[np.flatnonzero(first), len(values)]))
-        at = 0
-        for i in looked:
-            mine = hit[at : at + len(hashes[i])]
-            at += len(mine)
-            if kinds[i] == 0 and mine.any():
-                who = np.repeat(np.array(ids[i], np.int64), counts[i])[mine]
-                edges = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]).tolist() + [len(who)]
-                kept = hashes[i][mine]
-                names += who[edges[:-1]].tolist()
-                out += [kept[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+
+    def answer(who: np.ndarray, sides: np.ndarray) -> None:
+        edges = [*np.flatnonzero(_group_bounds(who)).tolist(), len(who)]
+        names.extend(who[edges[:-1]].tolist())
+        out.extend(sides[a:b].tobytes() for a, b in zip(edges, edges[1:]))
+
+    open_ = [i for i, k in enumerate(kinds) if k == 0]
+    block_keys = [(i, hashes[i]) for i, k in enumerate(kinds) if k == 1]
+    if open_:
+        sides = np.concatenate([hashes[i] for i in open_])
+        who = np.concatenate([np.repeat(np.array(ids[i], np.int64), counts[i]) for i in open_])
+        _, doc = np.unique(who, return_inverse=True)
+        left, right = _keys(sides)
+        # A block's keys stand for documents of their own: one, or two where the block has several.
+        known = np.concatenate([np.zeros(0, np.uint64), *(k for _, k in block_keys)])
+        owner = np.concatenate([np.zeros(0, np.int64), *(np.full(len(k), -2 * i - 2, np.int64) for i, k in block_keys)])
+        many = (known & _MANY) > 0
+        bare = known & (_MANY - np.uint64(1))
+        hit = _held_by_many(np.concatenate([left, right, bare, bare[many]]), np.concatenate([doc, doc, owner, owner[many] - 1]))
+        hit = hit[: len(left)] | hit[len(left) : 2 * len(left)]
+        order = np.argsort(who[hit], kind="stable")
+        answer(who[hit][order], sides[hit][order])
     for i, k in enumerate(kinds):
         if k == 2:
-            edges = np.r_[0, np.cumsum(counts[i])].tolist()
-            names += ids[i]
-            out += [hashes[i][a:b].tobytes() for a, b in zip(edges, edges[1:])]
+            answer(np.repeat(np.array(ids[i], np.int64), counts[i]), hashes[i])
     return pa.table({"doc_id": pa.array(names, pa.int64()), "hashes": pa.array(out, pa.binary())})
 
 
@@ -161,13 +205,13 @@ def _stretches(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             answers = batch.column(2)
             for at, data, bounds in text_blocks(batch.column(1)):
-                row, h, place, s0, s1 = anchored(data, bounds, length)
+                row, h, place, s0, s1, sides = anchored(data, bounds, length)
                 keep = np.zeros(len(row), bool)
                 edges = np.searchsorted(row, np.arange(len(bounds)))
                 for i in range(len(bounds) - 1):
                     if edges[i] < edges[i + 1]:
                         known = np.frombuffer(b"".join(answers[at + i].as_py()), "<u8")
-                        keep[edges[i] : edges[i + 1]] = np.isin(h[edges[i] : edges[i + 1]], known)
+                        keep[edges[i] : edges[i + 1]] = np.isin(sides[edges[i] : edges[i + 1]], known)
                 row, h, place, s0, s1 = (x[keep] for x in (row, h, place, s0, s1))
                 if not len(row):
                     continue
@@ -296,8 +340,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     answers = _anchor_rows(named, length, buckets).groupBy("bucket").applyInArrow(_answers, "doc_id long, hashes binary")
     answers = answers.groupBy("doc_id").agg(F.collect_list("hashes").alias("answers"))
     some = written(named.join(copies, "row", "left_anti").join(answers, "doc_id"), "texts-with-shared-anchors")
-    found = _stretches(some.select("doc_id", "text", "answers", "row"), length).withColumn("cid", F.xxhash64("stretch", "off"))
-    found = written(found, "stretches")
+    found = _stretches(some.select("doc_id", "text", "answers", "row"), length).withColumn("cid", F.xxhash64("stretch", "off"))  # made twice: rows of text take more room than time
     classes = written(found.groupBy("anchor", "cid").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("stretch").alias("stretch"), F.first("off").alias("off")), "stretch-classes")
     counts = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     counts = written(counts, "anchor-counts")
@@ -316,7 +359,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = found.select("anchor", "cid", "doc_id", "row", "start").join(of_class, ["anchor", "cid"])
     starts = F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
     marked = marked.select("row", starts.alias("starts")).filter(F.size("starts") > 0)
-    by_row = marked.groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    by_row = written(marked.groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts")), "marks")
     return some.select("row", "text").join(by_row, "row"), copies
 
 
