@@ -103,7 +103,7 @@ def fit(docs: DataFrame, text_col: str, lang_col: str) -> dict:
     parts = {(r["lang"], r["chunk"]): np.frombuffer(r["counts"], "<i8") for r in rows}
     langs = sorted({k for k, _ in parts})
     counts = np.array([np.concatenate([parts[lang, c] for c in range(CHUNKS)]) for lang in langs], np.float64).reshape(len(langs), size + SCRIPTS)
-    tables = counts[:, :size].reshape(len(langs), TABLES, -1) + 0.5
+    tables = counts[:, :size].reshape(len(langs), TABLES, 1 << TABLE_BITS) + 0.5
     scores = np.log(tables / tables.sum(2, keepdims=True)).reshape(len(langs), size)
     scores -= scores.max(0, initial=-np.inf)
     scripts = counts[:, size:]
