@@ -325,7 +325,7 @@ def filtered_probabilities(days: DataFrame, fits: DataFrame, reg: float = 1e-6,
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"t": [], "dt": [], "w": [], "k": [], "p": []})
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("t", "int64"), ("dt", "object"), ("w", "int32"), ("k", "int32"), ("p", "float64"))})
         r = right.iloc[0]
         p, _ = posterior(np.array(left["x"].tolist(), float), state_of(r), reg)
         k = p.shape[1]

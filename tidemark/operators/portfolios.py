@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import quadratic
+from ..functions.scalar import ratio
 from .backtest import ANN_LIVE, drifted
 from .panel import rebalance_dates
 from .regimes import pairs
@@ -193,7 +194,8 @@ def backtest_out_of_sample(returns: DataFrame, probs: DataFrame, initial: int =
     hard = probs.withColumn("r", F.row_number().over(Window.partitionBy("dt").orderBy(F.col("p").desc(), "k"))).select("dt", "k", (F.col("r") == 1).cast("double").alias("p"))
     state = optimised(weighted_expanding(returns, hard.filter("p > 0"), before).join(before, "dt"), ("block", "k"), bounds=bounds).select("block", "k", "asset", "w")
     shares = probs if blend else hard
-    mixed = live.join(shares, "dt").join(state, ["block", "k"]).groupBy("dt", "asset").agg((F.sum(F.col("p") * F.col("w")) / F.sum("p")).alias("w"))
+    mixed = live.join(shares, "dt").join(state, ["block", "k"]).groupBy("dt", "asset").agg(ratio(F.sum(F.col("p") * F.col("w")), F.sum("p")).alias("w"))
+    mixed = mixed.withColumn("w", F.coalesce("w", F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy("dt"))))  # no portfolio of the day's state yet
     even = equal_weights(returns)
     weights = live.join(plain, "block").select(F.lit("unconditional").alias("strategy"), "dt", "asset", "w").unionByName(mixed.select(F.lit("regime_aware").alias("strategy"), "dt", "asset", "w"))
     weights = weights.unionByName(live.select("dt", F.lit(1).alias("o")).join(even.withColumn("o", F.lit(1)), "o").select(F.lit("equal_weight").alias("strategy"), "dt", "asset", "w"))
