@@ -27,8 +27,8 @@ from .common import read_table
 
 MARK = "▁"
 INFINITE = float("inf")
-#: Entries after which the worker's tables of chunks and of neighbours start anew.
-TABLE_SIZE = 400_000
+#: Entries after which a worker's tables of chunks, of their parts and of neighbours start anew.
+CHUNKS, PARTS, NEIGHBOURS = 250_000, 800_000, 400_000
 UNIGRAM, BPE, NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 1, 2, 3, 6
 
 
@@ -45,8 +45,12 @@ class Transducer:
             raise ValueError("only unigram and byte-pair models with byte fallback are compiled")
         self.lead = MARK if norm.add_dummy_prefix else ""
         self.pieces = {p.piece: (i, p.score) for i, p in enumerate(model.pieces) if p.type == NORMAL}
+        self.joined = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        self.parts: dict[str, bytes] = {}
+        self.packed = {p: i.to_bytes(4, "little") for p, (i, _) in self.pieces.items()}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
-        self.longest = max(map(len, self.pieces), default=1)
+        #: All ends of pieces: a stretch that is none of them is no end of a longer piece either.
+        self.tails = {p[i:] for p in self.pieces for i in range(len(p))}
         self.crossed = any(MARK in p.lstrip(MARK) for p in self.pieces)
         self.surface = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" if p.type in (UNKNOWN, CONTROL) else p.piece.replace(MARK, " ").encode() for p in model.pieces]
         self.neighbours: dict[tuple[str, str], bool] = {}
@@ -55,16 +59,16 @@ class Transducer:
     def merged(self, text: str) -> list[str]:
         """What merging gives: the pair with the best piece first, of equal ones the left-most."""
         parts, pieces = list(text), self.pieces
-        while len(parts) > 1:
-            best = None
-            for i in range(len(parts) - 1):
-                p = pieces.get(parts[i] + parts[i + 1])
-                if p is not None and (best is None or p[1] > best[0]):
-                    best = p[1], i
-            if best is None:
-                break
-            i = best[1]
+        none = (0, -INFINITE)
+        scores = [pieces.get(a + b, none)[1] for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) != -INFINITE:
+            i = scores.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i < len(scores):
+                scores[i] = pieces.get(parts[i] + parts[i + 1], none)[1]
+            if i:
+                scores[i - 1] = pieces.get(parts[i - 1] + parts[i], none)[1]
         return parts
 
     def weight(self, left: str, right: str) -> float:
@@ -73,37 +77,64 @@ class Transducer:
             return -self.pieces[right][1] if right in self.pieces else 1e6
         known = self.neighbours.get((left, right))
         if known is None:
-            if len(self.neighbours) > TABLE_SIZE:
+            if len(self.neighbours) > NEIGHBOURS:
                 self.neighbours.clear()
             known = self.neighbours[left, right] = self.merged(left + right) == [x for x in (left, right) if x]
         return 0.0 if known else INFINITE
 
     def compose(self, text: str) -> list[list[tuple[int, str]]]:
-        """The lattice: for each place from 1 on, the arcs (start, piece) that end there, longest first."""
-        pieces, out = self.pieces, []
+        """The lattice: for each place from 1 on, the arcs (start, piece) that end there, shortest first."""
+        pieces, tails, out = self.pieces, self.tails, []
         for end in range(1, len(text) + 1):
-            arcs = [(start, p) for start in range(max(0, end - self.longest), end) if (p := text[start:end]) in pieces]
-            if not arcs or arcs[-1][0] != end - 1:
-                arcs.append((end - 1, text[end - 1]))  # a character that is no piece falls back to its bytes
+            start = end - 1
+            p = text[start:end]
+            arcs = [(start, p)]  # a character that is no piece falls back to its bytes
+            while start and (p := text[(start := start - 1) : end]) in tails:
+                if p in pieces:
+                    arcs.append((start, p))
             out.append(arcs)
         return out
 
     def shortest_path(self, lattice: list[list[tuple[int, str]]]) -> list[str]:
-        distance, via = [0.0], [(-1, "")]
+        """Of least total weight. In a byte-pair model each place has one path of finite length, so the first arc that
+        fits, from the longest on, is the shortest path to its end."""
+        if not self.bpe:
+            return self._relaxed(lattice)
+        last: list[str | None] = [""]
+        back, known = [0], self.neighbours
+        for arcs in lattice:
+            for start, piece in reversed(arcs):
+                left = last[start]
+                if left is not None:
+                    fits = known.get((left, piece))
+                    if fits is None:
+                        fits = self.weight(left, piece) == 0.0
+                    if fits:
+                        last.append(piece)
+                        back.append(start)
+                        break
+            else:
+                last.append(None)
+                back.append(0)
+        out, at = [], len(lattice)
+        while at > 0:
+            out.append(last[at])
+            at = back[at]
+        return out[::-1]
+
+    def _relaxed(self, lattice: list[list[tuple[int, str]]]) -> list[str]:
+        distance, via = [0.0], [(0, "")]
         for arcs in lattice:
-            best, arc = INFINITE, None
-            for start, piece in arcs:
-                if distance[start] < best and (d := distance[start] + self.weight(via[start][1], piece)) < best:
+            best, arc = INFINITE, (0, "")
+            for start, piece in reversed(arcs):
+                if (d := distance[start] + self.weight(via[start][1], piece)) < best:
                     best, arc = d, (start, piece)
-                    if best == 0.0 and self.bpe:
-                        break  # no path is shorter, and no other has this length
             distance.append(best)
-            via.append(arc or (0, ""))
+            via.append(arc)
         out, at = [], len(lattice)
         while at > 0:
-            start, piece = via[at]
+            at, piece = via[at]
             out.append(piece)
-            at = start
         return out[::-1]
 
     def ids(self, piece: str) -> list[int]:
@@ -111,7 +142,21 @@ class Transducer:
         return [known[0]] if known else [self.bytes[b] for b in piece.encode()]
 
     def encode_chunk(self, chunk: str) -> bytes:
-        return np.array([i for p in self.shortest_path(self.compose(chunk)) for i in self.ids(p)], "<u4").tobytes()
+        """Cut where no piece has the two characters next to each other, so that no arc crosses; each part once."""
+        joined, parts, out, at = self.joined, self.parts, [], 0
+        for i in range(1, len(chunk) + 1):
+            if i == len(chunk) or chunk[i - 1 : i + 1] not in joined:
+                part = chunk[at:i]
+                if (x := parts.get(part)) is None:
+                    if len(parts) > PARTS:
+                        parts.clear()
+                    x = parts[part] = self._encode_part(part)
+                out.append(x)
+                at = i
+        return b"".join(out)
+
+    def _encode_part(self, part: str) -> bytes:
+        return b"".join([x if (x := self.packed.get(p)) is not None else b"".join(i.to_bytes(4, "little") for i in self.ids(p)) for p in self.shortest_path(self.compose(part))])
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit numbers."""
@@ -120,7 +165,7 @@ class Transducer:
         text = self.lead + text.replace(" ", MARK)
         if self.crossed:
             return self.encode_chunk(text)
-        if len(self.chunks) > TABLE_SIZE:
+        if len(self.chunks) > CHUNKS:
             self.chunks.clear()
         if text[0] == MARK and MARK + MARK not in text:
             parts = [MARK + x for x in text[1:].split(MARK)]
