@@ -353,12 +353,13 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts_of = written(expanded.unionByName(dealt), "window-firsts")
 
     # A window is marked if its least document is smaller. Where no other stretch holds any of it, that is the stretch's own.
-    of_class = classes.join(firsts_of, ["anchor", "cid"], "left").withColumn("lowest", F.coalesce(F.array_min("firsts"), "first")).filter("lowest < last")
-    own = F.transform(F.sequence(F.lit(1), F.length("stretch") - length + 1), lambda i: F.col("first"))
-    of_class = of_class.select("anchor", "cid", F.coalesce("firsts", own).alias("firsts"))
+    # The stretches themselves are done with: their numbers of windows go on.
+    slim = classes.select("anchor", "cid", "first", "last", (F.length("stretch") - length + 1).alias("windows"))
+    of_class = slim.join(firsts_of, ["anchor", "cid"], "left").filter(F.coalesce(F.array_min("firsts"), "first") < F.col("last")).drop("last")
     marked = found.select("anchor", "cid", "doc_id", "row", "start").join(of_class, ["anchor", "cid"])
-    starts = F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
-    marked = marked.select("row", starts.alias("starts")).filter(F.size("starts") > 0)
+    some_windows = F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
+    all_windows = F.when(F.col("first") < F.col("doc_id"), F.sequence("start", F.col("start") + F.col("windows") - 1))
+    marked = marked.select("row", F.coalesce(some_windows, all_windows).alias("starts")).filter(F.size("starts") > 0)
     by_row = written(marked.groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts")), "marks")
     return some.select("row", "text").join(by_row, "row"), copies
 
