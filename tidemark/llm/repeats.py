@@ -37,6 +37,8 @@ from .hashing import _powers, mixed, text_blocks
 ANCHOR = 20
 #: Different stretches of one anchor from which on its windows are dealt out by their own bytes.
 HOT = 8192
+#: Blocks of text whose anchors are looked through together, for hashes that several documents share.
+BLOCKS = 8
 #: Stretches that are worked on at once, in whole anchors.
 BATCH = 32_768
 
@@ -126,24 +128,28 @@ def _anchor_rows(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             for at, data, bounds in text_blocks(batch.column(1)):
                 row, h, _, _, _, sides = anchored(data, bounds, length)
                 parts.append((row + at, h % np.uint64(buckets), sides))
-            if not parts:
-                continue
-            row, bucket, sides = (np.concatenate(x) for x in zip(*parts))
-            if not len(row):
-                continue
-            order = np.lexsort((row, sides))
-            row, bucket, sides = row[order], bucket[order], sides[order]
-            new = _group_bounds(sides, row)
-            row, bucket, sides = row[new], bucket[new].astype(np.int64), sides[new]
-            left, right = _keys(sides)
-            many = _held_by_many(np.r_[left, right], np.r_[row, row])
-            many_left, many_right = many[: len(left)], many[len(left) :]
-            done = many_left | many_right
-            out = _packed(0, bucket[~done], ids[row[~done]], sides[~done])
-            known = np.unique(np.r_[left[done] | np.where(many_left[done], _MANY, np.uint64(0)), right[done] | np.where(many_right[done], _MANY, np.uint64(0))] + (np.r_[bucket[done], bucket[done]].astype(np.uint64) << np.uint64(34)))
-            out += _packed(1, (known >> np.uint64(34)).astype(np.int64), None, known & np.uint64((1 << 34) - 1))
-            out += _packed(2, row[done] % buckets, ids[row[done]], sides[done])
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()))], names=["bucket", "kind", "ids", "counts", "hashes"])
+                if len(parts) == BLOCKS:
+                    yield from block(ids, parts)
+                    parts = []
+            yield from block(ids, parts)
+
+    def block(ids: np.ndarray, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        row, bucket, sides = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
+        if not len(row):
+            return
+        order = np.lexsort((row, sides))
+        row, bucket, sides = row[order], bucket[order], sides[order]
+        new = _group_bounds(sides, row)
+        row, bucket, sides = row[new], bucket[new].astype(np.int64), sides[new]
+        left, right = _keys(sides)
+        many = _held_by_many(np.r_[left, right], np.r_[row, row])
+        many_left, many_right = many[: len(left)], many[len(left) :]
+        done = many_left | many_right
+        out = _packed(0, bucket[~done], ids[row[~done]], sides[~done])
+        known = np.unique(np.r_[left[done] | np.where(many_left[done], _MANY, np.uint64(0)), right[done] | np.where(many_right[done], _MANY, np.uint64(0))] + (np.r_[bucket[done], bucket[done]].astype(np.uint64) << np.uint64(34)))
+        out += _packed(1, (known >> np.uint64(34)).astype(np.int64), None, known & np.uint64((1 << 34) - 1))
+        out += _packed(2, row[done] % buckets, ids[row[done]], sides[done])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()))], names=["bucket", "kind", "ids", "counts", "hashes"])
 
     return docs.mapInArrow(run, schema)
 
