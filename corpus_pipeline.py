@@ -22,8 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id; documents without an id stay."""
-    gone = near_duplicates(docs.select("doc_id", "text")).filter("not kept").select("doc_id").distinct()
+    """Of each group of near-duplicates (similarity 0.8 or more) the document with the least id; documents without an id stay."""
+    gone = near_duplicates(docs.select("doc_id", "text"), percent=80).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -475,3 +475,16 @@ def test_pipeline(spark, tmp_path):
         else:
             assert len(x.encode()) - lost[i] - 6 <= len(after[i]["text"].encode()) <= len(x.encode()) - lost[i] and after[i]["n_chars"] == len(after[i]["text"])
     assert {r["doc_id"] for r in docs.collect()} == set(after)
+
+
+def test_pipeline_links_near_copies_from_80_percent(spark):
+    import corpus_pipeline as p
+
+    words = [f"w{i}" for i in range(104)]
+    near, far = [f"x{i}" if i > 92 else w for i, w in enumerate(words)], [f"y{i}" if i > 90 else w for i, w in enumerate(words)]
+    rows = [(i, " ".join(w)) for i, w in enumerate((words, near, far))]
+    a, b, c = (shingles(x) for _, x in rows)
+    assert 0.8 <= len(a & b) / len(a | b) < 0.85 and len(a & c) / len(a | c) < 0.8
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in p.near_dedup(spark, docs, SF).collect()}
+    assert 0 in kept and 1 not in kept and (2 in kept) == (100 * len(b & c) < 80 * len(b | c))
