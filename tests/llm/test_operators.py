@@ -186,6 +186,20 @@ def test_templates_group_tokens_by_vector(spark):
     assert html_text.templates(pages).first()["region"] == "p"
 
 
+PLAIN = "<html><body><div class=menu>Home News</div><div class=content><h2>Head {0}</h2><p>{1}</p><p>{1} {0}</p></div><div class=end>Bye {0}</div></body></html>"
+
+
+def test_odd_pages_leave_the_template(spark):
+    long = sentence(1)
+    rows = [(i, "http://h.example/", PLAIN.format(i, long)) for i in range(5)]
+    odd = [(10, None), (11, ""), (12, "no tags"), (13, "<html><body><div class=menu>Home News</div><p>cut"), (14, "<article><p>odd")]
+    pages = spark.createDataFrame(rows + [(i, "http://h.example/", x) for i, x in odd], "page_id long, url string, html string")
+    text = {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()}
+    for i in range(5):
+        assert text[i] == f"Head {i}\n{long}\n{long} {i}"
+    assert [text[i] for i in (10, 11, 12, 14)] == ["", "", "no tags", "odd"]
+
+
 @pytest.mark.parametrize("case", ["spread", "alike"])
 def test_top_products(spark, case):
     rng = np.random.default_rng(7)

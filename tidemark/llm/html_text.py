@@ -3,12 +3,12 @@
 The tokens of a page are its opening tags with their class, id and role. Two tokens of a host are equivalent if their
 occurrence vectors (how often each page of the host has them) are equal. Vectors are compared by fingerprints that
 add up over pages, so a host with any number of pages is an aggregation with map-side partials, never a group in
-one task. Classes with enough tokens and pages are valid if their tokens keep one order; the class of tokens that
-every page has once is the template's root, and the other valid classes nest in its slots.
+one task. Classes with enough tokens and pages are valid if their tokens keep one order; the class that most pages
+have once is the template's root, and the other valid classes nest in its slots.
 
 The slots that remain between template tokens are the page's own content. Which of them hold the main text is read
-from the template: the root's article or main element if it has one, else the innermost root element that holds
-most of the text on the host's pages. A page that departs from its host's template is read by its own elements.
+from the template: the article or main element of the classes that their pages have once, else the innermost of their
+elements that holds most of the text of its pages. A page that keeps none of these classes is read by its own elements.
 """
 
 from __future__ import annotations
@@ -151,14 +151,14 @@ class Page:
                     out[i] += len(text)
         return out
 
-    def text(self, region: str | None, template: list[str] | None) -> str:
-        """The blocks of the main slots. ``region``: the host's main token; it counts if the page keeps the template."""
-        once = Counter(self.keys)
+    def text(self, slots: list[dict] | None) -> str:
+        """The blocks of the main slots. ``slots``: the host's; the first whose template the page keeps counts."""
         mains: list[int] = []
-        if region is not None and once[region] == 1 and template is not None:
-            known = set(template)
-            if [k for k in self.keys if k in known] == template:
-                mains = [self.keys.index(region)]
+        for slot in slots or ():
+            known = set(slot["template"])
+            if [k for k in self.keys if k in known] == slot["template"]:
+                mains = [self.keys.index(slot["region"])]
+                break
         if not mains:
             usable = [i for i in range(len(self.keys)) if not self.other[i] and not any(self.other[j] for j in self.depth[i])]
             ranks = {i: self.main_rank(i) for i in usable}
@@ -180,53 +180,60 @@ class Page:
 
 
 def token_vectors(pages: DataFrame) -> DataFrame:
-    """host, token, and of its occurrence vector: fingerprint, pages, least and greatest count; and order and text.
+    """host, token, and of its occurrence vector: fingerprint, pages, least and greatest count; and order, text below, text of its pages.
 
     ``pages`` has host, page_id and html. A page's share of the fingerprint is a hash of the page and the count.
     """
-    schema = "host string, page_id long, token string, n int, place double, below long"
+    schema = "host string, page_id long, token string, n int, place double, below long, total long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[] for _ in range(6)]
+            rows = [[] for _ in range(7)]
             for host, page, source in zip(*(c.to_pylist() for c in batch.columns)):
                 p = Page(source or "")
                 below, seen = p.below(), Counter(p.keys)
                 total = sum(len(t) for t, inside in p.blocks if not any(p.other[i] for i in inside))
                 first = {k: i for i, k in reversed(list(enumerate(p.keys)))}
-                for column, x in zip(rows, (host, page, "", 1, 0.0, total)):  # the page itself
-                    column.append(x)
                 for k, n in seen.items():
-                    for column, x in zip(rows, (host, page, k, n, first[k] / len(p.keys), below[first[k]])):
+                    for column, x in zip(rows, (host, page, k, n, first[k] / len(p.keys), below[first[k]], total)):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int64()))], names=["host", "page_id", "token", "n", "place", "below"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64()))], names=["host", "page_id", "token", "n", "place", "below", "total"])
 
     counted = pages.select("host", "page_id", "html").mapInArrow(run, schema)
     share = F.xxhash64("page_id", "n").bitwiseAND(F.lit((1 << 40) - 1))
     return counted.groupBy("host", "token").agg(
-        F.sum(share.cast("decimal(38,0)")).alias("vector"), F.count(F.lit(1)).alias("pages"), F.min("n").alias("least"), F.max("n").alias("most"), F.avg("place").alias("place"), F.sum("below").alias("below")
+        F.sum(share.cast("decimal(38,0)")).alias("vector"), F.count(F.lit(1)).alias("pages"), F.min("n").alias("least"), F.max("n").alias("most"), F.avg("place").alias("place"), F.sum("below").alias("below"), F.sum("total").alias("total")
     )
 
 
 def equivalence_classes(vectors: DataFrame) -> DataFrame:
-    """host, pages, tokens (in order), root: the valid classes, of MIN_TOKENS tokens on MIN_PAGES pages at least."""
-    hosts = vectors.filter("token = ''").select("host", F.col("pages").alias("host_pages"))
-    classes = vectors.filter("token <> ''").filter(F.col("pages") >= MIN_PAGES).groupBy("host", "vector", "pages").agg(F.array_sort(F.collect_list(F.struct("place", "token", "below"))).alias("tokens"), F.min("least").alias("least"), F.max("most").alias("most"))
-    root = (F.col("pages") == F.col("host_pages")) & (F.col("most") == 1)
-    return classes.filter(F.size("tokens") >= MIN_TOKENS).join(hosts, "host").select("host", "pages", "tokens", root.alias("root"))
+    """host, vector, pages, tokens (in order), once, root: the valid classes, of MIN_TOKENS tokens on MIN_PAGES pages at least.
+
+    The root is the class of the most pages among those that each of their pages has once: odd pages don't take it away.
+    """
+    classes = vectors.filter(F.col("pages") >= MIN_PAGES).groupBy("host", "vector", "pages").agg(F.array_sort(F.collect_list(F.struct("place", "token", "below", "total"))).alias("tokens"), F.min("least").alias("least"), F.max("most").alias("most"))
+    classes = written(classes.filter(F.size("tokens") >= MIN_TOKENS).withColumn("once", F.col("most") == 1), "classes")
+    roots = classes.filter("once").groupBy("host").agg(F.max_by("vector", F.struct("pages", F.size("tokens"), "vector")).alias("root"))
+    return classes.join(roots, "host", "left").select("host", "vector", "pages", "tokens", "once", F.coalesce(F.col("vector") == F.col("root"), F.lit(False)).alias("root"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, template (the root's tokens in order), region (the token of the main slot). As long as one page at most."""
-    vectors = written(token_vectors(pages), "token-vectors")
-    total = vectors.filter("token = ''").select("host", F.col("below").alias("host_text"))
-    root = equivalence_classes(vectors).filter("root").join(total, "host")
+    """host, region (the token of the main slot), slots: as long as a page for each class that has a main slot.
+
+    ``slots`` are (region, template: the tokens of its class in order) in the order in which a page takes the first whose
+    template it keeps: named main slots before others, those of more pages first; of others the inner ones first.
+    """
+    found = equivalence_classes(written(token_vectors(pages), "token-vectors")).filter("once")
     named = F.filter("tokens", lambda t: t["token"].rlike(r"^(article(\[|$)|[a-z0-9]+\[.*(articlebody|article\b))") & ~t["token"].rlike("comment|related|teaser"))
     main = F.filter("tokens", lambda t: t["token"].rlike(r"^main(\[|$)|\[role=main\]"))
-    # Else the last element in page order, so the innermost, that holds most of the host's text.
-    most = F.filter("tokens", lambda t: (t["below"] >= MOST_TEXT * F.col("host_text")) & ~t["token"].rlike("^(html|head)"))
+    # Else the last element in page order, so the innermost, that holds most of the text of the pages that have it.
+    most = F.filter("tokens", lambda t: (t["below"] >= MOST_TEXT * t["total"]) & ~t["token"].rlike("^(html|head)"))
     region = F.coalesce(F.get(named, F.lit(0)), F.get(main, F.lit(0)), F.try_element_at(most, F.lit(-1)))
-    return root.select("host", F.transform("tokens", lambda t: t["token"]).alias("template"), region["token"].alias("region"))
+    rank = F.when(F.size(named) > 0, 0).when(F.size(main) > 0, 1).otherwise(2)
+    of_class = found.withColumn("region", region).withColumn("rank", rank).filter("region is not null")
+    order = F.struct("rank", F.when(F.col("rank") < 2, -F.col("pages")).otherwise(-F.col("region.place")).alias("order"), F.col("region.token").alias("region"), F.transform("tokens", lambda t: t["token"]).alias("template"))
+    slots = of_class.groupBy("host").agg(F.array_sort(F.collect_list(order)).alias("slots"))
+    return slots.select("host", F.col("slots")[0]["region"].alias("region"), F.transform("slots", lambda s: F.struct(s["region"].alias("region"), s["template"].alias("template"))).alias("slots"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -241,11 +248,11 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [Page(source).text(region, template) if source else "" for source, region, template in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
+            out = [Page(source).text(slots) if source else "" for source, slots in zip(*(batch.column(i).to_pylist() for i in (2, 3)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     # Templates are as many as hosts. Spark broadcasts them if the written table is small, else splits hot hosts of the join.
-    return named.join(found, "host", "left").select("page_id", "url", "html", "region", "template").mapInArrow(run, "page_id long, url string, text string")
+    return named.join(found, "host", "left").select("page_id", "url", "html", "slots").mapInArrow(run, "page_id long, url string, text string")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
