@@ -200,6 +200,20 @@ def test_odd_pages_leave_the_template(spark):
     assert [text[i] for i in (10, 11, 12, 14)] == ["", "", "no tags", "odd"]
 
 
+def test_constant_slots_are_the_template(spark):
+    page = "<html><body><article><h1>T {0}</h1><div class=box><span class=i></span><p>Join the club</p></div><p>Same words everywhere</p><p>Body {0}</p>{1}</article></body></html>"
+    extra = "<div class=strip><i class=a></i><b class=b></b>Read on</div>"  # a class that only some pages have nests in the article
+    rows = [(i, "http://h.example/", page.format(i, extra * (i % 2))) for i in range(8)]
+    rows += [(i, "http://copies.example/", page.format(0, extra)) for i in range(20, 26)]  # copies tell nothing apart
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()}
+    for i in range(8):
+        assert text[i] == f"T {i}\nSame words everywhere\nBody {i}"
+    assert text[20] == "T 0\nJoin the club\nSame words everywhere\nBody 0\nRead on"
+    swapped = html_text.Page("<body><div class=b></div><div class=a>x</div></body>")
+    assert swapped.text([{"region": "div[class=b]", "template": ["body", "div[class=a]", "div[class=b]"]}]) == "x"
+
+
 @pytest.mark.parametrize("case", ["spread", "alike"])
 def test_top_products(spark, case):
     rng = np.random.default_rng(7)

@@ -3,16 +3,19 @@
 The tokens of a page are its opening tags with their class, id and role. Two tokens of a host are equivalent if their
 occurrence vectors (how often each page of the host has them) are equal. Vectors are compared by fingerprints that
 add up over pages, so a host with any number of pages is an aggregation with map-side partials, never a group in
-one task. Classes with enough tokens and pages are valid if their tokens keep one order; the class that most pages
-have once is the template's root, and the other valid classes nest in its slots.
+one task. Classes with enough tokens and pages are valid; the class that most pages have once is the template's root, and the
+others nest in its elements and in each other's. A page that has a class's tokens in another order does not keep it and
+takes no main slot from it; whether a slot is constant does not depend on the order.
 
-The slots that remain between template tokens are the page's own content. Which of them hold the main text is read
-from the template: the article or main element of the classes that their pages have once, else the innermost of their
+A slot is what an element holds outside the elements with slots within it. If the slot of a class's token has one text
+on all pages that have it, while these pages differ, it is the template's and is dropped. The other slots are the
+page's own content. Which of them hold the main text is read from the template: the article or main element of the classes that their pages have once, else the innermost of their
 elements that holds most of the text of its pages. A page that keeps none of these classes is read by its own elements.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -41,6 +44,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
+#: Blocks that have a slot of their own only if a class, id or role marks them: they hold a sentence or two of a text.
+_PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th tr pre blockquote option caption figcaption legend summary center address".split())
 #: Elements and words of class, id or role that are not the main text.
 _OTHER = frozenset("nav header footer aside form head svg math button select object dialog menu canvas audio video datalist".split())
 _OTHER_WORDS = frozenset(
@@ -151,8 +156,28 @@ class Page:
                     out[i] += len(text)
         return out
 
-    def text(self, slots: list[dict] | None) -> str:
-        """The blocks of the main slots. ``slots``: the host's; the first whose template the page keeps counts."""
+    def owner(self, inside: tuple[int, ...]) -> int | None:
+        """The innermost element around a text that has a slot."""
+        for i in reversed(inside):
+            tag, marked = self.keys[i].partition("[")[::2]
+            if tag in _BLOCK and (marked or tag not in _PLAIN):
+                return i
+        return None
+
+    def slot_texts(self) -> dict[str, str]:
+        """Token: the text of its slots."""
+        out: dict[str, list[str]] = {}
+        for text, inside in self.blocks:
+            i = self.owner(inside)
+            if i is not None:
+                out.setdefault(self.keys[i], []).append(text)
+        return {k: "\n".join(x) for k, x in out.items()}
+
+    def text(self, slots: list[dict] | None, constant: list[str] | None = None) -> str:
+        """The blocks of the main slots. ``slots``: the host's; the first whose template the page keeps counts.
+
+        ``constant``: the tokens whose slots are the template's. The main slot is never one of them.
+        """
         mains: list[int] = []
         for slot in slots or ():
             known = set(slot["template"])
@@ -165,9 +190,11 @@ class Page:
             best = min(ranks.values(), default=9)
             if best < 9:
                 mains = [i for i in usable if ranks[i] == best]
-        wanted = set(mains)
+        wanted, dropped = set(mains), set(constant or ()) - {self.keys[i] for i in mains}
         out = []
         for text, inside in self.blocks:
+            if dropped and (own := self.owner(inside)) is not None and self.keys[own] in dropped:
+                continue
             if not wanted:
                 keep = not any(self.other[i] for i in inside)
             else:
@@ -179,30 +206,39 @@ class Page:
         return "\n".join(out)
 
 
+def _digest(text: str) -> int:
+    """64 bits of a text; 0 for none."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) if text else 0
+
+
 def token_vectors(pages: DataFrame) -> DataFrame:
-    """host, token, and of its occurrence vector: fingerprint, pages, least and greatest count; and order, text below, text of its pages.
+    """host, token, and of its occurrence vector: fingerprint, pages, least and greatest count; and order, text below, text of its pages; and
+    whether its slot is constant: one text on all its pages, of which MIN_PAGES or more differ.
 
     ``pages`` has host, page_id and html. A page's share of the fingerprint is a hash of the page and the count.
     """
-    schema = "host string, page_id long, token string, n int, place double, below long, total long"
+    schema = "host string, page_id long, token string, n int, place double, below long, total long, slot long, whole long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[] for _ in range(7)]
+            rows = [[] for _ in range(9)]
             for host, page, source in zip(*(c.to_pylist() for c in batch.columns)):
                 p = Page(source or "")
                 below, seen = p.below(), Counter(p.keys)
                 total = sum(len(t) for t, inside in p.blocks if not any(p.other[i] for i in inside))
                 first = {k: i for i, k in reversed(list(enumerate(p.keys)))}
+                slots = {k: _digest(x) for k, x in p.slot_texts().items()}
+                whole = _digest("\n".join(x for x, _ in p.blocks))
                 for k, n in seen.items():
-                    for column, x in zip(rows, (host, page, k, n, first[k] / len(p.keys), below[first[k]], total)):
+                    for column, x in zip(rows, (host, page, k, n, first[k] / len(p.keys), below[first[k]], total, slots.get(k, 0), whole)):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64()))], names=["host", "page_id", "token", "n", "place", "below", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=["host", "page_id", "token", "n", "place", "below", "total", "slot", "whole"])
 
     counted = pages.select("host", "page_id", "html").mapInArrow(run, schema)
     share = F.xxhash64("page_id", "n").bitwiseAND(F.lit((1 << 40) - 1))
     return counted.groupBy("host", "token").agg(
-        F.sum(share.cast("decimal(38,0)")).alias("vector"), F.count(F.lit(1)).alias("pages"), F.min("n").alias("least"), F.max("n").alias("most"), F.avg("place").alias("place"), F.sum("below").alias("below"), F.sum("total").alias("total")
+        F.sum(share.cast("decimal(38,0)")).alias("vector"), F.count(F.lit(1)).alias("pages"), F.min("n").alias("least"), F.max("n").alias("most"), F.avg("place").alias("place"), F.sum("below").alias("below"), F.sum("total").alias("total"),
+        ((F.min("slot") == F.max("slot")) & (F.min("slot") != 0) & (F.approx_count_distinct("whole") >= MIN_PAGES)).alias("constant"),
     )
 
 
@@ -211,19 +247,21 @@ def equivalence_classes(vectors: DataFrame) -> DataFrame:
 
     The root is the class of the most pages among those that each of their pages has once: odd pages don't take it away.
     """
-    classes = vectors.filter(F.col("pages") >= MIN_PAGES).groupBy("host", "vector", "pages").agg(F.array_sort(F.collect_list(F.struct("place", "token", "below", "total"))).alias("tokens"), F.min("least").alias("least"), F.max("most").alias("most"))
+    classes = vectors.filter(F.col("pages") >= MIN_PAGES).groupBy("host", "vector", "pages").agg(F.array_sort(F.collect_list(F.struct("place", "token", "below", "total", "constant"))).alias("tokens"), F.min("least").alias("least"), F.max("most").alias("most"))
     classes = written(classes.filter(F.size("tokens") >= MIN_TOKENS).withColumn("once", F.col("most") == 1), "classes")
     roots = classes.filter("once").groupBy("host").agg(F.max_by("vector", F.struct("pages", F.size("tokens"), "vector")).alias("root"))
     return classes.join(roots, "host", "left").select("host", "vector", "pages", "tokens", "once", F.coalesce(F.col("vector") == F.col("root"), F.lit(False)).alias("root"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, region (the token of the main slot), slots: as long as a page for each class that has a main slot.
+    """host, region (the token of the main slot), slots, constant (the tokens of all classes whose slots are the template's).
 
     ``slots`` are (region, template: the tokens of its class in order) in the order in which a page takes the first whose
     template it keeps: named main slots before others, those of more pages first; of others the inner ones first.
+    They are as long as a page for each class that has a main slot.
     """
-    found = equivalence_classes(written(token_vectors(pages), "token-vectors")).filter("once")
+    classes = written(equivalence_classes(written(token_vectors(pages), "token-vectors")), "nested")
+    found = classes.filter("once")
     named = F.filter("tokens", lambda t: t["token"].rlike(r"^(article(\[|$)|[a-z0-9]+\[.*(articlebody|article\b))") & ~t["token"].rlike("comment|related|teaser"))
     main = F.filter("tokens", lambda t: t["token"].rlike(r"^main(\[|$)|\[role=main\]"))
     # Else the last element in page order, so the innermost, that holds most of the text of the pages that have it.
@@ -233,7 +271,8 @@ def templates(pages: DataFrame) -> DataFrame:
     of_class = found.withColumn("region", region).withColumn("rank", rank).filter("region is not null")
     order = F.struct("rank", F.when(F.col("rank") < 2, -F.col("pages")).otherwise(-F.col("region.place")).alias("order"), F.col("region.token").alias("region"), F.transform("tokens", lambda t: t["token"]).alias("template"))
     slots = of_class.groupBy("host").agg(F.array_sort(F.collect_list(order)).alias("slots"))
-    return slots.select("host", F.col("slots")[0]["region"].alias("region"), F.transform("slots", lambda s: F.struct(s["region"].alias("region"), s["template"].alias("template"))).alias("slots"))
+    constant = classes.select("host", F.explode(F.filter("tokens", lambda t: t["constant"])).alias("t")).groupBy("host").agg(F.sort_array(F.collect_list("t.token")).alias("constant"))
+    return slots.join(constant, "host", "full").select("host", "constant", F.get("slots", F.lit(0))["region"].alias("region"), F.transform("slots", lambda s: F.struct(s["region"].alias("region"), s["template"].alias("template"))).alias("slots"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -248,11 +287,11 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [Page(source).text(slots) if source else "" for source, slots in zip(*(batch.column(i).to_pylist() for i in (2, 3)))]
+            out = [Page(source).text(slots, constant) if source else "" for source, slots, constant in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     # Templates are as many as hosts. Spark broadcasts them if the written table is small, else splits hot hosts of the join.
-    return named.join(found, "host", "left").select("page_id", "url", "html", "slots").mapInArrow(run, "page_id long, url string, text string")
+    return named.join(found, "host", "left").select("page_id", "url", "html", "slots", "constant").mapInArrow(run, "page_id long, url string, text string")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
