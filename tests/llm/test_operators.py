@@ -214,6 +214,12 @@ def test_constant_slots_are_the_template(spark):
     assert swapped.text([{"region": "div[class=b]", "template": ["body", "div[class=a]", "div[class=b]"]}]) == "x"
 
 
+def test_inline_parts_are_judged_by_run():
+    page = """<article><p><span class=share>Share</span> Real text<p>See <a class=related>that</a> and <b>th</b>is<span class="ad">Buy</span>.
+<p><button>Play</button><p><math><mi>x</mi></math> is &lt; <svg><text>ten</text></svg><object>seen</object></article>"""
+    assert html_text.Page(page).text(None) == "Real text\nSee and this.\nx is < tenseen"
+
+
 @pytest.mark.parametrize("case", ["spread", "alike"])
 def test_top_products(spark, case):
     rng = np.random.default_rng(7)

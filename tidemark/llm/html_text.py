@@ -1,16 +1,17 @@
 """Main text of web pages by templates deduced from equivalence classes of tokens.
 
 The tokens of a page are its opening tags with their class, id and role. Two tokens of a host are equivalent if their
-occurrence vectors (how often each page of the host has them) are equal. Vectors are compared by fingerprints that
-add up over pages, so a host with any number of pages is an aggregation with map-side partials, never a group in
-one task. Classes with enough tokens and pages are valid; the class that most pages have once is the template's root, and the
+occurrence vectors (how often each page of the host has them) are equal. Vectors are compared by fingerprints that add
+up over pages, so a host with any number of pages is an aggregation with map-side partials, never a group in one task.
+Classes with enough tokens and pages are valid; the class that most pages have once is the template's root, and the
 others nest in its elements and in each other's. A page that has a class's tokens in another order does not keep it and
 takes no main slot from it; whether a slot is constant does not depend on the order.
 
 A slot is what an element holds outside the elements with slots within it. If the slot of a class's token has one text
 on all pages that have it, while these pages differ, it is the template's and is dropped. The other slots are the
-page's own content. Which of them hold the main text is read from the template: the article or main element of the classes that their pages have once, else the innermost of their
-elements that holds most of the text of its pages. A page that keeps none of these classes is read by its own elements.
+page's own content. Which of them hold the main text is read from the template: the article or main element of the
+classes that their pages have once, else the innermost of their elements that holds most of the text of its pages. A
+page that keeps none of these classes is read by its own elements.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import hashlib
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,41 +48,46 @@ _BLOCK = frozenset(
 #: Blocks that have a slot of their own only if a class, id or role marks them: they hold a sentence or two of a text.
 _PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th tr pre blockquote option caption figcaption legend summary center address".split())
 #: Elements and words of class, id or role that are not the main text.
-_OTHER = frozenset("nav header footer aside form head svg math button select object dialog menu canvas audio video datalist".split())
+_OTHER = frozenset("nav header footer aside form head button select dialog menu datalist".split())
 _OTHER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead complementary contentinfo comment comments reply replies respond disqus share sharing social related recommended recommendations newsletter subscribe signup login popup modal overlay search".split()
 )
 
 
+def joined(runs: Iterable[tuple[str, tuple[int, ...]]]) -> str:
+    """One line of the runs' text."""
+    return " ".join("".join(x for x, _ in runs).split())
+
+
 class Page:
-    """One pass over a page: its token keys in order, the text below each, and the blocks of text with their owners."""
+    """One pass over a page: its token keys in order, the text below each, and the blocks of text as runs with the tokens around."""
 
     def __init__(self, source: str):
         self.keys: list[str] = []
         self.depth: list[tuple[int, ...]] = []  # for each token, the tokens around it
-        self.blocks: list[tuple[str, tuple[int, ...]]] = []
+        self.blocks: list[list[tuple[str, tuple[int, ...]]]] = []  # of each block its runs of text and the tokens around
         self.other: list[bool] = []
         self._parse(source)
 
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = []
         around: tuple[int, ...] = ()
-        text: list[str] = []
-        inside: tuple[int, ...] = ()
+        runs: list[tuple[str, tuple[int, ...]]] = []
 
         def flush() -> None:
-            if text:
-                joined = " ".join(html.unescape("".join(text)).split())
-                if joined:
-                    self.blocks.append((joined, inside))
-                text.clear()
+            nonlocal runs
+            if any(not x.isspace() for x, _ in runs):
+                self.blocks.append(runs)
+            runs = []
+
+        def add(x: str) -> None:
+            if x:
+                runs.append((html.unescape(x), around))
 
         at = 0
         for m in _TOKEN.finditer(source):
             if m.start() > at:
-                if not text:
-                    inside = around
-                text.append(source[at : m.start()])
+                add(source[at : m.start()])
             at = m.end()
             tag = m["tag"] or m["tag2"]
             if tag is None:
@@ -115,9 +121,7 @@ class Page:
         if at < len(source):
             rest = source[at:]
             cut = re.search(r"<[a-z/!?][^>]*\Z", rest, re.IGNORECASE)  # a tag that the page's end cuts
-            if not text:
-                inside = around
-            text.append(rest[: cut.start()] if cut else rest)
+            add(rest[: cut.start()] if cut else rest)
         flush()
 
     @staticmethod
@@ -147,14 +151,17 @@ class Page:
             return 0
         return 1 if tag == "main" or "main" in words else 9
 
-    def below(self) -> Counter:
-        """Characters of text below each token, outside other elements."""
+    def below(self) -> tuple[Counter, int]:
+        """Characters of text below each token, and of the page, outside other elements; white space does not count."""
         out: Counter = Counter()
-        for text, inside in self.blocks:
+        total = 0
+        for text, inside in (run for block in self.blocks for run in block):
             if not any(self.other[i] for i in inside):
+                n = sum(map(len, text.split()))
+                total += n
                 for i in inside:
-                    out[i] += len(text)
-        return out
+                    out[i] += n
+        return out, total
 
     def owner(self, inside: tuple[int, ...]) -> int | None:
         """The innermost element around a text that has a slot."""
@@ -167,10 +174,10 @@ class Page:
     def slot_texts(self) -> dict[str, str]:
         """Token: the text of its slots."""
         out: dict[str, list[str]] = {}
-        for text, inside in self.blocks:
-            i = self.owner(inside)
+        for block in self.blocks:
+            i = self.owner(block[0][1])  # no block element begins or ends within a block of text
             if i is not None:
-                out.setdefault(self.keys[i], []).append(text)
+                out.setdefault(self.keys[i], []).append(joined(block))
         return {k: "\n".join(x) for k, x in out.items()}
 
     def text(self, slots: list[dict] | None, constant: list[str] | None = None) -> str:
@@ -192,19 +199,21 @@ class Page:
                 mains = [i for i in usable if ranks[i] == best]
         wanted, dropped = set(mains), set(constant or ()) - {self.keys[i] for i in mains}
         out = []
-        for text, inside in self.blocks:
-            if dropped and (own := self.owner(inside)) is not None and self.keys[own] in dropped:
+        for block in self.blocks:
+            if dropped and (own := self.owner(block[0][1])) is not None and self.keys[own] in dropped:
                 continue
-            if not wanted:
-                keep = not any(self.other[i] for i in inside)
-            else:
-                at = next((n for n, i in enumerate(inside) if i in wanted), None)
-                # The header of an article holds its title; other parts inside an article are no main text.
-                keep = at is not None and not any(self.other[i] and self.keys[i] != "header" for i in inside[at + 1 :]) and not any(self.other[i] for i in inside[:at])
-            if keep:
+            text = joined(run for run in block if self._main(run[1], wanted))
+            if text:
                 out.append(text)
         return "\n".join(out)
 
+    def _main(self, inside: tuple[int, ...], wanted: set[int]) -> bool:
+        if not wanted:
+            return not any(self.other[i] for i in inside)
+        at = next((n for n, i in enumerate(inside) if i in wanted), None)
+        # The header of an article holds its title; other parts inside an article are no main text.
+        return at is not None and not any(self.other[i] and self.keys[i] != "header" for i in inside[at + 1 :]) and not any(self.other[i] for i in inside[:at])
+
 
 def _digest(text: str) -> int:
     """64 bits of a text; 0 for none."""
@@ -224,11 +233,10 @@ def token_vectors(pages: DataFrame) -> DataFrame:
             rows = [[] for _ in range(9)]
             for host, page, source in zip(*(c.to_pylist() for c in batch.columns)):
                 p = Page(source or "")
-                below, seen = p.below(), Counter(p.keys)
-                total = sum(len(t) for t, inside in p.blocks if not any(p.other[i] for i in inside))
+                (below, total), seen = p.below(), Counter(p.keys)
                 first = {k: i for i, k in reversed(list(enumerate(p.keys)))}
                 slots = {k: _digest(x) for k, x in p.slot_texts().items()}
-                whole = _digest("\n".join(x for x, _ in p.blocks))
+                whole = _digest("\n".join(map(joined, p.blocks)))
                 for k, n in seen.items():
                     for column, x in zip(rows, (host, page, k, n, first[k] / len(p.keys), below[first[k]], total, slots.get(k, 0), whole)):
                         column.append(x)
