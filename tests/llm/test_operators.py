@@ -220,6 +220,14 @@ def test_inline_parts_are_judged_by_run():
     assert html_text.Page(page).text(None) == "Real text\nSee and this.\nx is < tenseen"
 
 
+def test_headers_and_anchors_of_an_article():
+    page = """<body><header class=top>Site</header><article><header class="entry-header"><h1>Title</h1><nav>Up</nav></header><div class="article-header">Lead</div>
+<h2 id=related-work>Related work</h2><section id=notices>Notices</section><p id=comments-on-x>On x<div id=search-results>Results</div>
+<div id=comments>Nice</div><section class=comments>Nice</section><div class="page-header cookie">Cookies</div></article></body>"""
+    assert html_text.Page(page).text(None) == "Title\nLead\nRelated work\nNotices\nOn x\nResults"
+    assert html_text.Page("<body><header>Site</header><p>Text").text([{"region": "body", "template": ["body", "header", "p"]}]) == "Text"
+
+
 @pytest.mark.parametrize("case", ["spread", "alike"])
 def test_top_products(spark, case):
     rng = np.random.default_rng(7)

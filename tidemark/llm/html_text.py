@@ -47,7 +47,9 @@ _BLOCK = frozenset(
 )
 #: Blocks that have a slot of their own only if a class, id or role marks them: they hold a sentence or two of a text.
 _PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th tr pre blockquote option caption figcaption legend summary center address".split())
-#: Elements and words of class, id or role that are not the main text.
+#: Elements whose ids are anchors made from their headings.
+_ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
+#: Elements, words of class or role, and whole ids that are not the main text.
 _OTHER = frozenset("nav header footer aside form head button select dialog menu datalist".split())
 _OTHER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead complementary contentinfo comment comments reply replies respond disqus share sharing social related recommended recommendations newsletter subscribe signup login popup modal overlay search".split()
@@ -67,6 +69,7 @@ class Page:
         self.depth: list[tuple[int, ...]] = []  # for each token, the tokens around it
         self.blocks: list[list[tuple[str, tuple[int, ...]]]] = []  # of each block its runs of text and the tokens around
         self.other: list[bool] = []
+        self.header: list[bool] = []  # other, but as a header only, which within an article is the article's own
         self._parse(source)
 
     def _parse(self, source: str) -> None:
@@ -105,10 +108,11 @@ class Page:
                         break  # a stray closing tag closes nothing beyond its block
             else:
                 attrs = m["attrs"] or m["attrs2"] or ""
-                key, other = self._key(tag, attrs)
+                key, other, header = self._key(tag, attrs)
                 number = len(self.keys)
                 self.keys.append(key)
                 self.other.append(other)
+                self.header.append(header)
                 if block and tag != "br":  # an open paragraph, and an item or cell of the same kind, ends here
                     while stack and (stack[-1][0] == "p" or stack[-1][0] not in _BLOCK and any(x == "p" for x, _ in stack) and self._in_p(stack)):
                         stack.pop()
@@ -135,13 +139,17 @@ class Page:
         return False
 
     @staticmethod
-    def _key(tag: str, attrs: str) -> tuple[str, bool]:
+    def _key(tag: str, attrs: str) -> tuple[str, bool, bool]:
+        """Token key, whether the element is no main text, and whether that is only because it is a header."""
         if not attrs or "=" not in attrs:
-            return tag, tag in _OTHER
+            return tag, tag in _OTHER, tag == "header"
         found = {m[1].lower(): (m[2] or m[3] or m[4] or "").strip().lower() for m in _ATTRIBUTE.finditer(attrs)}
-        words = set(_WORD.findall(" ".join(found.values())))
+        words = set(_WORD.findall(" ".join(v for k, v in found.items() if k != "id")))
+        if tag not in _ANCHORED:
+            words.add(found.get("id", ""))
         key = tag + "".join(f"[{k}={v}]" for k, v in sorted(found.items()) if v)
-        return key, tag in _OTHER or bool(words & _OTHER_WORDS)
+        why = ({tag} & _OTHER) | (words & _OTHER_WORDS)
+        return key, bool(why), why == {"header"}
 
     def main_rank(self, i: int) -> int:
         """How surely token i is the main element: 0 by article or body of an article, 1 main, 9 no sign."""
@@ -211,8 +219,11 @@ class Page:
         if not wanted:
             return not any(self.other[i] for i in inside)
         at = next((n for n, i in enumerate(inside) if i in wanted), None)
-        # The header of an article holds its title; other parts inside an article are no main text.
-        return at is not None and not any(self.other[i] and self.keys[i] != "header" for i in inside[at + 1 :]) and not any(self.other[i] for i in inside[:at])
+        if at is None:
+            return False
+        # The header of an article holds its title, unless the main slot is the page itself; other parts are no main text.
+        own = self.keys[inside[at]].partition("[")[0] not in ("html", "body")
+        return not any(self.other[i] and not (own and self.header[i]) for i in inside[at + 1 :]) and not any(self.other[i] for i in inside[:at])
 
 
 def _digest(text: str) -> int:
