@@ -260,3 +260,16 @@ def test_tiers(spark, days, fits):
     assert same["k_match_rate"] == 1 and same["n_common_windows"] == 5 and same["unstable_windows"] == 0 and abs(same["mean_corr"] - 1) < 1e-9
     none = studies.compare_tiers(p, p, k, k.withColumn("end_dt", F.date_add("end_dt", 5000))).first()
     assert none["n_common_windows"] == 0 and none["k_match_rate"] is None
+
+
+def test_mixture_queries_run_the_whole_specifications(spark):
+    from tidemark.plans import kernels
+
+    sf = "/root/testdata/sf0.01"
+    n = len(mixture.window_bounds(kernels._days(spark, sf).count(), 1250, 63))
+    bic = [tuple(r) for r in kernels.bic_grid(spark, sf).select("config_id", "w", "k").collect()]
+    assert sorted(bic) == sorted([("headline", w, k) for w in range(n) for k in range(2, 8)] + [("forecast", w, 2) for w in range(n)])
+    for query in (kernels.filtered_probabilities, kernels.retrospective_probabilities):
+        assert {r["config_id"] for r in query(spark, sf).select("config_id").distinct().collect()} == {"headline", "forecast"}
+    summary = {r["config_id"]: r["n_windows"] for r in kernels.config_summary(spark, sf).collect()}
+    assert set(summary) == {c.config_id for c in (*kernels.GRID, *mixture.ROBUSTNESS, *mixture.SHRINKAGE)} and summary["headline"] == n

@@ -307,7 +307,8 @@ def fit_rolling(days: DataFrame, configs: Sequence[Config]) -> DataFrame:
             rows.append(_row(cfg, w, a, b, pdf["dt"].iloc[b - 1], f, grid, coverage, len(xw)))
         return pd.DataFrame(rows, columns=columns)
 
-    return every.groupBy("config_id").applyInPandas(fold, FITS)
+    # A number of partitions that is asked for stays: the days are few, and adaptive plans would put all folds in one task.
+    return every.repartition(len(by_id), "config_id").groupBy("config_id").applyInPandas(fold, FITS)
 
 
 def state_of(row: pd.Series) -> State:

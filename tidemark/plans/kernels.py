@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,16 +11,16 @@ from pyspark.sql import functions as F
 from ..operators import backtest, bootstrap, forecast_eval, forecasting, inference, mixture, panel, portfolios, regimes, studies
 from .relational import path, returns, sample, states
 
-#: A specification for the lineitem panel, which has some 2,200 days.
-SMALL = replace(mixture.HEADLINE, config_id="small", k_candidates=(2, 3), window=750, step=250)
-GRID = (SMALL, replace(SMALL, config_id="grand_mean", target="grand_mean", ewma_decay=None), replace(SMALL, config_id="two_states", k_candidates=(2,)))
+#: The specifications of the main and the forecast fit, and the main one without a tie between windows.
+MAIN = (mixture.HEADLINE, mixture.FORECAST)
+GRID = (*MAIN, replace(mixture.HEADLINE, config_id="grand_mean", target="grand_mean", ewma_decay=None))
 
 
 def _days(s: SparkSession, d: str) -> DataFrame:
     return panel.vectors(returns(s, d)).persist()
 
 
-def _fits(s: SparkSession, d: str, configs=(GRID[2],)) -> tuple[DataFrame, DataFrame]:
+def _fits(s: SparkSession, d: str, configs=MAIN[:1]) -> tuple[DataFrame, DataFrame]:
     days = _days(s, d)
     return days, mixture.fit_rolling(days, configs).persist()
 
@@ -28,21 +29,27 @@ def _two(s: SparkSession, d: str) -> DataFrame:
     return states(s, d).select("dt", F.posexplode(F.array(1 - F.col("p_1"), "p_1")).alias("k", "p"))
 
 
+def _each(fits: DataFrame, configs, run) -> DataFrame:
+    """``run`` on the fits of each configuration, with its config_id."""
+    return reduce(DataFrame.union, (run(fits.filter(F.col("config_id") == c.config_id)).select(F.lit(c.config_id).alias("config_id"), "*") for c in configs))
+
+
 def gmm_fit(s, d):
     return mixture.diagnostics(_fits(s, d, GRID)[1])
 
 
 def bic_grid(s, d):
-    return _fits(s, d, (SMALL,))[1].select("config_id", "w", F.explode("bic_grid").alias("k", "bic"))
+    return _fits(s, d, MAIN)[1].select("config_id", "w", F.explode("bic_grid").alias("k", "bic"))
 
 
 def filtered_probabilities(s, d):
-    return mixture.filtered_probabilities(*_fits(s, d))
+    days, fits = _fits(s, d, MAIN)
+    return _each(fits, MAIN, lambda f: mixture.filtered_probabilities(days, f))
 
 
 def retrospective_probabilities(s, d):
-    days, fits = _fits(s, d, (SMALL,))
-    return regimes.retrospective(mixture.window_probabilities(days, fits))
+    days, fits = _fits(s, d, MAIN)
+    return _each(fits, MAIN, lambda f: regimes.retrospective(mixture.window_probabilities(days, f)))
 
 
 def covariance_diagnostics(s, d):
@@ -54,7 +61,7 @@ def mean_drift(s, d):
 
 
 def config_summary(s, d):
-    return studies.config_summary(_fits(s, d, GRID)[1])
+    return studies.config_summary(_fits(s, d, (*GRID, *mixture.ROBUSTNESS, *mixture.SHRINKAGE))[1])
 
 
 def fitted_correlations(s, d):
@@ -68,7 +75,7 @@ def one_sided_scorer(s, d):
     """The flow form of the one-sided scoring, run over the days as one available batch."""
     from ..streaming.scoring import score_days
 
-    days, fits = _fits(s, d)
+    days, fits = _fits(s, d, MAIN[1:])
     last = fits.orderBy(F.col("w").desc()).limit(1)
     return score_days(days.select("dt", "x"), mixture.state_of(last.toPandas().iloc[0]))
 
