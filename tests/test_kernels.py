@@ -273,3 +273,30 @@ def test_mixture_queries_run_the_whole_specifications(spark):
         assert {r["config_id"] for r in query(spark, sf).select("config_id").distinct().collect()} == {"headline", "forecast"}
     summary = {r["config_id"]: r["n_windows"] for r in kernels.config_summary(spark, sf).collect()}
     assert set(summary) == {c.config_id for c in (*kernels.GRID, *mixture.ROBUSTNESS, *mixture.SHRINKAGE)} and summary["headline"] == n
+
+
+def test_bootstrap_queries_take_the_default_replicates(spark, monkeypatch):
+    import inspect
+
+    from tidemark.plans import kernels
+
+    taken = []
+    for name, count in (("correlation_differences", "b"), ("path_difference", "n_bootstrap")):
+        signature = inspect.signature(getattr(bootstrap, name))
+
+        def record(*args, signature=signature, count=count, **named):
+            bound = signature.bind(*args, **named)
+            bound.apply_defaults()
+            taken.append(bound.arguments[count])
+
+        monkeypatch.setattr(bootstrap, name, record)
+    monkeypatch.setattr(kernels, "sample", lambda s, d: None)
+    monkeypatch.setattr(kernels, "returns", lambda s, d: _Frame())
+    for name in ("bootstrap_corr", "bootstrap_sharpe", "bootstrap_drawdown", "bootstrap_cvar"):
+        kernels.QUERIES[name](None, "")
+    assert taken == [10_000] * 4
+
+
+class _Frame:
+    def select(self, *columns):
+        return self

@@ -103,10 +103,10 @@ QUERIES = {
     "backtest_regimes": lambda s, d: portfolios.backtest_regimes(returns(s, d), _two(s, d), states(s, d).select("dt", "p_1")),
     "backtest_out_of_sample": lambda s, d: portfolios.backtest_out_of_sample(returns(s, d), _two(s, d), 1250),
     "bootstrap_quantiles": lambda s, d: bootstrap.quantile_equality(sample(s, d), b=1000),
-    "bootstrap_corr": lambda s, d: bootstrap.correlation_differences(sample(s, d), 0, 2, b=2000),
-    "bootstrap_sharpe": lambda s, d: bootstrap.path_difference(returns(s, d).select(F.col("asset").alias("strategy"), "dt", F.col("r").alias("net")), "A_F", "R_F", "sharpe", 2000),
-    "bootstrap_drawdown": lambda s, d: bootstrap.path_difference(returns(s, d).select(F.col("asset").alias("strategy"), "dt", F.col("r").alias("net")), "A_F", "R_F", "drawdown", 2000),
-    "bootstrap_cvar": lambda s, d: bootstrap.path_difference(returns(s, d).select(F.col("asset").alias("strategy"), "dt", F.col("r").alias("net")), "A_F", "R_F", "cvar", 2000),
+    "bootstrap_corr": lambda s, d: bootstrap.correlation_differences(sample(s, d), 0, 2),
+    "bootstrap_sharpe": lambda s, d: bootstrap.path_difference(returns(s, d).select(F.col("asset").alias("strategy"), "dt", F.col("r").alias("net")), "A_F", "R_F", "sharpe"),
+    "bootstrap_drawdown": lambda s, d: bootstrap.path_difference(returns(s, d).select(F.col("asset").alias("strategy"), "dt", F.col("r").alias("net")), "A_F", "R_F", "drawdown"),
+    "bootstrap_cvar": lambda s, d: bootstrap.path_difference(returns(s, d).select(F.col("asset").alias("strategy"), "dt", F.col("r").alias("net")), "A_F", "R_F", "cvar"),
     "anderson_darling": lambda s, d: bootstrap.anderson_darling(sample(s, d)),
     "anova_p": lambda s, d: inference.anova(sample(s, d)),
     "welch_p": lambda s, d: inference.welch(sample(s, d)),
