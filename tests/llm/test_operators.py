@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, language_id, media, near_dedup, packing, pieces, repeats, retrieval, token_counts, url_filters
+from tidemark.llm import html_text, language_id, media, near_dedup, packing, pieces, retrieval, token_counts, url_filters
 from tidemark.llm.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -263,7 +263,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
 
-def near_classes(rows):
+def near_classes(rows, percent=85):
     sets = {}
     for i, x in rows:
         sets.setdefault(i, []).append(shingles(x))
@@ -278,7 +278,7 @@ def near_classes(rows):
         for j in parent:
             for a in sets[i]:
                 for b in sets[j]:
-                    if i < j and a and b and 100 * len(a & b) >= 85 * len(a | b):
+                    if i < j and a and b and 100 * len(a & b) >= percent * len(a | b):
                         x, y = root(i), root(j)
                         parent[max(x, y)] = min(x, y)
     return {i: root(i) for i in parent}, sets
@@ -426,107 +426,5 @@ def test_held_out_accuracy(spark):
     assert share > 0.98
 
 
-def cut_brute(rows, length=50):
-    where = {}
-    for i, x in rows:
-        b = (x or "").encode()
-        if i is not None:
-            for k in range(len(b) - length + 1):
-                w = b[k : k + length]
-                where[w] = min(where.get(w, i), i)
-    out = []
-    for i, x in rows:
-        b = (x or "").encode()
-        marked = bytearray(len(b))
-        if i is not None:
-            for k in range(len(b) - length + 1):
-                if where[b[k : k + length]] < i:
-                    marked[k : k + length] = b"\1" * length
-        kept = bytes(c for c, m in zip(b, marked) if not m)
-        spans = sum(1 for k in range(len(marked)) if marked[k] and not (k and marked[k - 1]))
-        out.append((i, len(b), sum(marked), spans, hashlib.sha256(kept).hexdigest()))
-    return sorted(out, key=repr)
-
-
-@pytest.mark.parametrize("hot", [False, True])
-def test_repeats(spark, docs, tmp_path, monkeypatch, hot):
-    if hot:
-        monkeypatch.setattr(repeats, "HOT", 1)
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    got = by_id(repeats.op10_suffix_array_dedup(spark, str(tmp_path)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    assert got == cut_brute(ROWS)
-
-
-def test_repeats_of_an_empty_table(spark, none, tmp_path):
-    none.write.parquet(f"{tmp_path}/documents.parquet")
-    assert repeats.op10_suffix_array_dedup(spark, str(tmp_path)).count() == 0
-
-
-def test_expansion_equals_window_by_window():
-    rng = random.Random(3)
-    anchor = bytes(rng.randrange(97, 100) for _ in range(repeats.ANCHOR))
-    stretch, off, first = [], [], []
-    for i in range(60):
-        left = bytes(rng.choice(b"xy") for _ in range(3)) + b"l" * rng.randint(0, 12)
-        right = b"r" * rng.randint(0, 14) + bytes(rng.choice(b"xy") for _ in range(3)) + b"q" * 30
-        stretch.append((left + anchor + right)[: 3 + 12 + repeats.ANCHOR + 20])
-        off.append(len(left))
-        first.append(rng.randint(0, 1000))
-    length = 30
-    got = repeats.expand(np.zeros(60, np.int64), np.array(off), stretch, np.array(first), length)
-    seen = {}
-    for s, o, f in zip(stretch, off, first):
-        for k in range(len(s) - length + 1):
-            if k <= o and k + length >= o + repeats.ANCHOR:
-                seen[s[k : k + length]] = min(f, seen.get(s[k : k + length], f))
-    for s, o, g in zip(stretch, off, got):
-        for k in range(len(s) - length + 1):
-            if k <= o and k + length >= o + repeats.ANCHOR:
-                assert g[k] == seen[s[k : k + length]]
-
-
 def test_registered_queries():
     assert set(SQL) <= set(QUERIES) and {re.match(r"op\d+_", n)[0] for n in QUERIES} == {f"op{i}_" for i in range(1, 11)}
-
-
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline as p
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    seen = {}
-    for name, stage in p.STAGES:
-        out = stage(spark, docs, SF)
-        if name != "packing":
-            assert out.columns == docs.columns
-        out.write.parquet(f"{tmp_path}/{name}")
-        docs = spark.read.parquet(f"{tmp_path}/{name}")
-        seen[name] = docs
-    start = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    kept = [(i, x) for i, x in start if x and any(map(str.isalpha, x))]
-    assert sorted(r["doc_id"] for r in seen["language_id"].collect()) == sorted(i for i, _ in kept)
-    comp, _ = near_classes(kept)
-    left = [(i, x) for i, x in kept if comp[i] == i]
-    assert sorted(r["doc_id"] for r in seen["near_dedup"].collect()) == sorted(i for i, _ in left)
-    lost = {i: n for i, _, n, _, _ in cut_brute(left)}
-    after = {r["doc_id"]: r for r in seen["suffix_array_dedup"].collect()}
-    for i, x in left:
-        if lost[i] == len(x.encode()):
-            assert i not in after
-        elif lost[i] == 0:
-            assert after[i]["text"] == x
-        else:
-            assert len(x.encode()) - lost[i] - 6 <= len(after[i]["text"].encode()) <= len(x.encode()) - lost[i] and after[i]["n_chars"] == len(after[i]["text"])
-    assert {r["doc_id"] for r in docs.collect()} == set(after)
-
-
-def test_pipeline_links_near_copies_from_80_percent(spark):
-    import corpus_pipeline as p
-
-    words = [f"w{i}" for i in range(104)]
-    near, far = [f"x{i}" if i > 92 else w for i, w in enumerate(words)], [f"y{i}" if i > 90 else w for i, w in enumerate(words)]
-    rows = [(i, " ".join(w)) for i, w in enumerate((words, near, far))]
-    a, b, c = (shingles(x) for _, x in rows)
-    assert 0.8 <= len(a & b) / len(a | b) < 0.85 and len(a & c) / len(a | c) < 0.8
-    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = {r["doc_id"] for r in p.near_dedup(spark, docs, SF).collect()}
-    assert 0 in kept and 1 not in kept and (2 in kept) == (100 * len(b & c) < 80 * len(b | c))

@@ -13,12 +13,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or (in tests only) a new local one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or (on a local master only) a new one."""
     own = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if own:
         return own.rstrip("/")
     kept = spark.sparkContext._jsc.sc().getCheckpointDir()
     if kept.isEmpty():
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
     return kept.get().rstrip("/")
@@ -31,7 +33,8 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: cuts lineage and survives lost executors.
 
-    The shuffle files of the plan go as soon as the table stands; nothing reads them again.
+    The shuffle files of the plan go as soon as the table stands; nothing reads them again. The table itself stays
+    until :func:`released`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{what}-{uuid.uuid4().hex}"
@@ -44,3 +47,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
         if before is not None:
             spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`written` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if f"{shared_dir(spark)}/tidemark/".split(":")[-1] not in f"{folder.toString()}/":
+                raise ValueError(f"not an intermediate table: {file}")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
