@@ -55,6 +55,6 @@ def released(*tables: DataFrame) -> None:
         spark = df.sparkSession
         for file in df.inputFiles()[:1]:
             folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            if f"{shared_dir(spark)}/tidemark/".split(":")[-1] not in f"{folder.toString()}/":
+            if folder.getParent().getName() != "tidemark":
                 raise ValueError(f"not an intermediate table: {file}")
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
