@@ -420,6 +420,32 @@ def test_viterbi_equals_all_labellings():
     assert abs(d.max() - (long[np.arange(200), labels].sum() - 1.5 * (np.diff(labels) != 0).sum())) < 1e-9
 
 
+def test_viterbi_of_many_languages_and_small_transfers(monkeypatch):
+    rng = np.random.default_rng(12)
+    first = np.array([0, 70, 70, 71, 300])
+    scores = rng.normal(size=(300, 130)) * 2
+    want = language_id.viterbi(scores, first, 3.0)
+    assert want.max() > 127 and want.min() >= 0
+    monkeypatch.setattr(language_id, "TRANSFER_BYTES", 8 * 130 * 130 * 3)
+    assert (language_id.viterbi(scores, first, 3.0) == want).all()
+    for a, b in zip(first, first[1:]):
+        d = np.zeros(130)
+        for t in range(a, b):
+            d = np.maximum(d, d.max() - 3.0) + scores[t]
+        if b > a:
+            got = scores[np.arange(a, b), want[a:b]].sum() - 3.0 * (np.diff(want[a:b]) != 0).sum()
+            assert abs(d.max() - got) < 1e-9
+
+
+def test_letters_count_once_and_symbols_are_none(spark):
+    train = [("the old house stands under the tree by the water", "en"), ("старый дом стоит под деревом у воды", "ru")] * 5
+    model = language_id.fit(spark.createDataFrame(train, "text string, lang string"), "text", "lang")
+    rows = [(1, "the old house stands под дом стоит"), (2, "€ — … ✓ 🎉 « » × 、"), (3, "— the — house —")]
+    got = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[1]["lang_pred"] == "en" and abs(got[1]["lang_score"] - 17 / 28) < 1e-9
+    assert got[2]["lang_pred"] == "und" and got[2]["lang_spans"] == [] and got[3]["lang_pred"] == "en"
+
+
 def test_held_out_accuracy(spark):
     got = QUERIES["op9_language_id"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     share = got.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]

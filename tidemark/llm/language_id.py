@@ -36,6 +36,22 @@ _FOLD[65:91] = np.arange(97, 123)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 _SPACE = np.uint8(32)
+#: Languages whose tables (half a megabyte each) may go to all tasks, and bytes of transfers that are worked on at once.
+MOST_LANGUAGES, TRANSFER_BYTES = 400, 32 << 20
+
+
+def _symbols(data: np.ndarray) -> np.ndarray:
+    """Places of the bytes of characters beyond ASCII that are no letters, by their blocks: Latin-1 signs but for ª, µ
+    and º, the multiplication and division signs, general punctuation to miscellaneous arrows but for letter-like
+    signs, supplemental and CJK punctuation but for the iteration mark, and pictographs."""
+    lead = np.flatnonzero(data >= 0xC2)
+    lead = lead[lead + 1 < len(data)]
+    a, b = data[lead], data[lead + 1]
+    c = data[np.minimum(lead + 2, len(data) - 1)]
+    two = (a == 0xC2) & ~np.isin(b, (0xAA, 0xB5, 0xBA)) | (a == 0xC3) & np.isin(b, (0x97, 0xB7))
+    three = (a == 0xE2) & ((b < 0xB0) & (b != 0x84) | (b == 0xB8) | (b == 0xB9)) | (a == 0xE3) & (b == 0x80) & (c != 0x85)
+    four = (a == 0xF0) & (b == 0x9F)
+    return np.concatenate([lead[which] + i for which, n in ((two, 2), (three, 3), (four, 4)) for i in range(n)])
 
 
 def words_and_features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -45,6 +61,7 @@ def words_and_features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray
     """
     n = len(data)
     x = _FOLD[data]
+    x[_symbols(data)] = _SPACE
     edge = np.zeros(n + 1, bool)
     edge[bounds] = True
     letter = np.flatnonzero(x != _SPACE)
@@ -102,6 +119,8 @@ def fit(docs: DataFrame, text_col: str, lang_col: str) -> dict:
     rows = known.mapInArrow(count, schema).repartition(CHUNKS, "lang", "chunk").mapInArrow(add, schema).collect()
     parts = {(r["lang"], r["chunk"]): np.frombuffer(r["counts"], "<i8") for r in rows}
     langs = sorted({k for k, _ in parts})
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"{len(langs)} languages: their tables are too large to go to every task")
     counts = np.array([np.concatenate([parts[lang, c] for c in range(CHUNKS)]) for lang in langs], np.float64).reshape(len(langs), size + SCRIPTS)
     tables = counts[:, :size].reshape(len(langs), TABLES, 1 << TABLE_BITS) + 0.5
     scores = np.log(tables / tables.sum(2, keepdims=True)).reshape(len(langs), size)
@@ -131,20 +150,27 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     at = begin[:, None] + np.arange(SEGMENT)
     real = at < first[doc + 1][:, None]
     p = np.where(real[:, :, None], scores[np.minimum(at, n - 1)], 0).astype(np.float64)
-    d = np.where(np.eye(k, dtype=bool), 0.0, -1e300)[None].repeat(n_segs, 0)
-    for t in range(SEGMENT):
-        d = np.maximum(d, d.max(2, keepdims=True) - switch) + p[:, t, None, :]
     order = np.argsort(-segs, kind="stable")
     order = order[segs[order] > 0]
+    counts = np.searchsorted(-segs[order], -np.arange(int(segs.max())), "left")  # texts with more than j segments
+    level = np.repeat(np.arange(len(counts)), counts)
+    slot = np.arange(n_segs) - np.repeat(np.cumsum(counts) - counts, counts)
+    ids = seg_first[order[slot]] + level  # the first segment of every text, then the second of those that have one, ...
     entry = np.zeros((n_segs, k))
     now = np.zeros((len(order), k))
-    for j in range(int(segs.max())):
-        m = int(np.searchsorted(-segs[order], -j, "left"))  # texts with more than j segments
-        mine = seg_first[order[:m]] + j
-        entry[mine] = now[:m]
-        nxt = (now[:m, :, None] + d[mine]).max(1)
-        now[:m] = nxt - nxt.max(1, keepdims=True)
-    back = np.empty((SEGMENT, n_segs, k), np.int8)
+    size = max(1, TRANSFER_BYTES // (8 * k * k))
+    for a in range(0, n_segs, size):
+        mine = ids[a : a + size]
+        d = np.where(np.eye(k, dtype=bool), 0.0, -1e300)[None].repeat(len(mine), 0)
+        for t in range(SEGMENT):
+            d = np.maximum(d, d.max(2, keepdims=True) - switch) + p[mine, t, None, :]
+        edges = [0, *(np.flatnonzero(np.diff(level[a : a + size])) + 1).tolist(), len(mine)]
+        for x, y in zip(edges, edges[1:]):
+            where = slot[a + x : a + y]
+            entry[mine[x:y]] = now[where]
+            nxt = (now[where][:, :, None] + d[x:y]).max(1)
+            now[where] = nxt - nxt.max(1, keepdims=True)
+    back = np.empty((SEGMENT, n_segs, k), np.int16)
     e = entry.copy()
     states = np.arange(k)
     for t in range(SEGMENT):
@@ -152,13 +178,13 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
         stay = e >= top - switch
         back[t] = np.where(stay, states, best)
         e = np.where(stay, e, top - switch) + p[:, t]
-    source = np.broadcast_to(states, (n_segs, k)).astype(np.int8)
+    source = np.broadcast_to(states, (n_segs, k)).astype(np.int16)
     for t in range(SEGMENT - 1, -1, -1):
         source = np.take_along_axis(back[t], source.astype(np.int64), 1)
     last = np.zeros(n_segs, np.int64)
     state = now.argmax(1)
     for j in range(int(segs.max())):  # from the last segment of each text backwards
-        m = int(np.searchsorted(-segs[order], -j, "left"))
+        m = counts[j]
         mine = seg_first[order[:m]] + segs[order[:m]] - 1 - j
         last[mine] = state[:m]
         state[:m] = source[mine, state[:m]]
@@ -185,7 +211,8 @@ def label_block(data: np.ndarray, bounds: np.ndarray, model: dict) -> tuple[np.n
     bounds_of_words = np.searchsorted(row, np.arange(n_rows + 1))
     label = viterbi(s, bounds_of_words)
     letters = np.zeros((n_rows, len(langs)))
-    np.add.at(letters, (row, label), end - start)
+    begun = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]  # a character counts once, however many bytes it has
+    np.add.at(letters, (row, label), begun[end] - begun[start])
     total = letters.sum(1)
     best = np.where(total > 0, letters.argmax(1), -1)
     score = np.where(total > 0, letters.max(1) / np.maximum(total, 1), 0.0)
