@@ -9,16 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read_table, written
+from tidemark.llm.common import read_table, released, written
 from tidemark.llm.language_id import fit_on_corpus, identify
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import best_fit_packing
-from tidemark.llm.repeats import cut_documents, row_key
+from tidemark.llm.repeats import cut_documents
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the corpus teaches; those without letters (or without text) go."""
-    return identify(docs, fit_on_corpus(docs)).filter("lang_pred <> 'und'").select(*docs.columns)
+    rest = F.struct(*(c for c in docs.columns if c != "text")).alias("doc")  # so that no name of a column matters
+    tagged = identify(docs.select("text", rest), fit_on_corpus(docs)).filter("lang_pred <> 'und'")
+    return tagged.select(*("text" if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +34,9 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Where a cut goes through a character, the rest of that character goes too. ``n_chars`` follows the text.
     """
-    cut = written(cut_documents(docs.select("doc_id", "text")).select("row", "kept_text"), "cut")
-    joined = docs.withColumn("row", row_key()).join(cut, "row", "left")
-    return joined.withColumn("text", F.coalesce("kept_text", "text")).filter("kept_text is null or kept_text <> ''").withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    cut = cut_documents(docs).filter("n_removed = 0 or kept_text <> ''")
+    follows = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("doc")["n_chars"])}
+    return cut.select(*(follows.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +51,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = written(docs, f"pipeline-{name}")
-    return docs
+    before = None
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        if name == STAGES[-1][0]:
+            return out
+        docs = written(out, f"pipeline-{name}")
+        if before is not None:
+            released(before)
+        before = docs
