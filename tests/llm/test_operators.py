@@ -89,8 +89,8 @@ def test_best_fit_plan_equals_placing_one_by_one(seed):
     count = 0
     for n in sorted(lengths, reverse=True):
         at = bisect.bisect_left(room, n)
+        count += at == len(room)
         left = (room.pop(at) if at < len(room) else 64) - n
-        count += at == len(room) and left == 64 - n and at == len(room)
         if left:
             bisect.insort(room, left)
     held: dict[int, list] = {}
@@ -99,7 +99,7 @@ def test_best_fit_plan_equals_placing_one_by_one(seed):
         for j in range(n):
             held.setdefault(first + j // each, []).append((offset + j % each * length, length))
             placed += 1
-    assert placed == len(lengths) and len(held) == bins
+    assert placed == len(lengths) and len(held) == bins == count
     for parts in held.values():
         parts.sort()
         assert all(a == sum(n for _, n in parts[:i]) for i, (a, _) in enumerate(parts)) and sum(n for _, n in parts) <= 64
@@ -246,6 +246,32 @@ def test_top_products(spark, case):
     assert retrieval.top_products(df.filter("false")).count() == 0
 
 
+def test_products_of_odd_vectors(spark):
+    big = [3.0e13, -1.0]
+    rows = [(0, []), (50, []), (1, []), (100, [1.0, 2.0]), (2, [0.5, 0.5]), (3, big), (4, [1.0]), (150, [2.0]), (200, [1.0, 2.0, 3.0])]
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = by_id(retrieval.top_products(frame(rows)), "query_id", "rank", "vec_id", "score")
+    a = 256 * int(3e13)
+    want = [(0, 1, 1, 0), (0, 2, 50, 0), (50, 1, 0, 0), (50, 2, 1, 0), (100, 1, 3, 256 * a - 2 * 256 * 256), (100, 2, 2, 128 * 256 + 128 * 512), (150, 1, 4, 512 * 256)]
+    assert got == sorted(want, key=repr)
+    for bad in ([1e300, 1.0], [9.0e15, 9.0e15]):
+        with pytest.raises(Exception, match="64 bits"):
+            retrieval.top_products(frame([(0, bad), (1, bad), (2, [1.0, 1.0])])).collect()
+
+
+def test_far_buckets_are_not_shipped(spark):
+    rng = np.random.default_rng(8)
+    x = np.r_[rng.normal(size=(1200, 4)) * 100, rng.normal(size=(4000, 4)) * 0.001]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = retrieval.top_products(frame, F.col("vec_id") < 3)
+    q = np.floor(256 * x).astype(np.int64)
+    want = []
+    for i in range(3):
+        best = sorted((-int(q[i] @ q[j]), j) for j in range(len(x)) if j != i)[:5]
+        want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+    assert by_id(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+
+
 def test_both_prunings_keep_all_hits():
     rng = np.random.default_rng(2)
     v, q = rng.integers(-100, 100, (400, 6)), rng.integers(-100, 100, (30, 6))

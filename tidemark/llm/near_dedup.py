@@ -209,7 +209,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     could = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
     pair = (F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-    links = tested = comps = None
+    tested = comps = None
+
+    def joined(found: DataFrame, comps: DataFrame | None) -> DataFrame:
+        """Components of new links and of those known so far, which are stars already."""
+        if comps is None:
+            return written(components(found), "components")
+        if found.isEmpty():
+            return comps
+        return written(components(found.union(comps.select("id", "component").filter("id <> component"))), "components")
+
     for turn in range(2):
         current = members.withColumn("component", F.col("id")) if comps is None else members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
         order = F.struct("degree", -F.col("id")) if turn == 0 else F.struct(F.xxhash64("id", "component"), "id")
@@ -221,14 +230,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = written(pairs, "pairs")
         found = written(verified(pairs), "near-links")
         tested = pairs
-        links = found if links is None else links.union(found)
-        comps = written(components(links), "components")
+        comps = joined(found, comps)
     current = members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed_up = current.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("id").alias("least")).filter("c1 <> c2").select("key", "least")
     left = written(current.join(mixed_up, "key").select("id", "least", "component", "n"), "mixed-buckets")
-    groups = components(left.select(F.col("id").alias("a"), F.col("least").alias("b"))).withColumnRenamed("component", "group")
-    found = written(block_links(left.groupBy("id").agg(F.first("component").alias("component"), F.first("n").alias("n")).join(groups, "id"), sets, percent), "near-links")
-    comps = components(links.union(found))
+    if not left.isEmpty():
+        groups = components(left.select(F.col("id").alias("a"), F.col("least").alias("b"))).withColumnRenamed("component", "group")
+        found = written(block_links(left.groupBy("id").agg(F.first("component").alias("component"), F.first("n").alias("n")).join(groups, "id"), sets, percent), "near-links")
+        comps = joined(found, comps)
     rep = classes.select("n_shingles", "d1", "d2", "rep")
     of_rep = rep.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = sig.drop("keys").join(of_rep, ["n_shingles", "d1", "d2"], "left")

@@ -30,6 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -366,7 +367,7 @@ def _expanded(rows: DataFrame, length: int) -> DataFrame:
         cid, doc, groups = (rows.column(c).to_numpy() for c in ("cid", "doc_id", "groups"))
         edges = np.r_[np.flatnonzero(new), len(new)]
         alone = np.repeat(np.diff(edges) == 1, np.diff(edges)) & (groups == 1)
-        windows = pa.compute.binary_length(rows.column("stretch")).to_numpy().astype(np.int64) - length + 1
+        windows = pc.binary_length(rows.column("stretch")).to_numpy().astype(np.int64) - length + 1
         flags = np.where(alone, (1 << windows) - 1, 0)
         several = np.flatnonzero(~alone)
         if len(several):

@@ -1,8 +1,9 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Vectors are sorted by length into buckets of similar length. The best products of a query with the longest
-vectors give it a first threshold. Blocks of queries then meet buckets: a bucket whose longest vector cannot reach
-a query's threshold is skipped; in the others the local threshold of the cosine, threshold / (query length x
+vectors give it a first threshold. Blocks of queries then meet buckets. Which ones is known from a few numbers, before
+any vector moves: a bucket whose longest vector cannot reach the threshold of any query of a block is skipped. In the
+others the local threshold of the cosine, threshold / (query length x
 longest length), chooses the pruning. Where it is low, the bucket's sorted lengths are cut at threshold / query
 length. Where it is high, the query's coordinate of largest share confines the same coordinate of every
 unit vector that can reach the cosine to a short interval, found by bisection in the bucket's sorted list of that
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,34 +26,58 @@ from .common import read_table, written
 BUCKET, SEED, BLOCK, RATIO = 2048, 1024, 1024, 0.9
 #: From this local cosine threshold on, coordinates prune; below, lengths.
 COSINE = 0.6
+#: Levels of length to each doubling; that of vectors of no length, and one above all. Lengths are rounded, products are not: SLACK.
+LEVELS, LOW, HIGH, SLACK = 4, -(1 << 20), 1 << 20, 1 + 1e-9
 HITS = "query_id long, vec_id long, score long"
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """vec_id and x: floor(scale * component) as whole numbers. Rows with a null or non-finite component, or none, go."""
+    """vec_id and x: floor(scale * component) as whole numbers. Rows with a null or non-finite component, or none, go.
+    A component beyond 64 bits raises."""
     v = F.col(vector_col)
     fine = v.isNotNull() & F.col(id_col).isNotNull() & F.forall(v, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
-    return vectors.filter(fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale)).alias("x"))
 
+    def whole(x: F.Column) -> F.Column:
+        y = x.cast("double") * scale
+        return F.when(F.abs(y) < 2.0**63, F.floor(y)).otherwise(F.raise_error(F.lit("a component does not fit a whole number of 64 bits")).cast("long"))
 
-def _pack(ids: np.ndarray, rows: np.ndarray) -> tuple[bytes, bytes]:
-    return ids.astype("<i8").tobytes(), rows.astype("<i8").tobytes()
+    return vectors.filter(fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, whole).alias("x"))
 
 
-def _unpack(ids: bytes, rows: bytes) -> tuple[np.ndarray, np.ndarray]:
+_PACKED = "dim int, width int, ids binary, rows binary"
+
+
+def _pack(ids: np.ndarray, rows: np.ndarray) -> list[pa.Array]:
+    """Of vectors with one number of components: that number, bytes of a component, ids and components."""
+    top = max(int(rows.max(initial=0)), -int(rows.min(initial=0)))
+    kind = next(t for t in ("<i2", "<i4", "<i8") if top <= np.iinfo(t).max or t == "<i8")
+    return [pa.array([rows.shape[1]], pa.int32()), pa.array([np.dtype(kind).itemsize], pa.int32()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([rows.astype(kind).tobytes()], pa.binary())]
+
+
+def _unpack(width: int, ids: bytes, rows: bytes) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(ids, "<i8")
-    return ids, np.frombuffer(rows, "<i8").reshape(len(ids), -1)
+    return ids, np.frombuffer(rows, f"<i{width}").astype(np.int64).reshape(len(ids), -1)
 
 
-def _matrix(batch: pa.RecordBatch, column: int) -> np.ndarray:
-    x = batch.column(column)
-    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+def _matrices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, components) of consecutive rows with one number of components."""
+    n = pc.list_value_length(batch.column(column)).to_numpy()
+    edges = [0, *(np.flatnonzero(np.diff(n)) + 1).tolist(), len(n)] if len(n) else [0]
+    for a, b in zip(edges, edges[1:]):
+        yield a, batch.column(column).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
 
 
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact: in float64 as long as no partial sum can leave the 53 bits, else in 64-bit whole numbers."""
-    bound = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
-    return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64) if bound < 2**53 else q @ x.T
+    """Exact: in float64 as long as no partial sum can leave the 53 bits, else in whole numbers; raises beyond 64 bits."""
+    bound = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(x.astype(np.float64)).max(initial=0)) * q.shape[1]
+    if bound < 2**53:
+        return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
+    if bound < 2**62:
+        return q @ x.T
+    exact = q.astype(object) @ x.T.astype(object)
+    if max(abs(v) for v in exact.ravel().tolist()) >= 2**63:
+        raise OverflowError("a product does not fit a whole number of 64 bits")
+    return exact.astype(np.int64)
 
 
 def _best(queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +99,7 @@ def meet(q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, v_ids: np.ndarray,
     length, q_length = np.sqrt((v.astype(np.float64) ** 2).sum(1)), np.sqrt((q.astype(np.float64) ** 2).sum(1))
     order = np.argsort(-length, kind="stable")
     v_ids, v, length = v_ids[order], v[order], length[order]
-    slack = 1 + 1e-9  # lengths are rounded; products are not
+    slack = SLACK
     alive = np.flatnonzero(q_length * length[0] * slack >= least)
     out = []
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -113,78 +139,96 @@ def top_products(vectors: DataFrame, is_query: F.Column | None = None, k: int =
 
     Components become floor(scale * component). Ties go to the smaller vec_id. Null vectors or ids, and vectors with
     null or non-finite components, take no part; a query without other vectors has no row; empty tables give an
-    empty result; repeated rows of one id count as one vector each and are never partners of their own id. All
-    vectors need one number of components.
+    empty result; repeated rows of one id count as one vector each and are never partners of their own id. Only
+    vectors with as many components meet (all products of vectors without components are 0). Products are exact;
+    one that 64 bits cannot hold raises.
     """
     spark = vectors.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     q = quantised(vectors, id_col, vector_col, scale)
-    with_length = q.withColumn("length", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))
+    with_length = q.withColumn("length", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).withColumn("dim", F.size("x"))
 
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in order of length; a bucket ends at BUCKET vectors or where lengths fall under RATIO of its first."""
+    def numbered() -> Iterator[int]:
+        from pyspark import TaskContext
 
-        def out(ids, rows, length):
-            a, b = _pack(ids, rows)
-            return pa.RecordBatch.from_arrays([pa.array([float(length.max())]), pa.array([a], pa.binary()), pa.array([b], pa.binary())], names=["longest", "ids", "rows"])
+        return iter(range(TaskContext.get().partitionId() << 33, 1 << 62))
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of components and length; a bucket ends at BUCKET vectors or where lengths fall under RATIO of its first."""
+        number = numbered()
+
+        def cut(held, all_of_them):
+            while len(held[0]) > (0 if all_of_them else BUCKET):
+                n = max(1, min(BUCKET, int(np.searchsorted(-held[2], -RATIO * held[2][0], "right"))))
+                if all_of_them and len(held[0]) - n < BUCKET // 8:  # the few that are left join the last bucket
+                    n = len(held[0])
+                ids, rows, length = (x[:n] for x in held)
+                level = LOW if length[0] <= 0 else int(np.floor(LEVELS * np.log2(length[0])))
+                yield pa.RecordBatch.from_arrays([pa.array([next(number)]), pa.array([float(length.max())]), pa.array([level], pa.int32()), *_pack(ids, rows)], names=["bucket", "longest", "level", "dim", "width", "ids", "rows"])
+                held = tuple(x[n:] for x in held)
+            return held
 
         held = None
         for batch in batches:
-            if batch.num_rows:
-                new = batch.column(0).to_numpy(), _matrix(batch, 1), batch.column(2).to_numpy()
+            for at, rows in _matrices(batch, "x"):
+                new = batch.column("vec_id").to_numpy()[at : at + len(rows)], rows, batch.column("length").to_numpy()[at : at + len(rows)]
+                if held is not None and held[1].shape[1] != rows.shape[1]:
+                    yield from cut(held, True)
+                    held = None
                 held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new))
-                while len(held[0]) > BUCKET:
-                    n = max(1, min(BUCKET, int(np.searchsorted(-held[2], -RATIO * held[2][0], "right"))))
-                    yield out(*(x[:n] for x in held))
-                    held = tuple(x[n:] for x in held)
-        while held is not None and len(held[0]):
-            n = max(1, min(BUCKET, int(np.searchsorted(-held[2], -RATIO * held[2][0], "right"))))
-            if len(held[0]) - n < BUCKET // 8:  # the few that are left join the last bucket
-                n = len(held[0])
-            yield out(*(x[:n] for x in held))
-            held = tuple(x[n:] for x in held)
-
-    sorted_ = with_length.repartitionByRange(n_parts, F.col("length").desc(), F.xxhash64("vec_id")).sortWithinPartitions(F.col("length").desc())
-    bucket_rows = written(sorted_.mapInArrow(buckets, "longest double, ids binary, rows binary"), "norm-buckets")
+                held = yield from cut(held, False)
+        if held is not None:
+            yield from cut(held, True)
+
+    sorted_ = with_length.repartitionByRange(n_parts, "dim", F.col("length").desc(), F.xxhash64("vec_id")).sortWithinPartitions("dim", F.col("length").desc())
+    bucket_rows = written(sorted_.mapInArrow(buckets, f"bucket long, longest double, level int, {_PACKED}"), "norm-buckets")
 
     # The first thresholds come from the SEED longest vectors: a fixed number, sent to all tasks.
     seed = with_length.orderBy(F.col("length").desc(), "vec_id").limit(SEED).select("vec_id", "x").collect()
-    seed_ids, seed_rows = np.array([r["vec_id"] for r in seed], np.int64), np.array([r["x"] for r in seed], np.int64)
+    by_dim: dict[int, list] = {}
+    for r in seed:
+        by_dim.setdefault(len(r["x"]), []).append(r)
+    seeds = {d: (np.array([r["vec_id"] for r in rows], np.int64), np.array([r["x"] for r in rows], np.int64).reshape(len(rows), d)) for d, rows in by_dim.items()}
     lowest = np.iinfo(np.int64).min
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        count, part = 0, TaskContext.get().partitionId()
+        number = numbered()
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                one = batch.slice(at, BLOCK)
-                ids, rows = one.column(0).to_numpy(), _matrix(one, 1)
-                least = np.full(len(ids), lowest)
-                scores = _products(rows, seed_rows)
-                scores[ids[:, None] == seed_ids[None, :]] = lowest
-                if scores.shape[1] >= k:
-                    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-                a, b = _pack(ids, rows)
-                yield pa.RecordBatch.from_arrays([pa.array([part * (1 << 33) + count]), *(pa.array([x], pa.binary()) for x in (a, b, least.astype("<i8").tobytes()))], names=["block", "q_ids", "q_rows", "least"])
-                count += 1
-
-    chosen = q.filter(is_query if is_query is not None else F.col("vec_id") % 50 == 0)
-    block_rows = written(chosen.repartition(n_parts, F.xxhash64("vec_id")).mapInArrow(blocks, "block long, q_ids binary, q_rows binary, least binary"), "query-blocks")
+            every = batch.column("vec_id").to_numpy()
+            for first, matrix in _matrices(batch, "x"):
+                for at in range(0, len(matrix), BLOCK):
+                    rows = matrix[at : at + BLOCK]
+                    ids = every[first + at : first + at + len(rows)]
+                    least = np.full(len(ids), lowest)
+                    seed_ids, seed_rows = seeds.get(rows.shape[1], (np.zeros(0, np.int64), rows[:0]))
+                    scores = _products(rows, seed_rows) if len(seed_ids) else np.zeros((len(ids), 0), np.int64)
+                    scores[ids[:, None] == seed_ids[None, :]] = lowest
+                    if scores.shape[1] >= k:
+                        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+                    length = np.sqrt((rows.astype(np.float64) ** 2).sum(1))
+                    with np.errstate(divide="ignore"):
+                        needed = float(np.where(least > 0, least / (length * SLACK), -1.0).min())
+                    level = LOW if needed <= 0 else HIGH if needed == np.inf else int(np.floor(LEVELS * np.log2(needed)))
+                    yield pa.RecordBatch.from_arrays([pa.array([next(number)]), pa.array([needed]), pa.array([level], pa.int32()), pa.array([least.astype("<i8").tobytes()], pa.binary()), *_pack(ids, rows)], names=["block", "needed", "from_level", "least", "dim", "width", "ids", "rows"])
+
+    chosen = q.filter(is_query if is_query is not None else F.col("vec_id") % 50 == 0).withColumn("dim", F.size("x"))
+    block_rows = written(chosen.repartition(n_parts, F.xxhash64("vec_id")).sortWithinPartitions("dim").mapInArrow(blocks, f"block long, needed double, from_level int, least binary, {_PACKED}"), "query-blocks")
+    block_rows = block_rows.select("block", "needed", "from_level", "least", "dim", F.struct("width", "ids", "rows").alias("q"))
+
+    # Blocks and buckets meet by number first, on equal levels of length; vectors move only for pairs that are left.
+    levels = [r["level"] for r in bucket_rows.select("level").distinct().collect()]  # LEVELS to each doubling of the length
+    wanted = block_rows.select("block", "needed", "dim", F.explode(F.filter(F.array(*map(F.lit, sorted(levels))).cast("array<int>"), lambda x: x >= F.col("from_level"))).alias("level"))
+    pairs = wanted.join(bucket_rows.select("bucket", "longest", "level", "dim"), ["level", "dim"]).filter("longest >= needed").select("block", "bucket")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                q_ids, q_rows = _unpack(r["q_ids"], r["q_rows"])
-                found = meet(q_ids, q_rows, np.frombuffer(r["least"], "<i8"), *_unpack(r["ids"], r["rows"]), k)
+            for i in range(batch.num_rows):
+                mine, theirs, least = (batch.column(c)[i].as_py() for c in ("q", "v", "least"))
+                found = meet(*_unpack(mine["width"], mine["ids"], mine["rows"]), np.frombuffer(least, "<i8"), *_unpack(theirs["width"], theirs["ids"], theirs["rows"]), k)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
 
-    # Each bucket is dealt to each block of queries by the block's number: rows of this join are blocks x buckets, never vectors.
-    numbers = [r["block"] for r in block_rows.select("block").collect()]
-    if not numbers:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dealt = bucket_rows.withColumn("block", F.explode(F.array(*map(F.lit, numbers)).cast("array<bigint>")))
-    hits = dealt.join(block_rows, "block").select("q_ids", "q_rows", "least", "ids", "rows").mapInArrow(verify, HITS)
+    met = pairs.join(block_rows.select("block", "q", "least"), "block").join(bucket_rows.select("bucket", F.struct("width", "ids", "rows").alias("v")), "bucket")
+    hits = met.select("q", "least", "v").mapInArrow(verify, HITS)
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
