@@ -198,7 +198,7 @@ def test_expanding_backtests(long_returns):
         rows = path.collect()
         assert len(rows) == 700 and sum(r["turnover"] > 0 for r in rows) >= 15 and all(np.isclose(r["net"], r["gross"] - 0.0005 * r["turnover"]) for r in rows)
     out = portfolios.backtest_out_of_sample(returns, two, 200).groupBy("strategy").agg(F.count("*").alias("n"), F.max("turnover").alias("m")).collect()
-    assert {(r["strategy"], r["n"]) for r in out} == {(s, 500) for s in ("equal_weight", "unconditional", "regime_aware")}
+    assert {(r["strategy"], r["n"]) for r in out} == {(s, 500) for s in ("strategic", "unconditional", "regime_aware")}
     w = portfolios.state_portfolios(regimes.labelled(returns, labels)).groupBy("k").agg(F.sum("w").alias("s")).collect()
     assert len(w) == 2 and all(abs(r["s"] - 1) < 1e-9 for r in w)
 
@@ -232,10 +232,12 @@ def test_tests_reject_different_variances_only(long_returns):
 
 
 def test_adjusted_p_values(spark):
-    # Published pairs of p and q of fifteen tests, to four decimals.
-    rows = spark.createDataFrame([(i, p) for i, p in enumerate([0.01, 0.02, 0.03, 0.04, 0.5, None])], "id int, p_value double")
+    # Published p of fifteen tests, and the adjusted values of the third and fourth.
+    p = [0.0, 0.0014, 0.008, 0.0088, 0.019, 0.118, 0.1384, 0.1872, 0.249, 0.3128, 0.356, 0.4014, 0.508, 0.9416, 0.9514]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate([*p, None])], "id int, p_value double")
     q = {r["id"]: r["q_value"] for r in inference.benjamini_hochberg(rows).collect()}
-    assert np.allclose([q[i] for i in range(5)], [0.05, 0.05, 0.05, 0.05, 0.5]) and 5 not in q
+    assert np.allclose([q[i] for i in range(4)], [0.0, 0.0105, 0.033, 0.033]) and 15 not in q
+    assert np.allclose([q[i] for i in range(15)], [min(1, min(p[j] * 15 / (j + 1) for j in range(i, 15))) for i in range(15)])
 
 
 def test_synchronous_days(spark):

@@ -30,14 +30,14 @@ def drifted(returns: DataFrame, initial: DataFrame, targets: DataFrame, transact
     ``targets`` (dt, asset, w) at the end of each of their days. Turnover is half of the summed weight changes."""
     seg = segments(returns, targets)
     w = initial.select(F.lit(0).cast("long").alias("seg"), "asset", "w").unionByName(targets.join(seg, "dt").select((F.col("seg") + 1).alias("seg"), "asset", "w"))
+    later = Window.partitionBy("asset").orderBy("seg")  # a target follows in the next segment, or the asset has none there
+    w = w.withColumn("next", F.when(F.lead("seg").over(later) == F.col("seg") + 1, F.lead("w").over(later)))
     path = Window.partitionBy("seg", "asset").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
     v = returns.join(seg, "dt").join(w, ["seg", "asset"]).withColumn("v", F.col("w") * F.exp(F.sum("r").over(path)))
-    day = v.groupBy("dt", "seg", "flag").agg(F.sum("v").alias("total"), F.sum("w").alias("start"))
+    moved = F.when(F.col("flag") == 1, F.abs(F.col("next") - F.col("v") / F.sum("v").over(Window.partitionBy("dt"))))
+    day = v.withColumn("moved", moved).groupBy("dt", "seg").agg(F.sum("v").alias("total"), F.sum("w").alias("start"), (F.coalesce(F.sum("moved"), F.lit(0.0)) / 2).alias("turnover"))
     order = Window.partitionBy("seg").orderBy("dt")
-    day = day.withColumn("gross", F.ln("total") - F.coalesce(F.lag(F.ln("total")).over(order), F.ln("start")))
-    after = w.select((F.col("seg") - 1).alias("seg"), "asset", F.col("w").alias("next"))
-    turn = v.filter("flag = 1").join(day.select("dt", "total"), "dt").join(after, ["seg", "asset"]).groupBy("dt").agg((F.sum(F.abs(F.col("next") - F.col("v") / F.col("total"))) / 2).alias("turnover"))
-    out = day.join(turn, "dt", "left").withColumn("turnover", F.coalesce("turnover", F.lit(0.0)))
+    out = day.withColumn("gross", F.ln("total") - F.coalesce(F.lag(F.ln("total")).over(order), F.ln("start")))
     return out.select("dt", "gross", "turnover", (F.col("turnover") * transaction_cost).alias("cost"), (F.col("gross") - F.col("turnover") * transaction_cost).alias("net"))
 
 
@@ -135,14 +135,16 @@ def tail_risk(path: DataFrame, levels: Sequence[float] = (0.95, 0.99), value: st
 
 def drawdown_risk(path: DataFrame, value: str = "net", keep: Sequence[str] = ()) -> DataFrame:
     """Worst and mean drawdown (positive), ulcer and pain index, duration, Calmar on the arithmetic return, downside deviation."""
-    dd = drawdowns(path, value, keep)
+    so_far = Window.partitionBy(*keep).orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
+    below = (F.col("wealth") < F.col("peak")).cast("int")
+    dd = drawdowns(path, value, keep).withColumn("peaks", F.sum(1 - below).over(so_far))  # days below a peak share its number
+    dd = dd.withColumn("run", F.sum(below).over(Window.partitionBy(*keep, "peaks")))
     agg = dd.groupBy(*keep).agg(
         (-F.min("drawdown")).alias("max_drawdown"), F.coalesce(-F.avg(F.when(F.col("drawdown") < 0, F.col("drawdown"))), F.lit(0.0)).alias("avg_drawdown"), F.sqrt(F.avg(F.col("drawdown") * F.col("drawdown"))).alias("ulcer_index"),
         F.avg(F.abs("drawdown")).alias("pain_index"), (F.avg("r") * ANN_CLASS).alias("ann_mean"), (F.stddev_samp("r") * ANN_CLASS**0.5).alias("ann_vol"), F.sqrt(F.avg(F.least("r", F.lit(0.0)) ** 2)).alias("dd0"), F.count("r").alias("n"),
+        F.coalesce(F.max("run"), F.lit(0)).cast("long").alias("max_dd_duration"),
     )
-    agg = agg.withColumn("calmar_ratio", F.when(F.col("max_drawdown") > 0, F.col("ann_mean") / F.col("max_drawdown"))).withColumn("downside_dev", F.col("dd0") * ANN_CLASS**0.5).drop("dd0")
-    longest = longest_drawdown(dd, keep)
-    return agg.join(longest, list(keep)) if keep else agg.withColumn("one", F.lit(1)).join(longest.withColumn("one", F.lit(1)), "one").drop("one")
+    return agg.withColumn("calmar_ratio", F.when(F.col("max_drawdown") > 0, F.col("ann_mean") / F.col("max_drawdown"))).withColumn("downside_dev", F.col("dd0") * ANN_CLASS**0.5).drop("dd0")
 
 
 def rolling_sharpe(path: DataFrame, window: int = 252, value: str = "net", ann: float = ANN_CLASS) -> DataFrame:
@@ -195,3 +197,19 @@ def strategy_profiles(paths: DataFrame) -> DataFrame:
     low = ("var_95", "var_99", "cvar_95", "cvar_99", "max_drawdown", "avg_drawdown", "max_dd_duration", "ulcer_index", "pain_index", "downside_dev")
     high = ("ann_return", "sharpe_ratio", "sortino_ratio", "calmar_ratio")
     return out.withColumns({f"{c}_rank": mid_rank(c, descending=c in high) for c in (*low, *high)})
+
+
+def compare_portfolios(paths: DataFrame, ann: float = ANN_LIVE) -> DataFrame:
+    """Performance and turnover of (strategy, dt, turnover, cost, net), one row per strategy."""
+    traded = paths.groupBy("strategy").agg(F.avg("turnover").alias("avg_turnover"), F.sum("turnover").alias("total_turnover"), F.sum("cost").alias("total_tc"))
+    return performance(paths, keep=("strategy",), ann=ann).join(traded, "strategy")
+
+
+def compare_out_of_sample(paths: DataFrame) -> DataFrame:
+    """One row per strategy of out-of-sample paths: arithmetic annual return and volatility, ratios, drawdown, tail loss, turnover."""
+    risk = drawdown_risk(paths, keep=("strategy",))
+    tail = tail_risk(paths, (0.95,), keep=("strategy",)).select("strategy", F.col("cvar").alias("cvar_95"))
+    traded = paths.groupBy("strategy").agg(F.avg("turnover").alias("avg_turnover"), F.sum("cost").alias("total_tc"))
+    out = risk.join(tail, "strategy").join(traded, "strategy")
+    down = F.when(F.col("downside_dev") > 0, F.col("ann_mean") / F.col("downside_dev"))
+    return out.select("strategy", F.col("ann_mean").alias("ann_return"), F.col("ann_vol").alias("ann_volatility"), ratio(F.col("ann_mean"), F.col("ann_vol")).alias("sharpe_ratio"), "max_drawdown", "calmar_ratio", "cvar_95", down.alias("sortino_ratio"), "avg_turnover", "total_tc")

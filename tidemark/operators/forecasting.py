@@ -190,3 +190,27 @@ def compare_methods(probs: DataFrame, horizon: int = 21, every: int = 20, min_tr
     for blend in (True, False):
         all_ = all_.unionByName(regime_aware(probs, horizon, every, min_train, blend=blend))
     return error_by_horizon(with_realised(all_.filter("forecast_dt IS NOT NULL"), probs), ("method",))
+
+
+def against_random_walk(probs: DataFrame, max_lag: int = 5, min_train: int = 250, refit: int = 21) -> tuple[DataFrame, DataFrame]:
+    """(details, summary) of one-step forecasts by a walk-forward autoregression and by the last value.
+
+    ``details`` has a row per origin: the order in use (chosen anew every ``refit`` days), forecasts, errors and scores.
+    ``summary`` has one row per series: orders, mean scores, skill, hit rates, and Diebold-Mariano statistics of squared
+    and absolute errors.
+    """
+    from .inference import diebold_mariano
+
+    f = multi_horizon(probs, (1,), max_lag, min_train, refit)
+    f = f.select("series", "date_t", F.col("date_th").alias("date_t1"), F.col("ar_order_baseline").alias("ar_order"), "p_t", F.col("p_baseline_th").alias("p_ar_t1"), F.col("p_rw_th").alias("p_rw_t1"), F.col("p_realized_th").alias("p_realized_t1"), F.col("z_th").alias("z_t1"))
+    for m in ("ar", "rw"):
+        p, z = F.col(f"p_{m}_t1"), F.col("z_t1")
+        clipped = F.least(F.greatest(p, F.lit(1e-8)), F.lit(1 - 1e-8))
+        f = f.withColumns({f"error_{m}": p - F.col("p_realized_t1"), f"brier_{m}": (z - p) ** 2, f"logloss_{m}": -(z * F.ln(clipped) + (1 - z) * F.ln(1 - clipped)), f"hit_{m}": ((p >= 0.5) == (z == 1)).cast("double")})
+    means = f.groupBy("series").agg(F.count(F.lit(1)).alias("n_forecasts"), F.mode("ar_order", True).alias("modal_ar_order"), F.avg("ar_order").alias("mean_ar_order"), *(F.avg(f"{c}_{m}").alias(f"{c}_{m}") for c in ("brier", "logloss", "hit") for m in ("ar", "rw")))
+    means = means.withColumn("brier_skill_vs_rw", F.when(F.col("brier_rw") > 0, 1 - F.col("brier_ar") / F.col("brier_rw")))
+    for name, loss in (("squared", lambda e: e * e), ("absolute", F.abs)):
+        d = f.select("series", F.col("date_t").alias("dt"), (loss(F.col("error_ar")) - loss(F.col("error_rw"))).alias("d"))
+        dm = diebold_mariano(d, 1, ("series",))
+        means = means.join(dm.select("series", F.col("statistic").alias(f"dm_stat_{name}"), F.col("p_value").alias(f"dm_pvalue_{name}")), "series", "left")
+    return f, means

@@ -2,7 +2,7 @@
 
 A configuration's windows form one ordered fold: each window's prior and start come from the window before. The
 fold is one grouped task per configuration, and configurations (prior strengths, asset sets, window grids) run in
-parallel. Where nothing passes between windows (grand-mean prior, no smoothing, no decay) each window is a task.
+parallel. Windows between which nothing passes (grand-mean prior, no smoothing, no decay) start anew in that task.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.assignment import kmeans, match, ward
@@ -316,28 +316,27 @@ def state_of(row: pd.Series) -> State:
 
 
 def filtered_probabilities(days: DataFrame, fits: DataFrame, reg: float = 1e-6, align: bool = False) -> DataFrame:
-    """One-sided (t, dt, w, k, p): each day under the latest model whose window ended before it.
+    """One-sided (config_id, t, dt, w, k, p): each day under its configuration's latest model whose window ended before it.
 
     ``align`` renames each model's components to the first model's, matched one model after the other.
     """
-    served = one_sided_serving(days, fits.select("w", "e")).join(days.select("t", "x"), "t")
-    renamed = aligned_names(fits) if align else fits.select("w", F.transform(F.sequence(F.lit(0), F.col("K") - 1), lambda i: i).alias("names"))
-    models = fits.select("w", "means", "covs", "weights").join(renamed.withColumnRenamed("w", "v"), F.col("w") == F.col("v")).select(F.col("v").alias("model"), "means", "covs", "weights", "names")
+    served = one_sided_serving(days, fits.select("config_id", "w", "e"), ("config_id",)).join(days.select("t", "x"), "t")
+    renamed = aligned_names(fits) if align else fits.select("config_id", "w", F.sequence(F.lit(0), F.col("K") - 1).alias("names"))
+    models = fits.select("config_id", "w", "means", "covs", "weights").join(renamed, ["config_id", "w"]).select(F.col("config_id").alias("config"), F.col("w").alias("model"), "means", "covs", "weights", "names")
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("t", "int64"), ("dt", "object"), ("w", "int32"), ("k", "int32"), ("p", "float64"))})
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("config_id", "object"), ("t", "int64"), ("dt", "object"), ("w", "int32"), ("k", "int32"), ("p", "float64"))})
         r = right.iloc[0]
         p, _ = posterior(np.array(left["x"].tolist(), float), state_of(r), reg)
         k = p.shape[1]
-        return pd.DataFrame({"t": np.repeat(left["t"].to_numpy(), k), "dt": np.repeat(left["dt"].to_numpy(), k), "w": r["model"], "k": np.tile(np.array(r["names"]), len(left)), "p": p.ravel()})
+        return pd.DataFrame({"config_id": r["config"], "t": np.repeat(left["t"].to_numpy(), k), "dt": np.repeat(left["dt"].to_numpy(), k), "w": r["model"], "k": np.tile(np.array(r["names"]), len(left)), "p": p.ravel()})
 
-    return served.groupBy("w").cogroup(models.groupBy("model")).applyInPandas(score, "t long, dt date, w int, k int, p double")
+    return served.groupBy("config_id", "w").cogroup(models.groupBy("config", "model")).applyInPandas(score, "config_id string, t long, dt date, w int, k int, p double")
 
 
 def aligned_names(fits: DataFrame) -> DataFrame:
-    """(w, names): for each component of each window the slot it takes, by matching means along the windows."""
-    one = fits.select("w", "means").withColumn("g", F.lit(0))
+    """(config_id, w, names): for each component of each window the slot it takes, by matching means along the windows."""
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         ref, rows = None, []
@@ -353,37 +352,60 @@ def aligned_names(fits: DataFrame) -> DataFrame:
                 free = iter(sorted(set(range(len(m))) - set(names.tolist())))
                 names = np.array([n if n >= 0 else next(free) for n in names])
             ref = m[np.argsort(names)]
-            rows.append({"w": r["w"], "names": names.tolist()})
+            rows.append({"config_id": r["config_id"], "w": r["w"], "names": names.tolist()})
         return pd.DataFrame(rows)
 
-    return one.groupBy("g").applyInPandas(walk, "w int, names array<int>")
+    return fits.select("config_id", "w", "means").groupBy("config_id").applyInPandas(walk, "config_id string, w int, names array<int>")
 
 
 def window_probabilities(days: DataFrame, fits: DataFrame) -> DataFrame:
-    """(w, t, dt, k, p): the responsibilities of every window, before the last update of its parameters."""
-    r = fits.select("w", "s", F.posexplode("resp").alias("i", "row")).select("w", (F.col("s") + F.col("i")).alias("t"), F.posexplode("row").alias("k", "p"))
-    return r.join(days.select("t", "dt"), "t").select("w", "t", "dt", "k", "p")
+    """(config_id, w, t, dt, k, p): the responsibilities of every window, before the last update of its parameters."""
+    r = fits.select("config_id", "w", "s", F.posexplode("resp").alias("i", "row")).select("config_id", "w", (F.col("s") + F.col("i")).alias("t"), F.posexplode("row").alias("k", "p"))
+    return r.join(days.select("t", "dt"), "t").select("config_id", "w", "t", "dt", "k", "p")
+
+
+def implied_moments(fits: DataFrame, assets: Sequence[str]) -> DataFrame:
+    """(config_id, w, end_dt, K, regime, asset, mean, vol, weight): what the models imply, by state and asset.
+
+    ``weight`` is the state's mean responsibility over the window's days.
+    """
+    names = F.array(*map(F.lit, assets))
+    parts = fits.select("config_id", "w", "end_dt", "K", (F.col("e") - F.col("s") + 1).alias("n"), F.posexplode(F.arrays_zip("means", "covs", "neff")).alias("regime", "x"))
+    each = parts.select("config_id", "w", "end_dt", "K", "regime", (F.col("x.neff") / F.col("n")).alias("weight"), F.col("x.covs").alias("c"), F.posexplode("x.means").alias("i", "mean"))
+    return each.select("config_id", "w", "end_dt", "K", "regime", F.get(names, F.col("i")).alias("asset"), "mean", F.sqrt(F.get(F.get("c", F.col("i")), F.col("i"))).alias("vol"), "weight")
+
+
+def pooled_fits(fits: DataFrame) -> DataFrame:
+    """(config_id, k, i, j, mean_i, cov, long_run): means, covariances and long-run shares of the last window's states,
+    averaged over all windows with equal weight; windows that lack a state count too."""
+    each = Window.partitionBy("config_id")
+    own = fits.withColumn("last", F.max_by("K", "w").over(each)).withColumn("n", F.count(F.lit(1)).over(each))
+    states = own.select("config_id", "last", "n", F.posexplode(F.arrays_zip("means", "covs", "weights")).alias("k", "x")).filter("k < last")
+    cells = states.select("config_id", "n", "k", "x.weights", "x.means", F.posexplode("x.covs").alias("i", "row")).select("config_id", "n", "k", "i", "weights", F.get("means", F.col("i")).alias("mean"), F.posexplode("row").alias("j", "cov"))
+    n = F.first("n")
+    sums = cells.groupBy("config_id", "k", "i", "j").agg((F.sum("mean") / n).alias("mean_i"), (F.sum("cov") / n).alias("cov"), F.sum("weights").alias("weight"))
+    total = F.sum("weight").over(Window.partitionBy("config_id", "i", "j"))
+    return sums.select("config_id", "k", "i", "j", "mean_i", "cov", (F.col("weight") / total).alias("long_run"))
 
 
 def covariance_diagnostics(fits: DataFrame) -> DataFrame:
-    """Least eigenvalue, greatest condition number and near-singular count over all covariances."""
+    """Least eigenvalue, greatest condition number and near-singular count over all covariances of a configuration."""
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for covs in pdf["covs"]:
+            for name, covs in zip(pdf["config_id"], pdf["covs"]):
                 for c in covs:
                     e = np.linalg.eigvalsh(np.array([list(r) for r in c], float))
-                    rows.append((e[0], e[-1] / e[0] if e[0] > 0 else np.inf))
-            yield pd.DataFrame(rows, columns=["least", "condition"])
+                    rows.append((name, e[0], e[-1] / e[0] if e[0] > 0 else np.inf))
+            yield pd.DataFrame(rows, columns=["config_id", "least", "condition"])
 
-    e = fits.select("covs").mapInPandas(run, "least double, condition double")
-    return e.agg(F.min("least").alias("min_eigenvalue"), F.max("condition").alias("max_condition_number"), F.count_if(F.col("least") < 1e-8).alias("near_singular_count"))
+    e = fits.select("config_id", "covs").mapInPandas(run, "config_id string, least double, condition double")
+    return e.groupBy("config_id").agg(F.min("least").alias("min_eigenvalue"), F.max("condition").alias("max_condition_number"), F.count_if(F.col("least") < 1e-8).alias("near_singular_count"))
 
 
 def mean_drift(fits: DataFrame) -> DataFrame:
-    """Mean distance of matched component means of neighbouring windows."""
-    one = fits.select("w", "means").withColumn("g", F.lit(0))
+    """(config_id, mean_drift): mean distance of matched component means of a configuration's neighbouring windows."""
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         gaps, last = [], None
@@ -393,9 +415,9 @@ def mean_drift(fits: DataFrame) -> DataFrame:
                 d = np.linalg.norm(m[:, None] - last[None], axis=2)
                 gaps.append(np.mean([d[a, b] for a, b in match(d)]))
             last = m
-        return pd.DataFrame({"mean_drift": [float(np.mean(gaps)) if gaps else None]})
+        return pd.DataFrame({"config_id": [pdf["config_id"].iloc[0]], "mean_drift": [float(np.mean(gaps)) if gaps else None]})
 
-    return one.groupBy("g").applyInPandas(walk, "mean_drift double")
+    return fits.select("config_id", "w", "means").groupBy("config_id").applyInPandas(walk, "config_id string, mean_drift double")
 
 
 def diagnostics(fits: DataFrame) -> DataFrame:
@@ -405,5 +427,3 @@ def diagnostics(fits: DataFrame) -> DataFrame:
 
 def describe(cfg: Config) -> dict:
     return asdict(cfg)
-
-

@@ -114,11 +114,19 @@ def efficient_frontier(returns: DataFrame, n: int = 50, bounds: Bounds = Bounds(
     return moment_arrays(returns).mapInPandas(run, "point int, expected_return double, volatility double, asset string, w double")
 
 
+def _until(returns: DataFrame, dates: DataFrame) -> DataFrame:
+    """(dt, on): each day of the returns with the first of ``dates`` from it on; days after the last have none."""
+    marked = returns.select("dt").distinct().join(dates.select("dt", F.col("dt").alias("d")).distinct(), "dt", "left")
+    return marked.select("dt", F.min("d").over(Window.orderBy("dt").rowsBetween(0, Window.unboundedFollowing)).alias("on")).filter("on is not null")
+
+
 def expanding_moments(returns: DataFrame, dates: DataFrame) -> DataFrame:
-    """(dt, t, cells) on ``dates``: moments of all days up to each, as running windows over pairs of assets."""
-    past = Window.partitionBy("a", "b").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
-    two = pairs(returns).select("dt", "a", "b", F.covar_samp("ra", "rb").over(past).alias("cov"), F.avg("ra").over(past).alias("ma"), (F.count("ra").over(past) - 1).alias("t"))
-    return _arrays(two.join(dates.select("dt"), "dt", "left_semi"), ("dt", "t"))
+    """(dt, t, cells) on ``dates``: moments of all days up to each. Sums between two dates first, then sums of those."""
+    two = pairs(returns).join(_until(returns, dates), "dt").groupBy("on", "a", "b").agg(F.count("ra").alias("n"), F.sum("ra").alias("sa"), F.sum("rb").alias("sb"), F.sum(F.col("ra") * F.col("rb")).alias("sab"))
+    past = Window.partitionBy("a", "b").orderBy("on").rowsBetween(Window.unboundedPreceding, 0)
+    two = two.select(F.col("on").alias("dt"), "a", "b", *(F.sum(c).over(past).alias(c) for c in ("n", "sa", "sb", "sab")))
+    cov = F.when(F.col("n") > 1, (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / (F.col("n") - 1))
+    return _arrays(two.select("dt", "a", "b", cov.alias("cov"), (F.col("sa") / F.col("n")).alias("ma"), (F.col("n") - 1).alias("t")), ("dt", "t"))
 
 
 def equal_weights(returns: DataFrame) -> DataFrame:
@@ -136,14 +144,18 @@ def backtest_unconditional(returns: DataFrame, min_train: int = 252, transaction
     return drifted(returns, equal_weights(returns), targets, transaction_cost)
 
 
-def weighted_expanding(returns: DataFrame, probs: DataFrame, dates: DataFrame) -> DataFrame:
-    """(dt, t, k, total, cells) on ``dates``: probability-weighted moments of each state over all days up to each."""
-    weighted = pairs(returns).join(probs.select("dt", "k", "p"), "dt")
-    past = Window.partitionBy("k", "a", "b").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
-    s = lambda c: F.sum(c).over(past)
-    x = weighted.select("dt", "k", "a", "b", s(F.col("p")).alias("n"), s(F.col("p") * F.col("ra")).alias("sa"), s(F.col("p") * F.col("rb")).alias("sb"), s(F.col("p") * F.col("ra") * F.col("rb")).alias("sab"), (F.count("p").over(past) - 1).alias("t"))
-    x = x.filter("n > 0").withColumn("ma", F.col("sa") / F.col("n")).withColumn("cov", F.col("sab") / F.col("n") - F.col("ma") * F.col("sb") / F.col("n"))
-    x = x.join(dates.select("dt"), "dt", "left_semi")
+def weighted_expanding(returns: DataFrame, probs: DataFrame, dates: DataFrame, unbiased: bool = False) -> DataFrame:
+    """(dt, t, k, total, cells) on ``dates``: probability-weighted moments of each state over all days up to each.
+
+    Covariances are divided by the weights' sum or, ``unbiased``, by it less the sum of their squares over it.
+    """
+    p = F.col("p")
+    weighted = pairs(returns).join(probs.select("dt", "k", "p"), "dt").join(_until(returns, dates), "dt")
+    sums = weighted.groupBy("on", "k", "a", "b").agg(F.sum(p).alias("n"), F.sum(p * p).alias("n2"), F.sum(p * F.col("ra")).alias("sa"), F.sum(p * F.col("rb")).alias("sb"), F.sum(p * F.col("ra") * F.col("rb")).alias("sab"), F.count("p").alias("t"))
+    past = Window.partitionBy("k", "a", "b").orderBy("on").rowsBetween(Window.unboundedPreceding, 0)
+    x = sums.select(F.col("on").alias("dt"), "k", "a", "b", *(F.sum(c).over(past).alias(c) for c in ("n", "n2", "sa", "sb", "sab", "t"))).filter("n > 0").withColumn("t", F.col("t") - 1)
+    scatter = F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")
+    x = x.withColumn("ma", F.col("sa") / F.col("n")).withColumn("cov", ratio(scatter, F.col("n") - F.col("n2") / F.col("n")) if unbiased else scatter / F.col("n"))
     return x.groupBy("dt", "t", "k").agg(F.max("n").alias("total"), F.array_sort(F.collect_list(F.struct("a", "b", "cov", "ma"))).alias("cells"))
 
 
@@ -181,9 +193,10 @@ def backtest_regimes(returns: DataFrame, probs: DataFrame, signal: DataFrame, mi
 def backtest_out_of_sample(returns: DataFrame, probs: DataFrame, initial: int = 1250, every: int = 63, transaction_cost: float = 0.0005, bounds: Bounds = Bounds(), blend: bool = True) -> DataFrame:
     """(strategy, dt, gross, turnover, cost, net) of three strategies from day ``initial`` on, without drift.
 
-    Weights are set anew every day: equal; the unconditional portfolio; the state portfolios blended by (or switched
-    to the state of) the day's probabilities. Portfolios are computed every ``every`` days from the days before.
-    Turnover is the whole absolute change of targets, 0 on the first day.
+    Portfolios are computed every ``every`` days from the days before: unconditional; per state, with probabilities
+    (dt, k, p) as weights; strategic, the states' blended by their mean probabilities so far. ``regime_aware`` blends the
+    states' portfolios by the day's probabilities (or takes the most probable one's); without any that day the weights
+    stay. Turnover is the whole absolute change of targets, 0 on the first day.
     """
     returns = returns.persist()
     days = returns.select("dt").distinct().withColumn("t", F.row_number().over(Window.orderBy("dt")) - 1)
@@ -191,15 +204,52 @@ def backtest_out_of_sample(returns: DataFrame, probs: DataFrame, initial: int =
     starts = live.groupBy("block").agg(F.min("t").alias("t0"))
     before = days.join(starts, days["t"] == starts["t0"] - 1).select("dt", "block")  # the last day that a block's portfolios may know
     plain = optimised(expanding_moments(returns, before).join(before, "dt"), ("block",), bounds=bounds).select("block", "asset", "w")
-    hard = probs.withColumn("r", F.row_number().over(Window.partitionBy("dt").orderBy(F.col("p").desc(), "k"))).select("dt", "k", (F.col("r") == 1).cast("double").alias("p"))
-    state = optimised(weighted_expanding(returns, hard.filter("p > 0"), before).join(before, "dt"), ("block", "k"), bounds=bounds).select("block", "k", "asset", "w")
-    shares = probs if blend else hard
-    mixed = live.join(shares, "dt").join(state, ["block", "k"]).groupBy("dt", "asset").agg(ratio(F.sum(F.col("p") * F.col("w")), F.sum("p")).alias("w"))
-    mixed = mixed.withColumn("w", F.coalesce("w", F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy("dt"))))  # no portfolio of the day's state yet
-    even = equal_weights(returns)
-    weights = live.join(plain, "block").select(F.lit("unconditional").alias("strategy"), "dt", "asset", "w").unionByName(mixed.select(F.lit("regime_aware").alias("strategy"), "dt", "asset", "w"))
-    weights = weights.unionByName(live.select("dt", F.lit(1).alias("o")).join(even.withColumn("o", F.lit(1)), "o").select(F.lit("equal_weight").alias("strategy"), "dt", "asset", "w"))
-    step = Window.partitionBy("strategy", "asset").orderBy("dt")
-    x = weights.withColumn("change", F.abs(F.col("w") - F.lag("w").over(step))).join(returns, ["dt", "asset"])
-    out = x.groupBy("strategy", "dt").agg(F.ln(F.sum(F.col("w") * F.exp("r"))).alias("gross"), F.coalesce(F.sum("change"), F.lit(0.0)).alias("turnover"))
+    moments = weighted_expanding(returns, probs.filter("p > 0"), before, unbiased=True).join(before, "dt")
+    state = optimised(moments, ("block", "k"), bounds=bounds).select("block", "k", "asset", "w")
+    known = probs.join(_until(returns, before), "dt").groupBy("on", "k").agg(F.sum("p").alias("p"))
+    so_far = Window.partitionBy("k").orderBy("on").rowsBetween(Window.unboundedPreceding, 0)
+    shares = known.select(F.col("on").alias("dt"), "k", F.sum("p").over(so_far).alias("p")).join(before, "dt").select("block", "k", "p")
+
+    def blended(x: DataFrame, by: str) -> DataFrame:
+        return x.groupBy(by, "asset").agg(ratio(F.sum(F.col("p") * F.col("w")), F.sum("p")).alias("w"))
+
+    strategic = blended(state.join(shares, ["block", "k"]), "block")
+    if not blend:
+        probs = probs.groupBy("dt").agg(F.max_by(F.struct("k"), F.struct("p", -F.col("k"))).alias("m")).select("dt", F.col("m.k").alias("k"), F.lit(1.0).alias("p"))
+    aware = blended(live.join(probs, "dt").join(state, ["block", "k"]), "dt")
+    spine = live.select("dt", F.lit(1).alias("o")).join(equal_weights(returns).select("asset", F.col("w").alias("even"), F.lit(1).alias("o")), "o")
+    step = Window.partitionBy("asset").orderBy("dt")
+    held = F.coalesce(F.last("w", True).over(step), F.col("even"))
+    aware = spine.join(aware, ["dt", "asset"], "left").select("dt", "asset", held.alias("w"))
+    each = live.select("dt", "block")
+    weights = each.join(plain, "block").select(F.lit("unconditional").alias("strategy"), "dt", "asset", "w").unionByName(aware.select(F.lit("regime_aware").alias("strategy"), "dt", "asset", "w")).unionByName(each.join(strategic, "block").select(F.lit("strategic").alias("strategy"), "dt", "asset", "w"))
+    change = F.abs(F.col("w") - F.lag("w").over(Window.partitionBy("strategy", "asset").orderBy("dt")))
+    x = weights.withColumn("change", change).join(returns, ["dt", "asset"])
+    out = x.groupBy("strategy", "dt").agg(F.ln(F.sum(F.col("w") * F.exp("r")) / F.sum("w")).alias("gross"), F.coalesce(F.sum("change"), F.lit(0.0)).alias("turnover"))
     return out.withColumn("cost", F.col("turnover") * transaction_cost).withColumn("net", F.col("gross") - F.col("cost"))
+
+
+def risk_report(paths: DataFrame, n_bootstrap: int = 5000, seed: int = 42) -> dict[str, DataFrame | str]:
+    """Of (strategy, dt, net): ``performance`` (profiles with ranks), ``risk_metrics``, ``sharpe_tests``, ``drawdown_tests``
+    and ``cvar_tests`` of every strategy against the unconditional (else the first) one, and a text ``summary``."""
+    from functools import reduce
+
+    from .backtest import drawdown_risk, strategy_profiles
+    from .bootstrap import path_difference
+
+    names = sorted(r["strategy"] for r in paths.select("strategy").distinct().collect())  # strategies are few
+    base = next((n for n in names if n.lower() == "unconditional"), names[0])
+    out: dict[str, DataFrame | str] = {"performance": strategy_profiles(paths), "risk_metrics": drawdown_risk(paths, keep=("strategy",))}
+    for kind in ("sharpe", "drawdown", "cvar"):
+        tests = [path_difference(paths, n, base, kind, n_bootstrap, seed).select(F.lit(f"{n} vs {base}").alias("comparison"), "*") for n in names if n != base]
+        out[f"{kind}_tests"] = reduce(DataFrame.unionByName, tests) if tests else path_difference(paths, base, base, kind, 1, seed).limit(0).select(F.lit("").alias("comparison"), "*")
+    best = out["performance"].toPandas().set_index("strategy")
+    lines = ["Risk summary", ""]
+    for label, column, greatest, form in (("Best Sharpe ratio", "sharpe_ratio", True, "{:.4f}"), ("Lowest maximum drawdown", "max_drawdown", False, "{:.2%}"), ("Best Calmar ratio", "calmar_ratio", True, "{:.4f}"), ("Lowest CVaR (95%)", "cvar_95", False, "{:.4%}")):
+        which = (best[column].idxmax if greatest else best[column].idxmin)()
+        lines.append(f"- {label}: {which} ({form.format(best.loc[which, column])})")
+    for kind, form in (("sharpe", "{:.4f}"), ("drawdown", "{:.4%}")):
+        for r in out[f"{kind}_tests"].collect():
+            mark = "***" if r["p_value"] < 0.01 else "**" if r["p_value"] < 0.05 else "*" if r["p_value"] < 0.1 else ""
+            lines.append(f"- {r['comparison']}: {kind} difference {form.format(r['diff'])}, p {r['p_value']:.4f} {mark}".rstrip())
+    return out | {"summary": "\n".join(lines)}

@@ -127,17 +127,17 @@ def estimation_windows(days: DataFrame, size: int, step: int, partial: bool = Fa
     return w.join(days.select(F.col("t").alias("e"), F.col("dt").alias("end_dt")), "e").select("w", "s", "e", "end_dt")
 
 
-def one_sided_serving(days: DataFrame, windows: DataFrame) -> DataFrame:
-    """(t, dt, w): the latest window that ends strictly before the day. Days up to the first end have none.
+def one_sided_serving(days: DataFrame, windows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(…, t, dt, w): the latest window that ends strictly before the day. Days up to the first end have none.
 
     Each window is spread over the days that it serves, so days and windows meet in an equi-join.
     """
     n = days.agg(F.max("t").alias("m")).first()["m"]
     if n is None:
-        return days.select("t", "dt", F.lit(None).cast("int").alias("w"))
-    ends = windows.select("w", "e", F.lead("e").over(Window.orderBy("e")).alias("next"))
-    served = ends.select("w", (F.col("e") + 1).alias("a"), F.least(F.coalesce("next", F.lit(n)), F.lit(n)).alias("b")).filter("a <= b").select("w", F.explode(F.sequence("a", "b")).alias("t"))
-    return days.select("t", "dt").join(served, "t")
+        return windows.select(*keep).join(days.select("t", "dt", F.lit(None).cast("int").alias("w")), F.lit(True)) if keep else days.select("t", "dt", F.lit(None).cast("int").alias("w"))
+    ends = windows.select(*keep, "w", "e", F.lead("e").over(Window.partitionBy(*keep).orderBy("e")).alias("next"))
+    served = ends.select(*keep, "w", (F.col("e") + 1).alias("a"), F.least(F.coalesce("next", F.lit(n)), F.lit(n)).alias("b")).filter("a <= b").select(*keep, "w", F.explode(F.sequence("a", "b")).alias("t"))
+    return days.select("t", "dt").join(served, "t").select(*keep, "t", "dt", "w")
 
 
 def covering(days: DataFrame, windows: DataFrame) -> DataFrame:
@@ -146,12 +146,16 @@ def covering(days: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def retrospective(probs: DataFrame) -> DataFrame:
-    """Mean over all windows that contain a day of long (w, t, dt, k, p), 0 for states that a window lacks."""
-    by = probs.groupBy("t", "dt", "k").agg(F.sum("p").alias("p"))
-    windows = probs.select("t", "w").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    states = [r["k"] for r in probs.select("k").distinct().orderBy("k").collect()]
-    spine = probs.select("t", "dt").distinct().select("t", "dt", F.explode(F.array(*map(F.lit, states))).alias("k")) if states else by.select("t", "dt", "k")
-    return spine.join(by, ["t", "dt", "k"], "left").join(windows, "t").select("t", "dt", "k", (F.coalesce("p", F.lit(0.0)) / F.col("n")).alias("p"))
+    """Mean over all windows that contain a day of long (w, t, dt, k, p), 0 for states that a window lacks.
+
+    With a ``config_id`` each configuration by itself. Every window has state 0, so its rows count a day's windows.
+    """
+    keep = [c for c in ("config_id",) if c in probs.columns]
+    by = probs.groupBy(*keep, "t", "dt", "k").agg(F.sum("p").alias("p"), F.count(F.lit(1)).alias("n"))
+    by = by.withColumn("last", F.max("k").over(Window.partitionBy(*keep)))  # over one row per day and state
+    day = by.groupBy(*keep, "t", "dt").agg(F.max("n").alias("n"), F.first("last").alias("last"), F.map_from_entries(F.collect_list(F.struct("k", "p"))).alias("sums"))
+    spread = day.select(*keep, "t", "dt", "n", "sums", F.explode(F.sequence(F.lit(0), F.col("last").cast("int"))).alias("k"))
+    return spread.select(*keep, "t", "dt", "k", (F.coalesce(F.try_element_at("sums", F.col("k").cast(probs.schema["k"].dataType)), F.lit(0.0)) / F.col("n")).alias("p"))
 
 
 def window_means(probs: DataFrame) -> DataFrame:
@@ -165,11 +169,14 @@ def effective_sizes(resp: DataFrame) -> DataFrame:
 
 def weighted_moments(resp: DataFrame, returns: DataFrame) -> DataFrame:
     """Responsibility-weighted mean and volatility: (w, k, asset, mean, vol, weight); resp has (w, t, dt, k, p)."""
-    joined = resp.join(returns, "dt")
-    s0, s1, s2 = F.sum("p"), F.sum(F.col("p") * F.col("r")), F.sum(F.col("p") * F.col("r") * F.col("r"))
-    out = joined.groupBy("w", "k", "asset").agg((s0 + 1e-15).alias("s0"), s1.alias("s1"), s2.alias("s2"), F.avg("p").alias("weight"))
-    mean = F.col("s1") / F.col("s0")
-    return out.select("w", "k", "asset", mean.alias("mean"), F.sqrt(F.greatest(F.col("s2") / F.col("s0") - mean * mean, F.lit(0.0))).alias("vol"), "weight")
+    centre = F.avg("r").over(Window.partitionBy("asset"))  # sums of squares about it do not cancel
+    joined = resp.join(returns.withColumn("c", centre).withColumn("x", F.col("r") - F.col("c")), "dt")
+    out = joined.groupBy("w", "k", "asset").agg(F.sum("p").alias("s"), F.sum(F.col("p") * F.col("x")).alias("s1"), F.sum(F.col("p") * F.col("x") * F.col("x")).alias("s2"), F.first("c").alias("c"), F.avg("p").alias("weight"))
+    n = F.col("s") + 1e-15
+    mean = (F.col("s1") + F.col("c") * F.col("s")) / n
+    off = mean - F.col("c")
+    var = (F.col("s2") - 2 * off * F.col("s1") + off * off * F.col("s")) / n
+    return out.select("w", "k", "asset", mean.alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("vol"), "weight")
 
 
 def pooled(moments_long: DataFrame) -> DataFrame:
@@ -180,6 +187,23 @@ def pooled(moments_long: DataFrame) -> DataFrame:
     )
 
 
+def select_pair(sample: DataFrame, mode: str = "ordered", min_n: int = 50) -> DataFrame:
+    """(regime_low, regime_high): one row; the first and last label, or (``realised_vol``) those of least and greatest
+    mean volatility over assets, among states with ``min_n`` days or more (of ties the lower label). Raises under two states."""
+    if mode not in ("ordered", "realised_vol"):
+        raise ValueError("mode must be 'ordered' or 'realised_vol'")
+    ends = sample.agg(F.min("regime").alias("a"), F.max("regime").alias("b"))
+    checked = F.when(F.col("a") < F.col("b"), F.col("a")).otherwise(F.raise_error(F.lit("two states are needed")).cast("int"))
+    ends = ends.select(checked.alias("a"), "b")
+    if mode == "ordered":
+        return ends.select(F.col("a").alias("regime_low"), F.col("b").alias("regime_high"))
+    vols = sample.groupBy("regime", "asset").agg(F.stddev_samp("r").alias("sd"), F.count("r").alias("n")).groupBy("regime").agg(F.avg("sd").alias("v"), F.max("n").alias("n")).filter((F.col("n") >= min_n) & F.col("v").isNotNull())
+    key = F.struct("v", "regime")
+    both = vols.agg(F.count(F.lit(1)).alias("m"), F.min(key)["regime"].alias("low"), F.max(F.struct("v", (-F.col("regime")).alias("k")))["k"].alias("high"))
+    few = F.col("m") < 2
+    return ends.join(both, F.lit(True)).select(F.when(few, F.col("a")).otherwise(F.col("low")).alias("regime_low"), F.when(few, F.col("b")).otherwise(-F.col("high")).alias("regime_high"))  # one row each
+
+
 def pooled_equal(moments_long: DataFrame, n_windows: int, last_k: int) -> DataFrame:
     """Means over all windows with equal weight, also over those that lack a state, of the states of the last window."""
     return moments_long.filter(F.col("k") < last_k).groupBy("k", "asset").agg((F.sum("mean") / n_windows).alias("mean"), (F.sum("vol") / n_windows).alias("vol"))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import backtest, panel
 from ..sources.tables import table
-from . import kernels, relational
+from . import kernels, relational, reports  # noqa: F401  reports adds to the relational queries
 
 QUERIES = relational.QUERIES | kernels.QUERIES
-SQL: dict[str, str] = dict(relational.SQL)
+SQL: dict[str, str] = relational.SQL | kernels.SQL
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

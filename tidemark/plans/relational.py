@@ -581,15 +581,6 @@ def _(s, d):
     return c.groupBy(F.col("c_mktsegment").alias("asset")).pivot("label", ["q0", "q1", "q2"]).agg(F.min("c_acctbal"))
 
 
-@query("breaking_points", """WITH t AS (SELECT s_suppkey AS tier, (s_suppkey % 10) / 10.0 AS k_match, (s_suppkey % 7) / 7.0 AS min_corr, s_suppkey % 5 AS unstable, CAST(s_suppkey % 90 AS DOUBLE) AS neff FROM supplier),
-r AS (SELECT tier, concat_ws(', ', CASE WHEN k_match < 0.8 THEN 'K match' END, CASE WHEN min_corr < 0.7 THEN 'low correlation' END, CASE WHEN unstable > 2 THEN 'unstable windows' END, CASE WHEN neff < 50 THEN 'low Neff' END) AS reasons FROM t) SELECT * FROM r WHERE reasons <> ''""")
-def _(s, d):
-    t = table(s, d, "supplier").select(F.col("s_suppkey").alias("tier"), (F.col("s_suppkey") % 10 / 10.0).alias("k_match_rate"), (F.col("s_suppkey") % 7 / 7.0).alias("min_corr"), (F.col("s_suppkey") % 5).alias("unstable_windows"), (F.col("s_suppkey") % 90).cast("double").alias("min_neff"))
-    from ..operators.studies import breaking_points
-
-    return breaking_points(t).select("tier", "reasons")
-
-
 @query("formatting", """SELECT c_custkey AS id, printf('%.1f%%', CAST(c_custkey % 1000 AS DOUBLE) / 1000 * 100) AS pct, CASE WHEN c_custkey % 200 < 2 THEN '***' WHEN c_custkey % 200 < 10 THEN '**' WHEN c_custkey % 200 < 20 THEN '*' ELSE '-' END AS stars FROM customer""")
 def _(s, d):
     c = table(s, d, "customer")
