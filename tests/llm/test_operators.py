@@ -228,6 +228,25 @@ def test_headers_and_anchors_of_an_article():
     assert html_text.Page("<body><header>Site</header><p>Text").text([{"region": "body", "template": ["body", "header", "p"]}]) == "Text"
 
 
+def test_names_of_several_words_and_teasers():
+    page = """<body><div class="search-story"><article><p>Long article text, more than its neighbours hold.</p><div class="cookie-bar">Cookies</div>
+<div class="ad-slot">Buy</div><p class="story-ad-free">Kept</p></article></div><article class=teaser><p>Short</p></article><div class="site-footer">Foot</div></body>"""
+    assert html_text.Page(page).text(None) == "Long article text, more than its neighbours hold.\nKept"
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        p = html_text.Page("<div class=a><b>x" * n)
+        assert p.text(None).count("x") == n and p.below()[0][0] == n and len(p.slot_texts()["div[class=a]"]) == 2 * n - 1
+        return time.process_time() - began
+
+    took(100)
+    assert took(16_000) < 12 * took(2_000) + 0.5
+
+
 @pytest.mark.parametrize("case", ["spread", "alike"])
 def test_top_products(spark, case):
     rng = np.random.default_rng(7)

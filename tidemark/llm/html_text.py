@@ -49,33 +49,45 @@ _BLOCK = frozenset(
 _PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th tr pre blockquote option caption figcaption legend summary center address".split())
 #: Elements whose ids are anchors made from their headings.
 _ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
-#: Elements, words of class or role, and whole ids that are not the main text.
+#: Elements, words of class or role, and whole ids that are not the main text. A name of several words counts if the
+#: others are NEUTRAL: "cookie-bar" does, "search-story" and "article-header" do not.
 _OTHER = frozenset("nav header footer aside form head button select dialog menu datalist".split())
 _OTHER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead complementary contentinfo comment comments reply replies respond disqus share sharing social related recommended recommendations newsletter subscribe signup login popup modal overlay search".split()
 )
+_NEUTRAL = frozenset(
+    "area bar block bottom box btn button buttons center col column content contents container form global group head icon icons inner input item items js label left link links list main module outer page panel posts primary right row secondary section site slot sticky strip text the title top unit widget widgets wp wrap wrapper".split()
+)
 
 
-def joined(runs: Iterable[tuple[str, tuple[int, ...]]]) -> str:
+def joined(runs: Iterable[tuple[str, int]]) -> str:
     """One line of the runs' text."""
     return " ".join("".join(x for x, _ in runs).split())
 
 
 class Page:
-    """One pass over a page: its token keys in order, the text below each, and the blocks of text as runs with the tokens around."""
+    """One pass over a page: its token keys in order, the token around each, and the blocks of text as runs with the
+    innermost token around. All that follows walks the tokens once, parents before children: time is linear in the page."""
 
     def __init__(self, source: str):
         self.keys: list[str] = []
-        self.depth: list[tuple[int, ...]] = []  # for each token, the tokens around it
-        self.blocks: list[list[tuple[str, tuple[int, ...]]]] = []  # of each block its runs of text and the tokens around
+        self.parent: list[int] = []  # for each token, the one around it, or -1
+        self.blocks: list[list[tuple[str, int]]] = []  # of each block its runs of text and the tokens around, or -1
         self.other: list[bool] = []
         self.header: list[bool] = []  # other, but as a header only, which within an article is the article's own
         self._parse(source)
+        self.dead: list[bool] = []  # within an element that is no main text
+        self.owners: list[int] = []  # the innermost element around, or the token's own, that has a slot; -1
+        for i, up in enumerate(self.parent):
+            tag, marked = self.keys[i].partition("[")[::2]
+            self.dead.append(self.other[i] or up >= 0 and self.dead[up])
+            self.owners.append(i if tag in _BLOCK and (marked or tag not in _PLAIN) else self.owners[up] if up >= 0 else -1)
 
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = []
-        around: tuple[int, ...] = ()
-        runs: list[tuple[str, tuple[int, ...]]] = []
+        open_: Counter = Counter()
+        runs: list[tuple[str, int]] = []
+        around = -1
 
         def flush() -> None:
             nonlocal runs
@@ -87,6 +99,9 @@ class Page:
             if x:
                 runs.append((html.unescape(x), around))
 
+        def pop() -> None:
+            open_[stack.pop()[0]] -= 1
+
         at = 0
         for m in _TOKEN.finditer(source):
             if m.start() > at:
@@ -100,12 +115,14 @@ class Page:
             if block:
                 flush()
             if m["close"] or m["close2"]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
-                    if tag == "p" and stack[i][0] in _BLOCK or not block and stack[i][0] in _BLOCK:
-                        break  # a stray closing tag closes nothing beyond its block
+                if open_[tag]:
+                    for i in range(len(stack) - 1, -1, -1):
+                        if stack[i][0] == tag:
+                            while len(stack) > i:
+                                pop()
+                            break
+                        if tag == "p" and stack[i][0] in _BLOCK or not block and stack[i][0] in _BLOCK:
+                            break  # a stray closing tag closes nothing beyond its block
             else:
                 attrs = m["attrs"] or m["attrs2"] or ""
                 key, other, header = self._key(tag, attrs)
@@ -114,14 +131,15 @@ class Page:
                 self.other.append(other)
                 self.header.append(header)
                 if block and tag != "br":  # an open paragraph, and an item or cell of the same kind, ends here
-                    while stack and (stack[-1][0] == "p" or stack[-1][0] not in _BLOCK and any(x == "p" for x, _ in stack) and self._in_p(stack)):
-                        stack.pop()
+                    while stack and (stack[-1][0] == "p" or stack[-1][0] not in _BLOCK and open_["p"] and self._in_p(stack)):
+                        pop()
                     if stack and stack[-1][0] == tag and tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
-                        stack.pop()
-                self.depth.append(tuple(i for _, i in stack))
+                        pop()
+                self.parent.append(stack[-1][1] if stack else -1)
                 if tag not in _VOID and not attrs.rstrip().endswith("/"):
                     stack.append((tag, number))
-            around = tuple(i for _, i in stack)
+                    open_[tag] += 1
+            around = stack[-1][1] if stack else -1
         if at < len(source):
             rest = source[at:]
             cut = re.search(r"<[a-z/!?][^>]*\Z", rest, re.IGNORECASE)  # a tag that the page's end cuts
@@ -144,11 +162,14 @@ class Page:
         if not attrs or "=" not in attrs:
             return tag, tag in _OTHER, tag == "header"
         found = {m[1].lower(): (m[2] or m[3] or m[4] or "").strip().lower() for m in _ATTRIBUTE.finditer(attrs)}
-        words = set(_WORD.findall(" ".join(v for k, v in found.items() if k != "id")))
+        why = {tag} & _OTHER
+        for name in " ".join(v for k, v in found.items() if k != "id").split():
+            words = set(_WORD.findall(name))
+            if words & _OTHER_WORDS and words <= _OTHER_WORDS | _NEUTRAL:
+                why |= words & _OTHER_WORDS
         if tag not in _ANCHORED:
-            words.add(found.get("id", ""))
+            why |= {found.get("id", "")} & _OTHER_WORDS
         key = tag + "".join(f"[{k}={v}]" for k, v in sorted(found.items()) if v)
-        why = ({tag} & _OTHER) | (words & _OTHER_WORDS)
         return key, bool(why), why == {"header"}
 
     def main_rank(self, i: int) -> int:
@@ -159,35 +180,39 @@ class Page:
             return 0
         return 1 if tag == "main" or "main" in words else 9
 
-    def below(self) -> tuple[Counter, int]:
+    def below(self) -> tuple[list[int], int]:
         """Characters of text below each token, and of the page, outside other elements; white space does not count."""
-        out: Counter = Counter()
-        total = 0
-        for text, inside in (run for block in self.blocks for run in block):
-            if not any(self.other[i] for i in inside):
+        out, total = [0] * len(self.keys), 0
+        for text, i in (run for block in self.blocks for run in block):
+            if i < 0 or not self.dead[i]:
                 n = sum(map(len, text.split()))
                 total += n
-                for i in inside:
+                if i >= 0:
                     out[i] += n
+        for i in range(len(out) - 1, -1, -1):
+            if self.parent[i] >= 0:
+                out[self.parent[i]] += out[i]
         return out, total
 
-    def owner(self, inside: tuple[int, ...]) -> int | None:
-        """The innermost element around a text that has a slot."""
-        for i in reversed(inside):
-            tag, marked = self.keys[i].partition("[")[::2]
-            if tag in _BLOCK and (marked or tag not in _PLAIN):
-                return i
-        return None
-
     def slot_texts(self) -> dict[str, str]:
         """Token: the text of its slots."""
         out: dict[str, list[str]] = {}
         for block in self.blocks:
-            i = self.owner(block[0][1])  # no block element begins or ends within a block of text
-            if i is not None:
-                out.setdefault(self.keys[i], []).append(joined(block))
+            i = block[0][1]  # no block element begins or ends within a block of text
+            if i >= 0 and self.owners[i] >= 0:
+                out.setdefault(self.keys[self.owners[i]], []).append(joined(block))
         return {k: "\n".join(x) for k, x in out.items()}
 
+    def _named_mains(self) -> list[int]:
+        """Where no template tells: the elements of the surest main rank that hold a third of the longest one's text or more."""
+        ranks = {i: self.main_rank(i) for i in range(len(self.keys)) if not self.dead[i]}
+        best = min(ranks.values(), default=9)
+        if best == 9:
+            return []
+        size, _ = self.below()
+        longest = max(size[i] for i, r in ranks.items() if r == best)
+        return [i for i, r in ranks.items() if r == best and 3 * size[i] >= longest]
+
     def text(self, slots: list[dict] | None, constant: list[str] | None = None) -> str:
         """The blocks of the main slots. ``slots``: the host's; the first whose template the page keeps counts.
 
@@ -199,31 +224,35 @@ class Page:
             if [k for k in self.keys if k in known] == slot["template"]:
                 mains = [self.keys.index(slot["region"])]
                 break
-        if not mains:
-            usable = [i for i in range(len(self.keys)) if not self.other[i] and not any(self.other[j] for j in self.depth[i])]
-            ranks = {i: self.main_rank(i) for i in usable}
-            best = min(ranks.values(), default=9)
-            if best < 9:
-                mains = [i for i in usable if ranks[i] == best]
-        wanted, dropped = set(mains), set(constant or ()) - {self.keys[i] for i in mains}
+        wanted = set(mains or self._named_mains())
+        dropped = set(constant or ()) - {self.keys[i] for i in wanted}
+        stays = self._stays(wanted)
         out = []
         for block in self.blocks:
-            if dropped and (own := self.owner(block[0][1])) is not None and self.keys[own] in dropped:
+            own = self.owners[block[0][1]] if block[0][1] >= 0 else -1
+            if dropped and own >= 0 and self.keys[own] in dropped:
                 continue
-            text = joined(run for run in block if self._main(run[1], wanted))
+            text = joined(run for run in block if (stays[run[1]] if run[1] >= 0 else not wanted))
             if text:
                 out.append(text)
         return "\n".join(out)
 
-    def _main(self, inside: tuple[int, ...], wanted: set[int]) -> bool:
+    def _stays(self, wanted: set[int]) -> list[bool]:
+        """Whether the text directly in each token is of the main slots (outside other elements if there are none)."""
         if not wanted:
-            return not any(self.other[i] for i in inside)
-        at = next((n for n, i in enumerate(inside) if i in wanted), None)
-        if at is None:
-            return False
-        # The header of an article holds its title, unless the main slot is the page itself; other parts are no main text.
-        own = self.keys[inside[at]].partition("[")[0] not in ("html", "body")
-        return not any(self.other[i] and not (own and self.header[i]) for i in inside[at + 1 :]) and not any(self.other[i] for i in inside[:at])
+            return [not x for x in self.dead]
+        main: list[int] = []  # the outermost wanted token around, or the token itself
+        out: list[bool] = []
+        for i, up in enumerate(self.parent):
+            if up >= 0 and main[up] >= 0:
+                main.append(main[up])
+                # The header of an article holds its title, unless the main slot is the page itself; other parts are no main text.
+                own = self.keys[main[up]].partition("[")[0] not in ("html", "body")
+                out.append(out[up] and not (self.other[i] and not (own and self.header[i])))
+            else:
+                main.append(i if i in wanted else -1)
+                out.append(i in wanted and not (up >= 0 and self.dead[up]))
+        return out
 
 
 def _digest(text: str) -> int:
@@ -244,12 +273,15 @@ def token_vectors(pages: DataFrame) -> DataFrame:
             rows = [[] for _ in range(9)]
             for host, page, source in zip(*(c.to_pylist() for c in batch.columns)):
                 p = Page(source or "")
-                (below, total), seen = p.below(), Counter(p.keys)
+                (each, total), seen = p.below(), Counter(p.keys)
                 first = {k: i for i, k in reversed(list(enumerate(p.keys)))}
+                below: Counter = Counter()
+                for i, k in enumerate(p.keys):
+                    below[k] += each[i]
                 slots = {k: _digest(x) for k, x in p.slot_texts().items()}
                 whole = _digest("\n".join(map(joined, p.blocks)))
                 for k, n in seen.items():
-                    for column, x in zip(rows, (host, page, k, n, first[k] / len(p.keys), below[first[k]], total, slots.get(k, 0), whole)):
+                    for column, x in zip(rows, (host, page, k, n, first[k] / len(p.keys), below[k], total, slots.get(k, 0), whole)):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=["host", "page_id", "token", "n", "place", "below", "total", "slot", "whole"])
 
