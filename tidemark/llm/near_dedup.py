@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import read_table, released, written
 from .components import components
 from .hashing import mixed, text_blocks, word_hashes
 
@@ -158,7 +158,7 @@ def _block_links(ids: tuple, comps: tuple, sets: tuple, same: bool, percent: int
 
 
 def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members (id, group, component, n) of one group and different components, on their full sets."""
+    """A table of links (a, b) between members (id, group, component, n) of one group and different components, on their full sets."""
     counts = members.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.count_distinct("component").alias("c")).filter("c > 1").drop("c")
     dealt = members.join(counts, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     packed = dealt.join(sets, "id").groupBy("group", "blocks", "block").agg(F.collect_list(F.struct("id", "component", "shingles")).alias("held"))
@@ -176,7 +176,9 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 rows += _block_links(tuple(ids), tuple(comps), tuple(held), batch.column(0)[i].as_py() == batch.column(1)[i].as_py(), percent)
             yield pa.RecordBatch.from_arrays([pa.array([min(r) for r in rows], pa.int64()), pa.array([max(r) for r in rows], pa.int64())], names=["a", "b"])
 
-    return first.join(other, ["group", "other"]).select("block", "other", "held", "held2").mapInArrow(run, "a long, b long")
+    found = written(first.join(other, ["group", "other"]).select("block", "other", "held", "held2").mapInArrow(run, "a long, b long"), "near-links")
+    released(packed)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -195,11 +197,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(sig.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys")), "classes")
     keyed = classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = written(keyed.join(shared, "key"), "buckets")
-    degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
+    buckets = written(keyed.join(shared, "key"), "buckets")
+    degree = buckets.groupBy("id").agg(F.sum("size").alias("degree"))
     candidates = named.withColumnRenamed("doc_id", "id").join(degree, "id", "left_semi")
     sets = written(full_sets(candidates.select("id", "text")), "shingles")
-    members = written(members.join(degree, "id"), "members")
+    members = written(buckets.join(degree, "id"), "members")
+    released(buckets)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) those that the full sets link. Sizes decide first what cannot be linked."""
@@ -212,12 +215,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested = comps = None
 
     def joined(found: DataFrame, comps: DataFrame | None) -> DataFrame:
-        """Components of new links and of those known so far, which are stars already."""
+        """Components of new links and of those known so far, which are stars already. Both tables are used up."""
         if comps is None:
-            return written(components(found), "components")
-        if found.isEmpty():
-            return comps
-        return written(components(found.union(comps.select("id", "component").filter("id <> component"))), "components")
+            out = components(found)
+        elif found.isEmpty():
+            out = comps
+        else:
+            out = components(found.union(comps.select("id", "component").filter("id <> component")))
+            released(comps)
+        released(found)
+        return out
 
     for turn in range(2):
         current = members.withColumn("component", F.col("id")) if comps is None else members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -229,15 +236,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         found = written(verified(pairs), "near-links")
+        if tested is not None:
+            released(tested)
         tested = pairs
         comps = joined(found, comps)
     current = members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed_up = current.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("id").alias("least")).filter("c1 <> c2").select("key", "least")
     left = written(current.join(mixed_up, "key").select("id", "least", "component", "n"), "mixed-buckets")
     if not left.isEmpty():
-        groups = components(left.select(F.col("id").alias("a"), F.col("least").alias("b"))).withColumnRenamed("component", "group")
-        found = written(block_links(left.groupBy("id").agg(F.first("component").alias("component"), F.first("n").alias("n")).join(groups, "id"), sets, percent), "near-links")
+        groups = components(left.select(F.col("id").alias("a"), F.col("least").alias("b")))
+        found = block_links(left.groupBy("id").agg(F.first("component").alias("component"), F.first("n").alias("n")).join(groups.withColumnRenamed("component", "group"), "id"), sets, percent)
+        released(groups)
         comps = joined(found, comps)
+    released(tested, left, members, sets)
     rep = classes.select("n_shingles", "d1", "d2", "rep")
     of_rep = rep.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = sig.drop("keys").join(of_rep, ["n_shingles", "d1", "d2"], "left")
