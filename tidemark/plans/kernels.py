@@ -154,9 +154,6 @@ QUERIES = {
     "risk_report": lambda s, d: portfolios.risk_report(returns(s, d).select(F.col("asset").alias("strategy"), "dt", F.col("r").alias("net")))["drawdown_tests"],
     "ar_multihorizon": lambda s, d: forecasting.multi_horizon(states(s, d)),
     "ar_scores": lambda s, d: forecast_eval.scores(forecasting.multi_long(forecasting.multi_horizon(states(s, d))), ("horizon", "method")),
-    "snail_trail": lambda s, d: forecasting.snail_trail(states(s, d)),
-    "regime_aware_forecasts": lambda s, d: forecasting.regime_aware(states(s, d)),
-    "compare_methods": lambda s, d: forecasting.compare_methods(states(s, d)),
     "backtest_signals": lambda s, d: forecasting.backtest_signals(states(s, d)),
     "max_sharpe": lambda s, d: portfolios.unconditional_portfolio(returns(s, d), bounds=portfolios.LIVE),
     "state_portfolios": lambda s, d: portfolios.state_portfolios(sample(s, d)),
@@ -170,10 +167,4 @@ QUERIES = {
     "bootstrap_drawdown": lambda s, d: bootstrap.path_difference(returns(s, d).select(F.col("asset").alias("strategy"), "dt", F.col("r").alias("net")), "A_F", "R_F", "drawdown"),
     "bootstrap_cvar": lambda s, d: bootstrap.path_difference(returns(s, d).select(F.col("asset").alias("strategy"), "dt", F.col("r").alias("net")), "A_F", "R_F", "cvar"),
     "anderson_darling": lambda s, d: bootstrap.anderson_darling(sample(s, d)),
-    "anova_p": lambda s, d: inference.anova(sample(s, d)),
-    "welch_p": lambda s, d: inference.welch(sample(s, d)),
-    "pair_brown_forsythe_p": lambda s, d: inference.pair_brown_forsythe(sample(s, d)),
-    "kruskal_p": lambda s, d: inference.kruskal(sample(s, d)),
-    "ks_p": lambda s, d: inference.starred(inference.kolmogorov(sample(s, d))),
-    "performance_class": lambda s, d: backtest.performance(path(s, d), ann=backtest.ANN_CLASS),
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import backtest, panel
 from ..sources.tables import table
-from . import kernels, relational, reports  # noqa: F401  reports adds to the relational queries
+from . import inferences, kernels, relational, reports  # noqa: F401  inferences and reports add to the relational queries
 
 QUERIES = relational.QUERIES | kernels.QUERIES
 SQL: dict[str, str] = relational.SQL | kernels.SQL
