@@ -78,6 +78,105 @@ class ExpandingAR:
         return np.array(out)
 
 
+class ExactAR:
+    """Gaussian AR(p) around a mean by its exact likelihood, on y[0..t] for any t.
+
+    The density of y[0..t] is that of the first p values under the stationary law, times one normal term for each value
+    after them. The latter depend on the history by the sums of :class:`ExpandingAR` alone, so a fit costs the same at
+    every t. Mean and variance are profiled out; what is left is searched over partial autocorrelations, which keep the
+    process stationary.
+    """
+
+    def __init__(self, sums: ExpandingAR, p: int):
+        self.sums, self.p, self.start = sums, p, None
+
+    def _profile(self, phi: np.ndarray, t: int) -> tuple[float, float, float]:
+        """(mean, variance, -2 log likelihood / observations) at given coefficients."""
+        p, i = self.p, t - self.p
+        m, n = i + 1, t + 1
+        g, c, q = self.sums.gram[p][i], self.sums.cross[p][i], self.sums.square[p][i]
+        first = self.sums.y[:p]
+        head, tail = np.r_[1.0, -phi[:-1]], -phi[::-1]
+        low = np.subtract.outer(np.arange(p), np.arange(p))
+        a, b = (np.where(low >= 0, v[np.maximum(low, 0)], 0.0) for v in (head, tail))
+        inverse = a @ a.T - b @ b.T  # of the stationary covariances of p values, over the variance of a shock
+        share = 1 - phi.sum()
+        rest, squares = c[0] - phi @ g[0, 1:], q - 2 * phi @ c[1:] + phi @ g[1:, 1:] @ phi
+        mean = (share * rest + inverse.sum(0) @ first) / (share**2 * m + inverse.sum())
+        z = first - mean
+        total = squares - 2 * share * mean * rest + m * (share * mean) ** 2 + z @ inverse @ z
+        variance = max(total / n, 1e-300)
+        return mean, variance, np.log(2 * np.pi * variance) + 1 - np.linalg.slogdet(inverse)[1] / n
+
+    def fit(self, t: int) -> tuple[float, np.ndarray, float, float]:
+        """(mean, coefficients, variance, log likelihood); a search begins where the last one ended."""
+        if self.start is None:
+            beta = self.sums.fit(t, self.p)[0]
+            self.start = np.arctanh(np.clip(partial_of(beta[1:]), -0.99, 0.99))
+        elif t - self.p + 1 <= self.p + 1:
+            raise np.linalg.LinAlgError("too few rows")
+        self.start = least(lambda u: self._profile(of_partial(np.tanh(u)), t)[2], self.start)
+        phi = of_partial(np.tanh(self.start))
+        mean, variance, level = self._profile(phi, t)
+        if not np.isfinite(level):
+            raise np.linalg.LinAlgError("a flat history")
+        return mean, phi, variance, -0.5 * (t + 1) * level
+
+    def forecast(self, t: int, steps: int) -> np.ndarray:
+        mean, phi, _, _ = self.fit(t)
+        past = list(self.sums.y[t - self.p + 1 : t + 1] - mean)
+        for _ in range(steps):
+            past.append(float(phi @ np.array(past[: -self.p - 1 : -1])))
+        return mean + np.array(past[self.p :])
+
+
+def of_partial(r: np.ndarray) -> np.ndarray:
+    """Coefficients of an autoregression with partial autocorrelations ``r`` (Durbin's recursion)."""
+    phi = np.zeros(0)
+    for x in r:
+        phi = np.r_[phi - x * phi[::-1], x]
+    return phi
+
+
+def partial_of(phi: np.ndarray) -> np.ndarray:
+    """Partial autocorrelations of coefficients, by the recursion turned round; those of no stationary process are cut to 0.99."""
+    out = []
+    while len(phi):
+        x = float(np.clip(phi[-1], -0.99, 0.99))
+        out.append(x)
+        phi = (phi[:-1] + x * phi[:-1][::-1]) / (1 - x * x)
+    return np.array(out[::-1])
+
+
+def least(f, u: np.ndarray, rounds: int = 100, h: float = 1e-5) -> np.ndarray:
+    """Where a smooth function of few variables is least: quasi-Newton steps on central differences."""
+    n = len(u)
+
+    def slope(at: np.ndarray) -> np.ndarray:
+        return np.array([(f(at + h * e) - f(at - h * e)) / (2 * h) for e in np.eye(n)])
+
+    value, g, inverse = f(u), slope(u), np.eye(n)
+    for _ in range(rounds):
+        if not np.isfinite(value) or np.abs(g).max() < 1e-9:
+            break
+        move = -inverse @ g
+        if g @ move >= 0:
+            inverse, move = np.eye(n), -g
+        size = min(1.0, 2.0 / max(np.abs(move).max(), 1e-12))
+        while size > 1e-10 and not f(u + size * move) <= value + 1e-4 * size * (g @ move):
+            size /= 2
+        if size <= 1e-10:
+            break
+        to = u + size * move
+        after = slope(to)
+        d, y = to - u, after - g
+        if d @ y > 1e-14:
+            left = np.eye(n) - np.outer(d, y) / (d @ y)
+            inverse = left @ inverse @ left.T + np.outer(d, d) / (d @ y)
+        u, g, value = to, after, f(to)
+    return u
+
+
 def _series(probs: DataFrame) -> DataFrame:
     keys = [c for c in ("series",) if c in probs.columns]
     return probs.select(*(keys or [F.lit("p").alias("series")]), "dt", "p_1")
@@ -127,24 +226,65 @@ def multi_long(frame: DataFrame) -> DataFrame:
 SNAIL = "series string, origin_dt date, h int, forecast_dt date, p_hat double, method string"
 
 
-def snail_trail(probs: DataFrame, horizon: int = 21, every: int = 20, min_train: int = 250, order: int = 1) -> DataFrame:
-    """Multi-step forecasts of a fixed order from every n-th origin: (series, origin_dt, h, forecast_dt, p_hat, method)."""
+def snail_trail(probs: DataFrame, horizon: int = 21, every: int = 20, min_train: int = 250, order: int = 1, exact: bool = False) -> DataFrame:
+    """Multi-step forecasts of a fixed order from every n-th origin: (series, origin_dt, h, forecast_dt, p_hat, method).
+
+    By least squares, or with ``exact`` by the exact likelihood. A flat or short history forecasts today's value.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("dt")
         p, dates = pdf["p_1"].to_numpy(float), pdf["dt"].to_numpy()
         ar, rows = ExpandingAR(logit(p), order), []
+        whole = ExactAR(ar, order)
         for t in range(min_train, len(p), every):
             try:
-                f = inv_logit(ar.forecast(t, order, horizon))
+                f = inv_logit(whole.forecast(t, horizon) if exact else ar.forecast(t, order, horizon))
             except np.linalg.LinAlgError:
                 f = np.full(horizon, p[t])
-            rows += [(pdf["series"].iloc[0], dates[t], h, dates[t + h] if t + h < len(p) else None, f[h - 1], "ar") for h in range(1, horizon + 1)]
+            rows += [(pdf["series"].iloc[0], dates[t], h, dates[t + h] if t + h < len(p) else None, f[h - 1], "ar_exact" if exact else "ar") for h in range(1, horizon + 1)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in SNAIL.split(", ")])
 
     return _series(probs).groupBy("series").applyInPandas(run, SNAIL)
 
 
+FITTED = "series string, order int, n int, mean double, coefficients array<double>, variance double, log_likelihood double, aic double, bic double"
+
+
+def fit_logit(probs: DataFrame, order: int = 1) -> DataFrame:
+    """The autoregression of each series' logits by exact likelihood, with its information criteria. Series of too few days give none."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = logit(pdf.sort_values("dt")["p_1"].to_numpy(float))
+        rows = []
+        try:
+            if len(y) > 2 * order + 1:
+                mean, phi, variance, level = ExactAR(ExpandingAR(y, order), order).fit(len(y) - 1)
+                k = order + 2
+                rows.append((pdf["series"].iloc[0], order, len(y), mean, phi.tolist(), variance, level, 2 * k - 2 * level, np.log(len(y)) * k - 2 * level))
+        except np.linalg.LinAlgError:
+            pass
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in FITTED.split(", ")])
+
+    return _series(probs).groupBy("series").applyInPandas(run, FITTED)
+
+
+def logit_forecast(probs: DataFrame, steps: int = 1, order: int = 1) -> DataFrame:
+    """(series, h, p_hat): the next days' probabilities by the exact likelihood on all days; today's value where that fails."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values("dt")["p_1"].to_numpy(float)
+        try:
+            if len(p) <= 2 * order + 1:
+                raise np.linalg.LinAlgError("too few rows")
+            f = inv_logit(ExactAR(ExpandingAR(logit(p), order), order).forecast(len(p) - 1, steps))
+        except np.linalg.LinAlgError:
+            f = np.full(steps, p[-1])
+        return pd.DataFrame({"series": pdf["series"].iloc[0], "h": np.arange(1, steps + 1, dtype=np.int32), "p_hat": f})
+
+    return _series(probs).groupBy("series").applyInPandas(run, "series string, h int, p_hat double")
+
+
 def regime_aware(probs: DataFrame, horizon: int = 21, every: int = 20, min_train: int = 250, threshold: float = 0.5, blend: bool = True, min_obs: int = 30) -> DataFrame:
     """AR(1) fits on calm and on stressed days (each as one series of its days), blended by today's probability or
     switched at the threshold; with fewer than ``min_obs`` days of a kind the fit on all days stands in."""

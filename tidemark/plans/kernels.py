@@ -154,6 +154,9 @@ QUERIES = {
     "risk_report": lambda s, d: portfolios.risk_report(returns(s, d).select(F.col("asset").alias("strategy"), "dt", F.col("r").alias("net")))["drawdown_tests"],
     "ar_multihorizon": lambda s, d: forecasting.multi_horizon(states(s, d)),
     "ar_scores": lambda s, d: forecast_eval.scores(forecasting.multi_long(forecasting.multi_horizon(states(s, d))), ("horizon", "method")),
+    "logit_fits": lambda s, d: forecasting.fit_logit(states(s, d)).unionByName(forecasting.fit_logit(states(s, d), 3)),
+    "logit_forecast": lambda s, d: forecasting.logit_forecast(states(s, d), 21),
+    "snail_trail_exact": lambda s, d: forecasting.snail_trail(states(s, d), exact=True),
     "backtest_signals": lambda s, d: forecasting.backtest_signals(states(s, d)),
     "max_sharpe": lambda s, d: portfolios.unconditional_portfolio(returns(s, d), bounds=portfolios.LIVE),
     "state_portfolios": lambda s, d: portfolios.state_portfolios(sample(s, d)),
