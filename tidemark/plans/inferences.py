@@ -146,6 +146,16 @@ def _(s, d):
     return forecasting.compare_methods(states(s, d))
 
 
+#: The exact likelihood of an AR(1) from six sums, on a fine grid of its coefficient, and the greatest of it.
+@query("logit_likelihood", f"""WITH {_FC}, su AS (SELECT CAST(count(*) AS DOUBLE) AS n, arg_min(y, t) AS y0, sum(y) FILTER (WHERE ly IS NOT NULL) AS sy, sum(ly) AS sx, sum(ly * ly) AS sxx, sum(ly * y) AS sxy, sum(y * y) FILTER (WHERE ly IS NOT NULL) AS syy FROM l),
+gr AS (SELECT unnest(range(-99999, 100000)) / 100000.0::DOUBLE AS phi), me AS (SELECT *, 1 - phi AS sh, 1 - phi * phi AS inv, sy - phi * sx AS rest, ((1 - phi) * (sy - phi * sx) + (1 - phi * phi) * y0) / (power(1 - phi, 2) * (n - 1) + 1 - phi * phi) AS mean FROM gr, su),
+va AS (SELECT *, (syy - 2 * phi * sxy + phi * phi * sxx - 2 * sh * mean * rest + (n - 1) * power(sh * mean, 2) + inv * power(y0 - mean, 2)) / n AS v FROM me), lv AS (SELECT phi, n, -n / 2 * (ln(2 * pi() * v) + 1) + ln(inv) / 2 AS level FROM va)
+SELECT CAST(max(n) AS INT) AS n, round(arg_max(phi, level), 3) AS phi, round(max(level), 4) AS log_likelihood FROM lv""")
+def _(s, d):
+    f = forecasting.fit_logit(states(s, d))
+    return f.select("n", F.round(F.col("coefficients")[0], 3).alias("phi"), F.round("log_likelihood", 4).alias("log_likelihood"))
+
+
 # ---- mixtures -------------------------------------------------------------------------------------------
 
 #: A mixture of given parameters: shares, and for each of the four series a mean and a variance by state.
