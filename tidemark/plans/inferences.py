@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import backtest, bootstrap, forecast_eval, forecasting, inference, mixture, panel
+from ..operators import backtest, bootstrap, forecasting, inference, mixture
 from ..streaming.scoring import score_days
 from .kernels import MAIN, _days
 from .relational import _FC, _RET, _ST, SQL, _one_step, path, query, returns, sample, states
@@ -30,9 +30,9 @@ def _cte(name: str, keep: str = "") -> str:
     return f"{head}, s AS (SELECT {last})"
 
 
-@query("anova_p", _cte("anova_f") + " SELECT *, round(power(1 + 2 * statistic / df2, -df2 / 2.0), 4) AS p_value FROM s WHERE df1 = 2", 6)
+@query("anova_p", _cte("anova_f") + " SELECT *, CASE WHEN df1 = 2 THEN round(power(1 + 2 * statistic / df2, -df2 / 2.0), 4) END AS p_value FROM s", 6)
 def _(s, d):
-    return inference.anova(sample(s, d)).filter("df1 = 2").withColumn("p_value", F.round("p_value", 4))  # the SQL's tail has this closed form
+    return inference.anova(sample(s, d)).withColumn("p_value", F.round("p_value", 4))  # the SQL's tail has a closed form for three states
 
 
 @query("welch_p", _cte("welch_t") + _T_TAIL.format(t="t", n="df", src="s", k="asset, regime1, regime2") + " SELECT s.*, round(p_value, 4) AS p_value FROM s JOIN tl USING (asset, regime1, regime2)", 6)
@@ -50,9 +50,9 @@ def _(s, d):
     return inference.pair_brown_forsythe(sample(s, d))
 
 
-@query("kruskal_p", _cte("kruskal_h") + " SELECT *, round(exp(-statistic / 2), 4) AS p_value FROM s WHERE df = 2", 6)
+@query("kruskal_p", _cte("kruskal_h") + " SELECT *, CASE WHEN df = 2 THEN round(exp(-statistic / 2), 4) END AS p_value FROM s", 6)
 def _(s, d):
-    return inference.kruskal(sample(s, d)).filter("df = 2").withColumn("p_value", F.round("p_value", 4))
+    return inference.kruskal(sample(s, d)).withColumn("p_value", F.round("p_value", 4))
 
 
 @query("ks_p", _cte("ks_stat") + """, la AS (SELECT *, sqrt(n1 * n2 / (n1 + n2)) * statistic AS lam FROM s),
@@ -158,21 +158,20 @@ def _(s, d):
 
 # ---- mixtures -------------------------------------------------------------------------------------------
 
-#: A mixture of given parameters: shares, and for each of the four series a mean and a variance by state.
-_GIVEN = mixture.State(np.array([[0.01, -0.01, 0.0, 0.02], [0.1, 0.0, -0.2, 0.0]]), np.array([np.diag([0.2, 0.3, 0.25, 0.2]), np.diag([1.0, 1.5, 1.2, 0.9])]), np.array([0.7, 0.3]))
+#: A mixture of given parameters: shares, and for each of the six series a mean and a variance by state.
+_GIVEN = mixture.State(np.array([[0.01, -0.01, 0.0, 0.02, 0.0, 0.01], [0.1, 0.0, -0.2, 0.0, 0.1, 0.0]]), np.array([np.diag([0.2, 0.3, 0.25, 0.2, 0.3, 0.2]), np.diag([1.0, 1.5, 1.2, 0.9, 1.1, 1.0])]), np.array([0.7, 0.3]))
 
 
 def _density(k: int) -> str:
     g = _GIVEN
-    terms = (f"WHEN {i + 1} THEN -0.5 * (power(r - ({g.means[k][i]}), 2) / ({g.covs[k][i][i]} + 1e-6) + ln(2 * pi() * ({g.covs[k][i][i]} + 1e-6)))" for i in range(4))
+    terms = (f"WHEN {i + 1} THEN -0.5 * (power(r - ({g.means[k][i]}), 2) / ({g.covs[k][i][i]} + 1e-6) + ln(2 * pi() * ({g.covs[k][i][i]} + 1e-6)))" for i in range(6))
     return f"ln({g.weights[k]}) + sum(CASE i {' '.join(terms)} END)"
 
 
-@query("given_mixture_scores", f"""WITH {_RET}, x AS (SELECT dt, r, row_number() OVER (PARTITION BY dt ORDER BY asset) AS i FROM ret WHERE asset IN ('A_F', 'N_F', 'N_O', 'R_F')), l AS (SELECT dt, {_density(0)} AS l0, {_density(1)} AS l1 FROM x GROUP BY 1)
+@query("given_mixture_scores", f"""WITH {_RET}, x AS (SELECT dt, r, row_number() OVER (PARTITION BY dt ORDER BY asset) AS i FROM ret), l AS (SELECT dt, {_density(0)} AS l0, {_density(1)} AS l1 FROM x GROUP BY 1)
 SELECT dt, round(1 / (1 + exp(l1 - l0)), 6) AS p_0, CAST(l1 > l0 AS INT) AS regime, round(greatest(l0, l1) + ln(1 + exp(-abs(l0 - l1))), 6) AS log_density FROM l""", 6)
 def _(s, d):
-    days = panel.vectors(returns(s, d).filter(F.col("asset").isin("A_F", "N_F", "N_O", "R_F")))
-    return score_days(days, _GIVEN).select("dt", F.col("p")[0].alias("p_0"), "regime", "log_density")
+    return score_days(_days(s, d), _GIVEN).select("dt", F.col("p")[0].alias("p_0"), "regime", "log_density")
 
 
 #: Where the steps below start: two states of a series of market means.
