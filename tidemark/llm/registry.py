@@ -13,6 +13,7 @@ from .near_dedup import op6_near_dedup
 from .packing import op5_best_fit_packing
 from .pieces import op7_sentencepiece
 from .repeats import op10_suffix_array_dedup
+from .resampling import OP11_SQL, op11_importance_resampling
 from .retrieval import OP4_SQL, op4_top_products
 from .token_counts import op1_token_counts
 from .url_filters import OP8_SQL, op8_url_filters
@@ -28,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_language_id": op9_language_id,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
 }
-SQL: dict[str, str] = {"op4_top_products": OP4_SQL, "op8_url_filters": OP8_SQL}
+SQL: dict[str, str] = {"op4_top_products": OP4_SQL, "op8_url_filters": OP8_SQL, "op11_importance_resampling": OP11_SQL}
