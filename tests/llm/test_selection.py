@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import resampling
+from tidemark.llm import contamination, resampling
 
 from .test_operators import ROWS, docs, none, sentence  # noqa: F401
 
@@ -77,3 +77,53 @@ def test_ranks_follow_the_order(spark):
     rows = spark.range(1000).select((F.col("id") * 7 % 13).alias("x"), "id").repartition(7)
     got = resampling.ranked(rows, F.col("x").desc(), F.col("id")).orderBy("rank").collect()
     assert [r["rank"] for r in got] == list(range(1, 1001)) and [(r["x"], r["id"]) for r in got] == sorted(((i * 7 % 13, i) for i in range(1000)), key=lambda p: (-p[0], p[1]))
+
+
+def contamination_brute(rows, items, n=10):
+    known = defaultdict(set)
+    for i, x in items:
+        if w := words(x):
+            m = min(n, len(w))
+            for k in range(len(w) - m + 1):
+                known[tuple(w[k : k + m])].add(i)
+    out = []
+    for i, x in rows:
+        w, hit, named = words(x), set(), set()
+        for m in {len(g) for g in known}:
+            for k in range(len(w) - m + 1):
+                if (g := tuple(w[k : k + m])) in known:
+                    hit |= set(range(k, k + m))
+                    named |= known[g] - {None}
+        out.append((i, len(w), len(hit), sorted(named)))
+    return sorted(out, key=repr)
+
+
+LEAKS = [*ROWS, (20, "before. " + sentence(1, 120)[:200].rsplit(" ", 1)[0] + " after that " + sentence(3).upper() + "!  end "), (20, "before. " + sentence(1, 120)[:200].rsplit(" ", 1)[0] + " after that " + sentence(3).upper() + "!  end "), (21, "x A-b y A"), (None, sentence(3)), (22, "WöRTER über Wörter ÜBER")]
+
+
+@pytest.mark.parametrize("rounds", [1_000_000, 7])
+def test_contamination(spark, items, none, rounds, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(contamination, "ROUND", rounds)
+    monkeypatch.setattr(contamination, "BROADCAST_BYTES", 32 << 20 if rounds > 7 else 0)
+    table = spark.createDataFrame(LEAKS, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("key", "spans", "words", "pos", "h", "m", "doc", "pieces")})
+    got = contamination.contamination(table, items)
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got.collect()), key=repr) == contamination_brute(LEAKS, ITEMS)
+    assert contamination.contamination(none, items).count() == 0
+    assert got.filter("n_hit > 0").count() > 5
+    assert {(r["n_hit"], r["n_items"]) for r in contamination.contamination(table, items.filter("false")).collect()} == {(0, 0)}
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_decontaminated(spark, items, whole):
+    table = spark.createDataFrame(LEAKS, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("key", "spans", "words", "doc", "pieces")})
+    out = contamination.decontaminated(table, items, whole_documents=whole)
+    assert out.columns == table.columns and {r["key"] for r in out.collect()} == {"clash"}
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+    found = {i: n for i, _, n, _ in contamination_brute(LEAKS, ITEMS)}
+    if whole:
+        assert [r for r in got if r[0] is not None] == sorted(((i, x) for i, x in LEAKS if i is not None and not found[i]), key=repr)
+        return
+    assert len(got) == len(LEAKS) and all((i, x) in got for i, x in LEAKS if i is not None and not found[i])
+    texts = dict(got)
+    assert texts[20] == "before after that!  end " and texts[21] == "x y A" and texts[22] == " Wörter ÜBER"  # beyond ASCII case counts
+    assert all(n == 0 or len(words(texts[i])) == len(words(dict(LEAKS)[i])) - n for i, n in found.items() if i is not None)
