@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import OP12_SQL, op12_collocations
 from .contamination import OP13_SQL, op13_decontamination
 from .html_text import op3_html_extraction
 from .language_id import op9_language_id
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_collocations": op12_collocations,
     "op13_decontamination": op13_decontamination,
 }
-SQL: dict[str, str] = {"op4_top_products": OP4_SQL, "op8_url_filters": OP8_SQL, "op11_importance_resampling": OP11_SQL, "op13_decontamination": OP13_SQL}
+SQL: dict[str, str] = {"op4_top_products": OP4_SQL, "op8_url_filters": OP8_SQL, "op11_importance_resampling": OP11_SQL, "op12_collocations": OP12_SQL, "op13_decontamination": OP13_SQL}
