@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -9,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import contamination, resampling
+from tidemark.llm import collocations, contamination, resampling
 
 from .test_operators import ROWS, docs, none, sentence  # noqa: F401
 
@@ -127,3 +128,85 @@ def test_decontaminated(spark, items, whole):
     texts = dict(got)
     assert texts[20] == "before after that!  end " and texts[21] == "x y A" and texts[22] == " Wörter ÜBER"  # beyond ASCII case counts
     assert all(n == 0 or len(words(texts[i])) == len(words(dict(LEAKS)[i])) - n for i, n in found.items() if i is not None)
+
+
+def collocations_brute(rows, longest, least, first=2000, percent=80):
+    """rows: (lang, text)."""
+    f, n = defaultdict(Counter), Counter()
+    for lang, x in rows:
+        lang = "und" if lang is None else lang
+        lower = "".join(c.lower() if c.isascii() else c for c in x or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for m in range(1, longest + 1):
+                f[lang].update(tuple(w[k : k + m]) for k in range(len(w) - m + 1))
+    out = []
+    for lang, c in f.items():
+        cand = {p: a for p, a in c.items() if len(p) > 1 and a >= least}
+        held = Counter()
+        for p, a in cand.items():
+            for m in range(2, len(p)):
+                for k in range(len(p) - m + 1):
+                    held[p[k : k + m]] = max(held[p[k : k + m]], a)
+        rows_ = []
+        for p, a in cand.items():
+            score, k = min((2_000_000 * a // (c[p[:k]] + c[p[k:]]), k) for k in range(1, len(p)))
+            if not (held[p] and 100 * held[p] >= percent * a):
+                rows_.append((-score, -a, " ".join(p).encode(), c[p[:k]], c[p[k:]]))
+        out += [(lang, k + 1, p.decode(), -a, l, r, n[lang], -score) for k, (score, a, p, l, r) in enumerate(sorted(rows_)[:first])]
+    return sorted(out)
+
+
+def corpus(seed, n=60):
+    rng = random.Random(seed)
+    parts = ["of the", "the", "water", "a b c d", "Garden, tree", "x.", "été", "\t", "  ", "\n", "tree!", "12", "of the garden", "of", "\x0b", "a b c d e", "É", "the the the the the"]
+    return [(rng.choice(["en", "fr", None]), rng.choice([None, "", " , ", "z" * 200] + [" ".join(rng.choice(parts) for _ in range(rng.randint(1, 70)))] * 9)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed, longest, least, size, batch", [(1, 4, 3, 12 << 20, 400_000), (2, 4, 5, 300, 7), (3, 2, 2, 50, 1), (4, 5, 4, 1, 100)])
+def test_collocations(spark, monkeypatch, seed, longest, least, size, batch):
+    rows = corpus(seed)
+    assert collocations_brute(rows, longest, least)
+    table = spark.createDataFrame(rows, "lang string, text string").withColumns({c: F.lit("clash") for c in ("shard", "code", "word", "n", "phrase", "a", "size", "pair")}).repartition(3)
+    monkeypatch.setattr(collocations, "SHARD_BYTES", size)
+    monkeypatch.setattr(collocations, "BATCH", batch)
+    for first in (2000, 5):
+        got = collocations.collocations(table, longest, least, first)
+        assert sorted(tuple(r) for r in got.collect()) == collocations_brute(rows, longest, least, first)
+    assert collocations.collocations(table.filter("false"), longest, least).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 4, 9, 1000])
+def test_stretches_end_with_pieces(size):
+    import numpy as np
+
+    texts = [b"ab c. d", b"", b"e", b"long piece without an end", b"f,g,h,i,j,k", b""]
+    bounds = np.cumsum([0, *map(len, texts)])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    parts = list(collocations._stretches(data, bounds, size))
+    assert [a for a, _ in parts] == [0, *(b for _, b in parts[:-1])] and parts[-1][1] == len(data)
+    for a, b in parts:
+        assert b in bounds or chr(data[b - 1]) in ".,"
+        assert b - a <= size or not any(a < e < b for e in bounds) and not set(b".,") & set(data[a : b - 1].tolist())
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_bitmaps(seed):
+    import numpy as np
+
+    rng = random.Random(seed)
+    codes = np.array([rng.choice([-1, 0, 0, 0, 1, 2, 3, rng.randrange(40)]) for _ in range(rng.choice([1, 63, 64, 65, 1000]))], np.int64)
+    want = Counter()
+    for m in (2, 3, 4):
+        for k in range(len(codes) - m + 1):
+            if (codes[k : k + m] >= 0).all():
+                want[tuple(codes[k : k + m].tolist())] += 1
+    for pairs in (None, sorted({a << 32 | b for a, b in (p for p in want if len(p) == 2) if (a + b) % 3})):
+        got = Counter()
+        for names, n in collocations.Shard(codes).mined(4, None if pairs is None else np.array(pairs, np.int64)):
+            for p, c in zip(names.tolist(), n.tolist()):
+                assert tuple(p) not in got
+                got[tuple(p)] = c
+        ok = lambda p: pairs is None or all(a << 32 | b in pairs for a, b in zip(p, p[1:]))
+        assert got == {p: c for p, c in want.items() if ok(p)}

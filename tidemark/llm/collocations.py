@@ -91,12 +91,12 @@ class Shard:
         key, row = np.unique(np.concatenate(keys), return_inverse=True)
         return key // self.n, key % self.n, Bitmaps.merged(row, np.concatenate(blocks), np.concatenate(masks))[0]
 
-    def mined(self, longest: int, pairs: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def mined(self, longest: int, pairs: np.ndarray | None = None, batch: int = BATCH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(words of phrases of one length, their occurrences), depth-first; of two words only those in sorted ``pairs``
         (first << 32 | second), if given, are gone on with."""
         cut = 0
         while cut < len(self.words.owner):
-            to = min(cut + BATCH, len(self.words.owner))
+            to = min(cut + batch, len(self.words.owner))
             to = int(np.searchsorted(self.words.owner, self.words.owner[to - 1], "right"))  # a first word is in one batch
             level, names = self.words.part(slice(cut, to)), np.arange(self.n)[:, None]
             cut = to
@@ -118,34 +118,27 @@ def in_sorted(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     return (at < len(table)) & (table[np.minimum(at, max(len(table) - 1, 0))] == x) if len(table) else np.zeros(len(x), bool)
 
 
-def _stretches(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(from, to) of stretches of about SHARD_BYTES that end with a row or a piece."""
+def _stretches(data: np.ndarray, bounds: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of stretches of up to ``size`` bytes that end with a row or a piece; a longer piece is one of its own."""
+    ends = np.union1d(bounds, np.flatnonzero(_BREAKS[data]) + 1)
     at = 0
     while at < len(data):
-        to = at + SHARD_BYTES
-        if to < len(data):
-            row = int(bounds[np.searchsorted(bounds, to, "right") - 1])
-            breaks = np.flatnonzero(_BREAKS[data[max(at, row) : to]]) if row <= at else ()
-            while row <= at and not len(breaks) and to < len(data):  # a piece longer than a stretch stays whole
-                breaks = np.flatnonzero(_BREAKS[data[to : to + SHARD_BYTES]])[:1] + (to - at)
-                to += SHARD_BYTES
-                if (end := int(bounds[np.searchsorted(bounds, at, "right")])) <= to and not len(breaks):
-                    row = end
-            to = row if row > at else at + int(breaks[-1]) + 1 if len(breaks) else len(data)
-        yield at, min(to, len(data))
+        to = int(ends[np.searchsorted(ends, at + size, "right") - 1])
+        to = to if to > at else int(ends[np.searchsorted(ends, at, "right")])
+        yield at, to
         at = to
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row with the codes of a shard's positions, and one for each of its words of a language."""
+def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (lang, text) a row with the codes of a shard's positions, and one for each of its words of a language."""
     shard = TaskContext.get().partitionId() << 32
     names = [c.split()[0] for c in _SHARDS.split(", ")]
-    for table in row_blocks(batches, 1, SHARD_BYTES):
+    for table in row_blocks(batches, 1, size):
         langs = pc.fill_null(table.column(0).combine_chunks(), "und").dictionary_encode()
         langs = langs.combine_chunks() if isinstance(langs, pa.ChunkedArray) else langs
         lang_of, k = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(langs.dictionary)
         data, bounds = text_bytes(table.column(1))
-        for a, b in _stretches(data, bounds):
+        for a, b in _stretches(data, bounds, size):
             rows = np.arange(np.searchsorted(bounds, a, "right") - 1, np.searchsorted(bounds, b, "left"))
             own, edges = data[a:b], np.clip(bounds[rows[0] : rows[-1] + 2] - a, 0, b - a)
             starts, ends = word_spans(own, edges, _SOLID)
@@ -170,6 +163,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _mined(shards: DataFrame, longest: int, pairs: bool) -> DataFrame:
     """(shard, pair, lang, phrase, size, n) of the phrases in each shard. ``shards`` has codes, names and, where they are
     given, the frequent ``pairs`` of codes."""
+    at_once = BATCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +185,7 @@ def _mined(shards: DataFrame, longest: int, pairs: bool) -> DataFrame:
                         continue
                     good = good.to_numpy(zero_copy_only=False)
                     good = np.sort(number[good >> 32] << 32 | number[good & 0xFFFFFFFF])
-                for found, n in Shard(number[codes]).mined(longest, good):  # code -1 is the last place, which is -1
+                for found, n in Shard(number[codes]).mined(longest, good, at_once):  # code -1 is the last place, which is -1
                     if pairs and found.shape[1] == 2:
                         continue
                     columns = [words.take(pa.array(found[:, j])) for j in range(found.shape[1])]
@@ -208,7 +202,8 @@ def phrases(docs: DataFrame, longest: int = 4, least: int = 30, lang_col: str =
     """((lang, phrase, size, a) of all words and phrases of up to ``longest`` words that occur ``least`` times, (lang, n) words
     of each language). The first is a table of :func:`written`."""
     lang, text = F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
-    table = written(docs.select(lang, text).mapInArrow(_shards, _SHARDS), "shards")
+    size = SHARD_BYTES
+    table = written(docs.select(lang, text).mapInArrow(lambda batches: _shards(batches, size), _SHARDS), "shards")
     shards, words = table.filter("codes is not null").select("shard", "codes"), table.filter("word is not null").select("shard", "code", "lang", "word", "n")
     total = written(words.groupBy("lang").agg(F.sum("n").alias("n")), "lang-words")
     count = lambda df: df.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
