@@ -7,7 +7,7 @@ from the dictionary and hashed once, and buckets follow. The gain of a tuple's b
 that hold the tuple, which then weigh their documents.
 
 So a word that every document holds is one row a block, not one a document, in every join; long documents are blocks of
-their own, and what a document adds to a shuffle is four bytes an n-gram, once. The draw is the Gumbel top-k of weights.
+their own, and what a document adds to a shuffle is a compressed number for each n-gram, once. The draw is the Gumbel top-k of weights.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ def _blocks(docs: DataFrame, n: int, keep_documents: bool) -> DataFrame:
             if keep_documents:
                 ids = table.column(0).combine_chunks().cast(pa.int64()).to_pylist()
                 yield pa.RecordBatch.from_pylist(
-                    [{"block": block, "docs": ids, "words_of": words.tolist(), "sizes": sizes.tolist(), "codes": numbers.tobytes()}],
+                    [{"block": block, "docs": ids, "words_of": words.tolist(), "sizes": sizes.tolist(), "codes": pa.compress(numbers.tobytes(), "zstd", asbytes=True)}],
                     pa.schema([("block", pa.int64()), ("docs", longs), ("words_of", longs), ("sizes", longs), ("codes", pa.binary()), ("gram", pa.int32()), ("words", pa.list_(pa.string())), ("n", pa.int64())]),
                 )
 
@@ -100,15 +100,19 @@ def _weighed(blocks: DataFrame, gains: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                gain = np.zeros(len(r["gains"] or ()), np.int64)
-                for x in r["gains"] or ():
-                    gain[x["gram"]] = x["gain"]
-                sizes = np.array(r["sizes"], np.int64)
-                total = np.concatenate([[0], np.cumsum(gain[np.frombuffer(r["codes"], np.int32)])])
+            for i in range(batch.num_rows):
+                docs, words_of, sizes, codes, gains = (batch.column(c)[i] for c in range(5))
+                sizes = sizes.values.to_numpy(zero_copy_only=False)
                 ends = np.cumsum(sizes)
+                gain = np.zeros(0, np.int64)
+                if gains.is_valid:
+                    gram, of = (gains.values.field(c).to_numpy(zero_copy_only=False) for c in ("gram", "gain"))
+                    gain = np.zeros(len(gram), np.int64)
+                    gain[gram] = of
+                codes = np.frombuffer(pa.decompress(codes.as_py(), 4 * int(sizes.sum()), "zstd", asbytes=True), np.int32)
+                total = np.concatenate([[0], np.cumsum(gain[codes])])
                 weight = (total[ends] - total[ends - sizes]) // np.maximum(sizes, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(r["docs"], pa.int64()), pa.array(r["words_of"], pa.int64()), pa.array(sizes), pa.array(weight)], names=["doc_id", "n_words", "n_features", "weight"])
+                yield pa.RecordBatch.from_arrays([docs.values, words_of.values, pa.array(sizes), pa.array(weight)], names=["doc_id", "n_words", "n_features", "weight"])
 
     both = blocks.join(gains.groupBy("block").agg(F.collect_list(F.struct("gram", "gain")).alias("gains")), "block", "left")
     return both.select("docs", "words_of", "sizes", "codes", "gains").mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
