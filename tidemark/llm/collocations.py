@@ -27,7 +27,7 @@ from .coding import byte_set, coded, row_blocks, text_bytes, word_spans
 from .common import read_table, released, written
 
 #: Bytes of text a shard, and entries of bitmaps that are extended at once; they bound memory and change no result.
-SHARD_BYTES, BATCH = 12 << 20, 400_000
+SHARD_BYTES, BATCH = 6 << 20, 200_000
 _BREAKS = byte_set(*b".,;:!?", (0x0A, 0x0D))
 _SOLID = ~(_BREAKS | byte_set(0x20, 0x09))
 _SHARDS = "shard long, codes binary, code int, lang string, word string, n long"
@@ -211,9 +211,11 @@ def phrases(docs: DataFrame, longest: int = 4, least: int = 30, lang_col: str =
     common = words.join(one.select("lang", F.col("phrase").alias("word")), ["lang", "word"])
     names = written(common.groupBy("shard").agg(F.collect_list(F.struct("code", "lang", "word")).alias("names")), "names")
     in_shards = shards.join(names, "shard")
-    pairs = written(_mined(in_shards.select("shard", "codes", "names"), 2, False), "pairs")
-    two = written(count(pairs), "frequent")
-    good = pairs.select("shard", "pair", "lang", "phrase").join(two.select("lang", "phrase"), ["lang", "phrase"]).groupBy("shard").agg(F.collect_list("pair").alias("pairs"))
+    found = _mined(in_shards.select("shard", "codes", "names"), 2, False).select("shard", "pair", "lang", "phrase", "n")
+    everywhere = F.sum("n").over(Window.partitionBy("lang", "phrase"))  # of a row a shard at most
+    pairs = written(found.withColumn("a", everywhere).filter(F.col("a") >= least).select("shard", "pair", "lang", "phrase", "a"), "pairs")
+    two = written(pairs.select("lang", "phrase", F.lit(2).alias("size"), "a").distinct(), "frequent")
+    good = pairs.groupBy("shard").agg(F.collect_list("pair").alias("pairs"))
     parts = [one, two]
     if longest > 2:
         parts.append(written(count(_mined(in_shards.join(good, "shard").select("shard", "codes", "names", "pairs"), longest, True)), "frequent"))
