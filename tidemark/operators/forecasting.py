@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arma import least_of_each, of_partial, partial_of
+
 EPS = 1e-8
 
 
@@ -130,22 +132,53 @@ class ExactAR:
         return mean + np.array(past[self.p :])
 
 
-def of_partial(r: np.ndarray) -> np.ndarray:
-    """Coefficients of an autoregression with partial autocorrelations ``r`` (Durbin's recursion)."""
-    phi = np.zeros(0)
-    for x in r:
-        phi = np.r_[phi - x * phi[::-1], x]
-    return phi
+class ExactARs:
+    """:class:`ExactAR` at many ends of history at once: (mean, coefficients, variance, log likelihood) of each y[0..t]."""
 
+    def __init__(self, sums: ExpandingAR, p: int, ts: np.ndarray):
+        self.p, self.ts, self.y = p, np.asarray(ts, np.int64), sums.y
+        if len(self.ts) and self.ts.min() - p + 1 <= p + 1:
+            raise np.linalg.LinAlgError("too few rows")
+        i = self.ts - p
+        self.g, self.c, self.q = sums.gram[p][i], sums.cross[p][i], sums.square[p][i]
+        flat = np.linalg.matrix_rank(self.g, tol=1e-12 * np.abs(self.g).max(initial=0)) <= p
+        safe = np.where(flat[:, None, None], np.eye(p + 1), self.g)
+        beta = np.linalg.solve(safe, self.c[:, :, None])[:, :, 0]
+        start = np.array([np.arctanh(partial_of(b[1:])) for b in beta]).reshape(-1, p)
+        found = least_of_each(lambda which, u: self._profile(which, of_partial(np.tanh(u)))[2], start)
+        self.phi = of_partial(np.tanh(found))
+        self.mean, self.variance, level = (x[:, 0] for x in self._profile(np.arange(len(self.ts)), self.phi[:, None]))
+        self.level = -0.5 * (self.ts + 1) * level
+        self.good = np.isfinite(level) & ~flat
+
+    def _profile(self, which: np.ndarray, phi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        p = self.p
+        m, n = (self.ts[which] - p + 1)[:, None], (self.ts[which] + 1)[:, None]
+        g, c, q = self.g[which], self.c[which], self.q[which, None]
+        first = self.y[:p]
+        head, tail = np.concatenate([np.ones((*phi.shape[:-1], 1)), -phi[..., :-1]], axis=-1), -phi[..., ::-1]
+        low = np.subtract.outer(np.arange(p), np.arange(p))
+        a, b = (np.where(low >= 0, v[..., np.maximum(low, 0)], 0.0) for v in (head, tail))
+        inverse = a @ a.swapaxes(-1, -2) - b @ b.swapaxes(-1, -2)
+        share = 1 - phi.sum(-1)
+        rest = c[:, None, 0] - np.einsum("mki,mi->mk", phi, g[:, 0, 1:])
+        squares = q - 2 * np.einsum("mki,mi->mk", phi, c[:, 1:]) + np.einsum("mki,mij,mkj->mk", phi, g[:, 1:, 1:], phi)
+        mean = (share * rest + inverse.sum(-2) @ first) / (share**2 * m + inverse.sum((-1, -2)))
+        z = first - mean[..., None]
+        total = squares - 2 * share * mean * rest + m * (share * mean) ** 2 + np.einsum("mki,mkij,mkj->mk", z, inverse, z)
+        variance = np.maximum(total / n, 1e-300)
+        return mean, variance, np.log(2 * np.pi * variance) + 1 - np.linalg.slogdet(inverse)[1] / n
 
-def partial_of(phi: np.ndarray) -> np.ndarray:
-    """Partial autocorrelations of coefficients, by the recursion turned round; those of no stationary process are cut to 0.99."""
-    out = []
-    while len(phi):
-        x = float(np.clip(phi[-1], -0.99, 0.99))
-        out.append(x)
-        phi = (phi[:-1] + x * phi[:-1][::-1]) / (1 - x * x)
-    return np.array(out[::-1])
+    def forecast(self, steps: int) -> np.ndarray:
+        """(histories, steps); of histories without a fit the last value."""
+        back = self.ts[:, None] - np.arange(self.p)
+        past = self.y[back] - self.mean[:, None]
+        out = np.empty((len(self.ts), steps))
+        for h in range(steps):
+            ahead = (self.phi * past).sum(1)
+            out[:, h] = ahead + self.mean
+            past = np.column_stack([ahead, past[:, :-1]])
+        return np.where(self.good[:, None], out, self.y[self.ts][:, None])
 
 
 def least(f, u: np.ndarray, rounds: int = 100, h: float = 1e-5) -> np.ndarray:
@@ -293,15 +326,12 @@ def regime_aware(probs: DataFrame, horizon: int = 21, every: int = 20, min_train
         pdf = pdf.sort_values("dt")
         p, dates = pdf["p_1"].to_numpy(float), pdf["dt"].to_numpy()
         y, rows = logit(p), []
-
-        def coefficients(z: np.ndarray) -> np.ndarray:
-            return ExpandingAR(z, 1).fit(len(z) - 1, 1)[0]
-
+        whole = ExpandingAR(y, 1)
+        kinds = [(np.cumsum(m), ExpandingAR(y[m], 1)) for m in (p <= threshold, p > threshold)]
         for t in range(min_train, len(p), every):
-            past, stress = y[: t + 1], p[: t + 1] > threshold
             try:
-                every_day = coefficients(past)
-                calm, high = (coefficients(past[m]) if m.sum() >= min_obs else every_day for m in (~stress, stress))
+                every_day = whole.fit(t, 1)[0]
+                calm, high = (sums.fit(int(n[t]) - 1, 1)[0] if n[t] >= min_obs else every_day for n, sums in kinds)
                 a = b = y[t]
                 for h in range(1, horizon + 1):
                     a, b = calm[0] + calm[1] * a, high[0] + high[1] * b
@@ -339,18 +369,28 @@ def against_random_walk(probs: DataFrame, max_lag: int = 5, min_train: int = 250
     ``summary`` has one row per series: orders, mean scores, skill, hit rates, and Diebold-Mariano statistics of squared
     and absolute errors.
     """
-    from .inference import diebold_mariano
-
     f = multi_horizon(probs, (1,), max_lag, min_train, refit)
-    f = f.select("series", "date_t", F.col("date_th").alias("date_t1"), F.col("ar_order_baseline").alias("ar_order"), "p_t", F.col("p_baseline_th").alias("p_ar_t1"), F.col("p_rw_th").alias("p_rw_t1"), F.col("p_realized_th").alias("p_realized_t1"), F.col("z_th").alias("z_t1"))
+    f = with_scores(f.select("series", "date_t", F.col("date_th").alias("date_t1"), F.col("ar_order_baseline").alias("ar_order"), "p_t", F.col("p_baseline_th").alias("p_ar_t1"), F.col("p_rw_th").alias("p_rw_t1"), F.col("p_realized_th").alias("p_realized_t1"), F.col("z_th").alias("z_t1")))
+    return f, summarised(f)
+
+
+def with_scores(f: DataFrame) -> DataFrame:
+    """One-step forecasts with the errors, Brier scores, log losses and hits of the model and of the random walk."""
     for m in ("ar", "rw"):
         p, z = F.col(f"p_{m}_t1"), F.col("z_t1")
         clipped = F.least(F.greatest(p, F.lit(1e-8)), F.lit(1 - 1e-8))
         f = f.withColumns({f"error_{m}": p - F.col("p_realized_t1"), f"brier_{m}": (z - p) ** 2, f"logloss_{m}": -(z * F.ln(clipped) + (1 - z) * F.ln(1 - clipped)), f"hit_{m}": ((p >= 0.5) == (z == 1)).cast("double")})
+    return f
+
+
+def summarised(f: DataFrame) -> DataFrame:
+    """A row per series of :func:`with_scores`: orders, mean scores, skill, hit rates, and Diebold-Mariano statistics."""
+    from .inference import diebold_mariano
+
     means = f.groupBy("series").agg(F.count(F.lit(1)).alias("n_forecasts"), F.mode("ar_order", True).alias("modal_ar_order"), F.avg("ar_order").alias("mean_ar_order"), *(F.avg(f"{c}_{m}").alias(f"{c}_{m}") for c in ("brier", "logloss", "hit") for m in ("ar", "rw")))
     means = means.withColumn("brier_skill_vs_rw", F.when(F.col("brier_rw") > 0, 1 - F.col("brier_ar") / F.col("brier_rw")))
     for name, loss in (("squared", lambda e: e * e), ("absolute", F.abs)):
         d = f.select("series", F.col("date_t").alias("dt"), (loss(F.col("error_ar")) - loss(F.col("error_rw"))).alias("d"))
         dm = diebold_mariano(d, 1, ("series",))
         means = means.join(dm.select("series", F.col("statistic").alias(f"dm_stat_{name}"), F.col("p_value").alias(f"dm_pvalue_{name}")), "series", "left")
-    return f, means
+    return means

@@ -12,7 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import backtest, bootstrap, forecasting, inference, mixture
+from ..functions.arma import ARIMA
+from ..operators import arima, backtest, bootstrap, forecasting, inference, mixture
 from ..streaming.scoring import score_days
 from .kernels import MAIN, _days
 from .relational import _FC, _RET, _ST, SQL, _one_step, path, query, returns, sample, states
@@ -156,6 +157,61 @@ def _(s, d):
     return f.select("n", F.round(F.col("coefficients")[0], 3).alias("phi"), F.round("log_likelihood", 4).alias("log_likelihood"))
 
 
+#: Likelihoods of three orders on a grid of their one coefficient: sums for autoregressions (of levels with a mean, of
+#: differences without one), and for the moving average the recursion of innovations w and their variances f, day by day.
+_ARIMA_GRID = f"""WITH RECURSIVE {_FC}, gr AS (SELECT unnest(range(-9, 10)) / 10.0::DOUBLE AS c),
+su AS (SELECT CAST(count(*) AS DOUBLE) AS n, arg_min(y, t) AS y0, sum(y) FILTER (WHERE ly IS NOT NULL) AS sy, sum(ly) AS sx, sum(ly * ly) AS sxx, sum(ly * y) AS sxy, sum(y * y) FILTER (WHERE ly IS NOT NULL) AS syy FROM l),
+me AS (SELECT *, (1 - c) * (sy - c * sx) AS up, 1 - c * c AS inv FROM gr, su), mn AS (SELECT *, (up + inv * y0) / (power(1 - c, 2) * (n - 1) + inv) AS mean FROM me),
+ar AS (SELECT c, n, (syy - 2 * c * sxy + c * c * sxx - 2 * (1 - c) * mean * (sy - c * sx) + (n - 1) * power((1 - c) * mean, 2) + inv * power(y0 - mean, 2)) / n AS v, ln(inv) / 2 AS half FROM mn),
+z AS (SELECT t, y - ly AS z, lag(y - ly) OVER (ORDER BY t) AS lz, row_number() OVER (ORDER BY t) AS i FROM l WHERE ly IS NOT NULL),
+ad AS (SELECT c, CAST(count(*) AS DOUBLE) AS n, (sum(power(z - c * lz, 2)) FILTER (WHERE lz IS NOT NULL) + (1 - c * c) * power(arg_min(z, i), 2)) / count(*) AS v, ln(1 - c * c) / 2 AS half FROM z, gr GROUP BY c),
+ma AS (SELECT c, 1::BIGINT AS i, 1 + c * c AS f, z AS w, power(z, 2) / (1 + c * c) AS q, ln(1 + c * c) AS ld FROM z, gr WHERE i = 1
+  UNION ALL SELECT c, z.i, 1 + c * c - c * c / ma.f, z.z - c * ma.w / ma.f, q + power(z.z - c * ma.w / ma.f, 2) / (1 + c * c - c * c / ma.f), ld + ln(1 + c * c - c * c / ma.f) FROM ma JOIN z ON z.i = ma.i + 1),
+md AS (SELECT c, CAST(i AS DOUBLE) AS n, q / i AS v, -ld / 2 AS half FROM ma WHERE i = (SELECT max(i) FROM z)),
+al AS (SELECT '1,0,0' AS model, * FROM ar UNION ALL SELECT '1,1,0', * FROM ad UNION ALL SELECT '0,1,1', * FROM md)
+SELECT model, round(c, 1) AS coefficient, round(-n / 2 * (ln(2 * pi() * v) + 1) + half, 4) AS log_likelihood, true AS below_fit FROM al"""
+
+
+@query("arima_likelihood", _ARIMA_GRID)
+def _(s, d):
+    """Likelihoods of given coefficients, and whether the fitted ones have a greater."""
+    orders, grid = ((1, 0, 0), (1, 1, 0), (0, 1, 1)), np.arange(-9, 10) / 10
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        p, k, q = orders[key[0]]
+        m = ARIMA(forecasting.logit(pdf.sort_values("dt")["p_1"].to_numpy(float)), p, k, q).fit()
+        levels = m.profile(*(grid[:, None] if n else np.zeros((len(grid), 0)) for n in (p, q)))[2]
+        return pd.DataFrame({"model": f"{p},{k},{q}", "coefficient": grid, "log_likelihood": levels.round(4), "below_fit": levels <= m.level})
+
+    dealt = states(s, d).select("dt", "p_1", F.explode(F.array(*map(F.lit, range(3)))).alias("i"))
+    return dealt.groupBy("i").applyInPandas(run, "model string, coefficient double, log_likelihood double, below_fit boolean")
+
+
+def _refined(level: str, rounds: int) -> str:
+    """The greatest of a function of ``c`` for each origin, on grids that grow finer around the best point so far."""
+    out, step = "c0 AS (SELECT t, 0.0::DOUBLE AS c FROM cs)", 0.1
+    for i in range(1, rounds + 1):
+        reach = 9 if i == 1 else 10
+        out += f", g{i} AS (SELECT cs.*, least(greatest(c{i - 1}.c + k * {step}, -0.999999), 0.999999) AS c FROM cs JOIN c{i - 1} USING (t), (SELECT unnest(range(-{reach}, {reach + 1})) AS k)), c{i} AS (SELECT t, arg_max(c, {level}) AS c FROM m{i} GROUP BY t)".replace(f", c{i} AS", f", m{i} AS (SELECT *, ((1 - c) * (sy - c * sx) + (1 - c * c) * y0) / (power(1 - c, 2) * (n - 1) + 1 - c * c) AS mean FROM g{i}), c{i} AS")
+        step /= 8
+    return out
+
+
+#: The exact AR(1) of every origin's past from running sums; its coefficient by grids, finer eight times over.
+_AR1_LEVEL = "-n * ln((syy - 2 * c * sxy + c * c * sxx - 2 * (1 - c) * mean * (sy - c * sx) + (n - 1) * power((1 - c) * mean, 2) + (1 - c * c) * power(y0 - mean, 2)) / n) + ln(1 - c * c)"
+_AR1_WALK = f"""WITH {_FC}, cs AS (SELECT * FROM (SELECT t, dt, p_1, y, lead(p_1) OVER o AS nxt, CAST(t + 1 AS DOUBLE) AS n, first_value(y) OVER w AS y0, sum(CASE WHEN ly IS NOT NULL THEN y END) OVER w AS sy, sum(ly) OVER w AS sx, sum(ly * ly) OVER w AS sxx, sum(ly * y) OVER w AS sxy, sum(CASE WHEN ly IS NOT NULL THEN y * y END) OVER w AS syy
+  FROM l WINDOW o AS (ORDER BY t), w AS (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE t >= 250 AND nxt IS NOT NULL),
+{_refined(_AR1_LEVEL, 8)}, wf AS (SELECT p_1 AS rw, CAST(nxt > 0.5 AS INT) AS z, 1 / (1 + exp(-(mean + c * (y - mean)))) AS p FROM m8 JOIN c8 USING (t, c))"""
+_LOSS = "avg(-(z * ln(least(greatest({0}, 1e-8), 1 - 1e-8)) + (1 - z) * ln(1 - least(greatest({0}, 1e-8), 1 - 1e-8))))"
+
+
+@query("ar1_exact_scores", f"{_AR1_WALK} SELECT count(*) AS n_forecasts, round(avg(power(z - p, 2)), 5) AS brier_ar, round(avg(power(z - rw, 2)), 5) AS brier_rw, round({_LOSS.format('p')}, 5) AS logloss_ar, round({_LOSS.format('rw')}, 4) AS logloss_rw, round(1 - avg(power(z - p, 2)) / avg(power(z - rw, 2)), 4) AS skill, round(avg(CAST((p >= 0.5) = (z = 1) AS DOUBLE)), 5) AS hit_ar FROM wf")
+def _(s, d):
+    t = arima.against_random_walk(states(s, d), None)[1]
+    five, four = ("brier_ar", "brier_rw", "logloss_ar", "hit_ar"), (("logloss_rw", "logloss_rw"), ("brier_skill_vs_rw", "skill"))
+    return t.select("n_forecasts", *(F.round(c, 5).alias(c) for c in five), *(F.round(c, 4).alias(a) for c, a in four))
+
+
 # ---- mixtures -------------------------------------------------------------------------------------------
 
 #: A mixture of given parameters: shares, and for each of the six series a mean and a variance by state.

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import backtest, bootstrap, forecast_eval, forecasting, inference, mixture, panel, portfolios, regimes, studies
+from ..operators import arima, backtest, bootstrap, forecast_eval, forecasting, inference, mixture, panel, portfolios, regimes, studies
 from .relational import path, returns, sample, states
 
 #: The specifications of the main and the forecast fit, and the main one without a tie between windows.
@@ -157,6 +157,11 @@ QUERIES = {
     "logit_fits": lambda s, d: forecasting.fit_logit(states(s, d)).unionByName(forecasting.fit_logit(states(s, d), 3)),
     "logit_forecast": lambda s, d: forecasting.logit_forecast(states(s, d), 21),
     "snail_trail_exact": lambda s, d: forecasting.snail_trail(states(s, d), exact=True),
+    "arima_fits": lambda s, d: arima.fit_arima(states(s, d), ((1, 0, 0), (2, 0, 1), (1, 1, 0), (0, 1, 1), (1, 1, 1))),
+    "arima_forecast": lambda s, d: arima.arima_forecast(states(s, d), (1, 1, 1), 21),
+    "ar_exact_against_random_walk": lambda s, d: arima.against_random_walk(states(s, d))[1],
+    "regime_aware_exact": lambda s, d: arima.regime_aware(states(s, d)),
+    "compare_methods_exact": lambda s, d: arima.compare_methods(states(s, d)),
     "backtest_signals": lambda s, d: forecasting.backtest_signals(states(s, d)),
     "max_sharpe": lambda s, d: portfolios.unconditional_portfolio(returns(s, d), bounds=portfolios.LIVE),
     "state_portfolios": lambda s, d: portfolios.state_portfolios(sample(s, d)),
