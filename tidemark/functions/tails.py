@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -96,6 +97,54 @@ def normal_sf2(stat: str):
     return _column(run, stat)
 
 
+def kolmogorov_exact(n1: int, n2: int, gap: int) -> float:
+    """Probability that two samples of one law, without ties, differ somewhere by ``gap`` / lcm(n1, n2) or more.
+
+    Orders of the pooled sample are lattice paths from (0, 0) to (n1, n2), all alike. A point's share is that of the paths
+    to it that have left the band of smaller differences; a path comes to (i, j) by its last step from one of two points,
+    with chances i and j out of i + j. Diagonals follow each other, so shares stay between 0 and 1 and nothing cancels.
+    """
+    g = math.gcd(n1, n2)
+    a, b = n2 // g, n1 // g
+    if gap <= 0:
+        return 1.0
+    share = np.zeros(n1 + 2)  # of the point with i - 1 steps in the first sample
+    for s in range(1, n1 + n2 + 1):
+        i = np.arange(max(0, s - n2), min(n1, s) + 1)
+        left = share[i] * i / s + share[i + 1] * (s - i) / s
+        share[i + 1] = np.where(np.abs(i * a - (s - i) * b) >= gap, 1.0, left)
+        share[i[0]] = 0.0
+    return float(share[n1 + 1])
+
+
+def ks_exact(stat: str, n1: str, n2: str, most: int):
+    """The exact p-value while neither sample has more than ``most`` rows, that of the limit law beyond it."""
+
+    def run(d: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        out, known = [], {}
+        limit = kolmogorov_sf((np.sqrt(a * b / (a + b)) * d).to_numpy(float))
+        for x, n, m, p in zip(d, a, b, limit):
+            if np.isnan(x) or max(n, m) > most:
+                out.append(p)
+                continue
+            key = int(n), int(m), round(x * math.lcm(int(n), int(m)))
+            if key not in known:
+                known[key] = kolmogorov_exact(*key)
+            out.append(known[key])
+        return pd.Series(out, dtype=float)
+
+    return _column(run, stat, n1, n2)
+
+
+def normal_quantile(p: str):
+    inverse = NormalDist().inv_cdf
+
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series([inverse(v) if 0 < v < 1 else math.nan for v in x], dtype=float)
+
+    return _column(run, p)
+
+
 def ks_sf(stat: str, n1: str, n2: str):
     def run(d: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(kolmogorov_sf((np.sqrt(a * b / (a + b)) * d).to_numpy(float)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,8 +78,12 @@ def kruskal(sample: DataFrame, min_n: int = 50) -> DataFrame:
     return j.select("asset", h.alias("statistic"), (F.col("k") - 1).alias("df")).withColumn("p_value", tails.chi2_sf("statistic", "df"))
 
 
-def kolmogorov(sample: DataFrame, min_n: int = 50) -> DataFrame:
-    """Greatest difference of the distribution functions of two states of an asset; p from the limit law."""
+def kolmogorov(sample: DataFrame, min_n: int = 50, exact: int = 10_000) -> DataFrame:
+    """Greatest difference of the distribution functions of two states of an asset.
+
+    p is exact while neither state has more than ``exact`` days (0 for the limit law alone), and takes the pooled sample
+    to have no ties.
+    """
     x = valid_samples(sample, min_n)
     sizes = x.groupBy("asset", "regime").agg(F.count(F.lit(1)).alias("n"))
     two = sizes.select("asset", F.col("regime").alias("regime1"), F.col("n").alias("n1")).join(sizes.select("asset", F.col("regime").alias("regime2"), F.col("n").alias("n2")), "asset").filter("regime1 < regime2")
@@ -85,7 +91,7 @@ def kolmogorov(sample: DataFrame, min_n: int = 50) -> DataFrame:
     w = Window.partitionBy("asset", "regime1", "regime2").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
     gap = at.withColumn("d", F.abs(F.sum("c1").over(w) / F.col("n1") - F.sum("c2").over(w) / F.col("n2")))
     out = gap.groupBy("asset", "regime1", "regime2", "n1", "n2").agg(F.max("d").alias("statistic"))
-    return out.withColumn("p_value", tails.ks_sf("statistic", "n1", "n2"))
+    return out.withColumn("p_value", tails.ks_exact("statistic", "n1", "n2", exact) if exact else tails.ks_sf("statistic", "n1", "n2"))
 
 
 def jarque_bera(returns: DataFrame) -> DataFrame:
@@ -98,6 +104,86 @@ def jarque_bera(returns: DataFrame) -> DataFrame:
     return out.select("asset", "statistic", "df", "mean", "std", skew.alias("skew"), kurt.alias("kurtosis")).withColumn("p_value", tails.chi2_sf("statistic", "df")).drop("df")
 
 
+def dagostino(returns: DataFrame) -> DataFrame:
+    """Normality by the transformed skewness and kurtosis of each asset: (asset, n, z_skew, z_kurtosis, statistic, p_value).
+
+    Null below 8 days and for a constant asset.
+    """
+    g = returns.groupBy("asset").agg(F.count("r").cast("double").alias("n"), F.skewness("r").alias("g1"), (F.kurtosis("r") + 3).alias("b2"))
+    g = g.filter((F.col("n") >= 8) & F.col("g1").isNotNull() & ~F.isnan("g1"))
+    n = F.col("n")
+    y = F.col("g1") * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    w2 = F.sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1
+    g = g.withColumns({"w2": w2, "y": y / F.sqrt(2 / (w2 - 1))})
+    z_skew = F.log(F.col("y") + F.sqrt(F.col("y") ** 2 + 1)) / F.sqrt(0.5 * F.log("w2"))
+    x = (F.col("b2") - 3 * (n - 1) / (n + 1)) / F.sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5)))
+    root = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    a = 6 + 8 / root * (2 / root + F.sqrt(1 + 4 / root**2))
+    g = g.withColumns({"z_skew": z_skew, "a": a, "down": 1 + x * F.sqrt(2 / (a - 4))})
+    part = F.signum("down") * F.pow((1 - 2 / F.col("a")) / F.abs("down"), F.lit(1 / 3))
+    z_kurtosis = (1 - 2 / (9 * F.col("a")) - part) / F.sqrt(2 / (9 * F.col("a")))
+    out = g.withColumn("z_kurtosis", z_kurtosis).withColumn("statistic", F.col("z_skew") ** 2 + F.col("z_kurtosis") ** 2)
+    return out.select("asset", n.cast("long").alias("n"), "z_skew", "z_kurtosis", "statistic", F.exp(-F.col("statistic") / 2).alias("p_value"))
+
+
+# Royston's polynomials (Applied Statistics, algorithm R 94), coefficients by rising power.
+_LAST = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
+_LAST_BUT_ONE = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+_SMALL_MEAN, _SMALL_SD = (0.544, -0.39978, 0.025054, -6.714e-4), (1.3822, -0.77857, 0.062767, -0.0020322)
+_MEAN, _SD = (-1.5861, -0.31082, -0.083751, 0.0038915), (-0.4803, -0.082676, 0.0030302)
+_GAMMA = (-2.273, 0.459)
+
+
+def _polynomial(coefficients: tuple[float, ...], x):
+    out = F.lit(coefficients[-1])
+    for c in coefficients[-2::-1]:
+        out = out * x + c
+    return out
+
+
+def shapiro_wilk(returns: DataFrame) -> DataFrame:
+    """Normality of each asset by the regression of ordered values on normal scores: (asset, n, statistic, p_value).
+
+    Scores and weights follow the ranks, so values are ordered once, by a window within each asset. p is that of Royston's
+    approximation, made for 3 to 5,000 days; fewer days, or a constant asset, have no row.
+    """
+    w = Window.partitionBy("asset")
+    x = returns.filter(F.col("r").isNotNull()).select("asset", "r", F.row_number().over(w.orderBy("r")).alias("i"), F.count(F.lit(1)).over(w).cast("double").alias("n"))
+    x = x.filter("n >= 3").withColumn("place", (F.col("i") - 0.375) / (F.col("n") + 0.25)).withColumn("m", tails.normal_quantile("place"))
+    n = F.col("n")
+    sums = x.groupBy("asset").agg(F.max("n").alias("n"), F.sum(F.col("m") ** 2).alias("mm"), F.max("m").alias("m1"), F.max(F.when(F.col("i") == n - 1, F.col("m"))).alias("m2"), (F.var_pop("r") * F.max("n")).alias("ss"))
+    root, short = 1 / F.sqrt(n), 1 / F.sqrt("mm")
+    last = F.when(n == 3, F.sqrt(F.lit(0.5))).otherwise(_polynomial(_LAST, root) + F.col("m1") * short)
+    sums = sums.filter("ss > 0").withColumn("a1", last).withColumn("a2", F.when(n > 5, _polynomial(_LAST_BUT_ONE, root) + F.col("m2") * short))
+    two = F.sqrt((F.col("mm") - 2 * F.col("m1") ** 2 - 2 * F.col("m2") ** 2) / (1 - 2 * F.col("a1") ** 2 - 2 * F.col("a2") ** 2))
+    one = F.sqrt((F.col("mm") - 2 * F.col("m1") ** 2) / (1 - 2 * F.col("a1") ** 2))
+    sums = sums.withColumn("scale", F.when(n > 5, two).when(n > 3, one))
+    from_end = F.least(F.col("i"), n + 1 - F.col("i"))
+    weight = F.when(from_end == 1, F.signum("m") * F.col("a1")).when((from_end == 2) & (n > 5), F.signum("m") * F.col("a2")).otherwise(F.coalesce(F.col("m") / F.col("scale"), F.lit(0.0)))
+    both = x.select("asset", "r", "i", "m").join(sums, "asset").groupBy("asset").agg(F.max("n").alias("n"), F.sum(weight * F.col("r")).alias("b"), F.max("ss").alias("ss"))
+    both = both.withColumn("statistic", F.least(F.col("b") ** 2 / F.col("ss"), F.lit(1.0)))
+    y, lx = F.log(1 - F.col("statistic")), F.log(n)
+    small = -F.log(_polynomial(_GAMMA, n) - y)
+    z = F.when(n <= 11, (small - _polynomial(_SMALL_MEAN, n)) / F.exp(_polynomial(_SMALL_SD, n))).otherwise((y - _polynomial(_MEAN, lx)) / F.exp(_polynomial(_SD, lx)))
+    three = F.greatest(6 / math.pi * (F.asin(F.sqrt("statistic")) - math.asin(math.sqrt(0.75))), F.lit(0.0))
+    out = both.withColumn("z", z).withColumn("tail", tails.normal_sf2("z"))
+    upper = F.when(F.col("z") >= 0, F.col("tail") / 2).otherwise(1 - F.col("tail") / 2)
+    p = F.when(n == 3, three).when((n <= 11) & (y >= _polynomial(_GAMMA, n)), F.lit(1e-99)).otherwise(upper)
+    return out.select("asset", n.cast("long").alias("n"), "statistic", p.alias("p_value"))
+
+
+def normality(returns: DataFrame, method: str = "jarque_bera") -> DataFrame:
+    """(asset, statistic, p_value, mean, std, skew, kurtosis) by ``jarque_bera``, ``shapiro`` or ``dagostino``; assets that a
+    test is not made for have null statistics."""
+    moments = jarque_bera(returns)
+    if method == "jarque_bera":
+        return moments.select("asset", "statistic", "p_value", "mean", "std", "skew", "kurtosis")
+    tests = {"shapiro": shapiro_wilk, "dagostino": dagostino}
+    if method not in tests:
+        raise ValueError(f"no such test of normality: {method}")
+    return moments.select("asset", "mean", "std", "skew", "kurtosis").join(tests[method](returns).select("asset", "statistic", "p_value"), "asset", "left").select("asset", "statistic", "p_value", "mean", "std", "skew", "kurtosis")
+
+
 def diebold_mariano(losses: DataFrame, h: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
     """Of loss differences (…, dt, d): mean, long-run variance with h - 1 autocovariances, statistic and normal p.
 

@@ -61,7 +61,7 @@ v AS (SELECT la.* EXCLUDE (lam), CASE WHEN lam < 0.2 THEN 1 ELSE least(greatest(
 q AS (SELECT *, row_number() OVER (ORDER BY p) AS rk, count(*) OVER () AS m FROM v), w AS (SELECT *, least(min(p * m / rk) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0) AS q FROM q)
 SELECT asset, regime1, regime2, n1, n2, round(statistic, 6) AS statistic, round(p, 6) AS p_value, round(q, 6) AS q_value, CASE WHEN q < 0.01 THEN '***' WHEN q < 0.05 THEN '**' WHEN q < 0.1 THEN '*' ELSE '-' END AS stars FROM w""", 6)
 def _(s, d):
-    return inference.starred(inference.kolmogorov(sample(s, d)))
+    return inference.starred(inference.kolmogorov(sample(s, d), exact=0))
 
 
 @query("jarque_bera_p", _cte("jarque_bera") + " SELECT asset, statistic, round(exp(-statistic / 2), 4) AS p_value FROM s", 6)
@@ -69,6 +69,37 @@ def _(s, d):
     return inference.jarque_bera(returns(s, d)).select("asset", "statistic", F.round("p_value", 4).alias("p_value"))
 
 
+#: Small samples: two series' days of a month. Lattice paths in the SQL are counted diagonal by diagonal, for each pair of sizes and gap.
+_KS_EXACT = f"""WITH RECURSIVE {_RET}, x AS (SELECT strftime(dt, '%Y-%m') AS asset, CASE asset WHEN 'A_F' THEN 0 ELSE 1 END AS regime, r FROM ret WHERE asset IN ('A_F', 'R_F')),
+sz AS (SELECT asset, count(*) FILTER (WHERE regime = 0) AS n1, count(*) FILTER (WHERE regime = 1) AS n2 FROM x GROUP BY 1 HAVING n1 >= 5 AND n2 >= 5),
+gp AS (SELECT x.asset, n1, n2, max(abs(c1 * n2 - c2 * n1)) // greatest_common_divisor(n1, n2) AS gap FROM (SELECT asset, sum(CAST(regime = 0 AS INT)) OVER w AS c1, sum(CAST(regime = 1 AS INT)) OVER w AS c2 FROM x WINDOW w AS (PARTITION BY asset ORDER BY r)) x JOIN sz USING (asset) GROUP BY 1, 2, 3),
+ks AS (SELECT DISTINCT n1, n2, gap, greatest_common_divisor(n1, n2) AS g FROM gp),
+pt AS (SELECT n1, n2, gap, g, 0::BIGINT AS s, 0::BIGINT AS i, 0.0::DOUBLE AS o FROM ks
+  UNION ALL SELECT n1, n2, gap, g, s + 1, i + d, CASE WHEN max(abs((i + d) * (n2 // g) - (s + 1 - i - d) * (n1 // g))) >= gap THEN 1 ELSE sum(o * CASE d WHEN 1 THEN i + d ELSE s + 1 - i - d END / (s + 1)) END
+  FROM pt, (SELECT unnest([0, 1]::BIGINT[]) AS d) WHERE s < n1 + n2 AND i + d <= n1 AND s + 1 - i - d <= n2 GROUP BY n1, n2, gap, g, s, i + d)
+SELECT gp.asset AS month, CAST(gp.n1 AS BIGINT) AS n1, CAST(gp.n2 AS BIGINT) AS n2, round(gp.gap * greatest_common_divisor(gp.n1, gp.n2) / (gp.n1 * gp.n2), 6) AS statistic, round(o, 6) AS p_value FROM gp JOIN pt ON gp.n1 = pt.n1 AND gp.n2 = pt.n2 AND gp.gap = pt.gap AND pt.s = gp.n1 + gp.n2"""
+
+
+@query("ks_exact_p", _KS_EXACT, 6)
+def _(s, d):
+    two = returns(s, d).filter("asset in ('A_F', 'R_F')").select(F.date_format("dt", "yyyy-MM").alias("asset"), (F.col("asset") == "R_F").cast("int").alias("regime"), "r")
+    return inference.kolmogorov(two, 5).select(F.col("asset").alias("month"), "n1", "n2", "statistic", "p_value")
+
+
+_K2 = f"""WITH {_RET}, m AS (SELECT asset, CAST(count(*) AS DOUBLE) AS n, avg(r) AS mu FROM ret GROUP BY 1),
+c AS (SELECT asset, max(n) AS n, avg(power(r - mu, 3)) / power(avg(power(r - mu, 2)), 1.5) AS g1, avg(power(r - mu, 4)) / power(avg(power(r - mu, 2)), 2) AS b2 FROM ret JOIN m USING (asset) GROUP BY 1),
+k AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1 AS w2, (b2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / (power(n + 1, 2) * (n + 3) * (n + 5))) AS x,
+  6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS b FROM c),
+a AS (SELECT *, 6 + 8 / b * (2 / b + sqrt(1 + 4 / (b * b))) AS a FROM k),
+z AS (SELECT asset, n, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS z1, (1 - 2 / (9 * a) - sign(1 + x * sqrt(2 / (a - 4))) * cbrt((1 - 2 / a) / abs(1 + x * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a)) AS z2 FROM a)
+SELECT asset, CAST(n AS BIGINT) AS n, round(z1, 6) AS z_skew, round(z2, 6) AS z_kurtosis, round(z1 * z1 + z2 * z2, 6) AS statistic, round(exp(-(z1 * z1 + z2 * z2) / 2), 6) AS p_value FROM z"""
+
+
+@query("dagostino_k2", _K2, 6)
+def _(s, d):
+    return inference.dagostino(returns(s, d))
+
+
 #: Both tails of the normal law at z, by the integral of its density over 0 to |z|.
 _N_TAIL = "1 - 2 * abs(z) / 12000 / sqrt(2 * pi()) * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-power(z * i / 4000.0, 2) / 2))"
 
@@ -82,6 +113,28 @@ def _(s, d):
     return table(s, d, "customer").select(c.alias("id"), ((c % 97 - 48) / 8.0).alias("z")).withColumn("p_value", normal_sf2("z")).drop("z")
 
 
+def _sql_polynomial(coefficients: tuple[float, ...], x: str) -> str:
+    return " + ".join(f"({c}) * power({x}, {k})" for k, c in enumerate(coefficients))
+
+
+#: Normal scores in the SQL from a table of the integral of the density in steps of 1e-4, with lines between.
+_SW = f"""WITH {_RET}, gz AS (SELECT i / 10000.0::DOUBLE AS z, 0.5 + coalesce(sum(h) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p, h FROM
+  (SELECT i, (exp(-power(i / 10000.0, 2) / 2) + 4 * exp(-power((i + 0.5) / 10000, 2) / 2) + exp(-power((i + 1) / 10000.0, 2) / 2)) / 60000 / sqrt(2 * pi()) AS h FROM (SELECT unnest(range(0, 60000))::DOUBLE AS i))),
+x AS (SELECT asset || strftime(dt, ' %Y-%m') AS asset, r FROM ret), o AS (SELECT asset, r, row_number() OVER (PARTITION BY asset ORDER BY r) AS i, CAST(count(*) OVER (PARTITION BY asset) AS DOUBLE) AS n FROM x), q AS (SELECT *, (i - 0.375) / (n + 0.25) AS pl, 0.5 + abs((i - 0.375) / (n + 0.25) - 0.5) AS pp FROM o WHERE n > 11),
+m AS (SELECT asset, r, i, n, sign(pl - 0.5) * (gz.z + (pp - gz.p) / gz.h / 10000) AS m FROM q ASOF JOIN gz ON q.pp >= gz.p),
+s AS (SELECT asset, max(n) AS n, sum(m * m) AS mm, max(m) AS m1, max(m) FILTER (WHERE i = n - 1) AS m2, var_pop(r) * max(n) AS ss FROM m GROUP BY 1),
+a AS (SELECT *, {_sql_polynomial(inference._LAST, '(1 / sqrt(n))')} + m1 / sqrt(mm) AS a1, {_sql_polynomial(inference._LAST_BUT_ONE, '(1 / sqrt(n))')} + m2 / sqrt(mm) AS a2 FROM s),
+w AS (SELECT m.asset, max(a.n) AS n, power(sum(r * CASE WHEN i = 1 THEN -a1 WHEN i = m.n THEN a1 WHEN i = 2 THEN -a2 WHEN i = m.n - 1 THEN a2 ELSE m / sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) END), 2) / max(ss) AS w FROM m JOIN a USING (asset) GROUP BY 1),
+zz AS (SELECT asset, n, w, (ln(1 - w) - ({_sql_polynomial(inference._MEAN, 'ln(n)')})) / exp({_sql_polynomial(inference._SD, 'ln(n)')}) AS z FROM w), si AS (SELECT unnest(range(0, 4001)) AS i)
+SELECT asset, CAST(n AS BIGINT) AS n, round(w, 6) AS statistic, round(CASE WHEN z > 0 THEN ({_N_TAIL}) / 2 ELSE 1 - ({_N_TAIL}) / 2 END, 5) AS p_value FROM zz, si GROUP BY asset, n, w, z"""
+
+
+@query("shapiro_wilk", _SW, 6)
+def _(s, d):
+    months = returns(s, d).select(F.concat("asset", F.date_format("dt", " yyyy-MM")).alias("asset"), "r")
+    return inference.shapiro_wilk(months).filter("n > 11").withColumn("p_value", F.round("p_value", 5))
+
+
 # ---- paths and points of bootstraps ---------------------------------------------------------------------
 
 
