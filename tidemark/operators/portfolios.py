@@ -159,35 +159,64 @@ def weighted_expanding(returns: DataFrame, probs: DataFrame, dates: DataFrame, u
     return x.groupBy("dt", "t", "k").agg(F.max("n").alias("total"), F.array_sort(F.collect_list(F.struct("a", "b", "cov", "ma"))).alias("cells"))
 
 
+def live_days(returns: DataFrame, signal: DataFrame) -> DataFrame:
+    """(dt, t, place, p_1): the days that have returns and a signal, numbered from 0, with their place among all days of returns."""
+    days = returns.select("dt").distinct().withColumn("place", F.row_number().over(Window.orderBy("dt")) - 1)
+    common = days.join(signal.filter("p_1 IS NOT NULL").select("dt", "p_1"), "dt")
+    return common.select("dt", (F.row_number().over(Window.orderBy("dt")) - 1).alias("t"), "place", "p_1")
+
+
+def recompute_gate(days: DataFrame, min_train: int = 252, recompute: int = 63) -> DataFrame:
+    """(dt, t, place, p_1, recomputed, portfolio_dt) of the month ends of ``days`` (dt, t, place, p_1) that rebalance.
+
+    They have ``min_train`` or more days of returns before them. One recomputes the portfolios if it lies ``recompute`` or
+    more days behind the last one that did, counted from day 0, or is day 0; ``portfolio_dt`` is the last that did, null
+    while none has. The chain of recomputations is a fold over the month ends, one number a month.
+    """
+    ends = days.join(rebalance_dates(days.select("dt")), "dt").filter(F.col("place") >= min_train)
+    start = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<long>").alias("done"))
+    again = lambda acc, t: (t - acc["last"] >= recompute) | (t == 0)
+    step = lambda acc, t: F.when(again(acc, t), F.struct(t.alias("last"), F.concat(acc["done"], F.array(t)).alias("done"))).otherwise(acc)
+    numbers = F.array_sort(F.collect_list(F.col("t").cast("long")))
+    done = ends.agg(F.aggregate(numbers, start, step)["done"].alias("done")).select(F.explode("done").alias("t"), F.lit(True).alias("recomputed"))
+    so_far = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    out = ends.join(done, "t", "left").withColumn("recomputed", F.coalesce("recomputed", F.lit(False)))
+    return out.withColumn("portfolio_dt", F.last(F.when(F.col("recomputed"), F.col("dt")), True).over(so_far)).select("dt", "t", "place", "p_1", "recomputed", "portfolio_dt")
+
+
+def live_state_portfolios(moments: DataFrame) -> DataFrame:
+    """(dt, k, asset, w) of states' weighted moments: the greatest Sharpe ratio, or equal weights under 10 days of weight."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for _, r in pdf.iterrows():
+                names, mu, cov = _unpack(r["cells"])
+                w = np.full(len(names), 1 / len(names)) if r["total"] < 10 else quadratic.live_max_sharpe(mu * ANN_LIVE, cov * ANN_LIVE)
+                rows += [(r["dt"], int(r["k"]), a, float(x)) for a, x in zip(names, w)]
+            yield pd.DataFrame(rows, columns=["dt", "k", "asset", "w"])
+
+    return moments.select("dt", "k", "total", "cells").mapInPandas(run, "dt date, k int, asset string, w double")
+
+
 def backtest_regimes(returns: DataFrame, probs: DataFrame, signal: DataFrame, min_train: int = 252, recompute: int = 63, transaction_cost: float = 0.0005) -> DataFrame:
-    """Expanding state-aware path. ``probs`` (dt, k, p) weight the moments, ``signal`` (dt, p_1) blends the portfolios.
+    """Expanding state-aware path over the days with a signal. ``probs`` (dt, k, p) weight the moments of all days up to a
+    recomputation, ``signal`` (dt, p_1) blends the portfolios.
 
-    State portfolios are computed anew at month ends that lie ``recompute`` days or more after the last time (counted
-    from the start, and at the first); a state with under 10 days of weight has equal weights. Month ends without a
-    signal, or with fewer than ``min_train`` days behind them, do not rebalance.
+    The path starts with equal weights on the first such day. Month ends of these days with ``min_train`` days of returns
+    before them rebalance; portfolios are computed anew where :func:`recompute_gate` says so, and both are equal weights
+    until then; a state with under 10 days of weight, or without any, has equal weights.
     """
-    returns = returns.persist()
-    dates = rebalance_dates(returns.select("dt")).join(signal.filter("p_1 IS NOT NULL").select("dt", "p_1"), "dt")
-    states = weighted_expanding(returns, probs, dates).join(dates, "dt").filter(F.col("t") >= min_train).withColumn("g", F.lit(0))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Over one row per month end and state."""
-        last, portfolios, rows = 0, None, []
-        for t, day in sorted(pdf.groupby("t"), key=lambda kv: kv[0]):
-            if portfolios is None or t - last >= recompute:
-                portfolios, last = {}, t
-                for _, r in day.iterrows():
-                    names, mu, cov = _unpack(r["cells"])
-                    portfolios[int(r["k"])] = np.full(len(names), 1 / len(names)) if r["total"] < 10 else quadratic.live_max_sharpe(mu * ANN_LIVE, cov * ANN_LIVE)
-            p = float(day["p_1"].iloc[0])
-            even = np.full(len(names), 1 / len(names))
-            w = (1 - p) * portfolios.get(0, even) + p * portfolios.get(1, even)
-            w = w / w.sum()
-            rows += [(day["dt"].iloc[0], a, float(x)) for a, x in zip(names, w)]
-        return pd.DataFrame(rows, columns=["dt", "asset", "w"])
-
-    targets = states.groupBy("g").applyInPandas(walk, "dt date, asset string, w double")
-    return drifted(returns, equal_weights(returns), targets, transaction_cost)
+    days = live_days(returns, signal)
+    gate = recompute_gate(days, min_train, recompute)
+    moments = weighted_expanding(returns, probs.filter("k in (0, 1)"), gate.filter("recomputed").select("dt"))
+    found = live_state_portfolios(moments).withColumnsRenamed({"dt": "portfolio_dt", "w": "found"})
+    even = equal_weights(returns).select("asset", F.col("w").alias("even"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    each = gate.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).join(even, "k").join(found, ["portfolio_dt", "k", "asset"], "left")
+    share = F.when(F.col("k") == 1, F.col("p_1")).otherwise(1 - F.col("p_1"))
+    blended = each.groupBy("dt", "asset").agg(F.sum(share * F.coalesce("found", "even")).alias("w"))
+    targets = blended.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("dt")))
+    return drifted(returns.join(days.select("dt"), "dt"), equal_weights(returns), targets, transaction_cost)
 
 
 def backtest_out_of_sample(returns: DataFrame, probs: DataFrame, initial: int = 1250, every: int = 63, transaction_cost: float = 0.0005, bounds: Bounds = Bounds(), blend: bool = True) -> DataFrame:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.arma import ARIMA
-from ..operators import arima, backtest, bootstrap, forecasting, inference, mixture
+from ..operators import arima, backtest, bootstrap, forecasting, inference, mixture, portfolios
 from ..streaming.scoring import score_days
 from .kernels import MAIN, _days
 from .relational import _FC, _RET, _ST, SQL, _one_step, path, query, returns, sample, states
@@ -173,6 +173,28 @@ def _(s, d):
     return t.select("name", "rho_low", "rho_high", "diff", F.col("p_value").between(0, 1).alias("possible"))
 
 
+#: Month ends that rebalance and recompute, with signals from the first, an early and a late day on.
+_GATE = f"""WITH RECURSIVE {_ST}, rd AS (SELECT dt, row_number() OVER (ORDER BY dt) - 1 AS place FROM (SELECT DISTINCT dt FROM ret)),
+sg AS (SELECT st.dt, p_1, place, since, row_number() OVER (PARTITION BY since ORDER BY st.dt) - 1 AS t FROM st JOIN rd ON st.dt = rd.dt, (SELECT unnest([0, 300, 1201]) AS since) WHERE place >= since),
+en AS (SELECT since, t, place, dt, p_1 FROM sg QUALIFY row_number() OVER (PARTITION BY since, date_trunc('month', dt) ORDER BY dt DESC) = 1),
+el AS (SELECT *, row_number() OVER (PARTITION BY since ORDER BY t) AS i FROM en WHERE place >= 252),
+wk AS (SELECT since, i, t, t = 0 OR t >= 63 AS redo, CASE WHEN t >= 63 THEN t ELSE 0 END AS last FROM el WHERE i = 1
+  UNION ALL SELECT el.since, el.i, el.t, el.t - last >= 63, CASE WHEN el.t - last >= 63 THEN el.t ELSE last END FROM wk JOIN el ON el.since = wk.since AND el.i = wk.i + 1)
+SELECT since, el.dt, CAST(el.t AS INT) AS t, CAST(place AS INT) AS place, redo AS recomputed, last_value(CASE WHEN redo THEN el.dt END IGNORE NULLS) OVER (PARTITION BY since ORDER BY el.t) AS portfolio_dt FROM wk JOIN el USING (since, i)"""
+
+
+@query("recompute_gate", _GATE)
+def _(s, d):
+    r, signal = returns(s, d), states(s, d).select("dt", "p_1")
+    days = portfolios.live_days(r, signal)
+    out = None
+    for since in (0, 300, 1201):
+        late = portfolios.live_days(r, signal.join(days.filter(F.col("place") >= since).select("dt"), "dt"))
+        gate = portfolios.recompute_gate(late).select(F.lit(since).alias("since"), "dt", "t", "place", "recomputed", "portfolio_dt")
+        out = gate if out is None else out.unionByName(gate)
+    return out
+
+
 # ---- forecasts of order one -----------------------------------------------------------------------------
 
 _ORIGINS = f"WITH {_FC}, og AS (SELECT t, dt, p_1, y, a, b FROM ab WHERE t >= 250 AND (t - 250) % 20 = 0), hs AS (SELECT CAST(unnest(range(1, 22)) AS INT) AS h)"
