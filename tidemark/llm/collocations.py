@@ -30,7 +30,7 @@ from .common import read_table, released, written
 SHARD_BYTES, BATCH = 6 << 20, 200_000
 _BREAKS = byte_set(*b".,;:!?", (0x0A, 0x0D))
 _SOLID = ~(_BREAKS | byte_set(0x20, 0x09))
-_SHARDS = "shard long, codes binary, code int, lang string, word string, n long"
+_SHARDS = "shard long, positions long, codes binary, code int, lang string, word string, n long"
 _ONE = np.uint64(1)
 
 
@@ -154,76 +154,81 @@ def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             codes[np.arange(len(code)) + gaps] = number[key]
             shard, m = shard + 1, len(have)
             none = lambda t, n: pa.nulls(n, t)
-            word_rows = [pa.array(np.full(m, shard)), none(pa.binary(), m), pa.array(np.arange(m, dtype=np.int32)), langs.dictionary.take(pa.array(have % k)), words.take(pa.array(have // k)).cast(pa.string()), pa.array(seen[have])]
-            shard_row = [pa.array([shard]), pa.array([codes.tobytes()], pa.binary()), none(pa.int32(), 1), none(pa.string(), 1), none(pa.string(), 1), none(pa.int64(), 1)]
+            word_rows = [pa.array(np.full(m, shard)), none(pa.int64(), m), none(pa.binary(), m), pa.array(np.arange(m, dtype=np.int32)), langs.dictionary.take(pa.array(have % k)), words.take(pa.array(have // k)).cast(pa.string()), pa.array(seen[have])]
+            shard_row = [pa.array([shard]), pa.array([len(codes)]), pa.array([pa.compress(codes.tobytes(), "zstd", asbytes=True)], pa.binary()), none(pa.int32(), 1), none(pa.string(), 1), none(pa.string(), 1), none(pa.int64(), 1)]
             for columns in (word_rows, shard_row):
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def _mined(shards: DataFrame, longest: int, pairs: bool) -> DataFrame:
-    """(shard, pair, lang, phrase, size, n) of the phrases in each shard. ``shards`` has codes, names and, where they are
-    given, the frequent ``pairs`` of codes."""
+def _open(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """(codes by position in order of the frequent words' own, their ids, languages and words) of a shard; -1 for all others."""
+    of, ids, langs, words = (batch.column("names")[i].values.field(k) for k in ("code", "id", "lang", "word"))
+    of = of.to_numpy(zero_copy_only=False).astype(np.int64)
+    n = batch.column("positions")[i].as_py()
+    codes = np.frombuffer(pa.decompress(batch.column("codes")[i].as_py(), 4 * n, "zstd", asbytes=True), np.int32)
+    number = np.full(max(int(codes.max(initial=-1)), int(of.max())) + 2, -1, np.int64)
+    number[of] = np.arange(len(of))
+    return number[codes], ids.to_numpy(zero_copy_only=False), langs, words  # code -1 is the last place, which is -1
+
+
+def _pairs(shards: DataFrame) -> DataFrame:
+    """(shard, first, second, n): the words' ids of each pair in a shard."""
     at_once = BATCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                named = batch.column(2)[i].values
-                if named is None or not len(named):
-                    continue
-                of, langs, words = (named.field(k) for k in ("code", "lang", "word"))
-                of = of.to_numpy(zero_copy_only=False).astype(np.int64)
-                order = np.argsort(of)  # numbers in order of codes, so that pairs compare alike
-                of, langs, words = of[order], langs.take(pa.array(order)), words.take(pa.array(order))
-                codes = np.frombuffer(batch.column(1)[i].as_py(), np.int32)
-                number = np.full(max(int(codes.max(initial=-1)), int(of[-1])) + 2, -1, np.int64)
-                number[of] = np.arange(len(of))
-                good = None
-                if pairs:
-                    good = batch.column(3)[i].values
-                    if good is None or not len(good):
-                        continue
-                    good = good.to_numpy(zero_copy_only=False)
-                    good = np.sort(number[good >> 32] << 32 | number[good & 0xFFFFFFFF])
-                for found, n in Shard(number[codes]).mined(longest, good, at_once):  # code -1 is the last place, which is -1
-                    if pairs and found.shape[1] == 2:
-                        continue
-                    columns = [words.take(pa.array(found[:, j])) for j in range(found.shape[1])]
-                    k = len(n)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(k, batch.column(0)[i].as_py())), pa.array(of[found[:, 0]] << 32 | of[found[:, 1]]), langs.take(pa.array(found[:, 0])), pc.binary_join_element_wise(*columns, " "), pa.array(np.full(k, found.shape[1], np.int32)), pa.array(n)],
-                        names=["shard", "pair", "lang", "phrase", "size", "n"],
-                    )
-
-    return shards.mapInArrow(run, "shard long, pair long, lang string, phrase string, size int, n long")
+                codes, ids, _, _ = _open(batch, i)
+                for found, n in Shard(codes).mined(2, None, at_once):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), batch.column("shard")[i].as_py())), pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]]), pa.array(n)], names=["shard", "first", "second", "n"])
+
+    return shards.select("shard", "positions", "codes", "names").mapInArrow(run, "shard long, first long, second long, n long")
+
+
+def _longer(shards: DataFrame, longest: int) -> DataFrame:
+    """(lang, phrase, size, n) of the phrases of three and more words in each shard whose ``pairs`` of ids are given."""
+    at_once = BATCH
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                codes, ids, langs, words = _open(batch, i)
+                order = np.argsort(ids)
+                first, second = (order[np.searchsorted(ids[order], batch.column("pairs")[i].values.field(k).to_numpy(zero_copy_only=False))] for k in ("first", "second"))
+                for found, n in Shard(codes).mined(longest, np.sort(first << 32 | second), at_once):
+                    if found.shape[1] > 2:
+                        columns = [words.take(pa.array(found[:, j])) for j in range(found.shape[1])]
+                        yield pa.RecordBatch.from_arrays([langs.take(pa.array(found[:, 0])), pc.binary_join_element_wise(*columns, " "), pa.array(np.full(len(n), found.shape[1], np.int32)), pa.array(n)], names=["lang", "phrase", "size", "n"])
+
+    return shards.select("positions", "codes", "names", "pairs").mapInArrow(run, "lang string, phrase string, size int, n long")
 
 
 def phrases(docs: DataFrame, longest: int = 4, least: int = 30, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, size, a) of all words and phrases of up to ``longest`` words that occur ``least`` times, (lang, n) words
-    of each language). The first is a table of :func:`written`."""
+    of each language). Both are tables of :func:`written`."""
     lang, text = F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     size = SHARD_BYTES
     table = written(docs.select(lang, text).mapInArrow(lambda batches: _shards(batches, size), _SHARDS), "shards")
-    shards, words = table.filter("codes is not null").select("shard", "codes"), table.filter("word is not null").select("shard", "code", "lang", "word", "n")
+    words = table.filter("word is not null").select("shard", "code", "lang", "word", "n")
     total = written(words.groupBy("lang").agg(F.sum("n").alias("n")), "lang-words")
-    count = lambda df: df.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-    one = written(count(words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "n")), "frequent")
-    common = words.join(one.select("lang", F.col("phrase").alias("word")), ["lang", "word"])
-    names = written(common.groupBy("shard").agg(F.collect_list(F.struct("code", "lang", "word")).alias("names")), "names")
-    in_shards = shards.join(names, "shard")
-    found = _mined(in_shards.select("shard", "codes", "names"), 2, False).select("shard", "pair", "lang", "phrase", "n")
-    everywhere = F.sum("n").over(Window.partitionBy("lang", "phrase"))  # of a row a shard at most
-    pairs = written(found.withColumn("a", everywhere).filter(F.col("a") >= least).select("shard", "pair", "lang", "phrase", "a"), "pairs")
-    two = written(pairs.select("lang", "phrase", F.lit(2).alias("size"), "a").distinct(), "frequent")
-    good = pairs.groupBy("shard").agg(F.collect_list("pair").alias("pairs"))
-    parts = [one, two]
+    one = written(words.groupBy("lang", "word").agg(F.sum("n").alias("a")).filter(F.col("a") >= least).withColumn("id", F.monotonically_increasing_id()), "frequent")
+    names = words.join(one.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("code", "id", "lang", "word")).alias("names"))
+    shards = written(table.filter("codes is not null").select("shard", "positions", "codes").join(names, "shard"), "shards")
+    released(table)
+    everywhere = F.sum("n").over(Window.partitionBy("first", "second"))  # of a row a shard at most
+    pairs = written(_pairs(shards).withColumn("a", everywhere).filter(F.col("a") >= least).select("shard", "first", "second", "a"), "pairs")
+    two = pairs.select("first", "second", "a").distinct()
+    two = two.join(one.select(F.col("id").alias("first"), "lang", F.col("word").alias("w")), "first").join(one.select(F.col("id").alias("second"), "word"), "second")
+    parts = [one.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "a"), two.select("lang", F.concat_ws(" ", "w", "word").alias("phrase"), F.lit(2).alias("size"), "a")]
     if longest > 2:
-        parts.append(written(count(_mined(in_shards.join(good, "shard").select("shard", "codes", "names", "pairs"), longest, True)), "frequent"))
+        good = pairs.groupBy("shard").agg(F.collect_list(F.struct("first", "second")).alias("pairs"))
+        counts = _longer(shards.join(good, "shard"), longest).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a"))
+        parts.append(counts.filter(F.col("a") >= least))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
     out = written(out, "phrases")
-    released(table, names, pairs, *parts)
+    released(shards, one, pairs)
     return out, total
 
 
