@@ -234,6 +234,40 @@ def test_names_of_several_words_and_teasers():
     assert html_text.Page(page).text(None) == "Long article text, more than its neighbours hold.\nKept"
 
 
+def test_forms_around_a_page_are_no_forms(spark):
+    inner = "<div class=top>Home</div><div class=c%s><h2>Head {0}</h2><p>Body of number {0}, which is long enough to be prose and no label of any field.</p><p>{1}</p></div>"
+    for wrapper in ("<article>%s</article>" % (inner % 1), inner % 1 + "<p>" + sentence(5) + "</p>"):
+        page = f"<html><body><form id=aspnet><input type=hidden name=v><input name=q>{wrapper}</form></body></html>"
+        rows = [(i, "http://h.example/", page.format(i, sentence(i))) for i in range(6)] + [(9, "http://single.example/", page.format(9, sentence(9)))]
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+        for r in html_text.main_text(pages).collect():
+            i = r["page_id"]
+            assert f"Head {i}\nBody of number {i}, which is long enough to be prose and no label of any field.\n{sentence(i)}" in r["text"], r
+    asked = "<p>Body text</p><form class=x><p>Your address will not be published. Required fields are marked with a star.</p><input name=a><input name=b><p>Name</p></form>"
+    assert html_text.Page(asked).text(None) == "Body text" == html_text.Page(f"<article>{asked}</article>").text(None)
+    assert html_text.Page("<form class=search><article><p>In a search form</p></article></form>").text(None) == "In a search form"
+
+
+def test_all_articles_of_a_page_stay():
+    page = "<body><article><p>" + "long " * 60 + "</p></article><article><h2>Second</h2><p>Short.</p></article></body>"
+    assert html_text.Page(page).text(None) == ("long " * 60).strip() + "\nSecond\nShort."
+
+
+def test_names_do_not_empty_a_page():
+    assert html_text.Page("<body><nav>Up</nav><article class=search><h1>A</h1><p>Text</p><nav>Next</nav></article></body>").text(None) == "A\nText"
+    assert html_text.Page("<div class=related><article>Text<aside>x</aside></article></div>").text(None) == "Text"
+    assert html_text.Page("<div class=related><article>Teaser</article></div><main>Main</main>").text(None) == "Main"
+    assert html_text.Page("<div class=comments><article class=comment-body>Nice</article></div>").text(None) == ""
+
+
+def test_pages_read_singly_lose_menus_and_comments():
+    menu = "<div class=m1><a href=a>Home</a> | <a href=b>News from here</a> | <a href=c>About</a></div>"
+    rest = '<div id="comments-section">Nice</div><div id="sidebar-left">Left</div><div class="user-reviews">Good</div><div class="reader-comments">So</div>'
+    body = "<div class=k><p>Text with <a href=x>one link</a>.</p><ul><li>An item of the text itself</li><li>And <a href=y>another</a></li></ul></div>"
+    assert html_text.Page(f"<body>{menu}{body}{rest}</body>").text(None) == "Text with one link.\nAn item of the text itself\nAnd another"
+    assert html_text.Page(f"<body><article>{menu}{body}</article></body>").text(None).startswith("Home | News from here | About\nText")
+
+
 def test_deep_pages_take_linear_time():
     import time
 

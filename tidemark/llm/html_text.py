@@ -49,17 +49,21 @@ _BLOCK = frozenset(
 _PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th tr pre blockquote option caption figcaption legend summary center address".split())
 #: Elements whose ids are anchors made from their headings.
 _ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
-#: Elements, words of class or role, and whole ids that are not the main text. A name of several words counts if the
+#: Elements, and words of class, role or id, that are not the main text. A name of several words counts if the
 #: others are NEUTRAL: "cookie-bar" does, "search-story" and "article-header" do not.
 _OTHER = frozenset("nav header footer aside form head button select dialog menu datalist".split())
 _OTHER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead complementary contentinfo comment comments reply replies respond disqus share sharing social related recommended recommendations newsletter subscribe signup login popup modal overlay search".split()
 )
+_OTHER_NAMES = frozenset("user-reviews customer-reviews reader-reviews".split())
 _NEUTRAL = frozenset(
-    "area bar block bottom box btn button buttons center col column content contents container form global group head icon icons inner input item items js label left link links list main module outer page panel posts primary right row secondary section site slot sticky strip text the title top unit widget widgets wp wrap wrapper".split()
+    "area bar block bottom box btn button buttons center col column content contents container form global group head icon icons inner input item items js label left link links list main module outer page panel posts primary right row secondary section site slot sticky strip text the title top unit user users reader readers widget widgets wp wrap wrapper".split()
 )
 
 
+_TEASER, _COMMENTS = re.compile(r"\[.*(teaser|related|recommended|promo)"), re.compile(r"\[.*(comment|repl(y|ies))")
+
+
 def joined(runs: Iterable[tuple[str, int]]) -> str:
     """One line of the runs' text."""
     return " ".join("".join(x for x, _ in runs).split())
@@ -75,7 +79,9 @@ class Page:
         self.blocks: list[list[tuple[str, int]]] = []  # of each block its runs of text and the tokens around, or -1
         self.other: list[bool] = []
         self.header: list[bool] = []  # other, but as a header only, which within an article is the article's own
+        self.controls: list[int] = []  # what a reader fills in or presses
         self._parse(source)
+        self._judge_forms()
         self.dead: list[bool] = []  # within an element that is no main text
         self.owners: list[int] = []  # the innermost element around, or the token's own, that has a slot; -1
         for i, up in enumerate(self.parent):
@@ -130,6 +136,8 @@ class Page:
                 self.keys.append(key)
                 self.other.append(other)
                 self.header.append(header)
+                if tag in ("button", "select") or tag == "input" and "hidden" not in attrs.lower():
+                    self.controls.append(number)
                 if block and tag != "br":  # an open paragraph, and an item or cell of the same kind, ends here
                     while stack and (stack[-1][0] == "p" or stack[-1][0] not in _BLOCK and open_["p"] and self._in_p(stack)):
                         pop()
@@ -163,15 +171,61 @@ class Page:
             return tag, tag in _OTHER, tag == "header"
         found = {m[1].lower(): (m[2] or m[3] or m[4] or "").strip().lower() for m in _ATTRIBUTE.finditer(attrs)}
         why = {tag} & _OTHER
-        for name in " ".join(v for k, v in found.items() if k != "id").split():
-            words = set(_WORD.findall(name))
-            if words & _OTHER_WORDS and words <= _OTHER_WORDS | _NEUTRAL:
-                why |= words & _OTHER_WORDS
-        if tag not in _ANCHORED:
-            why |= {found.get("id", "")} & _OTHER_WORDS
+        for name in " ".join(v for k, v in found.items() if k != "id" or tag not in _ANCHORED).split():
+            words = _WORD.findall(name)
+            if "-".join(words) in _OTHER_NAMES:
+                why |= {"reviews"}
+            elif _OTHER_WORDS.intersection(words) and _NEUTRAL.union(_OTHER_WORDS).issuperset(words):
+                why |= _OTHER_WORDS.intersection(words)
         key = tag + "".join(f"[{k}={v}]" for k, v in sorted(found.items()) if v)
         return key, bool(why), why == {"header"}
 
+    def _sums(self, of: list[int]) -> list[int]:
+        """Of each token, the sum over it and all tokens within."""
+        out = list(of)
+        for i in range(len(out) - 1, -1, -1):
+            if self.parent[i] >= 0:
+                out[self.parent[i]] += out[i]
+        return out
+
+    def _judge_forms(self) -> None:
+        """A form around an article, or around more prose than its controls account for, is a wrapper of the page."""
+        forms = [i for i, k in enumerate(self.keys) if self.other[i] and (k == "form" or k.startswith("form[")) and not self._key("div", re.sub(r"\[(\w+)=(.*?)\](?=\[|$)", r' \1="\2"', k[4:]))[1]]
+        if not forms:
+            return
+        prose, controls, mains = ([0] * len(self.keys) for _ in range(3))
+        for block in self.blocks:
+            if block[0][1] >= 0 and (n := len(joined(block))) >= 60:
+                prose[block[0][1]] += n
+        for i in self.controls:
+            controls[i] += 1
+        for i, k in enumerate(self.keys):
+            mains[i] = int(self.main_rank(i) < 9 or k == "h1" or k.startswith("h1["))
+        prose, controls, mains = self._sums(prose), self._sums(controls), self._sums(mains)
+        for i in forms:
+            if mains[i] or prose[i] >= 100 * (controls[i] + 1):
+                self.other[i] = False
+
+    def _lists_of_links(self) -> list[bool]:
+        """Whether each token lies in a block of three or more short links that hold four fifths of its text."""
+        chars, linked, links, inside = [0] * len(self.keys), [0] * len(self.keys), [0] * len(self.keys), []
+        for i, k in enumerate(self.keys):
+            a = k == "a" or k.startswith("a[")
+            links[i] = int(a)
+            inside.append(a or self.parent[i] >= 0 and inside[self.parent[i]])
+        for text, i in (run for block in self.blocks for run in block):
+            if i >= 0:
+                n = sum(map(len, text.split()))
+                chars[i] += n
+                linked[i] += n * inside[i]
+        chars, linked, links = self._sums(chars), self._sums(linked), self._sums(links)
+        out: list[bool] = []
+        for i, up in enumerate(self.parent):
+            tag = self.keys[i].partition("[")[0]
+            dense = tag in _BLOCK and tag not in ("html", "body", "article", "main") and links[i] >= 3 and 5 * linked[i] >= 4 * chars[i] and linked[i] <= 50 * links[i]
+            out.append(dense or up >= 0 and out[up])
+        return out
+
     def main_rank(self, i: int) -> int:
         """How surely token i is the main element: 0 by article or body of an article, 1 main, 9 no sign."""
         tag = self.keys[i].split("[", 1)[0]
@@ -203,15 +257,12 @@ class Page:
                 out.setdefault(self.keys[self.owners[i]], []).append(joined(block))
         return {k: "\n".join(x) for k, x in out.items()}
 
-    def _named_mains(self) -> list[int]:
-        """Where no template tells: the elements of the surest main rank that hold a third of the longest one's text or more."""
-        ranks = {i: self.main_rank(i) for i in range(len(self.keys)) if not self.dead[i]}
-        best = min(ranks.values(), default=9)
-        if best == 9:
-            return []
-        size, _ = self.below()
-        longest = max(size[i] for i, r in ranks.items() if r == best)
-        return [i for i, r in ranks.items() if r == best and 3 * size[i] >= longest]
+    def _named_mains(self, even_dead: bool = False) -> list[int]:
+        """Where no template tells: the elements of the surest main rank, but for teasers beside others; with ``even_dead`` those
+        within elements that are no main text by name too, but for comments."""
+        ranks = {i: r for i, k in enumerate(self.keys) if (r := self.main_rank(i)) < 9 and (not self.dead[i] or even_dead and not _COMMENTS.search(k))}
+        mains = [i for i, r in ranks.items() if r == min(ranks.values())]
+        return [i for i in mains if not _TEASER.search(self.keys[i])] or mains
 
     def text(self, slots: list[dict] | None, constant: list[str] | None = None) -> str:
         """The blocks of the main slots. ``slots``: the host's; the first whose template the page keeps counts.
@@ -225,8 +276,13 @@ class Page:
                 mains = [self.keys.index(slot["region"])]
                 break
         wanted = set(mains or self._named_mains())
-        dropped = set(constant or ()) - {self.keys[i] for i in wanted}
-        stays = self._stays(wanted)
+        out = self._kept(wanted, self._stays(wanted), set(constant or ()))
+        if not out and (named := set(self._named_mains(even_dead=True))):  # names alone don't empty a page that has an article
+            out = self._kept(named, self._stays(named, even_dead=True), set())
+        return "\n".join(out)
+
+    def _kept(self, wanted: set[int], stays: list[bool], constant: set[str]) -> list[str]:
+        dropped = constant - {self.keys[i] for i in wanted}
         out = []
         for block in self.blocks:
             own = self.owners[block[0][1]] if block[0][1] >= 0 else -1
@@ -235,12 +291,12 @@ class Page:
             text = joined(run for run in block if (stays[run[1]] if run[1] >= 0 else not wanted))
             if text:
                 out.append(text)
-        return "\n".join(out)
+        return out
 
-    def _stays(self, wanted: set[int]) -> list[bool]:
-        """Whether the text directly in each token is of the main slots (outside other elements if there are none)."""
+    def _stays(self, wanted: set[int], even_dead: bool = False) -> list[bool]:
+        """Whether the text directly in each token is of the main slots (outside other elements and lists of links if there are none)."""
         if not wanted:
-            return [not x for x in self.dead]
+            return [not (x or y) for x, y in zip(self.dead, self._lists_of_links())]
         main: list[int] = []  # the outermost wanted token around, or the token itself
         out: list[bool] = []
         for i, up in enumerate(self.parent):
@@ -251,7 +307,7 @@ class Page:
                 out.append(out[up] and not (self.other[i] and not (own and self.header[i])))
             else:
                 main.append(i if i in wanted else -1)
-                out.append(i in wanted and not (up >= 0 and self.dead[up]))
+                out.append(i in wanted and (even_dead or not (up >= 0 and self.dead[up])))
         return out
 
 
@@ -287,10 +343,14 @@ def token_vectors(pages: DataFrame) -> DataFrame:
 
     counted = pages.select("host", "page_id", "html").mapInArrow(run, schema)
     share = F.xxhash64("page_id", "n").bitwiseAND(F.lit((1 << 40) - 1))
-    return counted.groupBy("host", "token").agg(
-        F.sum(share.cast("decimal(38,0)")).alias("vector"), F.count(F.lit(1)).alias("pages"), F.min("n").alias("least"), F.max("n").alias("most"), F.avg("place").alias("place"), F.sum("below").alias("below"), F.sum("total").alias("total"),
-        ((F.min("slot") == F.max("slot")) & (F.min("slot") != 0) & (F.approx_count_distinct("whole") >= MIN_PAGES)).alias("constant"),
-    )
+    # Pages of one text first, so that different texts are counted exactly.
+    alike = counted.groupBy("host", "token", "whole").agg(
+        F.sum(share.cast("decimal(38,0)")).alias("vector"), F.count(F.lit(1)).alias("pages"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("place").alias("places"), F.sum("below").alias("below"), F.sum("total").alias("total"), F.min("slot").alias("a"), F.max("slot").alias("b"),
+    )
+    constant = (F.min("a") == F.max("b")) & (F.min("a") != 0) & (F.count(F.lit(1)) >= MIN_PAGES)
+    return alike.groupBy("host", "token").agg(
+        F.sum("vector").alias("vector"), F.sum("pages").alias("pages"), F.min("least").alias("least"), F.max("most").alias("most"), (F.sum("places") / F.sum("pages")).alias("place"), F.sum("below").alias("below"), F.sum("total").alias("total"), constant.alias("constant"),
+    )
 
 
 def equivalence_classes(vectors: DataFrame) -> DataFrame:
