@@ -374,6 +374,17 @@ def test_near_duplicates(docs, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_short_texts_of_one_pattern_meet_by_their_rarest_shingle(spark):
+    """Each has a shingle that all have and one of its own; no two are linked, and none is paired with all others."""
+    rows = [(i, f"thank you for your order w{i}") for i in range(3000)] + [(5000 + i, f"thank you for your order w{i}") for i in range(5)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - 5000 if i >= 5000 else i for i, _ in rows}
+    each = [(i, i, hash(("a", i)), hash("all")) for i in range(50)] + [(90, 90, hash("b"), hash("c")), (91, 91, hash("b"), hash("c"))]
+    sets = spark.createDataFrame([(i, [x & (2**62 - 1), y & (2**62 - 1)]) for i, _, x, y in each], "id long, shingles array<long>")
+    members = spark.createDataFrame([(i, c) for i, c, _, _ in each], "id long, component long")
+    assert {(r["id"], r["least"]) for r in near_dedup.rarest(members, sets, 85).collect()} == {(90, 90), (91, 90)}
+
+
 def test_near_duplicate_chains(spark):
     """Neighbours in a chain are linked, its ends are not: hubs cannot find all, blocks must."""
     words = [f"w{i}" for i in range(260)]

@@ -9,10 +9,11 @@ independent samples. With t = 128 in 32 bands of 4, a pair at similarity 0.85 sh
 
 Equal sets are one class from the start. Pairs are never listed within a bucket of a band: every member is checked
 against one hub of its bucket, the member that shares most buckets; then, in buckets that still hold several
-components, against another hub. What is left are groups of members of such mixed buckets. They are dealt into
-blocks of a bounded number of shingles; each two blocks of a group meet in one row, whose task counts the common
-shingles of all their sets at once and returns only links that join components. A component is what verified
-links connect.
+components, against another hub. What is left are members of such mixed buckets. Linked sets share one of their rarest few shingles,
+so the shingles by which they meet from here on are the first of each set in order of rarity, where these too lead to
+several components. Groups of sets that meet are dealt into blocks of a bounded number of sets and shingles; each two
+blocks of a group meet in one row, whose task counts the common shingles of all their sets at once and returns only links
+that join components. A component is what verified links connect.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, released, written
@@ -112,8 +113,25 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles array<long>")
 
 
-#: Shingles of a block of sets, about; a larger set is a block of its own.
-BLOCK_SHINGLES = 1 << 16
+#: Shingles and sets of a block, about; a larger set is a block of its own. Two blocks take some 100 MB to compare.
+BLOCK_SHINGLES, BLOCK_SETS = 1 << 16, 1 << 11
+
+
+def rarest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(id, component, n, least): of members (id, component) those that meet a set of another component by a shingle that
+    is among the rarest n - ceil(percent n / 100) + 1 of both, and the least id that they meet by it.
+
+    Any order of shingles that is the same for all sets leaves no link out; the rarest first makes the fewest meet.
+    """
+    each = members.join(sets, "id").select("id", "component", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("of"), F.explode("shingles").alias("key"))
+    counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("sets"))
+    place = F.row_number().over(Window.partitionBy("id", "of").orderBy("sets", "key"))
+    first = each.join(counts, "key").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)
+    first = written(first.filter("sets > 1").select("id", "component", "n", "key"), "rarest")
+    mixed_up = first.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("id").alias("least")).filter("c1 <> c2").select("key", "least")
+    out = written(first.join(mixed_up, "key").select("id", "component", "n", "least"), "mixed-buckets")
+    released(first)
+    return out
 
 
 def _block_links(ids: tuple, comps: tuple, sets: tuple, same: bool, percent: int) -> list[tuple[int, int]]:
@@ -159,7 +177,7 @@ def _block_links(ids: tuple, comps: tuple, sets: tuple, same: bool, percent: int
 
 def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """A table of links (a, b) between members (id, group, component, n) of one group and different components, on their full sets."""
-    counts = members.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.count_distinct("component").alias("c")).filter("c > 1").drop("c")
+    counts = members.groupBy("group").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"), F.count_distinct("component").alias("c")).filter("c > 1").drop("c")
     dealt = members.join(counts, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     packed = dealt.join(sets, "id").groupBy("group", "blocks", "block").agg(F.collect_list(F.struct("id", "component", "shingles")).alias("held"))
     packed = written(packed, "set-blocks")
@@ -241,8 +259,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tested = pairs
         comps = joined(found, comps)
     current = members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed_up = current.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("id").alias("least")).filter("c1 <> c2").select("key", "least")
-    left = written(current.join(mixed_up, "key").select("id", "least", "component", "n"), "mixed-buckets")
+    mixed_up = current.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("key")
+    open_ = written(current.join(mixed_up, "key").groupBy("id").agg(F.first("component").alias("component")), "open")
+    left = rarest(open_, sets, percent)
+    released(open_)
     if not left.isEmpty():
         groups = components(left.select(F.col("id").alias("a"), F.col("least").alias("b")))
         found = block_links(left.groupBy("id").agg(F.first("component").alias("component"), F.first("n").alias("n")).join(groups.withColumnRenamed("component", "group"), "id"), sets, percent)
