@@ -7,24 +7,27 @@ bitmap, is that of the phrase with the word behind it; its bits are the phrase's
 bitmaps can't meet a shifted one are never tried: the lowest bit left of a block names the next word that does. Phrases
 are extended depth-first, from a batch of first words to their longest phrases, before the next batch is begun.
 
-Counts are summed over shards by an aggregation. As a phrase is no more frequent than its parts, words, and then pairs,
-that are rare in the whole corpus are taken out of every shard before it goes on: by joins on the phrase, which has a row
-a shard at most, so that the commonest word or phrase weighs no more than the number of shards.
+Counts are summed over shards by an aggregation. As a phrase is no more frequent than its parts, words that are rare in
+the whole corpus are taken out of every shard by a join, and longer phrases are only begun where their pairs are frequent.
+Which pairs are is told by a Bloom filter of them, whose errors add phrases that the sums then drop, or, where they are too
+many for it, by a join of the pairs that each shard has. A word or pair has a row a shard at most in every join and sum,
+so the commonest weighs no more than the number of shards.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .coding import byte_set, coded, row_blocks, text_bytes, word_spans
 from .common import read_table, released, written
+from .hashing import mixed
 
 #: Bytes of text a shard, and entries of bitmaps that are extended at once; they bound memory and change no result.
 SHARD_BYTES, BATCH = 6 << 20, 200_000
@@ -32,6 +35,8 @@ _BREAKS = byte_set(*b".,;:!?", (0x0A, 0x0D))
 _SOLID = ~(_BREAKS | byte_set(0x20, 0x09))
 _SHARDS = "shard long, positions long, codes binary, code int, lang string, word string, n long"
 _ONE = np.uint64(1)
+#: Pairs up to which a filter of at most 16 MB tells the frequent ones; more are joined to the shards that have them.
+FILTERED_PAIRS = 1 << 24
 
 
 class Bitmaps:
@@ -91,9 +96,9 @@ class Shard:
         key, row = np.unique(np.concatenate(keys), return_inverse=True)
         return key // self.n, key % self.n, Bitmaps.merged(row, np.concatenate(blocks), np.concatenate(masks))[0]
 
-    def mined(self, longest: int, pairs: np.ndarray | None = None, batch: int = BATCH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def mined(self, longest: int, pairs: np.ndarray | Callable | None = None, batch: int = BATCH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(words of phrases of one length, their occurrences), depth-first; of two words only those in sorted ``pairs``
-        (first << 32 | second), if given, are gone on with."""
+        (first << 32 | second), or of which ``pairs(first, second)`` is true, are gone on with if it is given."""
         cut = 0
         while cut < len(self.words.owner):
             to = min(cut + batch, len(self.words.owner))
@@ -104,7 +109,8 @@ class Shard:
                 phrase, word, level = self.extended(level)
                 names = np.column_stack([names[phrase], word])
                 if pairs is not None:  # also the last two words of what is longer
-                    good = in_sorted(names[:, -2] << 32 | names[:, -1], pairs)
+                    last = names[:, -2], names[:, -1]
+                    good = pairs(*last) if callable(pairs) else in_sorted(last[0] << 32 | last[1], pairs)
                     number = np.cumsum(good) - 1
                     level, names = level.part(good[level.owner]), names[good]
                     level.owner = number[level.owner]
@@ -185,22 +191,54 @@ def _pairs(shards: DataFrame) -> DataFrame:
     return shards.select("shard", "positions", "codes", "names").mapInArrow(run, "shard long, first long, second long, n long")
 
 
-def _longer(shards: DataFrame, longest: int) -> DataFrame:
-    """(lang, phrase, size, n) of the phrases of three and more words in each shard whose ``pairs`` of ids are given."""
+def _places(first: np.ndarray, second: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in a filter of ``bits`` (a power of two up to 2^32) for each pair of ids."""
+    h = mixed(mixed(first.view(np.uint64)) + second.view(np.uint64))
+    return (h & np.uint64(bits - 1)).astype(np.int64), (h >> np.uint64(32) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _filter(pairs: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter, in 64-bit words, of the pairs of ids: eight bits or more for each. Its words come to the driver."""
+    bits = 1 << max(10, (8 * n - 1).bit_length())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(_places(*(batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)), bits))
+            words = Bitmaps.merged(np.zeros(len(at), np.int64), at >> 6, _ONE << (at & 63).astype(np.uint64))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(words.block), pa.array(words.mask.view(np.int64))], names=["word", "mask"])
+
+    found = pairs.select("first", "second").mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[found.column("word").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
+    return out
+
+
+def _longer(shards: DataFrame, longest: int, words: Broadcast | None = None) -> DataFrame:
+    """(lang, phrase, size, n) of the phrases of three and more words in each shard, of pairs that the filter ``words`` has or,
+    without one, that the column ``pairs`` lists."""
     at_once = BATCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                codes, ids, langs, words = _open(batch, i)
-                order = np.argsort(ids)
-                first, second = (order[np.searchsorted(ids[order], batch.column("pairs")[i].values.field(k).to_numpy(zero_copy_only=False))] for k in ("first", "second"))
-                for found, n in Shard(codes).mined(longest, np.sort(first << 32 | second), at_once):
+                codes, ids, langs, names = _open(batch, i)
+                if words is None:
+                    order = np.argsort(ids)
+                    first, second = (order[np.searchsorted(ids[order], batch.column("pairs")[i].values.field(k).to_numpy(zero_copy_only=False))] for k in ("first", "second"))
+                    good = np.sort(first << 32 | second)
+                else:
+                    has = words.value
+
+                    def good(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+                        places = _places(ids[first], ids[second], 64 * len(has))
+                        return np.logical_and(*((has[p >> 6] >> (p & 63).astype(np.uint64) & _ONE).astype(bool) for p in places))
+
+                for found, n in Shard(codes).mined(longest, good, at_once):
                     if found.shape[1] > 2:
-                        columns = [words.take(pa.array(found[:, j])) for j in range(found.shape[1])]
+                        columns = [names.take(pa.array(found[:, j])) for j in range(found.shape[1])]
                         yield pa.RecordBatch.from_arrays([langs.take(pa.array(found[:, 0])), pc.binary_join_element_wise(*columns, " "), pa.array(np.full(len(n), found.shape[1], np.int32)), pa.array(n)], names=["lang", "phrase", "size", "n"])
 
-    return shards.select("positions", "codes", "names", "pairs").mapInArrow(run, "lang string, phrase string, size int, n long")
+    return shards.select("positions", "codes", "names", *(["pairs"] if words is None else [])).mapInArrow(run, "lang string, phrase string, size int, n long")
 
 
 def phrases(docs: DataFrame, longest: int = 4, least: int = 30, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -215,15 +253,17 @@ def phrases(docs: DataFrame, longest: int = 4, least: int = 30, lang_col: str =
     names = words.join(one.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("code", "id", "lang", "word")).alias("names"))
     shards = written(table.filter("codes is not null").select("shard", "positions", "codes").join(names, "shard"), "shards")
     released(table)
-    everywhere = F.sum("n").over(Window.partitionBy("first", "second"))  # of a row a shard at most
-    pairs = written(_pairs(shards).withColumn("a", everywhere).filter(F.col("a") >= least).select("shard", "first", "second", "a"), "pairs")
-    two = pairs.select("first", "second", "a").distinct()
-    two = two.join(one.select(F.col("id").alias("first"), "lang", F.col("word").alias("w")), "first").join(one.select(F.col("id").alias("second"), "word"), "second")
+    pairs = written(_pairs(shards).groupBy("first", "second").agg(F.sum("n").alias("a")).filter(F.col("a") >= least), "pairs")
+    two = pairs.join(one.select(F.col("id").alias("first"), "lang", F.col("word").alias("w")), "first").join(one.select(F.col("id").alias("second"), "word"), "second")
     parts = [one.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "a"), two.select("lang", F.concat_ws(" ", "w", "word").alias("phrase"), F.lit(2).alias("size"), "a")]
     if longest > 2:
-        good = pairs.groupBy("shard").agg(F.collect_list(F.struct("first", "second")).alias("pairs"))
-        counts = _longer(shards.join(good, "shard"), longest).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a"))
-        parts.append(counts.filter(F.col("a") >= least))
+        n = pairs.count()
+        if n <= FILTERED_PAIRS:
+            found = _longer(shards, longest, docs.sparkSession.sparkContext.broadcast(_filter(pairs, n)))
+        else:
+            good = _pairs(shards).join(pairs.select("first", "second"), ["first", "second"]).groupBy("shard").agg(F.collect_list(F.struct("first", "second")).alias("pairs"))
+            found = _longer(shards.join(good, "shard"), longest)
+        parts.append(found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a")).filter(F.col("a") >= least))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
