@@ -173,6 +173,83 @@ def _(s, d):
     return t.select("name", "rho_low", "rho_high", "diff", F.col("p_value").between(0, 1).alias("possible"))
 
 
+def _drawn(out: str, src: str, keep: str, seed: int, **streams: str) -> str:
+    """CTEs that end in ``out``: the rows of ``src`` (rep, place, ...) with uniform numbers, one for each named stream."""
+    steps, at = [], src
+
+    def step(what: dict[str, str]) -> None:
+        nonlocal at
+        steps.append(f"{out}{len(steps)} AS (SELECT {keep}, {', '.join(f'{v} AS {k}' for k, v in what.items())} FROM {at})")
+        at = f"{out}{len(steps) - 1}"
+
+    def mix(names: list[str], others: list[str]) -> None:
+        for shift, times in ((16, bootstrap.MIX[0]), (15, bootstrap.MIX[1]), (16, None)):
+            step({n: f"xor({n}, {n} >> {shift})" + (f" * {times}::UBIGINT & 4294967295::UBIGINT" if times else "") for n in names} | {n: n for n in others})
+
+    word = lambda *x: "(" + " + ".join(f"CAST({v} AS UBIGINT) * {k}::UBIGINT" for v, k in zip(x, bootstrap.KEYS)) + ") & 4294967295::UBIGINT"
+    names = list(streams)
+    step({f"{n}{i}": word(*x) for n, s in streams.items() for i, x in ((1, (seed, "rep", s)), (2, (s, seed, "rep")))} | {"counter": f"CAST(place AS UBIGINT) * {bootstrap.KEYS[3]}::UBIGINT"})
+    mix([f"{n}{i}" for n in names for i in (1, 2)], ["counter"])
+    step({n: f"({n}1 + counter) & 4294967295::UBIGINT" for n in names} | {f"{n}2": f"{n}2" for n in names})
+    mix(names, [f"{n}2" for n in names])
+    step({n: f"({n} + {n}2) & 4294967295::UBIGINT" for n in names})
+    mix(names, [])
+    return ", ".join(steps) + f", {out} AS (SELECT {keep}, {', '.join(f'{n} / 4294967296.0::DOUBLE AS {n}' for n in names)} FROM {at})"
+
+
+#: p and interval of replicates (name, v): twice the smaller share on one side of 0.
+_TWO_SIDED = "SELECT name, least(1.0, 2 * least(avg(CAST(v <= 0 AS DOUBLE)), avg(CAST(v >= 0 AS DOUBLE)))) AS p_value, quantile_cont(v, 0.025) AS ci_low, quantile_cont(v, 0.975) AS ci_high, count(*) AS n FROM {} GROUP BY name"
+_SIDES = range(1, 7)
+_PAIRS = [(i, j) for i in _SIDES for j in _SIDES if i < j]
+
+
+def _correlations_sql(b: int = 10_000) -> str:
+    each = lambda src, by: f"SELECT {by}, regime, {', '.join(f'corr(x{i}, x{j}) AS c{i}{j}' for i, j in _PAIRS)} FROM {src} WHERE regime IN (0, 2) GROUP BY {by}, regime"
+    both = lambda src, by: f"SELECT {by}, unnest([{', '.join(repr(f'{i}{j}') for i, j in _PAIRS)}]) AS k, unnest([{', '.join(f'max(c{i}{j}) FILTER (WHERE regime = 0)' for i, j in _PAIRS)}]) AS lo, unnest([{', '.join(f'max(c{i}{j}) FILTER (WHERE regime = 2)' for i, j in _PAIRS)}]) AS hi FROM {src} GROUP BY {by}"
+    whole = lambda src, by: f"SELECT {by}, k, lo, hi FROM {src} UNION ALL SELECT {by}, 'mean_abs', avg(abs(lo)), avg(abs(hi)) FROM {src} GROUP BY {by}"
+    return f"""WITH {_ST}, nm AS (SELECT asset, row_number() OVER (ORDER BY asset) AS i FROM (SELECT DISTINCT asset FROM smp)),
+wd AS (SELECT row_number() OVER (ORDER BY dt) - 1 AS t, any_value(regime) AS regime, {', '.join(f'max(r) FILTER (WHERE i = {i}) AS x{i}' for i in _SIDES)} FROM smp JOIN nm USING (asset) GROUP BY dt), nn AS (SELECT count(*) AS n FROM wd),
+pl AS (SELECT rep, place FROM (SELECT unnest(range(0, {b})) AS rep), (SELECT unnest(range(0, n)) AS place FROM nn)), {_drawn('dr', 'pl', 'rep, place', 42, u='0', v='1')},
+hd AS (SELECT rep, place, n, CAST(floor(u * n) AS BIGINT) AS start, place = 0 OR v < 1 / floor(sqrt(n)) AS first FROM dr, nn),
+ix AS (SELECT rep, (last_value(CASE WHEN first THEN start - place END IGNORE NULLS) OVER (PARTITION BY rep ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + place + n) % n AS t FROM hd),
+rs AS (SELECT ix.rep, wd.* FROM ix JOIN wd USING (t)), rc AS ({each('rs', 'rep')}), rb AS ({both('rc', 'rep')}), ra AS ({whole('rb', 'rep')}), rp AS (SELECT k AS name, hi - lo AS v FROM ra), su AS ({_TWO_SIDED.format('rp')}),
+pc AS ({each('wd', '0 AS rep').replace('GROUP BY 0 AS rep, regime', 'GROUP BY regime')}), pb AS ({both('pc', 'rep')}), pa AS ({whole('pb', 'rep')}),
+q AS (SELECT name, p_value, row_number() OVER (ORDER BY p_value) AS rk, count(*) OVER () AS m FROM su WHERE name <> 'mean_abs'), qq AS (SELECT name, least(min(p_value * m / rk) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0) AS q_value FROM q)
+SELECT CASE WHEN k = 'mean_abs' THEN k ELSE (SELECT asset FROM nm WHERE CAST(i AS VARCHAR) = left(k, 1)) || '|' || (SELECT asset FROM nm WHERE CAST(i AS VARCHAR) = right(k, 1)) END AS name, round(lo, 6) AS rho_low, round(hi, 6) AS rho_high, round(hi - lo, 6) AS diff,
+  round(p_value, 6) AS p_value, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, su.n, round(q_value, 6) AS q_value FROM pa JOIN su ON su.name = k LEFT JOIN qq ON qq.name = k"""
+
+
+SQL["bootstrap_corr"] = _correlations_sql()
+
+#: Two paths by day, and the places of the replicates' draws: all of them, or whole blocks.
+_TWO_PATHS = f"""WITH {_RET}, ab AS (SELECT row_number() OVER (ORDER BY dt) - 1 AS t, max(r) FILTER (WHERE asset = 'A_F') AS a, max(r) FILTER (WHERE asset = 'R_F') AS b FROM ret GROUP BY dt), nn AS (SELECT count(*) AS n, greatest(5, CAST(floor(sqrt(count(*))) AS BIGINT)) AS bl FROM ab),
+rr AS (SELECT unnest(range(0, 10000)) AS rep)"""
+_ANY_DAY = f", pl AS (SELECT rep, place FROM rr, (SELECT unnest(range(0, n)) AS place FROM nn)), {_drawn('dr', 'pl', 'rep, place', 42, u='0')}, rs AS (SELECT rep, place, a, b FROM (SELECT rep, place, CAST(floor(u * n) AS BIGINT) AS t FROM dr, nn) JOIN ab USING (t))"
+_BLOCKS = f", pl AS (SELECT rep, place FROM rr, (SELECT unnest(range(0, n // bl)) AS place FROM nn)), {_drawn('dr', 'pl', 'rep, place', 42, u='0')}, bk AS (SELECT rep, place * bl + j AS place, CAST(floor(u * (n - bl + 1)) AS BIGINT) + j AS t FROM dr, nn, (SELECT unnest(range(0, bl)) AS j FROM nn)), rs AS (SELECT rep, place, a, b FROM bk JOIN ab USING (t))"
+_WHOLE_PATH = ", al AS (SELECT rep, place, a, b FROM rs UNION ALL SELECT -1, t, a, b FROM ab)"
+_SHARPE = ", st AS (SELECT rep, avg(a) / stddev_pop(a) * sqrt(252) AS va, avg(b) / stddev_pop(b) * sqrt(252) AS vb FROM al GROUP BY rep)"
+_CVAR = ", qt AS (SELECT rep, quantile_cont(a, 0.05) AS qa, quantile_cont(b, 0.05) AS qb FROM al GROUP BY rep), st AS (SELECT rep, -avg(a) FILTER (WHERE a <= qa) AS va, -avg(b) FILTER (WHERE b <= qb) AS vb FROM al JOIN qt USING (rep) GROUP BY rep)"
+_FALL = ", cu AS (SELECT rep, place, exp(sum(a) OVER w) AS a, exp(sum(b) OVER w) AS b FROM al WINDOW w AS (PARTITION BY rep ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), pk AS (SELECT rep, a / max(a) OVER w - 1 AS a, b / max(b) OVER w - 1 AS b FROM cu WINDOW w AS (PARTITION BY rep ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), st AS (SELECT rep, -min(a) AS va, -min(b) AS vb FROM pk GROUP BY rep)"
+_OF_PATHS = """, po AS (SELECT va, vb, va - vb AS diff FROM st WHERE rep = -1)
+SELECT round(max(po.va), 6) AS value_a, round(max(po.vb), 6) AS value_b, round(max(diff), 6) AS diff, round(least(2 * {p}, 1), 6) AS p_value, round(quantile_cont(st.va - st.vb, 0.025), 6) AS ci_low, round(quantile_cont(st.va - st.vb, 0.975), 6) AS ci_high FROM st, po WHERE rep >= 0"""
+_OPPOSITE = "avg(CAST(CASE WHEN diff >= 0 THEN st.va - st.vb <= 0 ELSE st.va - st.vb >= 0 END AS DOUBLE))"
+_BEYOND = "least(avg(CAST(st.va - st.vb >= abs(diff) AS DOUBLE)), avg(CAST(st.va - st.vb <= -abs(diff) AS DOUBLE)))"
+SQL["bootstrap_sharpe"] = _TWO_PATHS + _ANY_DAY + _WHOLE_PATH + _SHARPE + _OF_PATHS.format(p=_OPPOSITE)
+SQL["bootstrap_cvar"] = _TWO_PATHS + _ANY_DAY + _WHOLE_PATH + _CVAR + _OF_PATHS.format(p=_BEYOND)
+SQL["bootstrap_drawdown"] = _TWO_PATHS + _BLOCKS + _WHOLE_PATH + _FALL + _OF_PATHS.format(p=_BEYOND)
+
+#: Each test draws its two states from two streams of its own.
+SQL["bootstrap_quantiles"] = f"""WITH {_ST}, gk AS (SELECT asset, regime, count(*) AS n FROM smp GROUP BY 1, 2 HAVING count(*) >= 50),
+ts AS (SELECT x.asset, x.regime AS k1, y.regime AS k2, row_number() OVER (ORDER BY x.asset, x.regime, y.regime) - 1 AS i FROM gk x JOIN gk y ON x.asset = y.asset AND x.regime < y.regime),
+sd AS (SELECT i, asset, k1, k2, s, CASE s WHEN 0 THEN k1 ELSE k2 END AS regime, 2 * i + s AS stream FROM ts, (SELECT unnest([0, 1]) AS s)),
+x AS (SELECT asset, regime, r, row_number() OVER (PARTITION BY asset, regime ORDER BY dt) - 1 AS t FROM smp),
+pl AS (SELECT rep, place, stream, i, s, asset, regime, n FROM (SELECT sd.*, n, unnest(range(0, n)) AS place FROM sd JOIN gk USING (asset, regime)), (SELECT unnest(range(0, 1000)) AS rep)), {_drawn('dr', 'pl', 'rep, i, s, asset, regime, n', 42, u='stream')},
+qs AS (SELECT rep, i, s, quantile_cont(r, [0.05, 0.1, 0.25]) AS q FROM (SELECT rep, i, s, asset, regime, CAST(floor(u * n) AS BIGINT) AS t FROM dr) JOIN x USING (asset, regime, t) GROUP BY 1, 2, 3),
+df AS (SELECT a.rep, a.i, unnest(['0.05', '0.1', '0.25']) AS level, unnest(a.q) - unnest(b.q) AS v FROM qs a JOIN qs b ON a.rep = b.rep AND a.i = b.i AND a.s = 0 AND b.s = 1),
+rp AS (SELECT asset || '|' || k1 || '|' || k2 || '|' || level AS name, v FROM df JOIN ts USING (i)), su AS ({_TWO_SIDED.format('rp')})
+SELECT name, round(p_value, 6) AS p_value, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, n FROM su"""
+
+
 #: Month ends that rebalance and recompute, with signals from the first, an early and a late day on.
 _GATE = f"""WITH RECURSIVE {_ST}, rd AS (SELECT dt, row_number() OVER (ORDER BY dt) - 1 AS place FROM (SELECT DISTINCT dt FROM ret)),
 sg AS (SELECT st.dt, p_1, place, since, row_number() OVER (PARTITION BY since ORDER BY st.dt) - 1 AS t FROM st JOIN rd ON st.dt = rd.dt, (SELECT unnest([0, 300, 1201]) AS since) WHERE place >= since),

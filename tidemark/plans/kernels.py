@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import arima, backtest, bootstrap, forecast_eval, forecasting, inference, mixture, panel, portfolios, regimes, studies
-from .relational import path, returns, sample, states
+from .relational import path, returns, rounded, sample, states
 
 #: The specifications of the main and the forecast fit, and the main one without a tie between windows.
 MAIN = (mixture.HEADLINE, mixture.FORECAST)
@@ -169,10 +169,10 @@ QUERIES = {
     "backtest_unconditional": lambda s, d: portfolios.backtest_unconditional(returns(s, d)),
     "backtest_regimes": lambda s, d: portfolios.backtest_regimes(returns(s, d), _two(s, d), states(s, d).select("dt", "p_1")),
     "backtest_out_of_sample": lambda s, d: portfolios.backtest_out_of_sample(returns(s, d), _two(s, d), 1250),
-    "bootstrap_quantiles": lambda s, d: bootstrap.quantile_equality(sample(s, d), b=1000),
-    "bootstrap_corr": lambda s, d: bootstrap.correlation_differences(sample(s, d), 0, 2),
-    "bootstrap_sharpe": lambda s, d: bootstrap.path_difference(returns(s, d).select(F.col("asset").alias("strategy"), "dt", F.col("r").alias("net")), "A_F", "R_F", "sharpe"),
-    "bootstrap_drawdown": lambda s, d: bootstrap.path_difference(returns(s, d).select(F.col("asset").alias("strategy"), "dt", F.col("r").alias("net")), "A_F", "R_F", "drawdown"),
-    "bootstrap_cvar": lambda s, d: bootstrap.path_difference(returns(s, d).select(F.col("asset").alias("strategy"), "dt", F.col("r").alias("net")), "A_F", "R_F", "cvar"),
+    "bootstrap_quantiles": lambda s, d: rounded(bootstrap.quantile_equality(sample(s, d), b=1000), 6),
+    "bootstrap_corr": lambda s, d: rounded(bootstrap.correlation_differences(sample(s, d), 0, 2), 6),
+    "bootstrap_sharpe": lambda s, d: rounded(bootstrap.path_difference(returns(s, d).select(F.col("asset").alias("strategy"), "dt", F.col("r").alias("net")), "A_F", "R_F", "sharpe"), 6),
+    "bootstrap_drawdown": lambda s, d: rounded(bootstrap.path_difference(returns(s, d).select(F.col("asset").alias("strategy"), "dt", F.col("r").alias("net")), "A_F", "R_F", "drawdown"), 6),
+    "bootstrap_cvar": lambda s, d: rounded(bootstrap.path_difference(returns(s, d).select(F.col("asset").alias("strategy"), "dt", F.col("r").alias("net")), "A_F", "R_F", "cvar"), 6),
     "anderson_darling": lambda s, d: bootstrap.anderson_darling(sample(s, d)),
 }
