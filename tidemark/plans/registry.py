@@ -8,7 +8,13 @@ from ..operators import backtest, panel
 from ..sources.tables import table
 from . import inferences, kernels, relational, reports  # noqa: F401  inferences and reports add to the relational queries
 
-QUERIES = relational.QUERIES | kernels.QUERIES
+
+def _six(f):
+    return lambda spark, folder: relational.rounded(f(spark, folder), 6)
+
+
+#: Kernels that SQL can draw along with give six digits, as the SQL does.
+QUERIES = relational.QUERIES | {k: _six(f) if k in relational.SQL else f for k, f in kernels.QUERIES.items()}
 SQL: dict[str, str] = relational.SQL | kernels.SQL
 
 
