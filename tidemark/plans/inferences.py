@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.arma import ARIMA
-from ..operators import arima, backtest, bootstrap, forecasting, inference, mixture, portfolios
+from ..operators import arima, backtest, bootstrap, forecasting, inference, mixture, mixture_tables, portfolios
 from ..streaming.scoring import score_days
 from .kernels import MAIN, _days
 from .relational import _FC, _RET, _ST, SQL, _one_step, path, query, returns, sample, states
@@ -382,6 +382,27 @@ def _(s, d):
     return score_days(_days(s, d), _GIVEN).select("dt", F.col("p")[0].alias("p_0"), "regime", "log_density")
 
 
+def _round_sql() -> str:
+    """One round of the regularised fit of all six series from the given parameters: shares, means and whole covariances."""
+    c = mixture.HEADLINE
+    order = "ORDER BY tr"
+    return f"""WITH {_RET}, x AS (SELECT dt, r, row_number() OVER (PARTITION BY dt ORDER BY asset) AS i FROM ret), l AS (SELECT dt, {_density(0)} AS l0, {_density(1)} AS l1 FROM x GROUP BY 1),
+s AS (SELECT dt, 0 AS k, 1 / (1 + exp(l1 - l0)) AS p FROM l UNION ALL SELECT dt, 1, 1 / (1 + exp(l0 - l1)) FROM l), nk AS (SELECT k, sum(p) AS nk FROM s GROUP BY 1), gm AS (SELECT i, avg(r) AS g FROM x GROUP BY 1),
+sp AS (SELECT a.i, b.i AS j, covar_samp(a.r, b.r) AS c FROM x a JOIN x b USING (dt) GROUP BY 1, 2), yb AS (SELECT k, i, sum(p * r) / sum(p) AS y FROM x JOIN s USING (dt) GROUP BY 1, 2),
+sc AS (SELECT s.k, a.i, b.i AS j, sum(p * (a.r - ya.y) * (b.r - yb.y)) AS sc FROM s JOIN x a USING (dt) JOIN x b USING (dt) JOIN yb ya ON ya.k = s.k AND ya.i = a.i JOIN yb ON yb.k = s.k AND yb.i = b.i GROUP BY 1, 2, 3),
+cv AS (SELECT sc.k, sc.i, sc.j, ({c.lambda_scale} * c / power(2, 2.0 / 6) + sc + {c.kappa} * nk / ({c.kappa} + nk) * (ya.y - ga.g) * (yb.y - gb.g)) / (6 + {c.nu_extra} + nk + 6 + 2) + CASE WHEN sc.i = sc.j THEN {c.reg} ELSE 0 END AS cov
+  FROM sc JOIN nk USING (k) JOIN sp ON sp.i = sc.i AND sp.j = sc.j JOIN yb ya ON ya.k = sc.k AND ya.i = sc.i JOIN yb ON yb.k = sc.k AND yb.i = sc.j JOIN gm ga ON ga.i = sc.i JOIN gm gb ON gb.i = sc.j),
+od AS (SELECT k, row_number() OVER ({order}) - 1 AS new FROM (SELECT k, sum(cov) FILTER (WHERE i = j) AS tr FROM cv GROUP BY 1)), ww AS (SELECT k, (nk + {c.alpha} - 1) / sum(nk + {c.alpha} - 1) OVER () AS w FROM nk)
+SELECT CAST(new AS INT) AS k, CAST(cv.i AS INT) AS i, CAST(cv.j AS INT) AS j, round(w, 9) AS weight, round((nk * y + {c.kappa} * g) / (nk + {c.kappa}), 9) AS mean, round(cov, 9) AS covariance FROM cv JOIN od USING (k) JOIN nk USING (k) JOIN ww USING (k) JOIN yb ON yb.k = cv.k AND yb.i = cv.i JOIN gm ON gm.i = cv.i"""
+
+
+@query("mixture_round", _round_sql())
+def _(s, d):
+    f = mixture_tables.fit_em_table(_days(s, d), _GIVEN, replace(mixture.HEADLINE, max_iter=1))
+    rows = [(k, i + 1, j + 1, float(f.weights[k]), float(f.means[k][i]), float(f.covs[k][i][j])) for k in range(2) for i in range(6) for j in range(6)]
+    return s.createDataFrame(rows, "k int, i int, j int, weight double, mean double, covariance double")
+
+
 #: Where the steps below start: two states of a series of market means.
 _START = mixture.State(np.array([[0.0], [0.0]]), np.array([[[0.04]], [[0.2]]]), np.array([0.5, 0.5]))
 _STEP_CFG = replace(mixture.HEADLINE, config_id="steps", max_iter=3, tol=0.0)

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import arima, backtest, bootstrap, forecast_eval, forecasting, inference, mixture, panel, portfolios, regimes, studies
+from ..operators import arima, backtest, bootstrap, forecast_eval, forecasting, inference, mixture, mixture_tables, panel, portfolios, regimes, studies
 from .relational import path, returns, sample, states
 
 #: The specifications of the main and the forecast fit, and the main one without a tie between windows.
@@ -145,6 +145,7 @@ QUERIES = {
     "implied_moments": implied_moments,
     "pooled_fits": pooled_fits,
     "tier_fits": tier_fits,
+    "mixture_starts": lambda s, d: mixture_tables.best_of_starts(mixture_tables.fit_starts(_days(s, d), (2, 3, 4), mixture.HEADLINE)).select("k", "start", "loglik", "bic", "n_iter", "weights", "selected"),
     "one_sided_contract": one_sided_contract,
     "probability_sums": probability_sums,
     "portfolio_conditions": portfolio_conditions,
