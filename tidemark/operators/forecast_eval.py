@@ -57,11 +57,10 @@ def rolling_hits(frame: DataFrame, window: int = 252, full: bool = True) -> Data
 
 def calibration(pairs: DataFrame, bins: int = 10) -> DataFrame:
     """(bin, n, mean_p, mean_z): bins of equal width over the range of p, closed on the right, the first on both sides."""
-    whole = Window.partitionBy()
-    lo, hi = F.min("p").over(whole), F.max("p").over(whole)
+    ends = pairs.agg(F.min("p").alias("lo"), F.max("p").alias("hi")).withColumn("one", F.lit(1))  # one row
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.greatest(F.ceil(ratio(F.col("p") - F.col("lo"), width)), F.lit(1))
-    x = pairs.select("p", "z", lo.alias("lo"), hi.alias("hi"))
+    x = pairs.select("p", "z", F.lit(1).alias("one")).join(F.broadcast(ends), "one")
     return x.select("p", "z", F.coalesce(at, F.lit(1)).cast("int").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"), F.avg("z").alias("mean_z"))
 
 
