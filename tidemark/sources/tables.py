@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .workbook import read_workbook
+
 MASTER = "bbg_ticker string, name string, asset_block string, sub_category string"
 
 
@@ -15,9 +17,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def prices(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
-    """A wide price table: Parquet, or CSV with a header whose columns are read as text and coerced later."""
-    if kind not in ("parquet", "csv"):
-        raise ValueError("prices are read from parquet or csv; convert workbooks to one of them")
+    """A wide price table: Parquet, the first sheet of a workbook, or CSV with a header, read as text and coerced later."""
+    if kind not in ("parquet", "csv", "workbook"):
+        raise ValueError("prices are read from parquet, csv or a workbook")
+    if kind == "workbook":
+        return read_workbook(spark, path)
     return spark.read.parquet(path) if kind == "parquet" else spark.read.option("header", True).csv(path)
 
 
