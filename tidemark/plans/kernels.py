@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import arima, backtest, bootstrap, forecast_eval, forecasting, inference, mixture, mixture_tables, panel, portfolios, regimes, studies
+from ..operators import arima, backtest, bootstrap, drift, forecast_eval, forecasting, inference, mixture, mixture_tables, panel, portfolios, regimes, studies
 from .relational import path, returns, sample, states
 
 #: The specifications of the main and the forecast fit, and the main one without a tie between windows.
@@ -54,6 +54,14 @@ def mean_drift(s, d):
     return mixture.mean_drift(_fits(s, d, MAIN)[1])
 
 
+def parameter_drift(s, d):
+    return drift.parameter_drift(_fits(s, d, MAIN)[1], panel.assets_of(returns(s, d)))
+
+
+def track_summary(s, d):
+    return drift.track_summary(_fits(s, d, MAIN)[1])
+
+
 def config_summary(s, d):
     return studies.config_summary(_fits(s, d, (*GRID, *mixture.ROBUSTNESS, *mixture.SHRINKAGE))[1])
 
@@ -139,6 +147,8 @@ QUERIES = {
     "retrospective_probabilities": retrospective_probabilities,
     "covariance_diagnostics": covariance_diagnostics,
     "mean_drift": mean_drift,
+    "parameter_drift": parameter_drift,
+    "track_summary": track_summary,
     "config_summary": config_summary,
     "fitted_correlations": fitted_correlations,
     "one_sided_scorer": one_sided_scorer,

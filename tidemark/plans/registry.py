@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import backtest, panel
 from ..sources.tables import table
-from . import inferences, kernels, relational, reports  # noqa: F401  inferences and reports add to the relational queries
+from . import files, inferences, kernels, relational, reports  # noqa: F401  files, inferences and reports add to the relational queries
 
 
 def _six(f):

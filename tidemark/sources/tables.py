@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,3 +70,17 @@ def correlations_long(fits: DataFrame, assets: Sequence[str]) -> DataFrame:
     j = i.select("w", "end_dt", "regime", "i", F.posexplode("row").alias("j", "cov"), "c")
     scale = F.sqrt(F.get(F.get("c", F.col("i")), F.col("i")) * F.get(F.get("c", F.col("j")), F.col("j")))
     return j.select("w", "end_dt", "regime", F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), F.try_divide("cov", scale).alias("corr"))
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that all machines share: ``spark.checkpoint.dir``, or one set here on a local master."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if kept.isEmpty():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+            kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = kept.get()
+    return f"{folder.rstrip('/')}/tidemark/{what}-{uuid.uuid4().hex}"
