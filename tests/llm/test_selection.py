@@ -164,7 +164,7 @@ def corpus(seed, n=60):
     return [(rng.choice(["en", "fr", None]), rng.choice([None, "", " , ", "z" * 200] + [" ".join(rng.choice(parts) for _ in range(rng.randint(1, 70)))] * 9)) for _ in range(n)]
 
 
-@pytest.mark.parametrize("seed, longest, least, size, batch", [(1, 4, 3, 12 << 20, 400_000), (2, 4, 5, 300, 7), (3, 2, 2, 50, 1), (4, 5, 4, 1, 100)])
+@pytest.mark.parametrize("seed, longest, least, size, batch", [(1, 4, 3, 12 << 20, 400_000), (2, 4, 5, 300, 7), (3, 2, 2, 50, 1), (4, 5, 4, 1, 100), (5, 4, 3, 80, 50)])
 def test_collocations(spark, monkeypatch, seed, longest, least, size, batch):
     rows = corpus(seed)
     assert collocations_brute(rows, longest, least)
@@ -172,6 +172,7 @@ def test_collocations(spark, monkeypatch, seed, longest, least, size, batch):
     monkeypatch.setattr(collocations, "SHARD_BYTES", size)
     monkeypatch.setattr(collocations, "BATCH", batch)
     monkeypatch.setattr(collocations, "FILTERED_PAIRS", 0 if seed % 2 else 1 << 24)
+    monkeypatch.setattr(collocations, "LISTED_WORDS", 0 if seed < 3 else 1 << 21)
     for first in (2000, 5):
         got = collocations.collocations(table, longest, least, first)
         assert sorted(tuple(r) for r in got.collect()) == collocations_brute(rows, longest, least, first)
@@ -211,3 +212,12 @@ def test_bitmaps(seed):
                 got[tuple(p)] = c
         ok = lambda p: pairs is None or all(a << 32 | b in pairs for a, b in zip(p, p[1:]))
         assert got == {p: c for p, c in want.items() if ok(p)}
+
+
+def test_known_words():
+    one = pa.table({"h": pa.array([5, -3, 9], pa.int64()), "check": pa.array([1, 2, 3], pa.int32()), "id": pa.array([70, 71, 72], pa.int64())})
+    known = collocations.Known(one)
+    have, ids = known.of(np.array([9, 4, -3, 5, 5], np.int64), np.array([3, 3, 2, 9, 1], np.int32))
+    assert known.distinct and have.tolist() == [0, 2, 4] and ids.tolist() == [72, 71, 70]  # an equal first hash alone is no hit
+    assert collocations.Known(one.slice(0, 0)).of(np.array([5], np.int64), np.array([1], np.int32))[0].tolist() == []
+    assert not collocations.Known(pa.concat_tables([one, one])).distinct

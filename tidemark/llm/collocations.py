@@ -8,10 +8,11 @@ bitmaps can't meet a shifted one are never tried: the lowest bit left of a block
 are extended depth-first, from a batch of first words to their longest phrases, before the next batch is begun.
 
 Counts are summed over shards by an aggregation. As a phrase is no more frequent than its parts, words that are rare in
-the whole corpus are taken out of every shard by a join, and longer phrases are only begun where their pairs are frequent.
-Which pairs are is told by a Bloom filter of them, whose errors add phrases that the sums then drop, or, where they are too
-many for it, by a join of the pairs that each shard has. A word or pair has a row a shard at most in every join and sum,
-so the commonest weighs no more than the number of shards.
+the whole corpus are taken out of every shard, and longer phrases are only begun where their pairs are frequent. Which words
+are frequent is told by a broadcast table of their hashes, which pairs are by a Bloom filter of them, whose errors add
+phrases that the sums then drop; shards then stay where they are. Where words or pairs are too many for that, it is told by
+a join with those that each shard has. A word or pair has a row a shard at most in every join and sum, so the commonest
+weighs no more than the number of shards.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .coding import byte_set, coded, row_blocks, text_bytes, word_spans
@@ -33,10 +34,12 @@ from .hashing import mixed
 SHARD_BYTES, BATCH = 6 << 20, 200_000
 _BREAKS = byte_set(*b".,;:!?", (0x0A, 0x0D))
 _SOLID = ~(_BREAKS | byte_set(0x20, 0x09))
-_SHARDS = "shard long, positions long, codes binary, code int, lang string, word string, n long"
+_SHARDS = "shard long, positions long, codes binary, names array<struct<lang:string,word:string,n:bigint>>"
 _ONE = np.uint64(1)
 #: Pairs up to which a filter of at most 16 MB tells the frequent ones; more are joined to the shards that have them.
 FILTERED_PAIRS = 1 << 24
+#: Frequent words up to which a table of at most 40 MB (two hashes and an id each) tells them; more are joined to the shards.
+LISTED_WORDS = 1 << 21
 
 
 class Bitmaps:
@@ -136,9 +139,9 @@ def _stretches(data: np.ndarray, bounds: np.ndarray, size: int) -> Iterator[tupl
 
 
 def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (lang, text) a row with the codes of a shard's positions, and one for each of its words of a language."""
+    """Of rows (lang, text) a row for each shard: the codes of its positions, and its words of a language in order of code."""
     shard = TaskContext.get().partitionId() << 32
-    names = [c.split()[0] for c in _SHARDS.split(", ")]
+    names = [c.split()[0] for c in _SHARDS.split(", ")]  # no comma of a struct is followed by a space
     for table in row_blocks(batches, 1, size):
         langs = pc.fill_null(table.column(0).combine_chunks(), "und").dictionary_encode()
         langs = langs.combine_chunks() if isinstance(langs, pa.ChunkedArray) else langs
@@ -159,36 +162,62 @@ def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             codes = np.full(len(code) + int(gaps[-1]) if len(code) else 0, -1, np.int32)
             codes[np.arange(len(code)) + gaps] = number[key]
             shard, m = shard + 1, len(have)
-            none = lambda t, n: pa.nulls(n, t)
-            word_rows = [pa.array(np.full(m, shard)), none(pa.int64(), m), none(pa.binary(), m), pa.array(np.arange(m, dtype=np.int32)), langs.dictionary.take(pa.array(have % k)), words.take(pa.array(have // k)).cast(pa.string()), pa.array(seen[have])]
-            shard_row = [pa.array([shard]), pa.array([len(codes)]), pa.array([pa.compress(codes.tobytes(), "zstd", asbytes=True)], pa.binary()), none(pa.int32(), 1), none(pa.string(), 1), none(pa.string(), 1), none(pa.int64(), 1)]
-            for columns in (word_rows, shard_row):
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-
-def _open(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
-    """(codes by position in order of the frequent words' own, their ids, languages and words) of a shard; -1 for all others."""
-    of, ids, langs, words = (batch.column("names")[i].values.field(k) for k in ("code", "id", "lang", "word"))
-    of = of.to_numpy(zero_copy_only=False).astype(np.int64)
+            own_names = pa.StructArray.from_arrays([langs.dictionary.take(pa.array(have % k)), words.take(pa.array(have // k)).cast(pa.string()), pa.array(seen[have])], names=["lang", "word", "n"])
+            row_names = pa.ListArray.from_arrays(pa.array([0, m], pa.int32()), own_names)
+            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(codes)]), pa.array([pa.compress(codes.tobytes(), "zstd", asbytes=True)], pa.binary()), row_names], names=names)
+
+
+class Known:
+    """The frequent words: two hashes of each, in order of the first, and their ids."""
+
+    def __init__(self, one: pa.Table):
+        h, check, ids = (one.column(c).to_numpy() for c in ("h", "check", "id"))
+        order = np.argsort(h, kind="stable")
+        self.h, self.check, self.ids = h[order], check[order], ids[order]
+
+    @property
+    def distinct(self) -> bool:
+        return bool((self.h[1:] != self.h[:-1]).all())
+
+    def of(self, h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of those that are frequent words, their ids)."""
+        at = np.minimum(np.searchsorted(self.h, h), max(len(self.h) - 1, 0))
+        have = np.flatnonzero((self.h[at] == h) & (self.check[at] == check)) if len(self.h) else np.zeros(0, np.int64)
+        return have, self.ids[at[have]]
+
+
+def _open(batch: pa.RecordBatch, i: int, known: Broadcast | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers by position of the frequent words, their ids, their places in ``lang`` and ``word``) of a shard; -1 for all others."""
+    column = lambda c: batch.column(c)[i].values.to_numpy(zero_copy_only=False)
+    if known is None:
+        of, ids = column("code").astype(np.int64), column("id")
+        places = np.arange(len(of))
+    else:
+        of, ids = known.value.of(column("h"), column("check"))
+        places = of
     n = batch.column("positions")[i].as_py()
     codes = np.frombuffer(pa.decompress(batch.column("codes")[i].as_py(), 4 * n, "zstd", asbytes=True), np.int32)
-    number = np.full(max(int(codes.max(initial=-1)), int(of.max())) + 2, -1, np.int64)
+    number = np.full(max(int(codes.max(initial=-1)), int(of.max(initial=-1))) + 2, -1, np.int64)
     number[of] = np.arange(len(of))
-    return number[codes], ids.to_numpy(zero_copy_only=False), langs, words  # code -1 is the last place, which is -1
+    return number[codes], ids, places  # code -1 is the last place, which is -1
 
 
-def _pairs(shards: DataFrame) -> DataFrame:
+def _pairs(shards: DataFrame, known: Broadcast | None) -> DataFrame:
     """(shard, first, second, n): the words' ids of each pair in a shard."""
     at_once = BATCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                codes, ids, _, _ = _open(batch, i)
+                codes, ids, _ = _open(batch, i, known)
                 for found, n in Shard(codes).mined(2, None, at_once):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), batch.column("shard")[i].as_py())), pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]]), pa.array(n)], names=["shard", "first", "second", "n"])
 
-    return shards.select("shard", "positions", "codes", "names").mapInArrow(run, "shard long, first long, second long, n long")
+    return shards.select("shard", "positions", "codes", *_found_by(known)).mapInArrow(run, "shard long, first long, second long, n long")
+
+
+def _found_by(known: Broadcast | None) -> list[str]:
+    return ["code", "id"] if known is None else ["h", "check"]
 
 
 def _places(first: np.ndarray, second: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +242,7 @@ def _filter(pairs: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def _longer(shards: DataFrame, longest: int, words: Broadcast | None = None) -> DataFrame:
+def _longer(shards: DataFrame, longest: int, known: Broadcast | None, words: Broadcast | None = None) -> DataFrame:
     """(lang, phrase, size, n) of the phrases of three and more words in each shard, of pairs that the filter ``words`` has or,
     without one, that the column ``pairs`` lists."""
     at_once = BATCH
@@ -221,7 +250,8 @@ def _longer(shards: DataFrame, longest: int, words: Broadcast | None = None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                codes, ids, langs, names = _open(batch, i)
+                codes, ids, places = _open(batch, i, known)
+                langs, names = (batch.column(c)[i].values.take(pa.array(places)) for c in ("lang", "word"))
                 if words is None:
                     order = np.argsort(ids)
                     first, second = (order[np.searchsorted(ids[order], batch.column("pairs")[i].values.field(k).to_numpy(zero_copy_only=False))] for k in ("first", "second"))
@@ -230,15 +260,35 @@ def _longer(shards: DataFrame, longest: int, words: Broadcast | None = None) ->
                     has = words.value
 
                     def good(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-                        places = _places(ids[first], ids[second], 64 * len(has))
-                        return np.logical_and(*((has[p >> 6] >> (p & 63).astype(np.uint64) & _ONE).astype(bool) for p in places))
+                        bits = _places(ids[first], ids[second], 64 * len(has))
+                        return np.logical_and(*((has[p >> 6] >> (p & 63).astype(np.uint64) & _ONE).astype(bool) for p in bits))
 
                 for found, n in Shard(codes).mined(longest, good, at_once):
                     if found.shape[1] > 2:
                         columns = [names.take(pa.array(found[:, j])) for j in range(found.shape[1])]
                         yield pa.RecordBatch.from_arrays([langs.take(pa.array(found[:, 0])), pc.binary_join_element_wise(*columns, " "), pa.array(np.full(len(n), found.shape[1], np.int32)), pa.array(n)], names=["lang", "phrase", "size", "n"])
 
-    return shards.select("positions", "codes", "names", *(["pairs"] if words is None else [])).mapInArrow(run, "lang string, phrase string, size int, n long")
+    return shards.select("positions", "codes", "lang", "word", *_found_by(known), *(["pairs"] if words is None else [])).mapInArrow(run, "lang string, phrase string, size int, n long")
+
+
+def _hashes(lang: Column, word: Column) -> tuple[Column, Column]:
+    return F.xxhash64(lang, word).alias("h"), F.hash(word, lang).alias("check")
+
+
+def _known(one: DataFrame) -> Broadcast | None:
+    """The frequent words for all tasks; none if they are more than ``LISTED_WORDS``, or two of them share their first hash."""
+    if one.count() > LISTED_WORDS:
+        return None
+    known = Known(one.select("h", "check", "id").toArrow())
+    return one.sparkSession.sparkContext.broadcast(known) if known.distinct else None
+
+
+def _joined(table: DataFrame, one: DataFrame) -> DataFrame:
+    """Shards with the codes, ids, languages and words of their frequent words, by a join."""
+    words = table.select("shard", F.posexplode("names").alias("code", "x")).select("shard", "code", "x.lang", "x.word")
+    fields = ["code", "id", "lang", "word"]
+    names = words.join(one.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct(*fields)).alias("names"))
+    return table.select("shard", "positions", "codes").join(names, "shard").select("shard", "positions", "codes", *(F.col("names")[c].alias(c) for c in fields))
 
 
 def phrases(docs: DataFrame, longest: int = 4, least: int = 30, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -247,28 +297,34 @@ def phrases(docs: DataFrame, longest: int = 4, least: int = 30, lang_col: str =
     lang, text = F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     size = SHARD_BYTES
     table = written(docs.select(lang, text).mapInArrow(lambda batches: _shards(batches, size), _SHARDS), "shards")
-    words = table.filter("word is not null").select("shard", "code", "lang", "word", "n")
+    words = table.select(F.inline("names"))
     total = written(words.groupBy("lang").agg(F.sum("n").alias("n")), "lang-words")
-    one = written(words.groupBy("lang", "word").agg(F.sum("n").alias("a")).filter(F.col("a") >= least).withColumn("id", F.monotonically_increasing_id()), "frequent")
-    names = words.join(one.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("code", "id", "lang", "word")).alias("names"))
-    shards = written(table.filter("codes is not null").select("shard", "positions", "codes").join(names, "shard"), "shards")
-    released(table)
-    pairs = written(_pairs(shards).groupBy("first", "second").agg(F.sum("n").alias("a")).filter(F.col("a") >= least), "pairs")
+    one = words.groupBy("lang", "word").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+    one = written(one.select("*", F.monotonically_increasing_id().alias("id"), *_hashes(F.col("lang"), F.col("word"))), "frequent")
+    known = _known(one)
+    if known is None:
+        shards = written(_joined(table, one), "shards")
+        released(table)
+    else:
+        h = F.transform("names", lambda x: _hashes(x["lang"], x["word"])[0]).alias("h")
+        check = F.transform("names", lambda x: _hashes(x["lang"], x["word"])[1]).alias("check")
+        shards = table.select("shard", "positions", "codes", h, check, F.col("names.lang").alias("lang"), F.col("names.word").alias("word"))
+    pairs = written(_pairs(shards, known).groupBy("first", "second").agg(F.sum("n").alias("a")).filter(F.col("a") >= least), "pairs")
     two = pairs.join(one.select(F.col("id").alias("first"), "lang", F.col("word").alias("w")), "first").join(one.select(F.col("id").alias("second"), "word"), "second")
     parts = [one.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "a"), two.select("lang", F.concat_ws(" ", "w", "word").alias("phrase"), F.lit(2).alias("size"), "a")]
     if longest > 2:
         n = pairs.count()
         if n <= FILTERED_PAIRS:
-            found = _longer(shards, longest, docs.sparkSession.sparkContext.broadcast(_filter(pairs, n)))
+            found = _longer(shards, longest, known, docs.sparkSession.sparkContext.broadcast(_filter(pairs, n)))
         else:
-            good = _pairs(shards).join(pairs.select("first", "second"), ["first", "second"]).groupBy("shard").agg(F.collect_list(F.struct("first", "second")).alias("pairs"))
-            found = _longer(shards.join(good, "shard"), longest)
+            good = _pairs(shards, known).join(pairs.select("first", "second"), ["first", "second"]).groupBy("shard").agg(F.collect_list(F.struct("first", "second")).alias("pairs"))
+            found = _longer(shards.join(good, "shard"), longest, known)
         parts.append(found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a")).filter(F.col("a") >= least))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
     out = written(out, "phrases")
-    released(shards, one, pairs)
+    released(table if known else shards, one, pairs)
     return out, total
 
 
