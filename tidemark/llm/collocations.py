@@ -31,7 +31,7 @@ from .common import read_table, released, written
 from .hashing import mixed
 
 #: Bytes of text a shard, and entries of bitmaps that are extended at once; they bound memory and change no result.
-SHARD_BYTES, BATCH = 6 << 20, 200_000
+SHARD_BYTES, BATCH = 3 << 20, 200_000
 _BREAKS = byte_set(*b".,;:!?", (0x0A, 0x0D))
 _SOLID = ~(_BREAKS | byte_set(0x20, 0x09))
 _SHARDS = "shard long, positions long, codes binary, names array<struct<lang:string,word:string,n:bigint>>"
@@ -210,6 +210,7 @@ def _pairs(shards: DataFrame, known: Broadcast | None) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 codes, ids, _ = _open(batch, i, known)
+                pa.default_memory_pool().release_unused()  # what the shard before took
                 for found, n in Shard(codes).mined(2, None, at_once):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), batch.column("shard")[i].as_py())), pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]]), pa.array(n)], names=["shard", "first", "second", "n"])
 
@@ -263,6 +264,7 @@ def _longer(shards: DataFrame, longest: int, known: Broadcast | None, words: Bro
                         bits = _places(ids[first], ids[second], 64 * len(has))
                         return np.logical_and(*((has[p >> 6] >> (p & 63).astype(np.uint64) & _ONE).astype(bool) for p in bits))
 
+                pa.default_memory_pool().release_unused()
                 for found, n in Shard(codes).mined(longest, good, at_once):
                     if found.shape[1] > 2:
                         columns = [names.take(pa.array(found[:, j])) for j in range(found.shape[1])]
