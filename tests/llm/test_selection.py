@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -182,8 +183,6 @@ def test_collocations(spark, monkeypatch, seed, longest, least, size, batch):
 
 @pytest.mark.parametrize("size", [1, 4, 9, 1000])
 def test_stretches_end_with_pieces(size):
-    import numpy as np
-
     texts = [b"ab c. d", b"", b"e", b"long piece without an end", b"f,g,h,i,j,k", b""]
     bounds = np.cumsum([0, *map(len, texts)])
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -196,8 +195,6 @@ def test_stretches_end_with_pieces(size):
 
 @pytest.mark.parametrize("seed", range(5))
 def test_bitmaps(seed):
-    import numpy as np
-
     rng = random.Random(seed)
     codes = np.array([rng.choice([-1, 0, 0, 0, 1, 2, 3, rng.randrange(40)]) for _ in range(rng.choice([1, 63, 64, 65, 1000]))], np.int64)
     want = Counter()
