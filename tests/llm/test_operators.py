@@ -461,6 +461,15 @@ def test_url_filter(spark):
         url_filters.url_filter(pages, [("block", "com", "/"), ("allow", "com", "/")])
 
 
+def test_rules_of_the_contract(spark):
+    contract = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    assert [f"{v} {h}{p}" for v, h, p in url_filters.RULES] == contract.split(", ")
+    urls = ["x://a.net/de/1", "x://example.net/de/7", "x://b.example.net/de/81", "x://other.net/de/8", "x://a.com/en/7", "x://example.com/en/7", "x://org/es/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [r["verdict"] for r in url_filters.url_filter(pages).sort("page_id").collect()]
+    assert got == ["allow", "allow", "block", "allow", "block", "allow", "block"]
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.filter("crc32(cast(key as binary)) % 40 = 0")
