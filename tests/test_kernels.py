@@ -1,6 +1,7 @@
 """Kernels against closed forms, plain loops, optimality conditions and the one-sided contract."""
 
 import itertools
+import time
 from dataclasses import replace
 
 import numpy as np
@@ -240,6 +241,20 @@ def test_adjusted_p_values(spark):
     assert np.allclose([q[i] for i in range(15)], [min(1, min(p[j] * 15 / (j + 1) for j in range(i, 15))) for i in range(15)])
 
 
+def test_many_adjusted_p_values(spark):
+    # Work in proportion to the rows (a frame up to the last row is read anew for every row), of all sizes, with ties and keys.
+    n = 100_000
+    value = F.when(F.col("id") % 50 == 0, 0.0).when(F.col("id") % 50 == 1, 1.0).otherwise(F.pow((F.col("id") * 7919 % 99_991 + 1) / 99_991.0, F.lit(3)))
+    rows = spark.range(n).select("id", F.when(F.col("id") >= 100, F.lit("a")).alias("g"), value.alias("p_value"))
+    since = time.monotonic()
+    got = inference.benjamini_hochberg(rows, keep=("g",)).toPandas()
+    assert time.monotonic() - since < 60 and list(got.columns) == ["id", "g", "p_value", "q_value"] and sorted(got["id"]) == list(range(n))
+    for _, mine in got.groupby("g", dropna=False):
+        mine = mine.sort_values("p_value")
+        x = mine["p_value"].to_numpy() * len(mine) / np.arange(1, len(mine) + 1)
+        assert (mine["q_value"].to_numpy() == np.minimum(np.minimum.accumulate(x[::-1])[::-1], 1)).all()
+
+
 def test_synchronous_days(spark):
     rows = [("2020-01-01", "x", 0.1), ("2020-01-01", "cash", 0.0), ("2020-01-02", "x", 0.0), ("2020-01-02", "cash", 0.1), ("2020-01-03", "x", float("nan")), ("2020-01-03", "cash", 0.1)]
     r = spark.createDataFrame(rows, "dt string, asset string, r double").withColumn("dt", F.to_date("dt"))

@@ -13,13 +13,25 @@ from .regimes import mid_rank, valid_samples
 
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p_value", q: str = "q_value", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Step-up adjusted values: the least p m / rank from the row's rank on, at most 1. Null p-values have none."""
-    part = tests.filter(F.col(p).isNotNull())
-    order = Window.partitionBy(*keep).orderBy(p)
-    m = F.count(F.lit(1)).over(Window.partitionBy(*keep))
-    ranked = part.withColumn("_rank", F.row_number().over(order)).withColumn("_scaled", F.col(p) * m / F.col("_rank"))
-    up = Window.partitionBy(*keep).orderBy("_rank").rowsBetween(0, Window.unboundedFollowing)
-    return ranked.withColumn(q, F.least(F.min("_scaled").over(up), F.lit(1.0))).drop("_rank", "_scaled")
+    """Step-up adjusted values: the least p m / rank from the row's rank on, at most 1. Null p-values have none.
+
+    Equal p-values have one adjusted value, that of their last rank, so the work is on different ones. They are dealt by
+    octaves cut in 256; a task ranks those of one, and only the sizes and least values of the cuts are put in line.
+    ``tests`` is kept, as sums in another order could give other last digits in a second reading.
+    """
+    part = tests.filter(F.col(p).isNotNull()).persist()
+    of = F.struct(F.lit(0).alias("all"), *keep)  # equal also where a column is null
+    cut = F.when(F.isnan("_p"), F.lit((1 << 63) - 1)).otherwise(F.coalesce(F.floor(F.log2("_p") * 256), F.lit(-1 << 62)))
+    values = part.groupBy(of.alias("_of"), F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_cut", cut)
+    line = Window.partitionBy("_of").orderBy("_cut")
+    before = F.coalesce(F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cuts = values.groupBy("_of", "_cut").agg(F.sum("_c").alias("_n")).select("_of", "_cut", before.alias("_before"), F.sum("_n").over(Window.partitionBy("_of")).alias("_m"))
+    up, down = (Window.partitionBy("_of", "_cut").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col("_p"), F.col("_p").desc()))
+    scaled = values.join(cuts, ["_of", "_cut"]).withColumn("_scaled", F.col("_p") * F.col("_m") / (F.col("_before") + F.sum("_c").over(up)))
+    back = Window.partitionBy("_of").orderBy(F.col("_cut").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = scaled.groupBy("_of", "_cut").agg(F.min("_scaled").alias("_least")).select("_of", "_cut", F.min("_least").over(back).alias("_later"))
+    adjusted = scaled.withColumn("_own", F.min("_scaled").over(down)).join(later, ["_of", "_cut"]).select("_of", "_p", F.least("_own", "_later", F.lit(1.0)).alias("_q"))
+    return part.join(adjusted, (of == F.col("_of")) & (F.col(p) == F.col("_p"))).select(*(F.col(f"`{c}`") for c in part.columns if c != q), F.col("_q").alias(q))
 
 
 def anova(sample: DataFrame, min_n: int = 30) -> DataFrame:

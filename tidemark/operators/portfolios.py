@@ -117,7 +117,7 @@ def efficient_frontier(returns: DataFrame, n: int = 50, bounds: Bounds = Bounds(
 def _until(returns: DataFrame, dates: DataFrame) -> DataFrame:
     """(dt, on): each day of the returns with the first of ``dates`` from it on; days after the last have none."""
     marked = returns.select("dt").distinct().join(dates.select("dt", F.col("dt").alias("d")).distinct(), "dt", "left")
-    return marked.select("dt", F.min("d").over(Window.orderBy("dt").rowsBetween(0, Window.unboundedFollowing)).alias("on")).filter("on is not null")
+    return marked.select("dt", F.min("d").over(Window.orderBy(F.col("dt").desc()).rowsBetween(Window.unboundedPreceding, 0)).alias("on")).filter("on is not null")
 
 
 def expanding_moments(returns: DataFrame, dates: DataFrame) -> DataFrame:
