@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from tidemark.operators import bootstrap, forecasting, mixture, portfolios, regimes, studies
+from tidemark.plans import kernels, relational, reports
 
 from .test_kernels import CFG, days, fits, long_returns  # noqa: F401
 
@@ -113,6 +114,19 @@ def test_blocks_of_the_stationary_bootstrap():
     assert len(bootstrap.block_indices(103, 10, rng)) == 100 and bootstrap.block_indices(103, 10, rng).max() < 103
 
 
+def test_tables_without_bootstraps_collect_no_series(spark, long_returns, monkeypatch):  # noqa: F811
+    s = regimes.labelled(*long_returns).persist()
+    whole = studies.paper_tables(s, b=2)
+    want = {k: sorted(map(str, whole[k].collect())) for k in ("paper_omnibus_fmt", "paper_profiles_raw")}
+    monkeypatch.setattr(bootstrap, "_labelled", lambda sample: pytest.fail("a series came to the driver"))
+    for module in (kernels, reports):
+        monkeypatch.setattr(module, "sample", lambda spark, folder: s)
+    assert sorted(map(str, kernels.QUERIES["paper_omnibus_fmt"](spark, "").collect())) == want["paper_omnibus_fmt"]
+    low, high = regimes.select_pair(s).first()
+    assert sorted(map(str, studies.paper_profiles(s, low, high)[0].collect())) == want["paper_profiles_raw"]
+    assert relational.QUERIES["paper_profiles_raw"](spark, "").count() == 3 and relational.QUERIES["paper_comparison_deltas"](spark, "").count() == 3
+
+
 def test_reports(spark, long_returns):  # noqa: F811
     returns, labels = long_returns
     s = regimes.labelled(returns, labels)

@@ -141,13 +141,30 @@ def with_total(rows: DataFrame, key: str, sums: Sequence[str], greatest: Sequenc
     return rows.unionByName(total, allowMissingColumns=True)
 
 
-def paper_tables(sample: DataFrame, mode: str = "ordered", alpha: float = 0.05, levels: Sequence[float] = (0.05, 0.10, 0.25), min_n: int = 50, b: int = 1000) -> dict[str, DataFrame]:
-    """Tables of two chosen states (see :func:`..regimes.select_pair`): meta_selected_pair, and paper_profiles,
-    paper_comparison and paper_omnibus as numbers (``_raw``) and as text (``_fmt``). Assets that one state lacks stay."""
-    from . import bootstrap, inference, regimes
+def paper_omnibus(sample: DataFrame, min_n: int = 50) -> DataFrame:
+    """p-values of each asset's tests over all states. Nothing is bootstrapped, so no series goes to the driver."""
+    from . import bootstrap, inference
+
+    kw = inference.kruskal(sample, min_n).select("asset", F.col("p_value").alias("KW_p_value"))
+    omnibus = inference.anova(sample).select("asset", F.col("p_value").alias("ANOVA_p_value")).join(inference.brown_forsythe(sample).select("asset", F.col("p_value").alias("BF_p_value")), "asset", "full")
+    return omnibus.join(kw, "asset", "full").join(bootstrap.anderson_darling(sample, min_n).select("asset", F.col("p_approx").alias("AD_p_value_approx")), "asset", "full")
+
+
+def paper_text(df: DataFrame) -> DataFrame:
+    """A table of :func:`paper_tables` as text, with p-values by the names of their columns."""
+
+    def cell(c: str):
+        if c.endswith("_n"):
+            return F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+        return format_p(F.col(f"`{c}`")) if c.endswith(("_p", "_p_value", "_p_value_approx")) else format_number(F.col(f"`{c}`"), 4)
+
+    return df.select("asset", *(cell(c).alias(c) for c in df.columns[1:]))
+
+
+def paper_profiles(sample: DataFrame, low: int, high: int, alpha: float = 0.05, levels: Sequence[float] = (0.05, 0.10, 0.25), min_n: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(profiles of two states by asset, the differences of the second from the first)."""
+    from . import regimes
 
-    pair = regimes.select_pair(sample, mode, min_n)
-    low, high = pair.first()
     tail = int(alpha * 100)
     columns = ["n", "mean", "vol", f"VaR{tail}", f"ES{tail}", *(f"Q{int(100 * q)}" for q in levels)]
 
@@ -160,26 +177,26 @@ def paper_tables(sample: DataFrame, mode: str = "ordered", alpha: float = 0.05,
 
     profiles = profile(low).join(profile(high), "asset", "full")
     comparison = profiles.select("asset", *((F.col(f"R{high}_{c}") - F.col(f"R{low}_{c}")).alias(f"delta_{c}_R{high}-R{low}") for c in columns[1:]))
+    return profiles, comparison
+
+
+def paper_tables(sample: DataFrame, mode: str = "ordered", alpha: float = 0.05, levels: Sequence[float] = (0.05, 0.10, 0.25), min_n: int = 50, b: int = 1000) -> dict[str, DataFrame]:
+    """Tables of two chosen states (see :func:`..regimes.select_pair`): meta_selected_pair, and paper_profiles,
+    paper_comparison and paper_omnibus as numbers (``_raw``) and as text (``_fmt``). Assets that one state lacks stay."""
+    from . import bootstrap, inference, regimes
+
+    pair = regimes.select_pair(sample, mode, min_n)
+    low, high = pair.first()
+    profiles, comparison = paper_profiles(sample, low, high, alpha, levels, min_n)
     ks = inference.kolmogorov(sample, min_n).filter((F.col("regime1") == low) & (F.col("regime2") == high)).select("asset", F.col("statistic").alias("ks_stat"), F.col("p_value").alias("KS_p_value"))
     kw = inference.kruskal(sample, min_n).select("asset", F.col("p_value").alias("KW_p_value"))
     name = F.split("name", r"\|")
     equal = bootstrap.quantile_equality(sample, levels, b, min_n).select(name[0].alias("asset"), name[1].cast("int").alias("k1"), name[2].cast("int").alias("k2"), name[3].cast("double").alias("q"), "p_value").filter((F.col("k1") == low) & (F.col("k2") == high))
     equal = equal.groupBy("asset").agg(*(F.min(F.when(F.col("q") == x, F.col("p_value"))).alias(f"Q{int(100 * x)}_p") for x in levels))
     comparison = comparison.join(ks, "asset", "left").join(kw, "asset", "left").join(equal, "asset", "left")
-    omnibus = inference.anova(sample).select("asset", F.col("p_value").alias("ANOVA_p_value")).join(inference.brown_forsythe(sample).select("asset", F.col("p_value").alias("BF_p_value")), "asset", "full")
-    omnibus = omnibus.join(kw, "asset", "full").join(bootstrap.anderson_darling(sample, min_n).select("asset", F.col("p_approx").alias("AD_p_value_approx")), "asset", "full")
-
-    def text(df: DataFrame) -> DataFrame:
-        def cell(c: str):
-            if c.endswith("_n"):
-                return F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-            return format_p(F.col(f"`{c}`")) if c.endswith(("_p", "_p_value", "_p_value_approx")) else format_number(F.col(f"`{c}`"), 4)
-
-        return df.select("asset", *(cell(c).alias(c) for c in df.columns[1:]))
-
-    raw = {"paper_profiles": profiles, "paper_comparison": comparison, "paper_omnibus": omnibus}
+    raw = {"paper_profiles": profiles, "paper_comparison": comparison, "paper_omnibus": paper_omnibus(sample, min_n)}
     meta = pair.select("regime_low", "regime_high", F.lit(alpha).alias("alpha_main"), F.lit(mode).alias("pair_mode"))
-    return {"meta_selected_pair": meta} | {f"{k}_raw": v for k, v in raw.items()} | {f"{k}_fmt": text(v) for k, v in raw.items()}
+    return {"meta_selected_pair": meta} | {f"{k}_raw": v for k, v in raw.items()} | {f"{k}_fmt": paper_text(v) for k, v in raw.items()}
 
 
 def all_tests(sample: DataFrame, mode: str = "ordered", min_n: int = 50, b: int = 1000) -> dict[str, DataFrame]:

@@ -161,7 +161,7 @@ QUERIES = {
     "portfolio_conditions": portfolio_conditions,
     "ar_against_random_walk": lambda s, d: forecasting.against_random_walk(states(s, d))[1],
     "paper_comparison_fmt": lambda s, d: studies.paper_tables(sample(s, d))["paper_comparison_fmt"],
-    "paper_omnibus_fmt": lambda s, d: studies.paper_tables(sample(s, d))["paper_omnibus_fmt"],
+    "paper_omnibus_fmt": lambda s, d: studies.paper_text(studies.paper_omnibus(sample(s, d))),
     "risk_report": lambda s, d: portfolios.risk_report(returns(s, d).select(F.col("asset").alias("strategy"), "dt", F.col("r").alias("net")))["drawdown_tests"],
     "ar_multihorizon": lambda s, d: forecasting.multi_horizon(states(s, d)),
     "ar_scores": lambda s, d: forecast_eval.scores(forecasting.multi_long(forecasting.multi_horizon(states(s, d))), ("horizon", "method")),

@@ -50,12 +50,14 @@ _RAW = _PROF.format(cells=", ".join(f"{t}.{c} AS R{k}_{n}" for t, k in (("a", 0)
 
 @query("paper_profiles_raw", f"WITH {_ST}{_RAW} SELECT asset, " + ", ".join(f"R{k}_n" if n == "n" else f"round(R{k}_{n}, 9) AS R{k}_{n}" for k in (0, 2) for n, _ in _CELLS) + " FROM pf")
 def _(s, d):
-    return studies.paper_tables(sample(s, d), b=1)["paper_profiles_raw"]
+    x = sample(s, d)
+    return studies.paper_profiles(x, *regimes.select_pair(x).first())[0]
 
 
 @query("paper_comparison_deltas", f"WITH {_ST}{_RAW} SELECT asset, " + ", ".join(f'round(R2_{n} - R0_{n}, 9) AS "delta_{n}_R2-R0"' for n, _ in _CELLS[1:]) + " FROM pf")
 def _(s, d):
-    t = studies.paper_tables(sample(s, d), b=1)["paper_comparison_raw"]
+    x = sample(s, d)
+    t = studies.paper_profiles(x, *regimes.select_pair(x).first())[1]
     return t.select("asset", *(c for c in t.columns if c.startswith("delta_")))
 
 
