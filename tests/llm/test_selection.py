@@ -219,3 +219,12 @@ def test_known_words():
     assert known.distinct and have.tolist() == [0, 2, 4] and ids.tolist() == [72, 71, 70]  # an equal first hash alone is no hit
     assert collocations.Known(one.slice(0, 0)).of(np.array([5], np.int64), np.array([1], np.int32))[0].tolist() == []
     assert not collocations.Known(pa.concat_tables([one, one])).distinct
+
+
+def test_two_ids_of_words_go_as_one_number(spark):
+    ids = [p << 33 | r for p in range(5) for r in range(p + 3)]
+    one, bits = collocations._numbered(spark.createDataFrame([(i,) for i in ids], "id long"))
+    got = [r["id"] for r in one.collect()]
+    assert bits == 6 and len(set(got)) == len(ids) and max(got) < 1 << bits
+    many = spark.createDataFrame([(0,), (1 << 32,)], "id long")
+    assert [collocations._numbered(t)[1] for t in (many, many.filter("false"))] == [0, 1]

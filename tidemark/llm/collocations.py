@@ -202,8 +202,8 @@ def _open(batch: pa.RecordBatch, i: int, known: Broadcast | None) -> tuple[np.nd
     return number[codes], ids, places  # code -1 is the last place, which is -1
 
 
-def _pairs(shards: DataFrame, known: Broadcast | None) -> DataFrame:
-    """(shard, first, second, n): the words' ids of each pair in a shard."""
+def _pairs(shards: DataFrame, known: Broadcast | None, bits: int = 0) -> DataFrame:
+    """(shard, first, second, n): the words' ids of each pair in a shard; (pair, n) with ``bits``, both ids in one number."""
     at_once = BATCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,9 +212,26 @@ def _pairs(shards: DataFrame, known: Broadcast | None) -> DataFrame:
                 codes, ids, _ = _open(batch, i, known)
                 pa.default_memory_pool().release_unused()  # what the shard before took
                 for found, n in Shard(codes).mined(2, None, at_once):
+                    if bits:
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[found[:, 0]] << bits | ids[found[:, 1]]), pa.array(n)], names=["pair", "n"])
+                        continue
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), batch.column("shard")[i].as_py())), pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]]), pa.array(n)], names=["shard", "first", "second", "n"])
 
-    return shards.select("shard", "positions", "codes", *_found_by(known)).mapInArrow(run, "shard long, first long, second long, n long")
+    return shards.select("shard", "positions", "codes", *_found_by(known)).mapInArrow(run, "pair long, n long" if bits else "shard long, first long, second long, n long")
+
+
+def _numbered(one: DataFrame) -> tuple[DataFrame, int]:
+    """(the words with ids that hardly leave gaps, the bits of an id; 0 if two ids don't fit a number)."""
+    part, row = F.shiftright("id", 33), F.col("id").bitwiseAND((1 << 33) - 1)  # as monotonically_increasing_id gives them
+    parts, rows = ((x or 0) + 1 for x in one.agg(F.max(part), F.max(row)).first())
+    bits = max(1, (parts * rows - 1).bit_length())
+    return one.withColumn("id", part * rows + row), bits if 2 * bits < 64 else 0
+
+
+def _frequent_pairs(shards: DataFrame, known: Broadcast | None, bits: int, least: int) -> DataFrame:
+    """(first, second, a): pairs that occur ``least`` times. Of all shuffles theirs is the largest, so two ids go as one number."""
+    sums = _pairs(shards, known, bits).groupBy(*(["pair"] if bits else ["first", "second"])).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+    return sums.select(F.shiftright("pair", bits).alias("first"), F.col("pair").bitwiseAND((1 << bits) - 1).alias("second"), "a") if bits else sums
 
 
 def _found_by(known: Broadcast | None) -> list[str]:
@@ -303,6 +320,7 @@ def phrases(docs: DataFrame, longest: int = 4, least: int = 30, lang_col: str =
     total = written(words.groupBy("lang").agg(F.sum("n").alias("n")), "lang-words")
     one = words.groupBy("lang", "word").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
     one = written(one.select("*", F.monotonically_increasing_id().alias("id"), *_hashes(F.col("lang"), F.col("word"))), "frequent")
+    one, bits = _numbered(one)
     known = _known(one)
     if known is None:
         shards = written(_joined(table, one), "shards")
@@ -311,7 +329,7 @@ def phrases(docs: DataFrame, longest: int = 4, least: int = 30, lang_col: str =
         h = F.transform("names", lambda x: _hashes(x["lang"], x["word"])[0]).alias("h")
         check = F.transform("names", lambda x: _hashes(x["lang"], x["word"])[1]).alias("check")
         shards = table.select("shard", "positions", "codes", h, check, F.col("names.lang").alias("lang"), F.col("names.word").alias("word"))
-    pairs = written(_pairs(shards, known).groupBy("first", "second").agg(F.sum("n").alias("a")).filter(F.col("a") >= least), "pairs")
+    pairs = written(_frequent_pairs(shards, known, bits, least), "pairs")
     two = pairs.join(one.select(F.col("id").alias("first"), "lang", F.col("word").alias("w")), "first").join(one.select(F.col("id").alias("second"), "word"), "second")
     parts = [one.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "a"), two.select("lang", F.concat_ws(" ", "w", "word").alias("phrase"), F.lit(2).alias("size"), "a")]
     if longest > 2:
