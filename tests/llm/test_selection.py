@@ -1,6 +1,7 @@
 """Resampling, collocations and decontamination against brute force, on small tables with every awkward row."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -9,10 +10,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import collocations, contamination, resampling
+from tidemark.llm import collocations, common, contamination, resampling
 
 from .test_operators import ROWS, docs, none, sentence  # noqa: F401
 
@@ -228,3 +230,67 @@ def test_two_ids_of_words_go_as_one_number(spark):
     assert bits == 6 and len(set(got)) == len(ids) and max(got) < 1 << bits
     many = spark.createDataFrame([(0,), (1 << 32,)], "id long")
     assert [collocations._numbered(t)[1] for t in (many, many.filter("false"))] == [0, 1]
+
+
+@pytest.mark.parametrize("columns, held", [(1, 1), (1, 30), (1, 10_000), (3, 1), (3, 50), (3, 10_000)])
+def test_summed(columns, held):
+    rng = np.random.default_rng(columns + held)
+    parts = [(tuple(rng.integers(-3, 4, m) for _ in range(columns)), rng.integers(1, 9, m)) for m in (5, 0, 70, 1, 200)]
+    want, got = Counter(), Counter()
+    for keys, n in parts:
+        for *k, c in zip(*keys, n):
+            want[tuple(k)] += c
+    out = list(collocations.summed(iter(parts), held))
+    for keys, n in out:
+        rows = list(zip(*keys))
+        assert rows == sorted(set(rows))
+        for k, c in zip(rows, n):
+            got[k] += c
+    assert got == want and all(len(n) >= held / 2 for _, n in out[:-1]) and (held < 10_000 or len(out) == 1)
+    assert list(collocations.summed(iter([]), held)) == []
+
+
+@pytest.mark.parametrize("bits", [3, 12, 20, 31, 0])
+def test_phrases_as_numbers(spark, bits):
+    ids = [0, 1, 2, 5, (1 << (bits or 62)) - 1]
+    one = spark.createDataFrame([(i, "en", f"w{i % 97}") for i in ids], "id long, lang string, word string")
+    found = [p for m in (3, 5) for p in itertools.product(ids, repeat=m)][::7]
+    width, per, columns = collocations._packing(5, bits)
+    rows = [tuple(int(c[0]) for c in collocations._packed(np.array([p], np.int64), width, per, len(columns))) for p in found]
+    assert len(set(rows)) == len(found) and min(map(min, rows)) >= 0
+    table = spark.createDataFrame([(*r, n) for k, r in enumerate(rows) for n in (2, k % 5)], ", ".join(f"{c} long" for c in [*columns, "n"])).repartition(3)
+    got = {(r["lang"], r["phrase"], r["size"], r["a"]) for r in collocations._frequent_longer(table, one, 5, bits, 4).collect()}
+    assert got == {("en", " ".join(f"w{i % 97}" for i in p), len(p), 2 + k % 5) for k, p in enumerate(found) if k % 5 > 1}
+
+
+@pytest.mark.parametrize("listed", [True, False])
+def test_few_shards_at_once(spark, monkeypatch, listed):
+    """However many shards a task has, a row group and a batch hold few of them, and a pair leaves the task once."""
+    monkeypatch.setattr(collocations, "SHARD_BYTES", 50)
+    monkeypatch.setattr(collocations, "LISTED_WORDS", 1 << 21 if listed else 0)
+    groups, batches, pairs = [], spark.sparkContext.accumulator(0), []
+    kept, opened, mined = collocations.written, collocations._open, collocations._pairs
+
+    def written(df, what, *args, **kwargs):
+        out = kept(df, what, *args, **kwargs)
+        if what == "shards":
+            files = [pq.ParquetFile(f.removeprefix("file:")) for f in out.inputFiles()]
+            groups.extend(f.metadata.row_group(i).num_rows for f in files for i in range(f.num_row_groups))
+        return out
+
+    def counted(batch, i, known):
+        batches.add(batch.num_rows > collocations.SHARDS_AT_ONCE)
+        return opened(batch, i, known)
+
+    def seen(shards, known, bits=0):
+        one_task = kept(mined(shards.coalesce(1), known, bits), "seen", batch_rows=collocations.SHARDS_AT_ONCE)
+        pairs.append((bits, one_task.groupBy("pair").count().agg(F.max("count")).first()[0]))
+        return mined(shards, known, bits)
+
+    for name, f in (("written", written), ("_open", counted), ("_pairs", seen)):
+        monkeypatch.setattr(collocations, name, f)
+    table = spark.createDataFrame(corpus(7), "lang string, text string").coalesce(1)
+    assert collocations.phrases(table, 4, 3)[0].count()
+    assert sum(groups) > 50 and max(groups) <= collocations.SHARDS_AT_ONCE and batches.value == 0
+    assert pairs[0][0] and pairs[0][1] == 1
+    assert spark.conf.get(common._BATCH, None) is None

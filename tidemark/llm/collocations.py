@@ -7,8 +7,9 @@ bitmap, is that of the phrase with the word behind it; its bits are the phrase's
 bitmaps can't meet a shifted one are never tried: the lowest bit left of a block names the next word that does. Phrases
 are extended depth-first, from a batch of first words to their longest phrases, before the next batch is begun.
 
-Counts are summed over shards by an aggregation. As a phrase is no more frequent than its parts, words that are rare in
-the whole corpus are taken out of every shard, and longer phrases are only begun where their pairs are frequent. Which words
+Counts are summed over shards by an aggregation of what tasks have added up in arrays of bounded size. As a phrase is no
+more frequent than its parts, words that are rare in the whole corpus are taken out of every shard, and longer phrases are
+only begun where their pairs are frequent. Which words
 are frequent is told by a broadcast table of their hashes, which pairs are by a Bloom filter of them, whose errors add
 phrases that the sums then drop; shards then stay where they are. Where words or pairs are too many for that, it is told by
 a join with those that each shard has. A word or pair has a row a shard at most in every join and sum, so the commonest
@@ -36,6 +37,11 @@ _BREAKS = byte_set(*b".,;:!?", (0x0A, 0x0D))
 _SOLID = ~(_BREAKS | byte_set(0x20, 0x09))
 _SHARDS = "shard long, positions long, codes binary, names array<struct<lang:string,word:string,n:bigint>>"
 _ONE = np.uint64(1)
+#: Shards that a Parquet row group holds and that go to Python at once, and entries that a task holds to add up equal pairs
+#: before they are shuffled; they bound memory and change no result.
+SHARDS_AT_ONCE, HELD = 2, 1 << 20
+#: Documents that go to Python at once; shards are cut from them as they come.
+DOCS_AT_ONCE = 256
 #: Pairs up to which a filter of at most 16 MB tells the frequent ones; more are joined to the shards that have them.
 FILTERED_PAIRS = 1 << 24
 #: Frequent words up to which a table of at most 40 MB (two hashes and an id each) tells them; more are joined to the shards.
@@ -186,36 +192,70 @@ class Known:
         return have, self.ids[at[have]]
 
 
-def _open(batch: pa.RecordBatch, i: int, known: Broadcast | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(numbers by position of the frequent words, their ids, their places in ``lang`` and ``word``) of a shard; -1 for all others."""
+def _open(batch: pa.RecordBatch, i: int, known: Broadcast | None) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers by position of the frequent words, their ids) of a shard; -1 for all others."""
     column = lambda c: batch.column(c)[i].values.to_numpy(zero_copy_only=False)
     if known is None:
         of, ids = column("code").astype(np.int64), column("id")
-        places = np.arange(len(of))
     else:
         of, ids = known.value.of(column("h"), column("check"))
-        places = of
     n = batch.column("positions")[i].as_py()
     codes = np.frombuffer(pa.decompress(batch.column("codes")[i].as_py(), 4 * n, "zstd", asbytes=True), np.int32)
     number = np.full(max(int(codes.max(initial=-1)), int(of.max(initial=-1))) + 2, -1, np.int64)
     number[of] = np.arange(len(of))
-    return number[codes], ids, places  # code -1 is the last place, which is -1
+    return number[codes], ids  # code -1 is the last place, which is -1
+
+
+def summed(found: Iterator[tuple[tuple[np.ndarray, ...], np.ndarray]], held: int) -> Iterator[tuple[tuple[np.ndarray, ...], np.ndarray]]:
+    """(columns of keys, counts) with equal keys added up, in their order, among about ``held`` of them at a time."""
+    parts, n = [], 0
+
+    def sums() -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+        keys, count = [np.concatenate(c) for c in zip(*(k for k, _ in parts))], np.concatenate([c for _, c in parts])
+        order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
+        keys = [k[order] for k in keys]
+        first = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+        return tuple(k[first] for k in keys), np.add.reduceat(count[order], first)
+
+    for keys, count in found:
+        if len(count):
+            parts.append((keys, count))
+            n += len(count)
+        if n >= held:
+            parts = [sums()]
+            n = len(parts[0][1])
+            if 2 * n >= held:  # few were equal
+                yield parts[0]
+                parts, n = [], 0
+    if n:
+        yield sums()
+
+
+def _summed_batches(found: Iterator[tuple[tuple[np.ndarray, ...], np.ndarray]], held: int, rows: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    for keys, n in summed(found, held):
+        for at in range(0, len(n), rows):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + rows]) for c in (*keys, n)], names=[*names, "n"])
 
 
 def _pairs(shards: DataFrame, known: Broadcast | None, bits: int = 0) -> DataFrame:
-    """(shard, first, second, n): the words' ids of each pair in a shard; (pair, n) with ``bits``, both ids in one number."""
-    at_once = BATCH
+    """(shard, first, second, n): the words' ids of each pair in a shard. With ``bits`` (pair, n), both ids in one number,
+    added up over shards as far as :func:`summed` does."""
+    at_once, held = BATCH, HELD
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         for batch in batches:
             for i in range(batch.num_rows):
-                codes, ids, _ = _open(batch, i, known)
+                codes, ids = _open(batch, i, known)
                 pa.default_memory_pool().release_unused()  # what the shard before took
                 for found, n in Shard(codes).mined(2, None, at_once):
-                    if bits:
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[found[:, 0]] << bits | ids[found[:, 1]]), pa.array(n)], names=["pair", "n"])
-                        continue
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), batch.column("shard")[i].as_py())), pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]]), pa.array(n)], names=["shard", "first", "second", "n"])
+                    yield batch.column("shard")[i].as_py(), ids[found[:, 0]], ids[found[:, 1]], n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not bits:
+            for shard, first, second, n in mined(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard)), pa.array(first), pa.array(second), pa.array(n)], names=["shard", "first", "second", "n"])
+            return
+        yield from _summed_batches((((first << bits | second,), n) for _, first, second, n in mined(batches)), held, at_once, ["pair"])
 
     return shards.select("shard", "positions", "codes", *_found_by(known)).mapInArrow(run, "pair long, n long" if bits else "shard long, first long, second long, n long")
 
@@ -229,8 +269,10 @@ def _numbered(one: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _frequent_pairs(shards: DataFrame, known: Broadcast | None, bits: int, least: int) -> DataFrame:
-    """(first, second, a): pairs that occur ``least`` times. Of all shuffles theirs is the largest, so two ids go as one number."""
-    sums = _pairs(shards, known, bits).groupBy(*(["pair"] if bits else ["first", "second"])).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+    """(first, second, a): pairs that occur ``least`` times. Of all shuffles theirs is the largest, so two ids go as one number,
+    and tasks add up their own in NumPy, as Spark's table of groups would hold ten times as many bytes for a pair."""
+    found = _pairs(shards, known, bits)
+    sums = (found.repartition("pair").groupBy("pair") if bits else found.groupBy("first", "second")).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
     return sums.select(F.shiftright("pair", bits).alias("first"), F.col("pair").bitwiseAND((1 << bits) - 1).alias("second"), "a") if bits else sums
 
 
@@ -260,16 +302,31 @@ def _filter(pairs: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def _longer(shards: DataFrame, longest: int, known: Broadcast | None, words: Broadcast | None = None) -> DataFrame:
-    """(lang, phrase, size, n) of the phrases of three and more words in each shard, of pairs that the filter ``words`` has or,
-    without one, that the column ``pairs`` lists."""
-    at_once = BATCH
+def _packing(longest: int, bits: int) -> tuple[int, int, list[str]]:
+    """(bits of a word's place in a number, words a number, columns) of phrases whose words' ids have ``bits`` (0: any)."""
+    width = bits + 1 if bits else 63
+    per = 63 // width
+    return width, per, [f"k{j}" for j in range(-(-longest // per))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _packed(ids: np.ndarray, width: int, per: int, columns: int) -> tuple[np.ndarray, ...]:
+    """Phrases, given by a row of ids, as ``columns`` numbers; an id counts one more there, as 0 is no word."""
+    out = tuple(np.zeros(len(ids), np.int64) for _ in range(columns))
+    for j in range(ids.shape[1]):
+        out[j // per][:] |= ids[:, j] + 1 << width * (j % per)
+    return out
+
+
+def _longer(shards: DataFrame, longest: int, known: Broadcast | None, bits: int, words: Broadcast | None = None) -> DataFrame:
+    """(the columns of :func:`_packing`, n) of the phrases of three and more words, added up over shards as far as
+    :func:`summed` does, of pairs that the filter ``words`` has or, without one, that the column ``pairs`` lists."""
+    at_once, held = BATCH, HELD
+    width, per, columns = _packing(longest, bits)
+
+    def mined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[np.ndarray, ...], np.ndarray]]:
         for batch in batches:
             for i in range(batch.num_rows):
-                codes, ids, places = _open(batch, i, known)
-                langs, names = (batch.column(c)[i].values.take(pa.array(places)) for c in ("lang", "word"))
+                codes, ids = _open(batch, i, known)
                 if words is None:
                     order = np.argsort(ids)
                     first, second = (order[np.searchsorted(ids[order], batch.column("pairs")[i].values.field(k).to_numpy(zero_copy_only=False))] for k in ("first", "second"))
@@ -284,10 +341,21 @@ def _longer(shards: DataFrame, longest: int, known: Broadcast | None, words: Bro
                 pa.default_memory_pool().release_unused()
                 for found, n in Shard(codes).mined(longest, good, at_once):
                     if found.shape[1] > 2:
-                        columns = [names.take(pa.array(found[:, j])) for j in range(found.shape[1])]
-                        yield pa.RecordBatch.from_arrays([langs.take(pa.array(found[:, 0])), pc.binary_join_element_wise(*columns, " "), pa.array(np.full(len(n), found.shape[1], np.int32)), pa.array(n)], names=["lang", "phrase", "size", "n"])
+                        yield _packed(ids[found], width, per, len(columns)), n
+
+    run = lambda batches: _summed_batches(mined(batches), held, at_once, columns)
+    return shards.select("positions", "codes", *_found_by(known), *(["pairs"] if words is None else [])).mapInArrow(run, ", ".join(f"{c} long" for c in [*columns, "n"]))
+
 
-    return shards.select("positions", "codes", "lang", "word", *_found_by(known), *(["pairs"] if words is None else [])).mapInArrow(run, "lang string, phrase string, size int, n long")
+def _frequent_longer(found: DataFrame, one: DataFrame, longest: int, bits: int, least: int) -> DataFrame:
+    """(lang, phrase, size, a): phrases of :func:`_longer` that occur ``least`` times, with their words."""
+    width, per, columns = _packing(longest, bits)
+    sums = found.repartition(*columns).groupBy(*columns).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+    ids = F.array(*(F.shiftright(columns[j // per], width * (j % per)).bitwiseAND((1 << width) - 1) for j in range(longest)))
+    each = sums.select(*columns, "a", F.posexplode(ids).alias("at", "id")).filter("id > 0")
+    named = each.join(one.select((F.col("id") + 1).alias("id"), "lang", "word"), "id").groupBy(*columns, "a")
+    named = named.agg(F.min("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("at", "word"))).alias("words"))
+    return named.select("lang", F.concat_ws(" ", "words.word").alias("phrase"), F.size("words").alias("size"), "a")
 
 
 def _hashes(lang: Column, word: Column) -> tuple[Column, Column]:
@@ -303,9 +371,9 @@ def _known(one: DataFrame) -> Broadcast | None:
 
 
 def _joined(table: DataFrame, one: DataFrame) -> DataFrame:
-    """Shards with the codes, ids, languages and words of their frequent words, by a join."""
+    """Shards with the codes and ids of their frequent words, by a join."""
     words = table.select("shard", F.posexplode("names").alias("code", "x")).select("shard", "code", "x.lang", "x.word")
-    fields = ["code", "id", "lang", "word"]
+    fields = ["code", "id"]
     names = words.join(one.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct(*fields)).alias("names"))
     return table.select("shard", "positions", "codes").join(names, "shard").select("shard", "positions", "codes", *(F.col("names")[c].alias(c) for c in fields))
 
@@ -314,8 +382,8 @@ def phrases(docs: DataFrame, longest: int = 4, least: int = 30, lang_col: str =
     """((lang, phrase, size, a) of all words and phrases of up to ``longest`` words that occur ``least`` times, (lang, n) words
     of each language). Both are tables of :func:`written`."""
     lang, text = F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
-    size = SHARD_BYTES
-    table = written(docs.select(lang, text).mapInArrow(lambda batches: _shards(batches, size), _SHARDS), "shards")
+    size, few = SHARD_BYTES, SHARDS_AT_ONCE
+    table = written(docs.select(lang, text).mapInArrow(lambda batches: _shards(batches, size), _SHARDS), "shards", few, DOCS_AT_ONCE)
     words = table.select(F.inline("names"))
     total = written(words.groupBy("lang").agg(F.sum("n").alias("n")), "lang-words")
     one = words.groupBy("lang", "word").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
@@ -323,27 +391,27 @@ def phrases(docs: DataFrame, longest: int = 4, least: int = 30, lang_col: str =
     one, bits = _numbered(one)
     known = _known(one)
     if known is None:
-        shards = written(_joined(table, one), "shards")
+        shards = written(_joined(table, one), "shards", few)
         released(table)
     else:
         h = F.transform("names", lambda x: _hashes(x["lang"], x["word"])[0]).alias("h")
         check = F.transform("names", lambda x: _hashes(x["lang"], x["word"])[1]).alias("check")
-        shards = table.select("shard", "positions", "codes", h, check, F.col("names.lang").alias("lang"), F.col("names.word").alias("word"))
-    pairs = written(_frequent_pairs(shards, known, bits, least), "pairs")
+        shards = table.select("shard", "positions", "codes", h, check)
+    pairs = written(_frequent_pairs(shards, known, bits, least), "pairs", batch_rows=few)
     two = pairs.join(one.select(F.col("id").alias("first"), "lang", F.col("word").alias("w")), "first").join(one.select(F.col("id").alias("second"), "word"), "second")
     parts = [one.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "a"), two.select("lang", F.concat_ws(" ", "w", "word").alias("phrase"), F.lit(2).alias("size"), "a")]
     if longest > 2:
         n = pairs.count()
         if n <= FILTERED_PAIRS:
-            found = _longer(shards, longest, known, docs.sparkSession.sparkContext.broadcast(_filter(pairs, n)))
+            found = _longer(shards, longest, known, bits, docs.sparkSession.sparkContext.broadcast(_filter(pairs, n)))
         else:
             good = _pairs(shards, known).join(pairs.select("first", "second"), ["first", "second"]).groupBy("shard").agg(F.collect_list(F.struct("first", "second")).alias("pairs"))
-            found = _longer(shards.join(good, "shard"), longest, known)
-        parts.append(found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a")).filter(F.col("a") >= least))
+            found = _longer(shards.join(good, "shard"), longest, known, bits)
+        parts.append(_frequent_longer(found, one, longest, bits, least))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    out = written(out, "phrases")
+    out = written(out, "phrases", batch_rows=few)
     released(table if known else shards, one, pairs)
     return out, total
 
